@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from loomwork.llm import mixing
+from loomwork.llm import mixing, quality, simhash
 
 
 def queries() -> dict:
-    return {"op1_mix_sources": mixing.op1_mix_sources}
+    return {
+        "op1_mix_sources": mixing.op1_mix_sources,
+        "op8_simhash_groups": simhash.op8_simhash_groups,
+        "op9_quality": quality.op9_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
