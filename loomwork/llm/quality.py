@@ -180,4 +180,5 @@ def crc_held_out(doc_id: int) -> bool:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return score_quality(documents(spark, sf_dir).select("doc_id", "text"), labels)
+    scored = score_quality(documents(spark, sf_dir).select("doc_id", "text"), labels)
+    return scored.select("doc_id", "held_out", "score", "predicted")
