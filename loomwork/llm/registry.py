@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loomwork.llm import mixing, quality, simhash
+from loomwork.llm import mixing, quality, simhash, tokens
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op6_token_counts": tokens.op6_token_counts,
         "op8_simhash_groups": simhash.op8_simhash_groups,
         "op9_quality": quality.op9_quality,
     }
