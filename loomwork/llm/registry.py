@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwork.llm import mixing, quality, simhash, tokens
+from loomwork.llm import mixing, packing, quality, simhash, tokens
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op6_token_counts": tokens.op6_token_counts,
         "op8_simhash_groups": simhash.op8_simhash_groups,
         "op9_quality": quality.op9_quality,
+        "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
 
