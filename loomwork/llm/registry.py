@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from loomwork.llm import mixing, packing, quality, simhash, tokens
+from loomwork.llm import mixing, packing, quality, simhash, token_files, tokens
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
         "op6_token_counts": tokens.op6_token_counts,
+        "op7_token_files": token_files.op7_token_files,
         "op8_simhash_groups": simhash.op8_simhash_groups,
         "op9_quality": quality.op9_quality,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
