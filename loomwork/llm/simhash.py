@@ -4,7 +4,9 @@ Fingerprints (64 bits over 4-word shingles, XXH64 with seed 42) are computed in
 fingerprint are one node, so copies never meet each other in a join. Two fingerprints that differ in at most 4 bits
 differ in at most one bit in one of three segments (21, 21 and 22 bits): each fingerprint is a home row in the table of
 each segment, and visits the keys that differ from its own by setting one zero bit; a pair that differs in one bit of a
-segment meets exactly once that way, at the home of the one that has the bit. The join keeps only verified pairs.
+segment meets exactly once that way, at the home of the one that has the bit. The join keeps only verified pairs, and
+only those that connect what isn't connected yet: before it, fingerprints that follow each other in a segment's table are
+linked where they are close enough, so that a large group of near copies doesn't emit all of its pairs.
 
 Links become groups by passing smallest labels along links and jumping along pointers, with a table written each round.
 
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,21 +70,40 @@ def _visited(segment: int, key: Column, bits: int) -> Column:
     return F.transform(ball, lambda k: F.struct(F.lit(segment).alias("segment"), k.alias("key")))
 
 
+def _homes(nodes: DataFrame) -> DataFrame:
+    """A row (segment, key, fp, node) for each fingerprint and segment."""
+    homes = [
+        F.struct(F.lit(s).alias("segment"), _segment(F.col("fp"), start, bits).alias("key"))
+        for s, (start, bits) in enumerate(SEGMENTS)
+    ]
+    return nodes.select("fp", "node", F.explode(F.array(*homes)).alias("at")).select("at.*", "fp", "node")
+
+
+def neighbour_links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Some of the links: those between fingerprints that follow each other in a key of a segment's table.
+
+    There are as many at most as rows, and they join most of what a dense group holds.
+    """
+    in_order = Window.partitionBy("segment", "key").orderBy("fp")
+    pairs = _homes(nodes).select(
+        F.col("node").alias("a"),
+        F.lag("node").over(in_order).alias("b"),
+        F.bit_count(F.col("fp").bitwiseXOR(F.lag("fp").over(in_order))).alias("bits"),
+    )
+    return pairs.filter(F.col("bits") <= max_bits).select("a", "b")
+
+
 def near_links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Links (a, b) between the different fingerprints ``fp`` in ``nodes`` that differ in at most ``max_bits`` bits.
+    """All links (a, b) between fingerprints ``fp`` in ``nodes`` that differ in at most ``max_bits`` bits and whose
+    ``node`` differs. A link carries the nodes; one may come from more than one segment.
 
-    ``nodes`` has fp and node; a link carries the nodes. A pair may come from more than one segment.
+    Give fingerprints that are known to be connected the same node: then a dense group emits no pairs of its own.
     """
-    homes, visits = [], []
-    for s, (start, bits) in enumerate(SEGMENTS):
-        key = _segment(F.col("fp"), start, bits)
-        homes.append(F.struct(F.lit(s).alias("segment"), key.alias("key")))
-        visits.append(_visited(s, key, bits))
-    home = nodes.select(F.col("fp").alias("fp_b"), F.col("node").alias("b"), F.explode(F.array(*homes)).alias("at"))
-    home = home.select("fp_b", "b", "at.*")
+    home = _homes(nodes).select("segment", "key", F.col("fp").alias("fp_b"), F.col("node").alias("b"))
+    visits = [_visited(s, _segment(F.col("fp"), start, bits), bits) for s, (start, bits) in enumerate(SEGMENTS)]
     visit = nodes.select(F.col("fp").alias("fp_a"), F.col("node").alias("a"), F.explode(F.concat(*visits)).alias("at"))
     visit = visit.select("fp_a", "a", "at.*")
-    close = (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= max_bits) & (F.col("fp_a") != F.col("fp_b"))
+    close = (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= max_bits) & (F.col("a") != F.col("b"))
     # Pairs in one key meet twice (each visits its own home); keep one of the two.
     same = F.lit(False)
     for s, (start, bits) in enumerate(SEGMENTS):
@@ -123,8 +144,12 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id) per row of ``docs``: the group each document belongs to."""
     marked = staged(docs.select("doc_id", fingerprints(F.col("text").cast("string")).alias("fp")), "simhash")
     nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    groups = components(near_links(nodes.filter("node is not null"), max_bits), "simhash-groups")
-    owner = nodes.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    known = nodes.filter("node is not null")
+    first = components(neighbour_links(known, max_bits), "simhash-first")
+    joined = nodes.join(first, "node", "left").select("fp", F.coalesce("component", "node").alias("node"))
+    joined = staged(joined, "simhash-joined")
+    groups = components(near_links(joined.filter("node is not null"), max_bits), "simhash-groups")
+    owner = joined.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marked.join(owner, "fp").select("doc_id", "fp", "component_id")
 
 
