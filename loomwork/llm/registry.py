@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loomwork.llm import mixing, packing, pii, quality, simhash, token_files, tokens
+from loomwork.llm import mixing, packing, pii, quality, simhash, sketches, token_files, tokens
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op4_fingerprints": sketches.op4_fingerprints,
         "op5_pseudonyms": pii.op5_pseudonyms,
         "op6_token_counts": tokens.op6_token_counts,
         "op7_token_files": token_files.op7_token_files,
