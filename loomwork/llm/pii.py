@@ -215,5 +215,13 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Dat
     return done.withColumn(text_col, F.when(F.col("_new").isNull(), text).otherwise(woven)).select(*columns, "found")
 
 
+def pseudonymised_documents(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """``docs`` with rewritten texts under their own columns; n_chars, where there is one, follows the text."""
+    done = pseudonymise(docs, key=key)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done.select(*docs.columns)
+
+
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))

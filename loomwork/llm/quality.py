@@ -174,6 +174,12 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, with their columns as they are."""
+    score = scorer(docs.sparkSession, train(docs, labels))
+    return docs.filter(score(F.col("text").cast("string")) >= threshold)
+
+
 def crc_held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 3 == 1
 
