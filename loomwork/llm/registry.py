@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from loomwork.llm import media, mixing, packing, pii, quality, simhash, sketches, token_files, tokens
+from loomwork.llm import html_text, media, mixing, packing, pii, quality, simhash, sketches, token_files, tokens
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
         "op2_flac_media": media.op2_flac_media,
+        "op3_main_text": html_text.op3_main_text,
         "op4_fingerprints": sketches.op4_fingerprints,
         "op5_pseudonyms": pii.op5_pseudonyms,
         "op6_token_counts": tokens.op6_token_counts,
