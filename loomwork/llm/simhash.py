@@ -141,8 +141,11 @@ def components(links: DataFrame, name: str = "components", max_rounds: int = 60)
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fp, component_id) per row of ``docs``: the group each document belongs to."""
-    marked = staged(docs.select("doc_id", fingerprints(F.col("text").cast("string")).alias("fp")), "simhash")
+    """(doc_id, fp, text_hash, component_id) per row of ``docs``: the group each document belongs to."""
+    text = F.col("text").cast("string")
+    text_hash = F.xxhash64(F.coalesce(text, F.lit("")))
+    marked = docs.select("doc_id", fingerprints(text).alias("fp"), text_hash.alias("text_hash"))
+    marked = staged(marked, "simhash")
     nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
     known = nodes.filter("node is not null")
     first = components(neighbour_links(known, max_bits), "simhash-first")
@@ -150,16 +153,26 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     joined = staged(joined, "simhash-joined")
     groups = components(near_links(joined.filter("node is not null"), max_bits), "simhash-groups")
     owner = joined.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(owner, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(owner, "fp").select("doc_id", "fp", "text_hash", "component_id")
 
 
 def one_of_each_group(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one with the smallest doc_id."""
-    kept = near_duplicates(docs, max_bits).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    whole = docs.join(kept.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    """``docs`` with one row of each near-duplicate group: the one with the smallest doc_id.
+
+    Of several rows with that doc_id the one with the smallest text hash stays; rows without a doc_id form groups of
+    their own by fingerprint where no row of the group has one.
+    """
+    least = near_duplicates(docs, max_bits).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    group = ["doc_id", F.when(F.col("doc_id").isNull(), F.col("fp")).alias("_fp")]
+    rows = least.groupBy(*group, "text_hash").agg(F.count(F.lit(1)).alias("_rows"))
+    kept = rows.groupBy("doc_id", "_fp").agg(F.min(F.struct("text_hash", "_rows")).alias("_kept"))
+    kept = kept.select(F.col("doc_id").alias("_id"), "_kept.*").withColumnRenamed("text_hash", "_hash")
+    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    whole = docs.withColumn("_text_hash", text_hash).join(
+        kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    )
     once = whole.filter("_rows = 1").select(*docs.columns)
-    again = whole.filter("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"])
+    again = whole.filter("_rows > 1").dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
     return once.unionByName(again)
 
 
