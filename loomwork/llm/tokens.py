@@ -151,7 +151,8 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str, limit: int =
     missing.mapInPandas(encoded, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer") == version)
     # A writer that ran beside this one may have stored the same digest; its count is the same.
-    counts = counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # As a table of its own, so that Spark may split a digest with very many rows when it joins.
+    counts = staged(counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     return rows.join(counts, "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
