@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("retrieval", "text")
+MODULES: tuple[str, ...] = ("retrieval", "text", "catalog")
 
 
 def _modules():
