@@ -1,10 +1,15 @@
-"""Exact vector search: cosine scores against a small query set, top-k per query, threshold after the limit."""
+"""Exact vector search: cosine scores against a stated query set, top-k per query, threshold after the limit."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Queries scored in one pass over the vectors; a block of this many is what is broadcast.
+QUERY_BLOCK = 2048
+
 
 def dot(a: Column, b: Column) -> Column:
     """Dot product of two equally long arrays in double precision."""
@@ -22,28 +27,43 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
+def _scored(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, digits: int | None) -> DataFrame:
+    left = vectors.filter(F.col(vector_col).isNotNull()).withColumn("_norm", norm(F.col(vector_col)))
+    right = queries.select("query_id", "query_embedding", norm(F.col("query_embedding")).alias("_query_norm"))
+    score = dot(F.col(vector_col), F.col("query_embedding")) / F.nullif(F.col("_norm") * F.col("_query_norm"), F.lit(0.0))
+    score = score if digits is None else F.round(score, digits)
+    return left.crossJoin(F.broadcast(right)).select("query_id", id_col, score.alias("score"))
+
+
+def top_k(scored: DataFrame, id_col: str, k: int) -> DataFrame:
+    """The k best rows of each query with their rank. A partition keeps k rows a query before anything is shuffled."""
+    best_first = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), F.asc(id_col))
+    return scored.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
+
+
 def top_k_semantic(
     vectors: DataFrame,
     queries: DataFrame,
     id_col: str,
     k: int,
-    threshold: float,
+    threshold: float | None,
     vector_col: str = "embedding",
+    digits: int | None = None,
 ) -> DataFrame:
     """Rows of ``vectors`` nearest to each query: (query_id, id, score, rank).
 
-    The query set is a stated, small table and is broadcast; vectors are scanned once and never shuffled:
-    each partition keeps k rows per query (WindowGroupLimit) before the exchange on query_id.
-    The threshold acts after the limit, so fewer than k rows may come back. Null vectors are skipped.
+    The query set is counted first. A set of at most ``QUERY_BLOCK`` queries is broadcast against one scan; a larger one
+    is dealt into blocks of about that many, each with a scan and a top-k of its own, so what is broadcast never grows with
+    the data. The threshold acts after the limit, so fewer than k rows may come back. Null vectors are skipped.
+    With ``digits``, scores are rounded before they are ranked, so that equal texts tie and the id decides.
     """
-    scored = (
-        vectors.filter(F.col(vector_col).isNotNull())
-        .crossJoin(F.broadcast(queries.select("query_id", "query_embedding")))
-        .select("query_id", id_col, cosine(F.col(vector_col), F.col("query_embedding")).alias("score"))
-    )
-    best_first = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), F.asc(id_col))
-    return (
-        scored.withColumn("rank", F.row_number().over(best_first))
-        .filter(F.col("rank") <= k)
-        .filter(F.col("score") >= threshold)
-    )
+    blocks = -(-max(1, queries.count()) // QUERY_BLOCK)
+    if blocks == 1:
+        best = top_k(_scored(vectors, queries, id_col, vector_col, digits), id_col, k)
+    else:
+        dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        parts = [
+            top_k(_scored(vectors, dealt.filter(F.col("_block") == b), id_col, vector_col, digits), id_col, k) for b in range(blocks)
+        ]
+        best = reduce(DataFrame.unionByName, parts)
+    return best if threshold is None else best.filter(F.col("score") >= threshold)

@@ -1,22 +1,319 @@
-"""Registered retrieval queries."""
+"""Registered retrieval queries: semantic, keyword, hybrid, two-tier, windows, reranking, graph and what is built from hits."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwork.operators.vector import top_k_semantic
+from loomwork.functions.analysis import STOP_WORDS, terms, with_embedding
+from loomwork.operators import fusion, graph, lexical
+from loomwork.operators.vector import cosine, top_k, top_k_semantic
 from loomwork.session import table
 
+K = 10
+
+
+def _query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, query, passage): the benchmark's items, each asking with three terms of its passage."""
+    t = F.slice(F.array_distinct(terms(F.col("text"))), 2, 3)
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(t, " ").alias("query"), F.col("text").alias("passage"))
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
 
 def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     query = vectors.filter("vec_id = 0").select(F.lit(0).alias("query_id"), F.col("embedding").alias("query_embedding"))
-    hits = top_k_semantic(vectors, query, id_col="vec_id", k=10, threshold=0.35)
+    hits = top_k_semantic(vectors, query, id_col="vec_id", k=K, threshold=0.35)
     return hits.select("vec_id", F.round("score", 6).alias("score"))
 
 
-QUERIES = {"r1_semantic_search": semantic_search}
+def bulk_semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 50 asks, all vectors answer."""
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    hits = top_k_semantic(vectors, queries, id_col="vec_id", k=K, threshold=0.2)
+    return hits.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+def tenant_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search in one label's vectors: the filter reaches the scan."""
+    vectors = table(spark, sf_dir, "embeddings").filter("label = 3 and embedding is not null")
+    query = table(spark, sf_dir, "embeddings").filter("vec_id = 7").select(F.lit(7).alias("query_id"), F.col("embedding").alias("query_embedding"))
+    return top_k_semantic(vectors, query, "vec_id", K, None).select("vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = lexical.keyword_search(_docs(spark, sf_dir), _query_set(spark, sf_dir), "doc_id", K, 0.001)
+    return hits.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hashed embedding of each distinct text, joined back to its documents."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text", F.sha2("text", 256).alias("h"))
+    once = with_embedding(docs.groupBy("h").agg(F.min_by("text", "doc_id").alias("text")), "h", "text")
+    first = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("long").cast("string"))
+    return docs.select("doc_id", "h").join(once, "h").select("doc_id", F.array_join(first, ",").alias("first"), F.size("embedding").alias("n"))
+
+
+def _semantic_lists(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    vectors = with_embedding(_docs(spark, sf_dir), "doc_id", "text")
+    queries = with_embedding(_query_set(spark, sf_dir), "query_id", "passage", "query_embedding")
+    return top_k_semantic(vectors, queries, "doc_id", k, None, digits=9)
+
+
+def hybrid_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    semantic = _semantic_lists(spark, sf_dir, 2 * K).filter("score >= 0.35")
+    keyword = lexical.keyword_search(_docs(spark, sf_dir), _query_set(spark, sf_dir), "doc_id", 2 * K, 0.001)
+    return fusion.reciprocal_rank(semantic, keyword, "doc_id", K)
+
+
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid_hits(spark, sf_dir).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.round("rrf", 9).alias("rrf"), "rank")
+
+
+def two_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by the mean of their vectors first, three times as many as asked for; then vectors of those labels only."""
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.filter("vec_id in (0, 50, 100, 150)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    parts = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    means = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
+    tier1 = top_k_semantic(means, queries, "label", 3, None).select("query_id", "label")
+    scored = vectors.join(queries.join(tier1, "query_id"), "label").select("query_id", "vec_id", "label", cosine(F.col("embedding"), F.col("query_embedding")).alias("score"))
+    best = top_k(scored, "vec_id", K).filter("score >= 0.30")
+    return best.select("query_id", "vec_id", "label", F.round("score", 6).alias("score"))
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as chunks: the label is the document, the place within it the index; some have no content."""
+    index = (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("chunk_index")
+    content = F.when(F.col("vec_id") % 9 == 4, F.lit("  ")).otherwise(F.concat(F.lit("chunk "), F.col("vec_id").cast("string")))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("document"), index, content.alias("content"), "embedding")
+
+
+def _chunk_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    hits = top_k_semantic(vectors, queries, "vec_id", K, None)
+    place = _chunks(spark, sf_dir).select("vec_id", "document", "chunk_index")
+    return hits.join(place, "vec_id").withColumn("score", F.round("score", 6))
+
+
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = fusion.expand_windows(_chunk_hits(spark, sf_dir), _chunks(spark, sf_dir))
+    return wide.select("query_id", "document", "chunk_index", "score", "expanded_content", "chunks_merged", "start_index", "end_index")
+
+
+def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = fusion.expand_windows(_chunk_hits(spark, sf_dir), _chunks(spark, sf_dir))
+    narrow = wide.select("query_id", "document", "chunk_index", "score", "start_index", "end_index")
+    return fusion.drop_overlaps(narrow).select("query_id", "document", "chunk_index", "score")
+
+
+def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, asked = _docs(spark, sf_dir), _query_set(spark, sf_dir)
+    hits = _semantic_lists(spark, sf_dir, 2 * K)
+    scored = lexical.term_coverage(hits, docs, asked, "doc_id").filter("rerank_score >= 0.3")
+    order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "doc_id")
+    ranked = scored.withColumn("rerank_rank", F.row_number().over(order)).filter(F.col("rerank_rank") <= K)
+    return ranked.select("query_id", "doc_id", F.round("rerank_score", 6).alias("rerank_score"), "rerank_rank")
+
+
+def multi_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question and up to three parts of it, five hits each; a document keeps its best score, twice k rows in all."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(terms(F.col("text"))).alias("t"))
+    parts = items.select("item_id", F.posexplode(F.array(F.slice("t", 1, 2), F.slice("t", 3, 2), F.slice("t", 5, 2), F.slice("t", 1, 3))).alias("part", "p"))
+    queries = parts.select((F.col("item_id") * 4 + F.col("part")).alias("query_id"), F.array_join("p", " ").alias("query"))
+    hits = lexical.keyword_search(_docs(spark, sf_dir), queries, "doc_id", 5, 0.001)
+    best = hits.groupBy(F.floor(F.col("query_id") / 4).alias("query_id"), "doc_id").agg(F.max("score").alias("score"))
+    ranked = top_k(best, "doc_id", 2 * K)
+    return ranked.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+def synonym_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries with up to three words expanded by two synonyms each: words joined to the dictionary, regrouped in order."""
+    words = spark.createDataFrame(SYNONYMS, "word string, synonyms array<string>")
+    pick = "element_at(array('search the vector database fast','how to create an api cache','delete index and update query now','llm rag pdf resume'), cast(item_id % 4 + 1 as int))"
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split(F.expr(pick), " ")).alias("at", "word"))
+    joined = asked.join(F.broadcast(words), "word", "left")
+    able = (F.length("word") >= 3) & ~F.col("word").isin(*STOP_WORDS) & F.col("synonyms").isNotNull()
+    so_far = F.sum(F.when(able, 1).otherwise(0)).over(Window.partitionBy("item_id").orderBy("at"))
+    # A set of synonyms without the word, sorted, five at most; two are added.
+    chosen = F.slice(F.slice(F.array_sort(F.array_remove(F.array_distinct("synonyms"), F.col("word"))), 1, 5), 1, 2)
+    more = F.when(able & (so_far <= 3), F.concat_ws(" ", "word", F.array_join(chosen, " "))).otherwise(F.col("word"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"])
+    return joined.withColumn("x", more).groupBy("item_id").agg(F.array_join(listed, " ").alias("expanded"))
+
+
+#: Part of the search vocabulary.
+SYNONYMS = [
+    ("rag", ["retrieval augmented generation", "retrieval-augmented-generation"]),
+    ("llm", ["large language model", "language model", "ai model"]),
+    ("vector", ["embedding", "representation", "dense representation"]),
+    ("pdf", ["portable document format", "document"]),
+    ("resume", ["cv", "curriculum vitae"]),
+    ("search", ["find", "lookup", "query", "retrieve"]),
+    ("query", ["search", "question", "request"]),
+    ("api", ["application programming interface", "interface", "endpoint"]),
+    ("database", ["db", "datastore", "data store"]),
+    ("cache", ["memory cache", "temporary storage"]),
+    ("index", ["search index", "inverted index"]),
+    ("create", ["add", "insert", "make", "generate"]),
+    ("update", ["modify", "edit", "change", "patch"]),
+    ("delete", ["remove", "destroy", "erase"]),
+    ("fast", ["quick", "rapid", "speedy", "efficient"]),
+]
+
+
+def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered excerpts with their sources, and the references of the academic, full and narrative styles."""
+    rows = _keyword_rows(spark, sf_dir).withColumn("snippet", F.substring("text", 1, 80))
+    item = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", c.alias("x")))), lambda s: s["x"]), "\n\n")
+    mark = F.format_string("[%d] ", F.col("rank"))
+    return rows.groupBy("query_id").agg(
+        item(F.concat(mark, "snippet", F.lit("\n    Source: "), "filename")).alias("context"),
+        item(F.concat(mark, "filename")).alias("academic"),
+        item(F.concat_ws(" ", F.format_string("[%d]", F.col("rank")), "filename", F.concat(F.lit("- "), "source"), F.format_string("(%s)", "lang"))).alias("full"),
+        item(F.concat(F.lit("From "), "filename", F.lit(":\n"), "snippet")).alias("narrative"),
+        item(F.when(F.col("rank") <= 5, F.concat(F.format_string("%d. ", F.col("rank")), "filename", F.lit(": "), F.regexp_replace(F.substring("text", 1, 100), "\n", " "), F.lit("...")))).alias("topics"),
+    )
+
+
+def _keyword_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = lexical.keyword_search(_docs(spark, sf_dir), _query_set(spark, sf_dir), "doc_id", K, 0.001)
+    docs = _docs(spark, sf_dir).select("doc_id", "text", "lang", "source", F.concat("source", F.lit("-"), F.col("doc_id").cast("string")).alias("filename"))
+    return hits.join(docs, "doc_id")
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk sources and graph references merged; a graph reference gets its id from its path, or from its content."""
+    chunk = _keyword_rows(spark, sf_dir).select(
+        "query_id", F.col("doc_id").cast("string").alias("document_id"), F.lit(0).alias("chunk_index"), "filename",
+        F.round(F.when(F.col("rank") % 2 == 0, F.col("score") / 2).otherwise(F.col("score")), 6).alias("score"),
+    )
+    path = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("users/1/"), "source", F.lit("-"), F.col("doc_id").cast("string")))
+    refs = _keyword_rows(spark, sf_dir).filter("rank >= 8").select("query_id", path.alias("path"), F.substring("text", 1, 40).alias("content"))
+    graph_refs = refs.select(
+        "query_id", F.md5(F.coalesce("path", "content")).alias("document_id"), F.lit(0).alias("chunk_index"),
+        F.element_at(F.split("path", "/"), -1).alias("filename"), F.lit(1.0).alias("score"),
+    )
+    return fusion.merge_sources(chunk, graph_refs)
+
+
+def media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables among parts rendered as pipe tables: at least two pipe lines, the first four as a preview."""
+    text = F.expr("concat('Intro ', p_name, '\\n|a|b|\\n|---|---|\\n', repeat(concat('|', p_brand, '|', p_type, '|\\n'), cast(p_size % 4 as int)), 'end')")
+    lines = F.filter(F.split(F.col("content"), "\n"), lambda x: F.startswith(F.trim(x), F.lit("|")))
+    parts = table(spark, sf_dir, "part").select("p_partkey", text.alias("content")).withColumn("lines", lines)
+    preview = F.array_join(F.slice("lines", 1, 4), "\n")
+    found = parts.filter((F.instr("content", "---") > 0) & (F.size("lines") >= 2))
+    return found.select("p_partkey", F.when(F.length(preview) > 200, F.concat(F.substring(preview, 1, 200), F.lit("..."))).otherwise(preview).alias("preview"))
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    presets = spark.createDataFrame(
+        [("concise", "brief", "inline"), ("detailed", "comprehensive", "academic"), ("research", "academic", "academic_full"),
+         ("technical", "technical", "inline"), ("creative", "exploratory", "narrative"), ("qna", "qna", "inline")],
+        "preset string, style string, citation string",
+    )
+    pick = F.expr("element_at(array('concise','research','creative','qna','nothing'), cast(item_id % 5 + 1 as int))")
+    asked = table(spark, sf_dir, "benchmark").select("item_id", pick.alias("preset"), F.substring("text", 1, 40).alias("query"))
+    joined = asked.join(F.broadcast(presets), "preset", "left")
+    style, citation = F.coalesce("style", F.lit("comprehensive")), F.coalesce("citation", F.lit("academic"))
+    return joined.select("item_id", F.format_string("style=%s;citations=%s;question=%s", style, citation, F.col("query")).alias("prompt"))
+
+
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities, edges = graph.build(_docs(spark, sf_dir), "doc_id", "source", "text")
+    return edges
+
+
+def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities, edges = graph.build(_docs(spark, sf_dir), "doc_id", "source", "text")
+    asked = _query_set(spark, sf_dir).select("query_id", F.col("passage").alias("query"))
+    return graph.search(entities, edges, asked, k=5)
+
+
+def answers_with_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits and graph context side by side, not merged: hits per query, and edges found for it."""
+    hits = lexical.keyword_search(_docs(spark, sf_dir), _query_set(spark, sf_dir), "doc_id", K, 0.001)
+    base = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+    found = graph_search(spark, sf_dir).groupBy("query_id").agg(F.count(F.lit(1)).alias("edges"))
+    both = _query_set(spark, sf_dir).select("query_id").join(base, "query_id", "left").join(found, "query_id", "left")
+    return both.select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
+_STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
+_TERMS = lambda x: f"list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9]+'), lambda w: length(w) >= 2 AND NOT list_contains({_STOP_SQL}, w))"
+# The order of first occurrences, since list_distinct has none.
+_DISTINCT = lambda x: f"list_filter({x}, lambda w, i: list_position({x}, w) = i)"
+_QT = f"bt AS (SELECT item_id, text AS passage, {_TERMS('text')} AS l FROM benchmark), bq AS (SELECT item_id, passage, {_DISTINCT('l')} AS t FROM bt)"
+_LEX = """
+pt AS (SELECT doc_id, unnest(l) AS term, len(l) AS length FROM dl),
+p AS (SELECT doc_id, term, count(*) AS tf, any_value(length) AS length FROM pt GROUP BY doc_id, term),
+q AS (SELECT query_id, len(qt) AS n_terms, unnest(qt) AS term FROM asked),
+df AS (SELECT term, count(*) AS df FROM p WHERE term IN (SELECT term FROM q) GROUP BY term),
+lex AS (SELECT query_id, doc_id, round(s / (1 + s), 9) AS score FROM (
+    SELECT query_id, doc_id, count(*) AS n, any_value(n_terms) AS n_terms,
+           sum(ln(1 + ((SELECT count(*) FROM dl) - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (SELECT avg(len(l)) FROM dl))))) AS s
+    FROM p JOIN q USING (term) JOIN df USING (term) GROUP BY query_id, doc_id) WHERE n = n_terms),
+kw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM lex)"""
+_DL = f"dl AS (SELECT doc_id, {_TERMS('text')} AS l FROM documents)"
+_ASK = f"{_QT}, asked AS (SELECT item_id AS query_id, passage, t[2:4] AS qt FROM bq)"
+_EMB = lambda src: f"""list_transform(range(0, 64), lambda i: coalesce(list_sum(list_transform(list_filter({src}, lambda w: ('0x' || md5(w)[1:4])::INT % 64 = i), lambda w: CASE WHEN md5(w)[5:5] < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)), 0.0::DOUBLE))"""
+_SEM = f"""
+dv AS (SELECT doc_id, {_EMB('l')} AS v FROM dl WHERE len(l) > 0),
+qv AS (SELECT item_id AS query_id, {_EMB('l')} AS v FROM bt WHERE len(l) > 0),
+sem AS (SELECT query_id, doc_id, round(list_cosine_similarity(dv.v, qv.v), 9) AS score FROM dv, qv),
+sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, doc_id) AS rank FROM sem)"""
+_HITS = """
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id, label, list_cosine_similarity(e.embedding::DOUBLE[], q.v) AS score FROM embeddings e, q),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s),
+c AS (SELECT vec_id, label AS document, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i,
+             CASE WHEN vec_id % 9 = 4 THEN '' ELSE 'chunk ' || vec_id END AS content FROM embeddings),
+hit AS (SELECT query_id, document, i, round(score, 6) AS score FROM h JOIN c USING (vec_id) WHERE rank <= 10),
+w AS (SELECT query_id, hit.document, hit.i AS chunk_index, any_value(hit.score) AS score, string_agg(content, chr(10) || chr(10) ORDER BY c.i) FILTER (content <> '') AS expanded_content,
+             count(*) AS chunks_merged, max(c.i) AS last_i
+      FROM hit JOIN c ON c.document = hit.document AND c.i BETWEEN hit.i - 1 AND hit.i + 2 GROUP BY ALL),
+win AS (SELECT query_id, document, chunk_index::INT AS chunk_index, score, coalesce(expanded_content, '') AS expanded_content, chunks_merged,
+               CASE WHEN chunks_merged > 1 THEN greatest(0, chunk_index - 1) END::INT AS start_index,
+               CASE WHEN chunks_merged > 1 THEN least(chunk_index + 2, last_i) END::INT AS end_index FROM w)
+"""
+_GRAPH = f"""
+ln AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
+ment AS (SELECT DISTINCT source, doc_id, no, unnest(list_filter({_TERMS('line')}, lambda w: length(w) >= 9)) AS e FROM ln),
+ent AS (SELECT source, e, count(DISTINCT doc_id) AS docs FROM ment GROUP BY source, e HAVING count(DISTINCT doc_id) >= 2),
+m AS (SELECT ment.* FROM ment JOIN ent USING (source, e)),
+edge AS (SELECT a.source, a.e AS a, b.e AS b, count(*) AS weight FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.no = b.no AND a.source = b.source AND a.e < b.e GROUP BY ALL)"""
+_GSEARCH = f"""
+asked AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter({_TERMS('text')}, lambda w: length(w) >= 9))) AS e FROM benchmark),
+seen AS (SELECT query_id, source, a, b, weight FROM asked JOIN edge ON asked.e = edge.a UNION SELECT query_id, source, a, b, weight FROM asked JOIN edge ON asked.e = edge.b),
+gs AS (SELECT query_id, source, a, b, weight, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, source, a, b)::INT AS rank FROM seen)"""
+
+QUERIES = {
+    "r1_semantic_search": semantic_search,
+    "r1_j5_k1_bulk_semantic": bulk_semantic_search,
+    "f1_f7_tenant_search": tenant_search,
+    "r2_k2_keyword_search": keyword_search,
+    "c5_c6_embeddings": embeddings,
+    "r3_r4_j3_w1_k3_hybrid": hybrid_search,
+    "r5_j2_k4_two_tier": two_tier,
+    "r6_j4_w7_windows": windows,
+    "r7_j6_overlaps": overlaps,
+    "r8_r9_rerank": rerank,
+    "r15_u2_multi_step": multi_step,
+    "t10_t11_u3_synonyms": synonym_expansion,
+    "r19_r21_r22_prompt_context": prompt_context,
+    "r16_r17_r18_j7_sources": sources,
+    "r20_media": media,
+    "r23_prompts": prompts,
+    "r11_graph_edges": graph_edges,
+    "r10_graph_search": graph_search,
+    "r13_answers_with_graph": answers_with_graph,
+}
 ORACLES = {
     "r1_semantic_search": """
         SELECT vec_id, round(score, 6) AS score FROM (
@@ -24,5 +321,96 @@ ORACLES = {
                    list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
             FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
             ORDER BY score DESC, e.vec_id LIMIT 10)
-        WHERE score >= 0.35"""
+        WHERE score >= 0.35""",
+    "r1_j5_k1_bulk_semantic": """
+        WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
+                   FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, vec_id, rank::INT AS rank, round(score, 6) AS score FROM r WHERE rank <= 10 AND score >= 0.2""",
+    "f1_f7_tenant_search": """
+        WITH s AS (SELECT e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
+                   FROM embeddings e, embeddings q WHERE q.vec_id = 7 AND e.label = 3)
+        SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id)::INT AS rank, round(score, 6) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 10""",
+    "r2_k2_keyword_search": f"WITH {_DL}, {_ASK}, {_LEX} SELECT query_id, doc_id, rank::INT AS rank, round(score, 6) AS score FROM kw WHERE rank <= 10 AND score >= 0.001",
+    "c5_c6_embeddings": f"""
+        WITH {_DL}, e AS (SELECT doc_id, {_EMB('l')} AS v FROM dl WHERE len(l) > 0)
+        SELECT doc_id, array_to_string(list_transform(v[1:8], lambda x: x::BIGINT::VARCHAR), ',') AS first, len(v)::INT AS n FROM e""",
+    "r3_r4_j3_w1_k3_hybrid": f"""
+        WITH {_DL}, {_ASK}, {_LEX}, {_SEM},
+        a AS (SELECT * FROM sr WHERE rank <= 20 AND score >= 0.35), b AS (SELECT * FROM kw WHERE rank <= 20 AND score >= 0.001),
+        f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.rank AS ra, b.rank AS rb, greatest(a.score, b.score) AS score,
+                     coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) AS rrf
+              FROM a FULL JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id),
+        o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, ra ASC NULLS LAST, rb ASC NULLS LAST, doc_id) AS rank FROM f)
+        SELECT query_id, doc_id, round(score, 6) AS score, round(rrf, 9) AS rrf, rank::INT AS rank FROM o WHERE rank <= 10""",
+    "r5_j2_k4_two_tier": """
+        WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+        y AS (SELECT label, i, avg(x) AS x FROM x GROUP BY ALL), m AS (SELECT label, list(x ORDER BY i) AS v FROM y GROUP BY label),
+        q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (0, 50, 100, 150)),
+        t AS (SELECT query_id, label, q.v, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(m.v, q.v) DESC, label) AS n FROM m, q),
+        s AS (SELECT query_id, vec_id, e.label, list_cosine_similarity(e.embedding::DOUBLE[], t.v) AS score FROM embeddings e JOIN t ON e.label = t.label AND n <= 3),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, vec_id, label, round(score, 6) AS score FROM r WHERE rank <= 10 AND score >= 0.30""",
+    "r6_j4_w7_windows": _HITS + "SELECT * FROM win",
+    "r7_j6_overlaps": _HITS.replace("WITH q AS", "WITH RECURSIVE q AS", 1) + """,
+        o AS (SELECT *, row_number() OVER (PARTITION BY query_id, document ORDER BY score DESC, chunk_index) AS n FROM win),
+        g AS (SELECT query_id, document, 1::BIGINT AS n, [struct_pack(s := start_index, e := end_index)] AS acc, [chunk_index] AS kept FROM o WHERE n = 1
+              UNION ALL
+              SELECT o.query_id, o.document, o.n,
+                     CASE WHEN len(list_filter(g.acc, lambda a: a.s <= o.end_index AND o.start_index <= a.e)) > 0 THEN g.acc ELSE list_append(g.acc, struct_pack(s := o.start_index, e := o.end_index)) END,
+                     CASE WHEN len(list_filter(g.acc, lambda a: a.s <= o.end_index AND o.start_index <= a.e)) > 0 THEN g.kept ELSE list_append(g.kept, o.chunk_index) END
+              FROM g JOIN o ON o.query_id = g.query_id AND o.document = g.document AND o.n = g.n + 1),
+        last AS (SELECT query_id, document, arg_max(kept, n) AS kept FROM g GROUP BY ALL)
+        SELECT win.query_id, win.document, win.chunk_index, win.score FROM win JOIN last USING (query_id, document) WHERE list_contains(kept, chunk_index)""",
+    "r8_r9_rerank": f"""
+        WITH {_DL}, {_ASK}, {_LEX}, {_SEM},
+        qt AS (SELECT DISTINCT query_id, term FROM q),
+        idf AS (SELECT term, ln(1 + ((SELECT count(*) FROM dl) + 1.0::DOUBLE) / (coalesce(df, 0) + 1.0::DOUBLE)) AS idf FROM (SELECT DISTINCT term FROM qt) LEFT JOIN df USING (term)),
+        w AS (SELECT query_id, sum(idf) AS whole FROM qt JOIN idf USING (term) GROUP BY 1),
+        hit AS (SELECT query_id, doc_id FROM sr WHERE rank <= 20),
+        got AS (SELECT query_id, doc_id, sum(idf) AS got FROM hit JOIN qt USING (query_id) JOIN idf USING (term) JOIN p USING (doc_id, term) GROUP BY ALL),
+        s AS (SELECT query_id, doc_id, round(coalesce(got / whole, 0), 9) AS x FROM hit LEFT JOIN w USING (query_id) LEFT JOIN got USING (query_id, doc_id)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, doc_id) AS n FROM s WHERE x >= 0.3)
+        SELECT query_id, doc_id, round(x, 6) AS rerank_score, n::INT AS rerank_rank FROM r WHERE n <= 10""",
+    "r15_u2_multi_step": f"""
+        WITH {_DL}, {_QT}, parts AS (SELECT item_id, unnest([0, 1, 2, 3]) AS part, t FROM bq),
+        asked AS (SELECT item_id * 4 + part AS query_id, CASE part WHEN 0 THEN t[1:2] WHEN 1 THEN t[3:4] WHEN 2 THEN t[5:6] ELSE t[1:3] END AS qt FROM parts), {_LEX},
+        b AS (SELECT query_id // 4 AS query_id, doc_id, max(score) AS score FROM kw WHERE rank <= 5 AND score >= 0.001 GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b)
+        SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 20""",
+    "t10_t11_u3_synonyms": """
+        SELECT item_id, ['search find lookup the vector dense representation embedding database data store datastore fast',
+                         'how to create add generate an api application programming interface endpoint cache memory cache temporary storage',
+                         'delete destroy erase index inverted index search index and update change edit query now',
+                         'llm ai model language model rag retrieval augmented generation retrieval-augmented-generation pdf document portable document format resume'][item_id % 4 + 1] AS expanded
+        FROM benchmark""",
+    "r19_r21_r22_prompt_context": f"""
+        WITH {_DL}, {_ASK}, {_LEX},
+        r AS (SELECT query_id, rank, text[1:80] AS snippet, text, lang, source, source || '-' || doc_id AS filename FROM kw JOIN documents USING (doc_id) WHERE rank <= 10 AND score >= 0.001)
+        SELECT query_id, string_agg('[' || rank || '] ' || snippet || chr(10) || '    Source: ' || filename, chr(10) || chr(10) ORDER BY rank) AS context,
+               string_agg('[' || rank || '] ' || filename, chr(10) || chr(10) ORDER BY rank) AS academic,
+               string_agg('[' || rank || '] ' || filename || ' - ' || source || ' (' || lang || ')', chr(10) || chr(10) ORDER BY rank) AS "full",
+               string_agg('From ' || filename || ':' || chr(10) || snippet, chr(10) || chr(10) ORDER BY rank) AS narrative,
+               string_agg(rank || '. ' || filename || ': ' || replace(text[1:100], chr(10), ' ') || '...', chr(10) || chr(10) ORDER BY rank) FILTER (rank <= 5) AS topics
+        FROM r GROUP BY query_id""",
+    "r16_r17_r18_j7_sources": f"""
+        WITH {_DL}, {_ASK}, {_LEX},
+        r AS (SELECT query_id, rank, doc_id, score, text, source || '-' || doc_id AS filename FROM kw JOIN documents USING (doc_id) WHERE rank <= 10 AND score >= 0.001),
+        c AS (SELECT query_id, doc_id::VARCHAR AS document_id, filename, round(CASE WHEN rank % 2 = 0 THEN score / 2 ELSE score END, 6) AS score FROM r),
+        g AS (SELECT query_id, CASE WHEN doc_id % 3 > 0 THEN 'users/1/' || filename END AS path, text[1:40] AS content, CASE WHEN doc_id % 3 > 0 THEN filename END AS filename FROM r WHERE rank >= 8)
+        SELECT query_id, document_id, 0 AS chunk_index, filename, CASE WHEN (query_id, filename) IN (SELECT (query_id, filename) FROM g WHERE filename IS NOT NULL) THEN 1.0::DOUBLE ELSE score END AS score FROM c
+        UNION ALL SELECT DISTINCT query_id, md5(coalesce(path, content)), 0, filename, 1.0::DOUBLE FROM g
+                  WHERE filename IS NULL OR NOT EXISTS (SELECT 1 FROM c WHERE c.query_id = g.query_id AND c.filename = g.filename)""",
+    "r20_media": """
+        WITH x AS (SELECT p_partkey, array_to_string(list_slice(list_concat(['|a|b|', '|---|---|'], list_transform(range(0, (p_size % 4)::BIGINT), lambda i: '|' || p_brand || '|' || p_type || '|')), 1, 4), chr(10)) AS p FROM part)
+        SELECT p_partkey, CASE WHEN length(p) > 200 THEN p[1:200] || '...' ELSE p END AS preview FROM x""",
+    "r23_prompts": """
+        SELECT item_id, 'style=' || ['brief','academic','exploratory','qna','comprehensive'][item_id % 5 + 1] || ';citations=' ||
+               ['inline','academic_full','narrative','inline','academic'][item_id % 5 + 1] || ';question=' || text[1:40] AS prompt FROM benchmark""",
+    "r11_graph_edges": f"WITH {_GRAPH} SELECT * FROM edge",
+    "r10_graph_search": f"WITH {_GRAPH}, {_GSEARCH} SELECT * FROM gs WHERE rank <= 5",
+    "r13_answers_with_graph": f"""
+        WITH {_GRAPH}, {_GSEARCH.replace('asked AS', 'gasked AS').replace('FROM asked JOIN', 'FROM gasked asked JOIN')}, {_DL}, {_ASK}, {_LEX.replace('p AS (SELECT doc_id, term', 'p AS (SELECT doc_id, term')}
+        SELECT item_id AS query_id, (SELECT count(*) FROM kw WHERE kw.query_id = item_id AND rank <= 10 AND score >= 0.001) AS hits,
+               (SELECT count(*) FROM gs WHERE gs.query_id = item_id AND rank <= 5) AS edges FROM benchmark""",
 }
