@@ -28,7 +28,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.run(jobs.statuses(jobs.read_stream(spark, f"{sf_dir}/events.parquet")), "update")
+    return jobs.run(jobs.statuses(jobs.read_stream(spark, f"{sf_dir}/events.parquet")), "update", key=["user_id"])
 
 
 QUERIES = {

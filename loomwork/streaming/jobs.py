@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomwork.functions.text import rag_clean, search_normal
@@ -30,19 +31,28 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run(stream: DataFrame, mode: str = "append", partition_by: list[str] | None = None) -> DataFrame:
-    """Run a streaming query over what there is; the table it leaves."""
+def run(
+    stream: DataFrame, mode: str = "append", partition_by: list[str] | None = None, key: list[str] | None = None
+) -> DataFrame:
+    """Run a streaming query over what there is; the table it leaves. An ``update`` query gives the last row per ``key``."""
     spark = stream.sparkSession
     folder = work_folder(spark)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         writer = writer.format("parquet").option("path", f"{folder}/table")
         writer = writer.partitionBy(*partition_by) if partition_by else writer
-    else:
+    elif mode == "complete":
         # A whole result per batch replaces the last one: a batch that is run twice leaves the same table.
         writer = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/table"))
+    else:
+        # Each batch has a folder of its own, which a second run of the batch overwrites.
+        writer = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/table/batch={n}"))
     writer.start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/table")
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(f"{folder}/table")
+    changes = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{folder}/table")
+    last = changes.groupBy(*key).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in key]), "batch").alias("row"))
+    return last.select(*key, "row.*").select(*stream.columns)
 
 
 def ingest(documents: DataFrame) -> DataFrame:
@@ -74,8 +84,11 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 day") -> Da
 MOVES = {("pending", "view"): "processing", ("processing", "purchase"): "completed", ("processing", "error"): "failed", ("failed", "click"): "pending"}
 
 
-def statuses(events: DataFrame) -> DataFrame:
-    """(user_id, status, events): a status per key, moved by events in their order, with a timeout for idle keys."""
+def statuses(events: DataFrame, idle_days: int = 30) -> DataFrame:
+    """(user_id, status, events): a status per key, moved by events in their order; idle keys are forgotten.
+
+    The timeout goes by the watermark: one by the clock would keep an ``availableNow`` run going without end.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -86,9 +99,11 @@ def statuses(events: DataFrame) -> DataFrame:
         for kind in rows.event_type:
             status, n = MOVES.get((status, kind), status), n + 1
         state.update((status, n))
-        state.setTimeoutDuration(30 * 60 * 1000)
+        last = int(rows.ts.max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_days * 86_400_000)
         yield pd.DataFrame({"user_id": [key[0]], "status": [status], "events": [n]})
 
-    return events.groupBy("user_id").applyInPandasWithState(
-        step, "user_id long, status string, events long", "status string, events long", "update", GroupStateTimeout.ProcessingTimeTimeout
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
+    return timed.groupBy("user_id").applyInPandasWithState(
+        step, "user_id long, status string, events long", "status string, events long", "update", GroupStateTimeout.EventTimeTimeout
     )
