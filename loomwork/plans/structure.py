@@ -274,8 +274,9 @@ ORACLES = {
         SELECT DISTINCT n_regionkey AS region, '# Region ' || n_regionkey AS path, 'intro' AS body FROM nation
         UNION ALL SELECT n_regionkey, '# Region ' || n_regionkey || ' > ## ' || n_name, 'body of ' || lower(n_name) || chr(10) || 'more of it' FROM nation""",
     "d4_a6_h6_table_columns": """
-        WITH o AS (SELECT count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_orderkey % 10 = 0)
-        SELECT unnest(['part','qty','price','shipped','flag','late']) AS header, unnest(['int','int','float','datetime','text','bool']) AS type, n AS tables FROM o""",
+        WITH o AS (SELECT l_orderkey, CASE WHEN count(*) FILTER (l_partkey = 0) > count(*) FILTER (l_partkey > 0) THEN 'text' ELSE 'int' END AS part FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY l_orderkey),
+        t AS (SELECT unnest(['part','qty','price','shipped','flag','late']) AS header, unnest([part,'int','float','datetime','text','bool']) AS type FROM o)
+        SELECT header, type, count(*) AS tables FROM t GROUP BY header, type""",
     "d4_a5_table_statistics": """
         WITH v AS (SELECT l_orderkey, 'qty' AS header, l_quantity::INT::DOUBLE AS x FROM lineitem WHERE l_orderkey % 10 = 0
                    UNION ALL SELECT l_orderkey, 'price', l_extendedprice::DECIMAL(20,2)::DOUBLE FROM lineitem WHERE l_orderkey % 10 = 0)
