@@ -64,7 +64,7 @@ def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('|', l_partkey, '|', cast(l_quantity as int), '| ', cast(cast(l_extendedprice as decimal(20,2)) as string), ' |', date_format(l_shipdate, 'yyyy-MM-dd'), '|', "
         "l_returnflag, '|', if(l_linenumber > 2, 'yes', 'no'), '|')"
     )
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0").withColumn("o", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("o", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
     text = F.concat(F.lit("Order rows\n|part|qty|price|shipped|flag|late|\n|---|--:|---|---|---|---|\n"), "body", F.lit("\nafter | it\n"))
     return _joined(rows, "l_orderkey", "o", line).select("l_orderkey", text.alias("text"))
 
@@ -213,7 +213,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types of rendered documents of every kind, by the best score."""
     kinds = {
-        "legal": _legal(spark, sf_dir).select("text"), "table": _tables(spark, sf_dir).select("text"), "email": _mails(spark, sf_dir).filter("o_orderkey % 10 = 0").select("text"),
+        "legal": _legal(spark, sf_dir).select("text"), "table": _tables(spark, sf_dir).select("text"), "email": _mails(spark, sf_dir).select("text"),
         "qa": _explicit(spark, sf_dir).select(F.col("body").alias("text")), "book": _books(spark, sf_dir).select("text"), "manual": _manuals(spark, sf_dir).select("text"),
         "resume": _resumes(spark, sf_dir).select("text"), "general": table(spark, sf_dir, "documents").filter("lang = 'en'").select("text"),
     }
@@ -274,14 +274,14 @@ ORACLES = {
         SELECT DISTINCT n_regionkey AS region, '# Region ' || n_regionkey AS path, 'intro' AS body FROM nation
         UNION ALL SELECT n_regionkey, '# Region ' || n_regionkey || ' > ## ' || n_name, 'body of ' || lower(n_name) || chr(10) || 'more of it' FROM nation""",
     "d4_a6_h6_table_columns": """
-        WITH o AS (SELECT l_orderkey, CASE WHEN count(*) FILTER (l_partkey = 0) > count(*) FILTER (l_partkey > 0) THEN 'text' ELSE 'int' END AS part FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY l_orderkey),
+        WITH o AS (SELECT l_orderkey, CASE WHEN count(*) FILTER (l_partkey = 0) > count(*) FILTER (l_partkey > 0) THEN 'text' ELSE 'int' END AS part FROM lineitem GROUP BY l_orderkey),
         t AS (SELECT unnest(['part','qty','price','shipped','flag','late']) AS header, unnest([part,'int','float','datetime','text','bool']) AS type FROM o)
         SELECT header, type, count(*) AS tables FROM t GROUP BY header, type""",
     "d4_a5_table_statistics": """
-        WITH v AS (SELECT l_orderkey, 'qty' AS header, l_quantity::INT::DOUBLE AS x FROM lineitem WHERE l_orderkey % 10 = 0
-                   UNION ALL SELECT l_orderkey, 'price', l_extendedprice::DECIMAL(20,2)::DOUBLE FROM lineitem WHERE l_orderkey % 10 = 0)
+        WITH v AS (SELECT l_orderkey, 'qty' AS header, l_quantity::INT::DOUBLE AS x FROM lineitem
+                   UNION ALL SELECT l_orderkey, 'price', l_extendedprice::DECIMAL(20,2)::DOUBLE FROM lineitem)
         SELECT l_orderkey, header, min(x) AS least, max(x) AS most, round(sum(x), 2) AS total, count(*) AS n FROM v GROUP BY ALL""",
-    "d4_s6_table_rows": "SELECT l_orderkey, l_partkey AS part, l_extendedprice::DECIMAL(20,2)::VARCHAR AS price, strftime(l_shipdate, '%Y-%m-%d') AS shipped FROM lineitem WHERE l_orderkey % 10 = 0",
+    "d4_s6_table_rows": "SELECT l_orderkey, l_partkey AS part, l_extendedprice::DECIMAL(20,2)::VARCHAR AS price, strftime(l_shipdate, '%Y-%m-%d') AS shipped FROM lineitem",
     "d6_t18_mails": """
         SELECT o_orderkey, c_name AS sender_name, 'c' || c_custkey || '@mail.example.com' AS sender_mail, (2 + (o_orderkey % 2 = 0)::INT)::INT AS recipients,
                ['Re: ', 'Fwd: ', ''][o_orderkey % 3 + 1] || 'Order ' || o_orderkey AS subject, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS sent,
