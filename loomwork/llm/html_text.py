@@ -47,42 +47,100 @@ BOILERPLATE = set(
     "newsletter notice notices notification pager pagination popup promo promoted promotion recommended related reply replies respond "
     "search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget".split()
 )
+#: Of these, the words that are subjects of articles too: an article's section with such an id is told by its text.
+ORDINARY = set(
+    "advertising alert alerts banner dialog form legal menu navigation notice notices notification promotion related reply search "
+    "share sharing skip social subscription".split()
+)
+TITLES = set("h1 h2 h3 h4 h5 h6".split())
+LONG = 80
 WEIGHT = {"article": 1.6, "main": 1.3, "section": 1.0, "div": 1.0, "td": 0.8, "center": 0.8, "body": 0.7}
 WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
 class Node:
-    """An open or closed element: its path, whether it is dropped, and what its own blocks weigh."""
+    """An open or closed element: its path, whether it is dropped, and what its own blocks weigh.
+
+    One in doubt has an id that may mark boilerplate, and is dropped at the end of the page unless it holds running text.
+    """
 
-    __slots__ = ("tag", "path", "parent", "dropped", "inside", "score", "linked")
+    __slots__ = ("tag", "path", "parent", "dropped", "inside", "score", "linked", "doubt")
 
     def __init__(self, tag: str, path: str, parent: Node | None, dropped: bool, inside: bool):
         self.tag, self.path, self.parent, self.dropped, self.inside = tag, path, parent, dropped, inside
         self.score = self.linked = 0.0
+        self.doubt: list[float] | None = None  # characters, those in links, long blocks
 
 
-def _named(text: str) -> tuple[str, set[str], bool]:
-    """(class for a path, words of class, id and role, hidden) of an element's attributes."""
+def _named(text: str) -> tuple[str, set[str], set[str], bool]:
+    """(class for a path, words of class and role, words of the id, hidden) of an element's attributes."""
     if not text or ("=" not in text and "hidden" not in text):
-        return "", set(), False
-    names, words, hidden = "", set(), False
+        return "", set(), set(), False
+    names, words, own, hidden = "", set(), set(), False
     for key, value in ATTRIBUTE.findall(text):
         key, value = key.lower(), value.strip("\"'")
         if key in ("hidden", "aria-hidden"):
             hidden |= value.lower() != "false"
         elif key == "style":
             hidden |= bool(re.search(r"display\s*:\s*none", value))
+        elif key == "id":
+            own |= {w.lower() for w in WORDS.findall(value)}
         else:
             words |= {w.lower() for w in WORDS.findall(value)}
             if key == "class":
                 names = ".".join(sorted({re.sub(r"\d+", "#", c.lower()) for c in value.split()}))
-    return names, words, hidden
+    return names, words, own, hidden
+
+
+def _marks(tag: str, words: set[str], own: set[str], inside: bool) -> tuple[bool, bool]:
+    """(boilerplate, in doubt) by the words of class and role and those of the id.
+
+    The id of a heading is a slug of its text. In an article that holds for other ids too: there one counts only if all
+    of it is in the list, never for a paragraph, and the element's text decides where the words are ordinary ones.
+    """
+    if tag in TITLES:
+        own = set()
+    if not inside:
+        words = words | own
+        return bool(words & BOILERPLATE) or "header" in words | {tag}, False
+    if words & BOILERPLATE:
+        return True, False
+    marked = bool(own) and own <= BOILERPLATE and tag != "p"
+    return marked and not own <= ORDINARY, marked and own <= ORDINARY
+
+
+def _settle(blocks: list[tuple[Node, Node, str, int]], nodes: list[Node], doubtful: list[Node]) -> tuple[list, list]:
+    """The blocks and containers left when elements in doubt that hold no running text are gone."""
+    for top, _, text, links in blocks:
+        above: Node | None = top
+        while above is not None:
+            if above.doubt is not None:
+                above.doubt[0] += len(text)
+                above.doubt[1] += links
+                above.doubt[2] += len(text) > LONG and 2 * links < len(text)
+            above = above.parent
+    for n in doubtful:
+        chars, links, long = n.doubt or (0, 0, 0)
+        n.dropped = not long or 2 * links > chars
+
+    def stays(n: Node | None) -> bool:
+        while n is not None:
+            if n.doubt is not None and n.dropped:
+                return False
+            n = n.parent
+        return True
+
+    return [b for b in blocks if stays(b[0])], [n for n in nodes if stays(n)]
+
+
+def _weight(text: str, links: int) -> float:
+    return max(0, len(text) - 2 * links) + (20 if len(text) > LONG else 0)
 
 
 def blocks_of(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
     """((nearest container, text) of each block in page order, all containers)."""
     root = Node("html", "", None, False, False)
-    stack, nodes, blocks = [root], [], []
+    stack, nodes, found_blocks, doubtful = [root], [], [], []
     parts: list[str] = []
     link_chars = 0
     in_link = 0
@@ -97,15 +155,7 @@ def blocks_of(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
                 holder = top
                 while holder.tag not in CONTAINERS and holder.parent is not None:
                     holder = holder.parent
-                blocks.append((holder, text))
-                weight = max(0, len(text) - 2 * link_chars) + (20 if len(text) > 80 else 0)
-                holder.score += weight
-                holder.linked += link_chars
-                above = holder.parent
-                while above is not None and above.tag not in CONTAINERS:
-                    above = above.parent
-                if above is not None:
-                    above.score += weight / 2
+                found_blocks.append((top, holder, text, link_chars))
         link_chars = 0
 
     at, end = 0, len(page)
@@ -161,16 +211,30 @@ def blocks_of(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
         elif tag not in DROPPED:
             continue  # inline markup neither holds nor ends a block
         top = stack[-1]
-        names, words, hidden = _named(attributes)
-        marked = words & BOILERPLATE or ("header" in words | {tag} and not top.inside)
-        dropped = top.dropped or hidden or tag in DROPPED or (bool(marked) and tag not in ("html", "body", "article", "main"))
+        names, words, own, hidden = _named(attributes)
+        marked, doubt = _marks(tag, words, own, top.inside)
+        dropped = top.dropped or hidden or tag in DROPPED or (marked and tag not in ("html", "body", "article", "main"))
         path = f"{top.path}>{tag}{'.' + names if names else ''}" if tag in CONTAINERS else top.path
         node = Node(tag, path, top, dropped, top.inside or tag in ("article", "main"))
         stack.append(node)
+        if doubt and not dropped and tag not in ("html", "body", "article", "main"):
+            node.doubt = [0, 0, 0]
+            doubtful.append(node)
         if tag in CONTAINERS and not dropped:
             nodes.append(node)
     flush()
-    return blocks, nodes
+    if doubtful:
+        found_blocks, nodes = _settle(found_blocks, nodes, doubtful)
+    for _, holder, text, links in found_blocks:
+        weight = _weight(text, links)
+        holder.score += weight
+        holder.linked += links
+        above = holder.parent
+        while above is not None and above.tag not in CONTAINERS:
+            above = above.parent
+        if above is not None:
+            above.score += weight / 2
+    return [(holder, text) for _, holder, text, _ in found_blocks], nodes
 
 
 def best_path(page: str | None) -> tuple[str, float] | None:

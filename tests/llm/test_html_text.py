@@ -16,6 +16,22 @@ def test_main_text_of_a_page():
     assert html_text.text_at(PAGE, None) == want
 
 
+def test_ids_of_an_article_are_slugs():
+    """Headings and sections of an article stay whatever their ids; boilerplate by its whole id and links goes."""
+    text = "This is a paragraph of running text that is long enough to count as one, by itself and without any links in it."
+    links = "<a href=1>One of the other stories</a> <a href=2>Another one</a>"
+    page = (
+        f'<body><div id="search-box">site</div><article><h2 id="search">Search</h2><p id="notice">{text}</p>'
+        f'<section id="related-work"><h3>Related</h3><p>{text}</p></section><div id="legal">{text}</div>'
+        f'<ul id="legal-basis"><li>Short item</li></ul><div id="social-impact">Impact</div>'
+        f'<div id="related">{links}</div><div id="share">Share this</div><div id="comments">{text} Reader</div>'
+        f'<div id="newsletter-signup">{text} Sign up</div><div class="ad">{text} Buy</div></article></body>'
+    )
+    want = ["Search", text, "Related", text, text, "Short item", "Impact"]
+    assert html_text.text_at(page, None) == "\n\n".join(want)
+    assert html_text.text_at(page, ">body>article") == "\n\n".join(want)
+
+
 def test_hosts_agree_on_a_path(spark):
     """A page whose teaser outweighs its article still gives the article, as its host's other pages do."""
     def page(article, extra):
