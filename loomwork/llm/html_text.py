@@ -2,7 +2,9 @@
 
 Every page scores its containers by the running text they hold and names the best one by its path: tags and classes from
 the body down, numbers generalised. Spark counts these votes per host. Each page is then read again: its text comes from
-the containers on the host's winning path, or, where a page has none, from its own best container.
+the containers on the host's winning path, or from its own best container where a page has none or where they hold next
+to nothing: less than SHARE of the weight of its own, or less than TEMPLATE_SHARE if its own is on a path that a tenth of
+the host's pages, and two at least, vote for (another template of the host).
 
 Votes are summed before they are shuffled, and the table of winners has one row a host; Spark broadcasts it where its
 files are small, and splits hot hosts of a shuffled join otherwise. Pages themselves are never grouped.
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -54,6 +56,11 @@ ORDINARY = set(
 )
 TITLES = set("h1 h2 h3 h4 h5 h6".split())
 LONG = 80
+#: Weight on the winning path, as a share of that of the page's own best container, below which the page's own is read.
+SHARE = 0.025
+TEMPLATE_SHARE = 0.25
+#: A path is a template of its host from this share of the votes, and two votes.
+TEMPLATE_VOTES = 0.1
 WEIGHT = {"article": 1.6, "main": 1.3, "section": 1.0, "div": 1.0, "td": 0.8, "center": 0.8, "body": 0.7}
 WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
@@ -137,8 +144,8 @@ def _weight(text: str, links: int) -> float:
     return max(0, len(text) - 2 * links) + (20 if len(text) > LONG else 0)
 
 
-def blocks_of(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
-    """((nearest container, text) of each block in page order, all containers)."""
+def blocks_of(page: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
+    """((nearest container, text, characters in links) of each block in page order, all containers)."""
     root = Node("html", "", None, False, False)
     stack, nodes, found_blocks, doubtful = [root], [], [], []
     parts: list[str] = []
@@ -234,12 +241,10 @@ def blocks_of(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
             above = above.parent
         if above is not None:
             above.score += weight / 2
-    return [(holder, text) for _, holder, text, _ in found_blocks], nodes
+    return [x[1:] for x in found_blocks], nodes
 
 
-def best_path(page: str | None) -> tuple[str, float] | None:
-    """(path, score) of the container that holds most running text."""
-    blocks, nodes = blocks_of(page or "")
+def _best(nodes: list[Node]) -> tuple[str, float] | None:
     scored = [(n.score * WEIGHT.get(n.tag, 1.0), n.path) for n in nodes if n.score > 0]
     if not scored:
         return None
@@ -247,20 +252,35 @@ def best_path(page: str | None) -> tuple[str, float] | None:
     return path, score
 
 
-def text_at(page: str | None, path: str | None) -> str:
-    """The blocks below the containers on ``path``; without one of them, below the page's own best container."""
+def best_path(page: str | None) -> tuple[str, float] | None:
+    """(path, score) of the container that holds most running text."""
+    return _best(blocks_of(page or "")[1])
+
+
+def text_at(page: str | None, path: str | None, templates: Sequence[str] | None = None) -> str:
+    """The blocks below the containers on ``path``; without one of them, or where they weigh too little, below the page's
+    own best container. ``templates`` are the host's other paths."""
     blocks, nodes = blocks_of(page or "")
-    if path is None or not any(n.path == path for n in nodes):
-        own = best_path(page)
-        path = own[0] if own else None
-    out = []
-    for holder, text in blocks:
-        above: Node | None = holder
-        while above is not None and not (above.path == path and above.tag in CONTAINERS):
-            above = above.parent
-        if above is not None:
-            out.append(text)
-    return "\n\n".join(out)
+    own = _best(nodes)
+
+    def below(path: str | None) -> tuple[list[str], float]:
+        texts, weight = [], 0.0
+        for holder, text, links in blocks:
+            above: Node | None = holder
+            while above is not None and not (above.path == path and above.tag in CONTAINERS):
+                above = above.parent
+            if above is not None:
+                texts.append(text)
+                weight += _weight(text, links)
+        return texts, weight
+
+    texts, weight = below(path)
+    if own is not None and own[0] != path:
+        other, most = below(own[0])
+        share = TEMPLATE_SHARE if templates is not None and own[0] in templates else SHARE
+        if path is None or not any(n.path == path for n in nodes) or weight < share * most:
+            texts = other
+    return "\n\n".join(texts)
 
 
 def host_of(url: Column) -> Column:
@@ -269,7 +289,8 @@ def host_of(url: Column) -> Column:
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """(host, path, votes): the path most pages of a host vote for; ties go to the higher score, then the name."""
+    """(host, path, votes, templates): the path most pages of a host vote for; ties go to the higher score, then the name.
+    The templates are its other paths with enough votes, nine at most."""
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -282,20 +303,28 @@ def winning_paths(pages: DataFrame) -> DataFrame:
     votes = votes.mapInPandas(vote, "host string, path string, score double").filter("path is not null")
     counted = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum(F.floor("score")).alias("score"))
     best_first = Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("score"), "path")
-    return counted.withColumn("_n", F.row_number().over(best_first)).filter("_n = 1").select("host", "path", "votes")
+    ranked = counted.withColumn("_n", F.row_number().over(best_first))
+    ranked = ranked.withColumn("_all", F.sum("votes").over(Window.partitionBy("host")))
+    template = (F.col("votes") >= 2) & (F.col("votes") >= TEMPLATE_VOTES * F.col("_all"))
+    first = F.col("_n") == 1
+    return ranked.filter(first | template).groupBy("host").agg(
+        F.max(F.when(first, F.col("path"))).alias("path"),
+        F.max(F.when(first, F.col("votes"))).alias("votes"),
+        F.collect_list(F.when(~first, F.col("path"))).alias("templates"),
+    )
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, path) of every page."""
-    winners = staged(winning_paths(pages), "page-paths").select("host", "path")
+    winners = staged(winning_paths(pages), "page-paths").select("host", "path", "templates")
 
     @F.pandas_udf("string")
-    def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for page, path in batches:
-            yield pd.Series([text_at(h, p) for h, p in zip(page, path, strict=True)], dtype=object)
+    def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for page, path, templates in batches:
+            yield pd.Series([text_at(*x) for x in zip(page, path, templates, strict=True)], dtype=object)
 
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
-    texts = rows.join(winners, "host", "left").withColumn("text", read("html", "path"))
+    texts = rows.join(winners, "host", "left").withColumn("text", read("html", "path", "templates"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
 
 

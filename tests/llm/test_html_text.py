@@ -44,6 +44,24 @@ def test_hosts_agree_on_a_path(spark):
     assert texts[6] == "tiny words here" and texts[0] == ("word " * 40).strip()
 
 
+def test_pages_of_another_template(spark):
+    """A page whose winning container is empty, or a teaser beside another template's article, gives its own article."""
+    def page(teaser, article):
+        return f'<body><div class="story">{teaser}</div><div class="gallery"><p>{article}</p></div></body>'
+
+    long = "word " * 150
+    rows = [(i, "https://example.org/x", page(f"<p>{long}{i}</p>", "short")) for i in range(6)]
+    rows += [(6, "https://example.org/y", page("", long)), (7, "https://example.org/y", page("A teaser of a few words", long))]
+    rows += [(8, "https://example.org/y", page("x", long)), (9, "https://other.org/y", page("<p>alone</p>", ""))]
+    got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    texts = {r.page_id: r.text for r in got.collect()}
+    assert all(texts[i] == f"{long}{i}" for i in range(6))
+    assert texts[6] == texts[7] == texts[8] == long.strip() and texts[9] == "alone"
+    # Alone on its host, without a second vote for its path, a page follows its own only below SHARE.
+    assert html_text.text_at(page("x", long), ">body>div.story") == long.strip()
+    assert html_text.text_at(page("word " * 20, long), ">body>div.story") == ("word " * 20).strip()
+
+
 def plain_article(page):
     at, to = page.find("<article>"), page.find("</article>")
     body = re.sub(r"<[a-z/][^>]*$", "", page[at + 9 : to if to >= 0 else len(page)])
