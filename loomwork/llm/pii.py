@@ -6,10 +6,14 @@ shape. The permutation is a Feistel network: the value is halved, and each half
 the other half, so equal values get equal pseudonyms in every document and no table of pseudonyms is needed. Values that
 fail validation, and everything around the values, stay as they are.
 
-Kinds, in the order in which they are tried: e-mail addresses, secrets (cloud access keys, and long hexadecimal values of
-token, password, secret or key assignments), ISO dates (1800 to 2199, a full Gregorian cycle), IPv4 addresses, phone
-numbers (+1 (ddd) ddd-dddd, ddd-ddd-dddd and international ones with separators), social security numbers, card numbers
-(13 to 19 digits in one piece or in groups of four, with a valid check digit).
+Kinds, in the order in which they are tried: e-mail addresses, secrets (cloud access keys; hexadecimal values of 16 digits
+or more after any key with = or :, and values with digits and letters of both cases after a key that names a credential),
+dates (1800 to 2199, a full Gregorian cycle; yyyy-mm-dd, d/m/yyyy and m/d/yyyy with - / or ., English month names), IPv4 and
+IPv6 addresses, international bank account numbers (check digits), phone numbers (+1 (ddd) ddd-dddd, ddd-ddd-dddd,
+international ones with or without separators, ten digits with spaces that fit the North American plan), social security
+numbers, card numbers (13 to 19 digits in one piece, in groups of four or 4-6-5, with a valid check digit).
+
+A slashed date that can be read both ways counts as month first, one with dots or hyphens as day first.
 
 Defined results: null text stays null, empty text empty; a text is searched whole, however long; repeated rows get equal
 results; an empty table gives an empty one; a column named like a result is replaced, other columns pass through.
@@ -22,21 +26,42 @@ from pyspark.sql import functions as F
 
 from loomwork.llm._common import documents
 
+_YEAR = r"(?:1[89]|2[01])\d\d"
+_MONTH = (
+    r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?"
+    r"|Nov(?:ember)?|Dec(?:ember)?)"
+)
+_DAY = r"[0-3]?\d(?:st|nd|rd|th)?"
+_HEX = r"[0-9A-Fa-f]"
+#: After a key: its quote, = or :, and the value's quote; the last of these characters belongs to the value found.
+_ASSIGNED = r"[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?"
+_NO_ADDRESS = r"(?![A-Za-z0-9._%+\-]{0,63}@)"
 #: What each kind looks like. No groups that capture, and no look-behind of open length.
 KINDS = {
     "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,63})@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})\.)+[A-Za-z]{2,24}",
     "secret": r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-    r"|(?:(?<=token = \")|(?<=token=)|(?<=token = )|(?<=password=)|(?<=password = )|(?<=password: )|(?<=secret=)"
-    r"|(?<=secret = \")|(?<=api_key=)|(?<=api_key = \"))[0-9a-f]{16,128}(?![A-Za-z0-9])",
-    "date": r"(?<![\d\-/.])(?:1[89]|2[01])\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d\-/])",
+    rf"|[=: \t\"'](?={_HEX}{{16}})(?<=[A-Za-z0-9_\-]{_ASSIGNED})(?=\d*[A-Fa-f]){_HEX}{{16,}}+(?![A-Za-z0-9]){_NO_ADDRESS}"
+    rf"|[=: \t\"'](?=[A-Za-z0-9_+/\-]{{16}})(?<=(?i:token|password|passwd|pwd|secret|key|credential)(?:[_\-][A-Za-z0-9]{{1,16}})?{_ASSIGNED})"
+    rf"(?:(?=\d+(?![A-Za-z0-9_+/\-]))|(?=[A-Za-z_+/\-]*\d)(?=[A-Z0-9_+/\-]*[a-z])(?=[a-z0-9_+/\-]*[A-Z]))"
+    rf"[A-Za-z0-9_+/\-]{{16,}}+={{0,2}}{_NO_ADDRESS}",
+    "date": rf"(?<!\d)(?<!\d[\-./]){_YEAR}(?:-(?:0[1-9]|1[0-2])-|/(?:0[1-9]|1[0-2])/|\.(?:0[1-9]|1[0-2])\.)(?:0[1-9]|[12]\d|3[01])(?!\d|[\-.]\d|/\d(?!\d\d\d-))"
+    rf"|(?<=\d\d\d\d-\d\d-\d\d/){_YEAR}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?!\d|[\-./]\d)"
+    rf"|(?<!\d)(?<!\d[\-./])[0-3]?\d(?:/[0-3]?\d/|\.[01]?\d\.|-[0-3]?\d-){_YEAR}(?!\d|[\-./]\d)"
+    rf"|(?<![A-Za-z]){_MONTH}\.? {_DAY},? {_YEAR}(?!\d)|(?<!\d){_DAY} {_MONTH}\.?,? {_YEAR}(?!\d)",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
+    "ipv6": rf"(?<![A-Za-z0-9:.])(?={_HEX}{{0,4}}:)(?=[A-Fa-f:]*\d)(?:(?:{_HEX}{{1,4}}:){{7}}{_HEX}{{1,4}}"
+    rf"|(?={_HEX}{{3}})(?!(?:{_HEX}*:+){{8}})(?:{_HEX}{{1,4}}:){{1,6}}(?::{_HEX}{{1,4}}){{1,6}}|(?={_HEX}{{3}})(?:{_HEX}{{1,4}}:){{1,7}}:)(?![A-Za-z0-9]|:)",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?:[A-Z0-9]{11,30}| [A-Z0-9]{4}(?: (?=[A-Z]{0,3}\d)[A-Z0-9]{4}){1,6}(?: (?=[A-Z]{0,2}\d)[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "phone": r"(?<![\d+])(?:\+1 ?\(\d{3}\) ?|\+1[ .\-]\d{3}[ .\-]|\(\d{3}\) |\d{3}[.\-](?=\d{3}[.\-]\d{4}))\d{3}[ .\-]\d{4}(?!\d)"
-    r"|(?<![\d+])\+[2-9]\d{0,2}(?:[ \-]\d{2,4}){2,5}(?!\d)",
+    r"|(?<![\d+])\+[2-9]\d{0,2}(?:[ \-]\d{2,4}){2,5}(?!\d)"
+    r"|(?<![\d+])\+[1-9]\d{7,14}(?!\d)"
+    r"|(?<![\d+])(?<!\d[ .,\-])[2-9]\d\d [2-9]\d\d \d{4}(?!\d|[ .,\-]\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "card": r"(?<![\d.,\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3})(?![\d\-]|[.,]\d)",
+    "card": r"(?<!\d)(?<!\d[.\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d|-\d)",
 }
 #: Every value of every kind has a part that this finds; texts without it are not searched.
-MAY_HOLD = r"[0-9@]|token|password|secret|api_key"
+MAY_HOLD = r"[0-9@]|AKIA|[A-Fa-f]{16}"
+MONTHS = "January February March April May June July August September October November December".split()
 KEY = "loomwork-demo-key"
 ROUNDS = 8
 CYCLE_DAYS = 146097
@@ -61,7 +86,7 @@ def _shift_half(half: Column, other: Column, tweak: str, key: str, hex_only: boo
         return (
             F.when(c.rlike("^[0-9]$"), within("0", 10))
             .when(c.rlike("^[a-z]$"), within("a", letters))
-            .when(c.rlike("^[A-Z]$"), within("A", 26))
+            .when(c.rlike("^[A-Z]$"), within("A", letters))
             .otherwise(c)
         )
 
@@ -111,14 +136,17 @@ def _digit_sum(digits: Column, doubled: int) -> Column:
     )
 
 
-def _in_shape(value: Column, digits: Column) -> Column:
-    """``value`` with its digits replaced, one by one, by ``digits``; groups of four keep their separators."""
-    return F.when(F.length(value) == F.length(digits), digits).otherwise(
-        F.regexp_replace(
-            digits,
-            F.lit(r"(\d{4})(?=\d)"),
-            F.concat(F.lit("$1"), F.when(F.instr(value, " ") > 0, F.lit(" ")).otherwise(F.lit("-"))),
-        )
+def _in_shape(value: Column, signs: Column, kind: str = "[0-9]") -> Column:
+    """``value`` with its characters of a kind replaced, one by one, by ``signs``; the rest keeps its place."""
+    state = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+    return F.aggregate(
+        F.split(value, ""),
+        state,
+        lambda s, c: F.struct(
+            F.concat(s["out"], F.when(c.rlike(f"^{kind}$"), F.substr(signs, s["at"], F.lit(1))).otherwise(c)).alias("out"),
+            (s["at"] + F.when(c.rlike(f"^{kind}$"), 1).otherwise(0)).alias("at"),
+        ),
+        lambda s: s["out"],
     )
 
 
@@ -130,9 +158,41 @@ def _card(value: Column, key: str) -> Column:
 
 
 def _date(value: Column, key: str) -> Column:
-    day = F.datediff(F.try_to_date(value, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date"))
-    moved = F.date_add(F.lit(FIRST_DAY).cast("date"), permuted_number(day, 189, 773, "date", key).cast("int"))
-    return F.when(day.between(0, CYCLE_DAYS - 1), F.date_format(moved, "yyyy-MM-dd")).otherwise(value)
+    iso, named = value.rlike(r"^\d{4}"), value.rlike("[A-Z]")
+    parts = F.split(value, r"[\-./]")
+    first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    slashed = value.contains("/")
+    # try_cast: parts of the other shapes are not numbers.
+    month_first = F.when(slashed, first.try_cast("int") <= 12).otherwise(second.try_cast("int") > 12)
+    names = F.array(*[F.lit(m) for m in MONTHS])
+    word = F.regexp_extract(value, "[A-Z][a-z]+", 0)
+    number = F.array_position(F.transform(names, lambda m: F.substr(m, F.lit(1), F.lit(3))), F.substr(word, F.lit(1), F.lit(3)))
+    year = F.regexp_extract(value, r"\d{4}", 0)
+    month = F.when(iso, second).when(named, number.cast("string")).when(month_first, first).otherwise(second)
+    in_name = F.regexp_extract(value, r"(?<!\d)\d{1,2}(?!\d)", 0)
+    day = F.when(iso, F.get(parts, F.lit(2))).when(named, in_name).when(month_first, second).otherwise(first)
+    written = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
+    count = F.datediff(F.try_to_date(written, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date"))
+    moved = F.date_add(F.lit(FIRST_DAY).cast("date"), permuted_number(count, 189, 773, "date", key).cast("int"))
+
+    separator = F.regexp_extract(value, r"[\-./]", 0)
+    short = value.rlike(r"(?:^|[\-./])\d[\-./]")
+    d, m = F.day(moved).cast("string"), F.month(moved).cast("string")
+    d, m = (F.when(short, x).otherwise(F.lpad(x, 2, "0")) for x in (d, m))
+    numeric = F.concat_ws("", F.when(month_first, m).otherwise(d), separator, F.when(month_first, d).otherwise(m))
+    numeric = F.concat(numeric, separator, F.date_format(moved, "yyyy"))
+    name = F.element_at(names, F.month(moved))
+    name = F.when((F.length(word) <= 4) & ~word.isin("May", "June", "July"), F.substr(name, F.lit(1), F.lit(3))).otherwise(name)
+    at = F.day(moved)
+    suffix = F.when((at % 10 == 1) & (at != 11), "st").when((at % 10 == 2) & (at != 12), "nd")
+    suffix = suffix.when((at % 10 == 3) & (at != 13), "rd").otherwise("th")
+    text = F.regexp_replace(value, F.lit(r"(?<!\d)\d{1,2}(?!\d)"), at.cast("string"))
+    text = F.regexp_replace(text, F.lit(r"(?<=\d)(?:st|nd|rd|th)"), suffix)
+    text = F.regexp_replace(text, F.lit("[A-Z][a-z]+"), name)
+    text = F.regexp_replace(text, F.lit(r"\d{4}"), F.date_format(moved, "yyyy"))
+    new = F.when(iso, _in_shape(value, F.date_format(moved, "yyyyMMdd")))
+    new = new.when(named, text).otherwise(numeric)
+    return F.when(count.between(0, CYCLE_DAYS - 1), new).otherwise(value)
 
 
 def _ip(value: Column, key: str) -> Column:
@@ -148,19 +208,35 @@ def _phone(value: Column, key: str) -> Column:
     country = F.when(F.startswith(value, F.lit("+1")), 1).otherwise(0)
     body = permuted_string(F.substr(digits, country + 1, F.length(digits)), "phone", key)
     whole = F.concat(F.substr(digits, F.lit(1), country), body)
-    # The n-th digit of the value is the n-th one of the new number.
-    state = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+    return _in_shape(value, whole)
+
+
+def _ipv6(value: Column, key: str) -> Column:
+    return permuted_string(value, "ipv6", key, hex_only=True)
+
+
+def _remainder(signs: Column) -> Column:
+    """Of a number with letters from A = 10, modulo 97."""
     return F.aggregate(
-        F.split(value, ""),
-        state,
-        lambda s, c: F.struct(
-            F.concat(s["out"], F.when(c.rlike("^[0-9]$"), F.substr(whole, s["at"], F.lit(1))).otherwise(c)).alias("out"),
-            (s["at"] + F.when(c.rlike("^[0-9]$"), 1).otherwise(0)).alias("at"),
-        ),
-        lambda s: s["out"],
+        F.split(signs, ""),
+        F.lit(0),
+        lambda s, c: F.when(c.rlike("^[0-9]$"), s * 10 + F.ascii(c) - 48).otherwise(s * 100 + F.ascii(c) - 55) % 97,
     )
 
 
+def _iban_holds(value: Column) -> Column:
+    signs = F.replace(value, F.lit(" "))
+    return _remainder(F.concat(F.substr(signs, F.lit(5), F.length(signs)), F.substr(signs, F.lit(1), F.lit(4)))) == 1
+
+
+def _iban(value: Column, key: str) -> Column:
+    signs = F.replace(value, F.lit(" "))
+    country = F.substr(signs, F.lit(1), F.lit(2))
+    body = permuted_string(F.substr(signs, F.lit(5), F.length(signs)), "iban", key)
+    check = F.lpad((98 - _remainder(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")
+    return F.when(_iban_holds(value), _in_shape(value, F.concat(country, check, body), "[A-Z0-9]")).otherwise(value)
+
+
 def _ssn(value: Column, key: str) -> Column:
     plausible = ~value.rlike(r"^(?:000|666|9)|-00-|-0000$")
     return F.when(plausible, permuted_string(value, "ssn", key)).otherwise(value)
@@ -173,21 +249,30 @@ def _email(value: Column, key: str) -> Column:
 
 
 def _secret(value: Column, key: str) -> Column:
+    """Behind the character that ends its assignment a value is a card or an account number if its check digits hold."""
     cloud = F.concat(F.lit("AKIA"), permuted_string(F.substr(value, F.lit(5), F.lit(16)), "secret", key))
-    return F.when(F.startswith(value, F.lit("AKIA")), cloud).otherwise(
-        permuted_string(value, "secret", key, hex_only=True)
+    own = F.substr(value, F.lit(2), F.length(value))
+    card = own.rlike(r"^\d{13,19}$") & (_digit_sum(F.regexp_replace(own, r"\D", ""), 0) % 10 == 0)
+    new = (
+        F.when(card, _card(own, key))
+        .when(own.rlike(r"^[A-Z]{2}\d\d[A-Z0-9]{11,30}$") & _iban_holds(own), _iban(own, key))
+        .when(own.rlike("^[0-9A-Fa-f]+$"), permuted_string(own, "secret", key, hex_only=True))
+        .otherwise(permuted_string(own, "secret", key))
     )
+    return F.when(F.startswith(value, F.lit("AKIA")), cloud).otherwise(F.concat(F.substr(value, F.lit(1), F.lit(1)), new))
 
 
 def kind_of(value: Column) -> Column:
     """The kind of a found value, told by its shape alone."""
     return (
-        F.when(F.instr(value, "@") > 0, "email")
-        .when(value.rlike(r"^AKIA|^[0-9a-f]*[a-f][0-9a-f]*$"), "secret")
-        .when(value.rlike(r"^\d{4}-\d\d-\d\d$"), "date")
+        F.when(value.rlike("^AKIA[A-Z0-9]{16}$|^[=: \t\"']"), "secret")
+        .when(F.instr(value, "@") > 0, "email")
+        .when(value.rlike(r"^\d{4}([\-./])\d\d\1\d\d$|^\d{1,2}([\-./])\d{1,2}\2\d{4}$|[A-Z][a-z]{2}"), "date")
         .when(value.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
+        .when(F.instr(value, ":") > 0, "ipv6")
+        .when(value.rlike(r"^[A-Z]{2}\d\d"), "iban")
         .when(value.rlike(r"^\d{3}-\d\d-\d{4}$"), "ssn")
-        .when(value.rlike(r"^(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3})$"), "card")
+        .when(value.rlike(r"^(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})$"), "card")
         .otherwise("phone")
     )
 
@@ -195,7 +280,8 @@ def kind_of(value: Column) -> Column:
 def pseudonym(value: Column, key: str = KEY) -> Column:
     kind = kind_of(value)
     out = F.when(kind == "email", _email(value, key))
-    for name, made in (("secret", _secret), ("date", _date), ("ip", _ip), ("ssn", _ssn), ("card", _card)):
+    made_by = {"secret": _secret, "date": _date, "ip": _ip, "ipv6": _ipv6, "iban": _iban, "ssn": _ssn, "card": _card}
+    for name, made in made_by.items():
         out = out.when(kind == name, made(value, key))
     return out.otherwise(_phone(value, key))
 

@@ -62,6 +62,47 @@ def test_formats_hold_and_equal_values_stay_linked(spark):
     assert c == "4785380592391140 999.5.221.1 2023-02-31 000-12-3456 v1.2.3.4.5 12 3.4"
 
 
+def iban_holds(value):
+    value = value.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
+
+
+def test_planted_values_of_every_format(spark):
+    """(text, value, what the new value looks like): the value goes, and what stands around it stays."""
+    hexed, upper = "24be64439e3e49cf46b2d7c90f3602a3", "24BE64439E3E49CF46B2D7C90F3602A3"
+    planted = [
+        ("Smith,{},2027", "4111111111111111", r"\d{16}"), ("a {}.50", "4111111111111111", r"\d{16}"),
+        ("amex {} x", "3782 822463 10005", r"\d{4} \d{6} \d{5}"), ("card: {}", "4111111111111111", r"\d{16}"),
+        ("born {}.", "12/03/1985", r"\d\d/\d\d/\d{4}"), ("born {}", "25.3.1985", r"\d{1,2}\.\d{1,2}\.\d{4}"),
+        ("on {},", "12.03.1985", r"\d\d\.\d\d\.\d{4}"), ("on {} at", "1985/03/12", r"\d{4}/\d\d/\d\d"),
+        ("on {}", "March 12, 1985", r"[A-Z][a-z]+ \d{1,2}, \d{4}"), ("({})", "12 Mar 1985", r"\d{1,2} [A-Z][a-z]{2} \d{4}"),
+        ("{}/2020-02-01", "2020-01-01", None), ("2020-01-01/{}", "2020-02-01", None),
+        ("call {}", "+14155551234", r"\+1\d{10}"), ("call {}.", "+442079460958", r"\+\d{12}"),
+        ("call {}!", "415 555 1234", r"\d{3} \d{3} \d{4}"), ("token: {}", hexed, r"[0-9a-f]{32}"),
+        ("api_key: {};", upper, r"[0-9A-F]{32}"), ("'client-id': '{}'", hexed, r"[0-9a-f]{32}"),
+        ("secret={}", hexed * 8, r"[0-9a-f]{256}"), ("API_KEY = {}", "sk-Ab3dEf6hIj9kLm2n", r"[a-z]{2}-\w{16}"),
+        ("to {} by", "DE89 3704 0044 0532 0130 00", r"DE\d\d( \d{4}){4} \d\d"), ("iban: {}", "DE89370400440532013000", r"DE\d{20}"),
+        ("IBAN {}", "GB29NWBK60161331926819", r"GB\d\d[A-Z]{4}\d{14}"), ("at {},", "2001:db8:85a3::8a2e:370:7334", r"[0-9a-f:]+"),
+        ("[{}]", "2001:0DB8:0000:0000:0000:FF00:0042:8329", r"([0-9A-F]{4}:){7}[0-9A-F]{4}"),
+    ]
+    for (text, value, shape), new in zip(planted, made(spark, *[t.format(v) for t, v, _ in planted]), strict=True):
+        assert value not in new, (text, value, new)
+        if shape:
+            before, after = text.split("{}")
+            assert new.startswith(before) and new.endswith(after), (text, value, new)
+            own = new[len(before) : len(new) - len(after)]
+            assert re.fullmatch(shape, own), (text, value, own)
+            if value.startswith(("4111", "3782")):
+                assert luhn(re.sub(r"\D", "", own))
+            if value[:2] in ("DE", "GB"):
+                assert iban_holds(own)
+    plain = [
+        "0.4785380592391139", "31/02/1985", "12.13.1985.7", "DE88370400440532013000", "12:30:45 std::add x[1::2]", "100 200 3000",
+        "March 35, 1985", "key: one two", "1985 03 12", "Smith,4111111111111112,2027",
+    ]
+    assert made(spark, *plain) == plain
+
+
 def test_numbers_are_permuted_one_to_one(spark):
     from pyspark.sql import functions as F
 
