@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,11 +26,35 @@ def get_session(app_name: str = "loomwork", cores: str | None = None) -> SparkSe
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("LOOMWORK_DRIVER_MEMORY", "6g"))
         .config("spark.ui.enabled", "false")
+        # No stack trace for each column expression: long expressions take half the time to build.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.checkpoint.dir", os.environ.get("LOOMWORK_SHARED_DIR") or "file://" + tempfile.mkdtemp(prefix="loomwork-"))
         .getOrCreate()
     )
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session in one process gets a temporary folder; a cluster has no folder that would do, so it raises.
+    """
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    found = found or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("loomwork.shared.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="loomwork-")
+        spark.conf.set("loomwork.shared.dir", found)
+    return found.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables (a file or a folder, on any store Spark reads)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
