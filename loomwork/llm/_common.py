@@ -2,31 +2,32 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKENIZER_DIR = "/opt/tokenizers"
+from loomwork.session import new_folder, shared_dir
+
+__all__ = ["documents", "free_names", "new_folder", "own_columns", "shared_dir", "shuffle_partitions", "staged", "text_or_empty", "tokenizer_path"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("loomwork.shared.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="loomwork-")
-        spark.conf.set("loomwork.shared.dir", found)
-    return found.rstrip("/")
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like ``wanted`` that no column of ``df`` has, whatever its case, so that helper columns never meet input columns."""
+    taken = {c.lower() for c in df.columns}
+    mark = "_"
+    while any(f"{mark}{w}".lower() in taken for w in wanted):
+        mark += "_"
+    return [mark + w for w in wanted]
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def own_columns(df: DataFrame, *results: str) -> list[str]:
+    """The columns of ``df`` that are not named like a result, whatever their case."""
+    taken = {r.lower() for r in results}
+    return [c for c in df.columns if c.lower() not in taken]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -36,8 +37,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def tokenizer_path(name: str, folder: str = TOKENIZER_DIR) -> str:
-    return os.path.join(folder, name)
+def tokenizer_path(name: str) -> str:
+    """Where the public vocabulary file of this name is."""
+    return str(public_tokenizers.path(name))
 
 
 def text_or_empty(col: str = "text") -> Column:
