@@ -6,25 +6,28 @@ the ratio of its share in the two classes, then a linear model with hinge loss i
 coordinate descent. The result is one weight per n-gram bucket: a fixed 2^18 floats however large the corpus is.
 
 The model is fitted on a bounded sample of labelled rows, ``TRAIN_ROWS`` of them in the order of a seeded hash of doc_id
-(the only bound in this module), in one task. Every document is scored, whole, in Arrow batches.
-
-Labels of a doc_id that occurs more than once are averaged (0.5 and more counts as 1). Defined results: null or empty
-text has no n-gram and gets the model's bias as its score; a null doc_id is not held out; without labelled rows of both
-classes every score is the share of label 1 (0.5 without labels); repeated rows get equal scores; extra columns don't
-matter.
+(the only bound in this module), in one task, which keeps the n-gram numbers of the sample in one array and nothing else
+of it. Every document is scored, whole, in Arrow batches.
+
+Labels of a doc_id that occurs more than once are averaged (0.5 and more counts as 1), and of its texts the least one is
+learned from. Defined results: null or empty text has no n-gram and gets the model's bias as its score; a very long text
+is read in pieces, whole; a null doc_id is not held out; without labelled rows of both classes every score is the share
+of label 1 (0.5 without labels); repeated rows get equal scores; an empty table gives an empty one; columns named like
+the results are replaced, other columns pass through, whatever they are called.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm._common import documents
+from loomwork.llm._common import documents, free_names, own_columns, text_or_empty
 
 BITS = 18
 NGRAMS = (2, 4)
@@ -64,27 +67,54 @@ def features(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+class Rows:
+    """The n-gram numbers of many texts, one after another in one array that grows."""
+
+    def __init__(self):
+        self.numbers, self.spans = np.empty(1 << 16, np.uint32), []
+
+    def append(self, x: np.ndarray) -> None:
+        at = self.spans[-1][1] if self.spans else 0
+        if at + len(x) > len(self.numbers):
+            self.numbers.resize(at + len(x) + at // 4, refcheck=False)
+        self.numbers[at : at + len(x)] = x
+        self.spans.append((at, at + len(x)))
+
+    def sort_by(self, keys: list[int]) -> list[int]:
+        """Put the rows into ascending order of their keys; the order taken."""
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        self.spans = [self.spans[i] for i in order]
+        return order
+
+    def __len__(self) -> int:
+        return len(self.spans)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.numbers[slice(*self.spans[i])]
+
+
+def log_count_ratios(rows: Rows, labels: np.ndarray) -> np.ndarray:
     """log of the n-gram's share among the indicators of class 1 over its share in class 0."""
-    counts = []
-    for c in (1, 0):
-        own = [x for x, y in zip(rows, labels, strict=True) if y == c]
-        seen = np.bincount(np.concatenate(own), minlength=1 << BITS) if own else np.zeros(1 << BITS)
-        seen = seen + SMOOTHING
-        counts.append(seen / seen.sum())
-    return np.log(counts[0] / counts[1])
+    counts = np.full((2, 1 << BITS), SMOOTHING)
+    for i, y in enumerate(labels.tolist()):
+        counts[y, rows[i]] += 1  # a text has each number once
+    share = counts / counts.sum(1, keepdims=True)
+    return np.log(share[1] / share[0])
+
 
+def dual_coordinate_descent(rows: Rows, labels: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
+    """Linear hinge-loss model on rows of scaled indicators, each of length one.
 
-def dual_coordinate_descent(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
-    """Linear hinge-loss model on rows of scaled indicators, each of length one."""
+    The scaled values of a row are taken anew whenever it is visited, so only its n-gram numbers are kept.
+    """
     y = np.where(labels == 1, 1.0, -1.0)
-    values = [scale[x] for x in rows]
-    values = [v / max(1e-9, float(np.sqrt(v @ v))) for v in values]
+    length = np.array([max(1e-9, float(np.sqrt(scale[rows[i]] @ scale[rows[i]]))) for i in range(len(rows))])
     w, bias, alpha = np.zeros(1 << BITS), 0.0, np.zeros(len(rows))
     order = np.random.default_rng(SEED)
     for _ in range(EPOCHS):
         for i in order.permutation(len(rows)):
-            x, v = rows[i], values[i]
+            x = rows[i]
+            v = scale[x] / length[i]
             gradient = y[i] * (w[x] @ v + bias) - 1.0
             moved = min(max(alpha[i] - gradient / 2.0, 0.0), COST)  # |x|^2 is 1, and 1 for the bias
             if moved != alpha[i]:
@@ -95,7 +125,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], labels: np.ndarray, scale: n
     return w, bias
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray) -> bytes:
+def fit(rows: Rows, labels: np.ndarray) -> bytes:
     """The model: 2^BITS scales, as many weights, then bias and slope of the score, as little-endian float32."""
     scale, w, tail = np.zeros(1 << BITS), np.zeros(1 << BITS), [0.0, 1.0]
     if len(labels) and 0 < labels.mean() < 1:
@@ -136,16 +166,24 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> bytes:
         for b in batches:
             yield pd.DataFrame({"doc_id": b.doc_id, "label": b.label, "x": [features(t).tobytes() for t in b.text]})
 
-    # The sample has a fixed bound (TRAIN_ROWS ids and labels), so it may be broadcast at any size of the corpus.
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    vectors = texts.mapInPandas(featured, "doc_id long, label int, x binary")
-
-    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "x"]).drop_duplicates("doc_id")
-        return pd.DataFrame({"model": [fit([np.frombuffer(x, np.uint32) for x in pdf.x], pdf.label.to_numpy())]})
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids, labels = Rows(), [], []
+        for b in batches:
+            ids += b.column("doc_id").to_pylist()
+            labels += b.column("label").to_pylist()
+            for x in b.column("x"):
+                held.append(np.frombuffer(x.as_buffer(), np.uint32))
+        if ids:
+            # Rows come in any order; the fit goes by doc_id, so that reruns agree.
+            order = held.sort_by(ids)
+            yield pa.RecordBatch.from_pydict({"model": [fit(held, np.array(labels)[order])]})
 
-    found = vectors.groupBy(F.lit(1).alias("all")).applyInPandas(fitted, "model binary").collect()
-    return bytes(found[0].model) if found else fit([], np.empty(0, int))
+    # The sample has a fixed bound (TRAIN_ROWS ids and labels), so it may be broadcast at any size of the corpus.
+    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id")
+    once = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # copies go before the shuffle
+    vectors = once.mapInPandas(featured, "doc_id long, label int, x binary")
+    found = vectors.repartition(1).mapInArrow(fitted, "model binary").collect()
+    return bytes(found[0].model) if found else fit(Rows(), np.empty(0, int))
 
 
 def scorer(spark: SparkSession, model: bytes) -> Callable[[Column], Column]:
@@ -164,13 +202,13 @@ def scorer(spark: SparkSession, model: bytes) -> Callable[[Column], Column]:
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with held_out, score and predicted."""
     score = scorer(docs.sparkSession, train(docs, labels))
-    results = ["held_out", "score", "predicted"]
-    scored = docs.withColumn("_score", score(F.col("text").cast("string"))).drop(*results)
-    return scored.select(
-        *[c for c in docs.columns if c not in results],
+    columns, (scored,) = own_columns(docs, "held_out", "score", "predicted"), free_names(docs, "scored")
+    done = docs.select(*columns, score(F.col("text").cast("string")).alias(scored))
+    return done.select(
+        *columns,
         held_out(F.col("doc_id")).alias("held_out"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
+        F.col(scored).alias("score"),
+        (F.col(scored) >= 0.5).cast("int").alias("predicted"),
     )
 
 
