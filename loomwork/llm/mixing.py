@@ -12,7 +12,8 @@ source in a task, however hot the source is.
 
 Defined results: null or empty text has size 0; a null source is a source of its own, ranked last; a source without
 words gets target 0 and nothing is taken; repeated rows count as rows of their own; an empty table gives an empty one;
-columns named like the results are replaced, other columns pass through.
+columns named like the results are replaced, other columns pass through, whatever they are called (a row travels as one
+struct beside the helper columns).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm._common import documents, staged
+from loomwork.llm._common import documents, free_names, own_columns, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -86,14 +87,13 @@ def mix_sources(
 ) -> DataFrame:
     """``docs`` with size, source_size, target (its source's), repeats (0 to max_epochs) and taken (repeats * size)."""
     results = ["size", "source_size", "target", "repeats", "taken"]
-    measured = docs.withColumn("_size", word_count(F.col("text")) if size is None else size)
-    sized = (
-        measured.drop(*results)
-        .withColumnRenamed("_size", "size")
-        .withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")))
-        .withColumn("_hash", _hash(seed))
+    kept = own_columns(docs, *results)
+    measured = word_count(F.col("text")) if size is None else size
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+    sized = docs.select(
+        F.struct(*kept).alias("row"), "doc_id", "source", measured.alias("size"), key.alias("_key"), _hash(seed).alias("_hash")
     )
-    narrow = staged(sized.select("doc_id", "source", "size", "_key", "_hash"), "mix-sizes")
+    narrow = staged(sized.drop("row"), "mix-sizes")
     targets = staged(source_targets(narrow, weights, share, max_epochs), "mix-targets").withColumn(
         "_buckets", F.ceil(F.sqrt(F.col("rows"))).cast("long")
     )
@@ -131,13 +131,20 @@ def mix_sources(
         placed.withColumn("_whole", whole)
         .withColumn("repeats", F.col("_whole") + F.when(more, 1).otherwise(0))
         .withColumn("taken", F.col("repeats") * F.col("size"))
-        .select(*[c for c in docs.columns if c not in results], *results)
+        .select(*[F.col("row").getField(c).alias(c) for c in kept], *results)
     )
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: each document as many times as it is taken."""
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("repeats").cast("int")))).select(*columns)
+    (copy,) = free_names(mixed, "copy")
+    return mixed.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col("repeats").cast("int")))).select(*columns)
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix of ``docs`` with their columns as they are, also those named like results."""
+    held = docs.select(F.struct(*docs.columns).alias("document"), "doc_id", "source", word_count(F.col("text")).alias("words"))
+    return repeated(mix_sources(held, size=F.col("words")), ["document"]).select("document.*")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

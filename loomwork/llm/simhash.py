@@ -12,7 +12,8 @@ Links become groups by passing smallest labels along links and jumping along poi
 
 Defined results: null or empty text has fingerprint zero and is linked like any other; texts of fewer than four words
 have one shingle, the whole sequence; repeated rows share a fingerprint; an empty table gives an empty one; extra columns
-don't matter, since only doc_id and text are read; a null doc_id is never the smallest unless its group has no other.
+don't matter, since only doc_id and text are read, and pass through ``one_of_each_group`` whatever they are called; very
+long texts are hashed in parts; a null doc_id is never the smallest unless its group has no other.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.llm._common import documents, staged
+from loomwork.llm._common import documents, free_names, staged
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -163,16 +164,19 @@ def one_of_each_group(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     their own by fingerprint where no row of the group has one.
     """
     least = near_duplicates(docs, max_bits).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    group = ["doc_id", F.when(F.col("doc_id").isNull(), F.col("fp")).alias("_fp")]
-    rows = least.groupBy(*group, "text_hash").agg(F.count(F.lit(1)).alias("_rows"))
-    kept = rows.groupBy("doc_id", "_fp").agg(F.min(F.struct("text_hash", "_rows")).alias("_kept"))
-    kept = kept.select(F.col("doc_id").alias("_id"), "_kept.*").withColumnRenamed("text_hash", "_hash")
-    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    whole = docs.withColumn("_text_hash", text_hash).join(
-        kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    of_no_id = F.when(F.col("doc_id").isNull(), F.col("fp")).alias("fp")
+    rows = least.groupBy("doc_id", of_no_id, "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    kept = rows.groupBy("doc_id", "fp").agg(F.min(F.struct("text_hash", "rows")).alias("kept"))
+    own_id, own_hash, copies, text_hash = free_names(docs, "id", "hash", "rows", "text_hash")
+    kept = kept.select(
+        F.col("doc_id").alias(own_id), F.col("kept.text_hash").alias(own_hash), F.col("kept.rows").alias(copies)
     )
-    once = whole.filter("_rows = 1").select(*docs.columns)
-    again = whole.filter("_rows > 1").dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    digest = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    whole = docs.withColumn(text_hash, digest).join(
+        kept, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(text_hash) == F.col(own_hash))
+    )
+    once = whole.filter(F.col(copies) == 1).select(*docs.columns)
+    again = whole.filter(F.col(copies) > 1).dropDuplicates(["doc_id", text_hash]).select(*docs.columns)
     return once.unionByName(again)
 
 
