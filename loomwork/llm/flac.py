@@ -7,8 +7,11 @@ frames in a group (``GROUP_FRAMES``), not the length of a stream.
 
 The encoder tries a plain copy, fixed predictors of order 0 and 1 and a linear predictor of order 4 for each frame, and
 codes residuals in four Rice partitions. The decoder reads constant, verbatim, fixed and linear frames of any order with
-any number of Rice partitions; it reports frames it can't read (several channels, wasted bits, escaped partitions)
-instead of guessing.
+any number of Rice partitions; it reports frames it can't read (several channels, wasted bits) instead of guessing.
+
+A sample is a byte less 128, as any reader of 8-bit FLAC has it. Text may be stored in another order of bytes, which keeps
+its samples near zero: such a stream says so in an application block (``TEXT_MARK``), and only streams with that block are
+put back by it.
 """
 
 from __future__ import annotations
@@ -27,10 +30,11 @@ PRECISION = 8
 SHIFT = 6
 ORDER = 4
 #: Bytes from frequent to rare in running text; a byte's place gives its sample: 0, -1, 1, -2, 2 and so on. Any order is
-#: lossless; this one keeps text near zero, where Rice codes are short. Bytes not listed follow in their own order.
+#: lossless; this one, fitted to European languages in UTF-8, keeps text near zero, where Rice codes are short. Bytes not
+#: listed follow in their own order.
 FREQUENT = b" etanoirshdluc\xc3mgpbfvw\n.,kyTz\xb6\xa9\xbc\xa4\xb3\xa8\x9f\xb1\xa1\xad\xaajqx|!#*$%&AEIOHSWDRLNB0123456789-@\"'()/:;=_"
-#: Bits a sample above which linear prediction is tried.
-TRY_LINEAR = 5.5
+#: The application block of streams in that order: its identifier and the number of the order.
+TEXT_MARK = b"lwor\x00\x00\x00\x01"
 #: Fixed values of the format: predictors of order 0 to 4.
 FIXED = ([], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1])
 BLOCK_CODES = {1: 192, 2: 576, 3: 1152, 4: 2304, 5: 4608} | {c: 256 << (c - 8) for c in range(8, 16)}
@@ -41,6 +45,9 @@ _TO_SAMPLE = np.empty(256, np.int32)
 _TO_SAMPLE[_PLACES] = [i // 2 if i % 2 == 0 else -(i + 1) // 2 for i in range(256)]
 _TO_BYTE = np.empty(256, np.uint8)
 _TO_BYTE[_TO_SAMPLE & 0xFF] = np.arange(256)
+#: Bytes as signed samples and back, in text order and as they are.
+_SIGNED = {True: _TO_SAMPLE.astype(np.int8).tobytes(), False: bytes(x ^ 0x80 for x in range(256))}
+_UNSIGNED = {True: _TO_BYTE.tobytes(), False: _SIGNED[False]}
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -185,13 +192,9 @@ def _bodies(x: np.ndarray) -> list[bytes]:
     first = _zigzag(x[:, 1:] - x[:, :-1])
     k0, bits0 = _rice(plain, 0)
     k1, bits1 = _rice(first, 1)
-    hard = np.flatnonzero(np.minimum(bits0, bits1) > TRY_LINEAR * n)
-    coefficients, linear = np.zeros((f, ORDER), np.int32), np.zeros((f, n - ORDER), np.int32)
-    k4, bits4 = np.zeros_like(k0), np.full(f, 1 << 30)
-    if len(hard):
-        coefficients[hard] = _linear(x[hard])
-        linear[hard] = _zigzag(x[hard, ORDER:] - _predicted(x[hard], coefficients[hard]))
-        k4[hard], bits4[hard] = _rice(linear[hard], ORDER)
+    coefficients = _linear(x)
+    linear = _zigzag(x[:, ORDER:] - _predicted(x, coefficients))
+    k4, bits4 = _rice(linear, ORDER)
     costs = np.stack([np.where((x == x[:, :1]).all(1), 0, 1 << 30), np.full(f, 8 * n), bits0, bits1 + 8, bits4 + 41 + 8 * ORDER])
     kind = costs.argmin(0)
     out: list[bytes] = [b""] * f
@@ -223,22 +226,21 @@ def _bodies(x: np.ndarray) -> list[bytes]:
 
 
 def _encode_frames(blocks: list[tuple[int, bytes]]) -> list[bytes]:
-    """Frames of (frame number, unsigned samples)."""
+    """Frames of (frame number, signed samples)."""
     bodies: list[bytes] = [b""] * len(blocks)
     by_size: dict[int, list[int]] = {}
     for i, (_, data) in enumerate(blocks):
         by_size.setdefault(len(data), []).append(i)
     for n, own in by_size.items():
-        x = np.frombuffer(b"".join(blocks[i][1] for i in own), np.uint8).reshape(len(own), n)
-        x = _TO_SAMPLE[x]
+        x = np.frombuffer(b"".join(blocks[i][1] for i in own), np.int8).reshape(len(own), n).astype(np.int32)
         for i, body in zip(own, _bodies(x), strict=True):
             bodies[i] = body
     frames = [_header(number, len(data)) + body for (number, data), body in zip(blocks, bodies, strict=True)]
     return [f + int(c).to_bytes(2, "big") for f, c in zip(frames, crc16_of(frames), strict=True)]
 
 
-def encode(payloads: Iterable[bytes]) -> Iterator[bytes]:
-    """A FLAC stream of each payload; payloads are positive multiples of 64 bytes long."""
+def encode(payloads: Iterable[bytes], text: bool = True) -> Iterator[bytes]:
+    """A FLAC stream of each payload; payloads are positive multiples of 64 bytes long. ``text``: in the order for text."""
     waiting: list[tuple[bytes, int]] = []
     blocks: list[tuple[int, bytes]] = []
     done: list[bytes] = []
@@ -246,14 +248,15 @@ def encode(payloads: Iterable[bytes]) -> Iterator[bytes]:
     def ready() -> Iterator[bytes]:
         at = 0
         while waiting and at + waiting[0][1] <= len(done):
-            payload, n = waiting.pop(0)
-            yield _stream(payload, done[at : at + n])
+            signed, n = waiting.pop(0)
+            yield _stream(signed, done[at : at + n], text)
             at += n
         del done[:at]
 
     for payload in payloads:
-        pieces = [payload[i : i + BLOCK] for i in range(0, len(payload), BLOCK)]
-        waiting.append((payload, len(pieces)))
+        signed = payload.translate(_SIGNED[text])
+        pieces = [signed[i : i + BLOCK] for i in range(0, len(signed), BLOCK)]
+        waiting.append((signed, len(pieces)))
         for number, piece in enumerate(pieces):
             blocks.append((number, piece))
             if len(blocks) == GROUP_FRAMES:
@@ -264,20 +267,19 @@ def encode(payloads: Iterable[bytes]) -> Iterator[bytes]:
     yield from ready()
 
 
-def _stream(payload: bytes, frames: list[bytes]) -> bytes:
-    signed = _TO_SAMPLE[np.frombuffer(payload, np.uint8)].astype(np.int8).tobytes()
+def _stream(signed: bytes, frames: list[bytes], text: bool) -> bytes:
     sizes = [len(f) for f in frames]
-    fields = (RATE << 44) | (0 << 41) | (7 << 36) | len(payload)
+    fields = (RATE << 44) | (0 << 41) | (7 << 36) | len(signed)
     info = struct.pack(">HH", BLOCK, BLOCK) + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big")
     info += fields.to_bytes(8, "big") + hashlib.md5(signed).digest()
     points, at = [], 0
     for i, f in enumerate(frames):
-        points.append(struct.pack(">QQH", i * BLOCK, at, min(BLOCK, len(payload) - i * BLOCK)))
+        points.append(struct.pack(">QQH", i * BLOCK, at, min(BLOCK, len(signed) - i * BLOCK)))
         at += len(f)
-    table, more = b"".join(points), b""
-    if len(table) < 1 << 24:
-        more = b"\x83" + len(table).to_bytes(3, "big") + table
-    return b"fLaC" + (b"\x00" if more else b"\x80") + len(info).to_bytes(3, "big") + info + more + b"".join(frames)
+    table = b"".join(points)
+    blocks = [(0, info)] + ([(2, TEXT_MARK)] if text else []) + ([(3, table)] if len(table) < 1 << 24 else [])
+    heads = [bytes([k | (0x80 if i == len(blocks) - 1 else 0)]) + len(x).to_bytes(3, "big") for i, (k, x) in enumerate(blocks)]
+    return b"fLaC" + b"".join(h + x for h, (_, x) in zip(heads, blocks, strict=True)) + b"".join(frames)
 
 
 # ---------------------------------------------------------------- decoder
@@ -312,11 +314,11 @@ def _parse_header(data: bytes, at: int) -> tuple[int, int, int]:
     return number, n, end + 1 - at
 
 
-def frames_of(data: bytes) -> tuple[list[tuple[int, int, int, int]], int, bytes]:
-    """((start, size, header size, samples) of each frame, samples of the stream, its MD5)."""
+def frames_of(data: bytes) -> tuple[list[tuple[int, int, int, int]], bytes, bool]:
+    """((start, size, header size, samples) of each frame, MD5 of the samples, whether they are in the order for text)."""
     if data[:4] != b"fLaC":
         raise Damaged("no FLAC stream")
-    at, last, total, md5, points = 4, False, 0, b"", b""
+    at, last, total, md5, points, text = 4, False, 0, b"", b"", False
     while not last:
         kind, size = data[at] & 0x7F, int.from_bytes(data[at + 1 : at + 4], "big")
         last = bool(data[at] & 0x80)
@@ -326,6 +328,8 @@ def frames_of(data: bytes) -> tuple[list[tuple[int, int, int, int]], int, bytes]
             total, md5 = fields & ((1 << 36) - 1), body[18:34]
         elif kind == 3:
             points = body
+        elif kind == 2:
+            text |= body == TEXT_MARK
         at += 4 + size
     seek = [struct.unpack_from(">QQH", points, i) for i in range(0, len(points), 18)]
     starts = [at + x[1] for x in seek if x[0] != (1 << 64) - 1]
@@ -337,7 +341,7 @@ def frames_of(data: bytes) -> tuple[list[tuple[int, int, int, int]], int, bytes]
         out.append((a, b - a, head, n))
     if sum(x[3] for x in out) != total:
         raise Damaged("samples are missing")
-    return out, total, md5
+    return out, md5, text
 
 
 def _scan(data: bytes, at: int) -> list[int]:
@@ -363,7 +367,7 @@ def _signed(value: int, bits: int) -> int:
 
 
 def _decode_frames(frames: list[tuple[bytes, int, int]]) -> list[bytes]:
-    """Unsigned samples of (frame bytes, header size, samples); Damaged frames come back empty."""
+    """Signed samples of (frame bytes, header size, samples), a byte each; damaged frames come back empty."""
     out: list[bytes] = [b""] * len(frames)
     sound = crc16_of([f[0] for f in frames]) == 0  # the CRC over a frame with its own CRC is zero
     todo, orders, coefs, shifts, warm, places = [], [], [], [], [], []
@@ -374,9 +378,9 @@ def _decode_frames(frames: list[tuple[bytes, int, int]]) -> list[bytes]:
             if data[head] & 0x81:
                 kind = -1
             if kind == 0:
-                out[i] = bytes([_TO_BYTE[data[head + 1]]]) * n
+                out[i] = data[head + 1 : head + 2] * n
             elif kind == 1:
-                out[i] = _TO_BYTE[np.frombuffer(data, np.uint8, n, head + 1)].tobytes()
+                out[i] = data[head + 1 : head + 1 + n]
             elif 8 <= kind <= 12 or kind >= 32:
                 order = kind - 8 if kind < 32 else kind - 31
                 window = int.from_bytes(data[head : head + 140], "big")
@@ -405,12 +409,41 @@ def _decode_frames(frames: list[tuple[bytes, int, int]]) -> list[bytes]:
                         x.pop()
         base += len(data)
     if todo:
-        _decode_rice(b"".join(f[0] for f in frames), todo, coefs, shifts, warm, places, out)
+        for j in _decode_rice(b"".join(f[0] for f in frames), todo, coefs, shifts, warm, places, out):
+            i, n, order, part = todo[j]
+            place = places[j] - 8 * sum(len(f[0]) for f in frames[:i])
+            out[i] = _decode_escaped(frames[i][0], place, n, part, coefs[j], shifts[j], warm[j])
     return out
 
 
-def _decode_rice(data: bytes, todo, coefs, shifts, warm, places, out: list[bytes]) -> None:
-    """Residuals of all frames step by step, then the predictors likewise."""
+def _decode_escaped(data: bytes, place: int, n: int, part: int, coefs: list[int], shift: int, warm: list[int]) -> bytes:
+    """One frame with a partition whose residuals stand in plain bits, read bit by bit; such frames are rare."""
+    bits, samples = bin(int.from_bytes(b"\x01" + data, "big"))[3:], list(warm)
+
+    def read(size: int) -> int:
+        nonlocal place
+        place += size
+        return int(bits[place - size : place] or "0", 2)
+
+    while len(samples) < n and place < len(bits):
+        k = read(4)
+        plain = read(5) if k == 15 else 0
+        for _ in range(part - (len(samples) if len(samples) == len(warm) else 0)):
+            if k == 15:
+                r = _signed(read(plain), plain) if plain else 0
+            else:
+                zeros = bits.find("1", place) - place
+                if zeros < 0:
+                    return b""
+                place += zeros + 1
+                u = zeros << k | read(k)
+                r = (u >> 1) ^ -(u & 1)
+            samples.append(r + (sum(c * samples[-1 - j] for j, c in enumerate(coefs)) >> shift))
+    return bytes(x & 0xFF for x in samples) if len(samples) == n else b""
+
+
+def _decode_rice(data: bytes, todo, coefs, shifts, warm, places, out: list[bytes]) -> list[int]:
+    """Residuals of all frames step by step, then the predictors likewise. Places in ``todo`` of frames that this can't read."""
     raw = np.frombuffer(data + bytes(8), np.uint8).astype(np.uint32)
     word = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
     count = np.array([n - order for _, n, order, _ in todo])
@@ -470,41 +503,41 @@ def _decode_rice(data: bytes, todo, coefs, shifts, warm, places, out: list[bytes
         for j in range(deepest):
             total += table[j, :n] * samples[deepest + t - 1 - j, :n]
         samples[deepest + t, :n] += total >> shift[:n]
-    rows = _TO_BYTE[samples.T & 0xFF]
+    rows = (samples.T & 0xFF).astype(np.uint8)
     for column, i in enumerate(by.tolist()):
         number, n, o, _ = todo[i]
         if not escaped[column]:
             out[number] = rows[column, deepest - o : deepest - o + n].tobytes()
+    return by[escaped].tolist()
 
 
 def decode(streams: Iterable[bytes]) -> Iterator[tuple[list[bytes], list[int], str | None]]:
     """(PCM blocks, sample offset of each, what is wrong) of each stream; a damaged stream has no blocks."""
-    waiting: list[tuple[int, bytes, str | None]] = []
+    waiting: list[tuple[int, bytes, bool, str | None]] = []
     frames: list[tuple[bytes, int, int]] = []
     done: list[bytes] = []
 
     def ready() -> Iterator[tuple[list[bytes], list[int], str | None]]:
         at = 0
         while waiting and at + waiting[0][0] <= len(done):
-            n, md5, wrong = waiting.pop(0)
+            n, md5, text, wrong = waiting.pop(0)
             blocks = done[at : at + n]
             at += n
             if wrong is None and not all(blocks):
                 wrong = "frame checksum"
-            if wrong is None and any(md5):
-                whole = hashlib.md5(_TO_SAMPLE[np.frombuffer(b"".join(blocks), np.uint8)].astype(np.int8).tobytes()).digest()
-                wrong = None if whole == md5 else "checksum of the samples"
-            sizes = [0, *(len(b) for b in blocks)]
-            yield ([], [], wrong) if wrong else (blocks, np.cumsum(sizes[:-1]).tolist(), None)
+            if wrong is None and any(md5) and hashlib.md5(b"".join(blocks)).digest() != md5:
+                wrong = "checksum of the samples"
+            offsets = np.cumsum([0, *(len(b) for b in blocks)])[:-1].tolist()
+            yield ([], [], wrong) if wrong else ([b.translate(_UNSIGNED[text]) for b in blocks], offsets, None)
         del done[:at]
 
     for data in streams:
         try:
-            found, _, md5 = frames_of(data)
-            waiting.append((len(found), md5, None))
+            found, md5, text = frames_of(data)
+            waiting.append((len(found), md5, text, None))
         except (Damaged, IndexError, struct.error) as e:
             found = []
-            waiting.append((0, b"", str(e) or "no FLAC stream"))
+            waiting.append((0, b"", False, str(e) or "no FLAC stream"))
         for start, size, head, n in found:
             frames.append((data[start : start + size], head, n))
             if len(frames) == GROUP_FRAMES:

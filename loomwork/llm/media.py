@@ -1,10 +1,13 @@
-"""Media columns: payloads stored as FLAC streams and read back as PCM blocks with their sample offsets.
+"""Media columns: payloads stored as FLAC streams, and their PCM blocks with sample offsets.
 
-``encode_media`` and ``decode_media`` map Arrow batches without a shuffle; a task holds some thousands of frames at a time
-besides its batch. A stream that fails a checksum gives no block and says why, it doesn't end the job.
+``encode_media`` writes streams, ``decode_media`` reads them, verifies every frame's and the whole stream's checksum and
+gives a row of PCM blocks a stream, each block with the offset of its first sample; ``samples`` reads any stretch of
+samples from the blocks that hold it. Both map Arrow batches without a shuffle; a task holds some thousands of frames at a
+time besides its batch. A stream that fails a checksum gives no block and says why, it doesn't end the job.
 
-Defined results: null or empty text is 64 zero bytes; equal texts give equal streams; repeated rows are stored each; an
-empty table gives an empty one; extra columns don't matter, since only doc_id and text are read.
+Defined results: null or empty text is 64 zero bytes; equal texts give equal streams; repeated rows are stored each; a
+very long text is a long stream; an empty table gives an empty one; extra columns don't matter, since only doc_id and text
+are read.
 """
 
 from __future__ import annotations
@@ -15,17 +18,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm import flac
 from loomwork.llm._common import documents, staged, text_or_empty
 
 MEDIA = "doc_id long, n_bytes long, media binary"
-BLOCKS = "doc_id long, block int, sample_offset long, n_samples int, pcm binary, error string"
+PCM = (
+    "doc_id long, n_bytes long, media_bytes long, media_sha256 string, "
+    "blocks array<struct<sample_offset:long,n_samples:int,pcm:binary>>, error string"
+)
 DIGESTS = (
-    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-    "media_sha256 string, feature string, error string"
+    "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, "
+    "tail_crc32 long, feature string, error string"
 )
 #: Rows of an Arrow batch that are encoded and handed on together.
 ROWS = 256
@@ -52,20 +59,41 @@ def encode_media(docs: DataFrame) -> DataFrame:
 
 
 def decode_media(media: DataFrame) -> DataFrame:
-    """The PCM blocks of each stream with their offsets: a reader finds any sample by its block."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), ROWS):
-                rows, part = [], b.iloc[at : at + ROWS]
-                for doc_id, (blocks, offsets, wrong) in zip(part.doc_id, flac.decode(part.media), strict=True):
-                    rows += [(doc_id, i, o, len(x), x, None) for i, (x, o) in enumerate(zip(blocks, offsets, strict=True))]
-                    if wrong:
-                        rows.append((doc_id, None, None, None, None, wrong))
-                out = pd.DataFrame(rows, columns=[c.split()[0] for c in BLOCKS.split(", ")])
-                yield out.astype({"block": "Int32", "sample_offset": "Int64", "n_samples": "Int32", "doc_id": "Int64"})
-
-    return media.select("doc_id", "media").mapInPandas(run, BLOCKS)
+    """A row of PCM blocks for each stream, with the stream's size and digest: a reader finds any sample by its offset."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), ROWS):
+                b = whole.slice(at, ROWS)
+                streams = b.column("media").to_pylist()
+                ends, offsets, blocks, wrong = [0], [], [], []
+                for own, places, error in flac.decode(streams):
+                    blocks += own
+                    offsets += places
+                    ends.append(len(blocks))
+                    wrong.append(error)
+                inner = pa.StructArray.from_arrays(
+                    [pa.array(offsets, pa.int64()), pa.array([len(x) for x in blocks], pa.int32()), pa.array(blocks, pa.binary())],
+                    ["sample_offset", "n_samples", "pcm"],
+                )
+                listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)
+                sizes = pa.array([len(x) for x in streams], pa.int64())
+                digests = pa.array([hashlib.sha256(x).hexdigest() for x in streams], pa.string())
+                columns = [b.column("doc_id"), b.column("n_bytes"), sizes, digests, listed, pa.array(wrong, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PCM.split(", ")])
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, PCM)
+
+
+def samples(pcm: DataFrame, start: int | Column, n: int | Column) -> Column:
+    """Samples ``start`` .. ``start + n - 1`` of each row's stream, from the blocks that hold any of them."""
+    start, n = (F.lit(x) if isinstance(x, int) else x for x in (start, n))
+    held = F.filter(
+        pcm["blocks"], lambda b: (b["sample_offset"] < start + n) & (b["sample_offset"] + b["n_samples"] > start)
+    )
+    joined = F.aggregate(F.transform(held, lambda b: b["pcm"]), F.lit(b""), lambda s, x: F.concat(s, x))
+    skipped = start - F.coalesce(F.get(held, F.lit(0))["sample_offset"], F.lit(0))
+    return F.substring(joined, (skipped + 1).cast("int"), n.cast("int"))
 
 
 def feature_of(pcm: bytes) -> str:
@@ -76,27 +104,32 @@ def feature_of(pcm: bytes) -> str:
     return f"n={len(x)};energy={int((x * x).sum()) // len(x)};turns={turns};step={int(step.max())};steps={int(step.sum())}"
 
 
-def media_digests(media: DataFrame) -> DataFrame:
-    """Digests and features of what is read back from each stored stream."""
+def payload_digests(pcm: DataFrame) -> DataFrame:
+    """Digests and features of the samples in a table of PCM blocks, put together by their offsets."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), ROWS):
-                rows, part = [], b.iloc[at : at + ROWS]
-                for x, (blocks, _, wrong) in zip(part.itertuples(), flac.decode(part.media), strict=True):
-                    stored = (len(x.media), hashlib.sha256(x.media).hexdigest())
-                    if wrong:
-                        rows.append((x.doc_id, x.n_bytes, None, None, None, *stored, None, wrong))
-                        continue
-                    pcm = b"".join(blocks)
-                    read = (len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-flac.ALIGN :]))
-                    rows.append((x.doc_id, x.n_bytes, *read, *stored, feature_of(pcm), None))
-                out = pd.DataFrame(rows, columns=[c.split()[0] for c in DIGESTS.split(", ")])
-                yield out.astype({"doc_id": "Int64", "payload_bytes": "Int64", "tail_crc32": "Int64"})
-
-    return media.mapInPandas(run, DIGESTS)
+            ends = b.column("blocks").offsets.to_pylist()
+            inner = b.column("blocks").values
+            offsets, blocks = inner.field("sample_offset").to_pylist(), inner.field("pcm")
+            rows: list[tuple] = []
+            for first, end, wrong in zip(ends[:-1], ends[1:], b.column("error").to_pylist(), strict=True):
+                order = sorted(range(first, end), key=offsets.__getitem__)
+                data = b"".join(blocks[i].as_py() for i in order)
+                if wrong is None and [offsets[i] for i in order] != list(range(0, len(data), flac.BLOCK)):
+                    wrong = "blocks are missing"
+                if wrong is None:
+                    read = (hashlib.sha256(data).hexdigest(), zlib.crc32(data[-flac.ALIGN :]), feature_of(data))
+                rows.append((len(data), *read, None) if wrong is None else (None, None, None, None, wrong))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
+            found = [pa.array(list(x), kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
+            kept = [b.column(c) for c in ("doc_id", "n_bytes", "media_bytes", "media_sha256")]
+            yield pa.RecordBatch.from_arrays([*kept, *found], [c.split()[0] for c in DIGESTS.split(", ")])
+
+    return pcm.mapInArrow(run, DIGESTS)
 
 
 def op2_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams are written, read back into PCM blocks with offsets, and those are written and read back in turn."""
     media = staged(encode_media(documents(spark, sf_dir)), "media")
-    return media_digests(media).drop("error")
+    return payload_digests(staged(decode_media(media), "pcm")).drop("error")

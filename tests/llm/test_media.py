@@ -52,11 +52,33 @@ def test_frames_are_found_without_a_seek_table():
         s = next(iter(flac.encode([payload])))
         at = s.index(b"\x83")
         size = int.from_bytes(s[at + 1 : at + 4], "big")
-        bare = s[:4] + b"\x80" + s[5:at] + s[at + 4 + size :]
+        order = s.index(b"\x02\x00\x00\x08lwor")  # the block before it is the last one now
+        bare = s[:order] + b"\x82" + s[order + 1 : at] + s[at + 4 + size :]
         blocks, _, wrong = next(iter(flac.decode([bare])))
         assert wrong is None and b"".join(blocks) == payload
 
 
+def test_a_public_stream():
+    """The example of RFC 9639 with a linear predictor and an escaped partition; its MD5 is in the stream."""
+    stream = bytes.fromhex(
+        "664c6143800000221000100000001f00001f07d0007000000018f8f9e396f5cbcfc6dc807f9977906b32"
+        "fff868020017e944004f6f313d1047d227cb6d090831452bdc2822228057a3"
+    )
+    blocks, offsets, wrong = next(iter(flac.decode([stream])))
+    assert wrong is None and offsets == [0]
+    signed = bytes(x ^ 0x80 for x in blocks[0])
+    assert hashlib.md5(signed).hexdigest() == "f8f9e396f5cbcfc6dc807f9977906b32"
+    assert [x - 128 for x in blocks[0][:4]] == [0, 79, 111, 78]
+
+
+def test_streams_in_plain_order_are_read_as_they_are():
+    for payload in payloads():
+        s = next(iter(flac.encode([payload], text=False)))
+        assert b"lwor" not in s[:64] and s[26:42] == hashlib.md5(bytes(x ^ 0x80 for x in payload)).digest()
+        blocks, _, wrong = next(iter(flac.decode([s])))
+        assert wrong is None and b"".join(blocks) == payload
+
+
 def test_checksums_and_numbers():
     assert flac.crc16(b"123456789") == 0xFEE8 and flac.crc8(b"123456789") == 0xF4
     data = [b"123456789", b"", b"x" * 1000]
@@ -76,11 +98,25 @@ def test_query_against_plain_digests(spark):
         assert seen.setdefault(r.text, (x.media_sha256, x.feature)) == (x.media_sha256, x.feature)
 
 
+def test_samples_by_offset(spark, odd_docs):
+    from pyspark.sql import functions as F
+
+    pcm = media.decode_media(media.encode_media(odd_docs)).filter("doc_id = 5")
+    text = odd_docs.filter("doc_id = 5").first().text.encode()
+    for start, n in ((0, 10), (2040, 20), (2048, 2048), (100_000, 5000), (len(text) - 3, 3)):
+        assert bytes(pcm.select(media.samples(pcm, start, n).alias("x")).first().x) == text[start : start + n]
+    assert pcm.select(F.size("blocks")).first()[0] == -(-(-(-len(text) // 64) * 64) // flac.BLOCK)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
-    rows = media.media_digests(media.encode_media(odd_docs)).collect()
+    streams = media.encode_media(odd_docs)
+    rows = media.payload_digests(media.decode_media(streams)).collect()
     assert len(rows) == odd_docs.count() and all(r.error is None for r in rows)
     assert {r.payload_bytes for r in rows if not r.n_bytes} == {64}
-    blocks = media.decode_media(media.encode_media(odd_docs)).filter("doc_id = 5").orderBy("block").collect()
+    blocks = media.decode_media(streams).filter("doc_id = 5").first().blocks
     assert [b.sample_offset for b in blocks] == [i * flac.BLOCK for i in range(len(blocks))]
-    assert media.media_digests(media.encode_media(no_docs)).count() == 0
-    assert media.decode_media(media.encode_media(no_docs)).count() == 0
+    none = media.encode_media(no_docs)
+    assert media.payload_digests(media.decode_media(none)).count() == 0 and media.decode_media(none).count() == 0
+    damaged = streams.filter("doc_id = 5").selectExpr("doc_id", "n_bytes", "substring(media, 1, 900) as media")
+    bad = media.payload_digests(media.decode_media(damaged)).first()
+    assert bad.error and bad.payload_sha256 is None
