@@ -3,8 +3,11 @@
 A document is its token ids and an end id; only longer ones than a sequence are cut, and the first piece takes the rest
 of the division, so all other pieces fill a sequence. Pieces are dealt by hash into shards of about ``SHARD_ITEMS``. Each
 shard is evolved by several islands, one task each: a crossover injects the fullest bins of one packing whole into another,
-drops the bins that hold any of their pieces, and best-fits what was displaced. After each epoch the islands of a shard
-send their best packing to the next island. Pieces from the bins that stay poorly filled are dealt anew over shards of
+drops the bins that hold any of their pieces, lets displaced pieces change places with smaller ones where a bin gets
+fuller by it, and best-fits the rest; a mutation empties the least full bins and some others. Packings with fewer bins
+win, and of equally many bins the one whose empty space lies in fewer bins. A population begins with best-fit decreasing;
+where that needs no more bins than all lengths together do, the shard is done, elsewhere it evolves. After each epoch the
+islands of a shard send their best packing to the next island. Pieces from the bins that stay poorly filled are dealt anew over shards of
 their own, so gaps of different shards meet.
 
 Only a shard's lengths meet in a task; the shard size is fixed and the number of shards follows the corpus. Every stage is
@@ -33,8 +36,12 @@ END_ID = 0
 SHARD_ITEMS = 4096
 ISLANDS = 3
 EPOCHS = 2
-POPULATION = 5
-GENERATIONS = 8
+POPULATION = 6
+#: Children an epoch and island, and how many without a better packing end it.
+GENERATIONS = 40
+STALE = 12
+#: Bins that displaced pieces try to get into, for each child.
+EXCHANGED = 400
 #: Bins filled less than this after the first round are packed again with those of other shards.
 POOR = 0.985
 ROUNDS = 3
@@ -73,10 +80,9 @@ class Packing:
     def __init__(self, bins: list[list[int]], left: list[int]):
         self.bins, self.left = bins, left
 
-    def fitness(self, capacity: int) -> float:
-        """Mean square of the fill: for equally many bins, better the more uneven the gaps are."""
-        left = np.array(self.left or [capacity], float)
-        return float((((capacity - left) / capacity) ** 2).mean())
+    def rank(self) -> tuple[int, int]:
+        """Smaller is better: fewer bins, then the empty space in fewer bins (the sum of its squares)."""
+        return len(self.bins), -sum(x * x for x in self.left)
 
 
 def best_fit(items: list[int], size: list[int], bins: list[list[int]], left: list[int], capacity: int) -> Packing:
@@ -96,23 +102,73 @@ def best_fit(items: list[int], size: list[int], bins: list[list[int]], left: lis
     return Packing(bins, left)
 
 
+def fewest(lengths: np.ndarray, capacity: int) -> int:
+    """A number of bins that no packing goes below: for each length, longer pieces than half a bin have one each, and
+    those that leave less room than that length share none with the pieces from that length to half a bin."""
+    x = np.sort(lengths)
+    total = np.r_[0, np.cumsum(x)]
+    half = int(np.searchsorted(x, capacity / 2, "right"))
+    at = np.searchsorted(x, cuts := np.unique(np.r_[0, x[:half]]), "left")  # pieces of at least each of these lengths
+    full = np.searchsorted(x, capacity - cuts, "right")
+    room = (full - half) * capacity - (total[full] - total[half])
+    more = -((-np.maximum(0, total[half] - total[at] - room)) // capacity)
+    return int((len(x) - half + more).max())
+
+
+def exchange(items: list[int], size: list[int], bins: list[list[int]], left: list[int], chance: np.random.Generator) -> list[int]:
+    """Let displaced ``items`` take the place of one or two smaller ones in some bins; the items displaced then."""
+    free = sorted((size[i], i) for i in items)
+    for b in chance.permutation(len(bins))[:EXCHANGED].tolist():
+        if not left[b] or not free:
+            continue
+        own, best = bins[b], (0, 0, 0, 0)
+        for x in range(len(own)):
+            for y in range(x, len(own)):
+                held = size[own[x]] + (size[own[y]] if y > x else 0)
+                at = bisect.bisect_right(free, (held + left[b], len(size))) - 1
+                if at >= 0 and free[at][0] - held > best[0]:
+                    best = (free[at][0] - held, at, x, y)
+        gain, at, x, y = best
+        if gain:
+            gone = [own[x]] if x == y else [own[x], own[y]]
+            _, new = free.pop(at)
+            bins[b] = [*(i for i in own if i not in gone), new]
+            left[b] -= gain
+            for i in gone:
+                bisect.insort(free, (size[i], i))
+    return [i for _, i in reversed(free)]
+
+
 def crossover(a: Packing, b: Packing, size: list[int], capacity: int, share: float, chance: np.random.Generator) -> Packing:
-    """Inject the best-filled bins of ``b`` whole into ``a``; drop bins with duplicates; best-fit what is displaced."""
+    """Inject the best-filled bins of ``b`` whole into ``a``; drop bins with duplicates; place what is displaced."""
     keen = np.array(b.left) + chance.integers(0, 1 + capacity // 64, len(b.left))
     chosen = np.argsort(keen, kind="stable")[: max(1, int(share * len(keen)))]
     bins = [list(b.bins[k]) for k in chosen]
     left = [b.left[k] for k in chosen]
     taken = {i for x in bins for i in x}
     displaced: list[int] = []
-    poor = capacity - int(0.97 * capacity)
     for x, space in zip(a.bins, a.left, strict=True):
-        if taken.isdisjoint(x) and (space <= poor or chance.random() < 0.5):
+        if taken.isdisjoint(x):
             bins.append(list(x))
             left.append(space)
         else:
             displaced.extend(i for i in x if i not in taken)
-    displaced.sort(key=lambda i: -size[i])
-    return best_fit(displaced, size, bins, left, capacity)
+    return _filled(displaced, size, bins, left, capacity, chance)
+
+
+def mutation(a: Packing, size: list[int], capacity: int, chance: np.random.Generator) -> Packing:
+    """Empty the least full bins and some others, and place their items anew."""
+    n = len(a.bins)
+    worst = np.argsort(-np.array(a.left), kind="stable")[: max(2, n // 50)]
+    gone = {*worst.tolist(), *chance.integers(0, n, max(2, n // 20)).tolist()}
+    kept = [b for b in range(n) if b not in gone]
+    displaced = [i for b in gone for i in a.bins[b]]
+    return _filled(displaced, size, [list(a.bins[b]) for b in kept], [a.left[b] for b in kept], capacity, chance)
+
+
+def _filled(items: list[int], size: list[int], bins: list[list[int]], left: list[int], capacity: int, chance: np.random.Generator) -> Packing:
+    items = exchange(items, size, bins, left, chance)
+    return best_fit(items, size, bins, left, capacity)
 
 
 def from_genome(genome: np.ndarray, size: list[int], capacity: int) -> Packing:
@@ -134,24 +190,29 @@ def evolve(lengths: np.ndarray, seeds: list[np.ndarray], seed: int, capacity: in
         return genome
     own = lengths[rest]
     own_size = own.tolist()
+    bound = fewest(own, capacity)
     people = []
     for x in seeds:
         _, packed = np.unique(x[rest], return_inverse=True)
         people.append(from_genome(packed, own_size, capacity))
-    while len(people) < POPULATION:
+    while len(people) < POPULATION and not any(len(p.bins) <= bound for p in people):
         # The first is best-fit decreasing; the others take the items in a slightly shuffled order.
         noise = 0 if not people else chance.uniform(-0.08, 0.08, len(own)) * capacity
         order = np.argsort(-(own + noise), kind="stable").tolist()
         people.append(best_fit(order, own_size, [], [], capacity))
-    bound = -(-int(own.sum()) // capacity)
-    people.sort(key=lambda p: (len(p.bins), -p.fitness(capacity)))
+    people.sort(key=Packing.rank)
+    stale = 0
     for _ in range(GENERATIONS):
-        if len(people[0].bins) <= bound:
+        if len(people[0].bins) <= bound or stale >= STALE:
             break
         i, j = sorted(chance.choice(len(people), 2, replace=False).tolist())
-        child = crossover(people[i], people[j], own_size, capacity, float(chance.uniform(0.2, 0.6)), chance)
+        if chance.random() < 0.5:
+            child = crossover(people[i], people[j], own_size, capacity, float(chance.uniform(0.05, 0.6)), chance)
+        else:
+            child = mutation(people[i], own_size, capacity, chance)
+        stale = 0 if child.rank() < people[0].rank() else stale + 1
         people.append(child)
-        people.sort(key=lambda p: (len(p.bins), -p.fitness(capacity)))
+        people.sort(key=Packing.rank)
         people.pop()
     for b, x in enumerate(people[0].bins):
         for k in x:
