@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomwork.session import new_folder, shared_dir
 
-__all__ = ["documents", "free_names", "new_folder", "own_columns", "shared_dir", "shuffle_partitions", "staged", "text_or_empty", "tokenizer_path"]
+__all__ = ["documents", "free_names", "new_folder", "own_columns", "range_of", "shared_dir", "shuffle_partitions", "staged", "text_or_empty", "tokenizer_path"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,3 +48,15 @@ def text_or_empty(col: str = "text") -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def range_of(key: Column, cuts: list[int]) -> Column:
+    """Number of cut points that are not above the key, by halving."""
+    steps = 1 << max(0, len(cuts).bit_length() - 1)
+    padded = F.lit(cuts + [(1 << 63) - 1] * (2 * steps - len(cuts)))
+    halves = [steps >> i for i in range(steps.bit_length())]
+    return F.aggregate(
+        F.lit(halves).cast("array<int>"),
+        F.lit(0),
+        lambda at, step: F.when(F.element_at(padded, at + step) <= key, at + step).otherwise(at),
+    )

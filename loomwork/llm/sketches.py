@@ -7,12 +7,14 @@ all miss the fraction keeps its smallest hash instead, so that only texts withou
 drops such a stand-in where regular hashes are present.
 
 ``with_next`` pairs each document with the next one in descending order of doc_id without a global sort in one task:
-cut points from a mergeable quantile summary deal the ids into ranges, a window pairs rows within a range, and the last
-row of a range is joined to the first of the next range that has rows.
+cut points from a mergeable quantile summary, in which a document counts by its size, deal the ids into ranges of about
+equally many bytes, a window pairs rows within a range, and the last row of a range is joined to the first of the next
+range that has rows.
 
 Defined results: null text is empty; an empty text has the empty sketch; two empty sketches are alike 1.0, an empty and
 another one 0.0; fewer than five words make one shingle; a null doc_id comes last, repeated ids in descending order of
-their text; a single row is its own next; an empty table gives an empty one; extra columns don't matter.
+their text; a single row is its own next; a very long text has a long sketch; an empty table gives an empty one; other
+columns pass through, whatever they are called.
 """
 
 from __future__ import annotations
@@ -20,19 +22,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm._common import documents, shuffle_partitions, staged, text_or_empty
+from loomwork.llm._common import documents, free_names, range_of, shuffle_partitions, staged, text_or_empty
 
 SHINGLE_WORDS = 5
 #: A hash is kept if its first bits are all zero: 2 bits keep a quarter.
 KEEP_BITS = 2
 WHITE = r"[\x20\x09-\x0D]+"
 SMALLEST = -(1 << 63)
-LARGEST = (1 << 63) - 1
+#: Bytes of a text that weigh as much as a row does, where rows are dealt into ranges.
+ROW_BYTES = 2048
 
 
 def with_sketch(df: DataFrame, text: Column, name: str) -> DataFrame:
     """``df`` with the sketch of ``text`` as an array of longs. Steps are columns of their own, so each is computed once."""
-    words, hashes = f"_{name}_words", f"_{name}_hashes"
+    words, hashes = free_names(df, f"{name}_words", f"{name}_hashes")
     df = df.withColumn(words, F.array_remove(F.split(text, WHITE), ""))
     n = F.size(words) - (SHINGLE_WORDS - 1)
     # Shingles as rows of five shifted arrays: no function looks back into the text for each shingle.
@@ -79,44 +82,28 @@ def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def _range_of(key: Column, cuts: list[int]) -> Column:
-    """Number of cut points that are not above the key, by halving."""
-    steps = 1 << max(0, len(cuts).bit_length() - 1)
-    padded = F.lit(cuts + [LARGEST] * (2 * steps - len(cuts)))
-    halves = [steps >> i for i in range(steps.bit_length())]
-    return F.aggregate(
-        F.lit(halves).cast("array<int>"),
-        F.lit(0),
-        lambda at, step: F.when(F.element_at(padded, at + step) <= key, at + step).otherwise(at),
-    )
-
-
 def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     """``docs`` (doc_id, text and more) with ``next_<c>`` for each of ``carried``: that of the next lower doc_id, round."""
     spark = docs.sparkSession
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(SMALLEST)))
+    key, place, after, head, top = free_names(docs, "key", "range", "next", "head", "top")
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(SMALLEST)))
     ranges = 2 * shuffle_partitions(spark)
     # As many cut points as ranges reach the driver, whatever the size of the table.
-    found = keyed.agg(F.percentile_approx("_key", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]
-    ranged = keyed.withColumn("_range", _range_of(F.col("_key"), sorted(set(found or [0]))))
-    tops = staged(ranged.groupBy("_range").agg(F.max("_key").alias("_top")), "next-tops")
-    down = Window.orderBy(F.desc("_range"))
-    follows = tops.select(
-        F.col("_range").alias("_for"),
-        F.coalesce(F.lead("_top").over(down), F.max("_top").over(Window.partitionBy())).alias("_key"),
-    )
+    weight = (1 + F.coalesce(F.octet_length("text"), F.lit(0)) / ROW_BYTES).cast("int")
+    weighed = keyed.select(F.explode(F.array_repeat(key, weight)).alias(key))
+    found = weighed.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]
+    ranged = keyed.withColumn(place, range_of(F.col(key), sorted(set(found or [0]))))
+    tops = staged(ranged.groupBy(place).agg(F.max(key).alias(top)), "next-tops")
+    down = Window.orderBy(F.desc(place))
+    follows = tops.select(place, F.coalesce(F.lead(top).over(down), F.max(top).over(Window.partitionBy())).alias(key))
     # One row for each range: the cut points bound this table.
-    heads = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(SMALLEST)))
-    heads = heads.join(F.broadcast(follows), "_key")
-    best = F.max_by(F.struct(*[F.col(c).alias(f"_head_{c}") for c in carried]), F.col("text"))
-    heads = staged(heads.groupBy("_for").agg(best.alias("_head")), "next-heads").withColumnRenamed("_for", "_range")
-    order = Window.partitionBy("_range").orderBy(F.desc("_key"), F.desc("text"))
-    led = ranged.withColumn("_next", F.lead(F.struct(*carried)).over(order))
-    joined = led.join(heads, "_range", "left")
-    pick = [
-        F.when(F.col("_next").isNotNull(), F.col(f"_next.{c}")).otherwise(F.col(f"_head._head_{c}")).alias(f"next_{c}")
-        for c in carried
-    ]
+    heads = keyed.join(F.broadcast(follows), key)
+    best = F.max_by(F.struct(*carried), F.col("text"))
+    heads = staged(heads.groupBy(place).agg(best.alias(head)), "next-heads")
+    order = Window.partitionBy(place).orderBy(F.desc(key), F.desc("text"))
+    led = ranged.withColumn(after, F.lead(F.struct(*carried)).over(order))
+    joined = led.join(heads, place, "left")
+    pick = [F.coalesce(F.col(after), F.col(head)).getField(c).alias(f"next_{c}") for c in carried]
     return joined.select(*docs.columns, *pick)
 
 

@@ -1,16 +1,22 @@
 """Token ids as binary shards with a minimal perfect hash index.
 
 Documents are dealt by ranges of doc_id, sorted, encoded, and written as shards of a bounded size. A shard is one row of
-a Parquet table, so any store Spark reaches will do: its ``blob`` holds raw ids, 2 or 4 bytes each, behind an index from
-document key to record. The index is a minimal perfect hash: a key's bucket gives a displacement, and the displaced hash
-is the key's slot among exactly as many slots as there are keys. The slot stores a fingerprint, which tells most foreign
-keys from stored ones, and the record; a keyed read costs the same however many documents a shard holds.
+a Parquet table in a folder for each range, alone in its row group and not compressed, so any store Spark reaches will do:
+its ``blob`` holds raw ids, 2 or 4 bytes each, behind an index from document key to record. The index is a minimal perfect
+hash: a key's bucket gives a displacement, and the displaced hash is the key's slot among exactly as many slots as there
+are keys. The slot stores a fingerprint, which tells most foreign keys from stored ones, and the record.
+
+A keyed read takes the folder by the ranges' first and last keys, the row group by the shard's, and the record by the
+index: it reads one shard, and costs the same however many documents there are. Only a key with so many copies that they
+fill more than a shard lies in several. The keys themselves stand in a column of their own, for readers of everything;
+keyed reads leave it out.
 
 Blob layout, little-endian: magic, keys, buckets, records, width (4 x u32); displacements (u32 a bucket); fingerprints,
 first records, copies (u32 a key each); offsets in ids (u64 a record, and one more); ids.
 
-Defined results: null or empty text is the end id alone; repeated doc_ids are neighbouring records under one key; a null
-doc_id sorts first under a reserved key; an empty table gives no shard; extra columns don't matter.
+Defined results: null or empty text is the end id alone; a very long text is a shard of its own; repeated doc_ids are
+neighbouring records under one key, in as many ranges and shards as they need (rows that are equal in doc_id and text in
+one range); a null doc_id sorts first under a reserved key; an empty table gives no shard; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm._common import documents, new_folder, shuffle_partitions, staged, text_or_empty, tokenizer_path
+from loomwork.llm._common import documents, new_folder, range_of, shuffle_partitions, staged, text_or_empty, tokenizer_path
 from loomwork.llm.tokens import WORD_BPE, encoder
 
 END_ID = 1
@@ -34,7 +40,9 @@ SHARD_BYTES = 1 << 19
 SHARD_DOCS = 4096
 KEYS_PER_BUCKET = 4
 NULL_KEY = -(1 << 63)
-SHARDS = "part int, number int, n_ids long, keys binary, blob binary"
+SHARDS = "part int, number int, n_ids long, first_key long, last_key long, keys binary, blob binary"
+#: Keys that are looked up in a shard at a time.
+KEYS_AT_ONCE = 4096
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -145,12 +153,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
         def row() -> pd.DataFrame:
             index, blob = write_shard(keys, records, width)
-            return pd.DataFrame({"part": [part], "number": [number], "n_ids": [held // width], "keys": [index], "blob": [blob]})
+            bounds = {"first_key": [keys[0]], "last_key": [keys[-1]], "keys": [index], "blob": [blob]}
+            return pd.DataFrame({"part": [part], "number": [number], "n_ids": [held // width]} | bounds)
 
         for b in batches:
             for key, ids in zip(b.key.tolist(), own.encode(b.text), strict=True):
-                # Copies of a key stay together in one shard.
-                if records and keys[-1] != key and (held + len(ids) > SHARD_BYTES or len(records) >= SHARD_DOCS):
+                if records and (held + len(ids) > SHARD_BYTES or len(records) >= SHARD_DOCS):
                     yield row()
                     keys, records, held, number = [], [], 0, number + 1
                 keys.append(key)
@@ -160,12 +168,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             yield row()
 
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key")
-    ordered = docs.select(key, text_or_empty().alias("text"))
-    # Enough ranges that a task sorts and holds a bounded share, as many as the session sets for its shuffles.
-    ordered = ordered.repartitionByRange(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key", "text")
-    # Small row groups bound what a reader holds at once.
-    options = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
-    ordered.mapInPandas(shards, SHARDS).write.options(**options).parquet(path)
+    ordered = docs.select(key, text_or_empty().alias("text")).withColumn("among", F.xxhash64("text"))
+    # As many ranges as the session sets for its shuffles. Copies of one key are told apart by their text, so that a key
+    # with very many rows may fill several ranges.
+    ordered = ordered.repartitionByRange(shuffle_partitions(docs.sparkSession), "key", "among")
+    ordered = ordered.sortWithinPartitions("key", "among", "text").select("key", "text")
+    # One shard a row group, as it is: readers find it by its first and last key.
+    options = {"compression": "uncompressed", "parquet.block.row.count.limit": "1", "parquet.page.size.row.check.min": "1"}
+    ordered.mapInPandas(shards, SHARDS).write.partitionBy("part").options(**options).parquet(path)
 
 
 def _starts(table: DataFrame) -> DataFrame:
@@ -194,7 +204,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every stored document, each read through its shard's index."""
-    table = spark.read.schema(SHARDS).parquet(path)
+    table = _table(spark, path)
     starts = staged(_starts(table), "token-starts")
     read = table.mapInPandas(_read, "key long, part int, number int, at long, n_tokens long, ids_crc32 long")
     return read.join(starts, ["part", "number"]).select(
@@ -202,32 +212,70 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """(doc_id, ids) of the documents whose doc_id is in ``keys``; only the shards that hold one are read whole."""
-    table = spark.read.schema(SHARDS).parquet(path)
+def _table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SHARDS).parquet(path)
+
+
+def _ranges(table: DataFrame) -> list:
+    """(part, first, last) of each range that has rows, in order: as many rows as there are ranges, not documents."""
+    ends = table.groupBy("part").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last"))
+    return sorted(ends.collect(), key=lambda r: r.part)
+
+
+def _ids(blob: bytes, wanted: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    shard = Shard(blob)
+    slots = shard.find(wanted)
+    return [
+        (key, ids.astype(np.int32))
+        for key, slot in zip(wanted[slots >= 0].tolist(), slots[slots >= 0].tolist(), strict=True)
+        for _, ids in shard.records(slot)
+    ]
+
+
+def fetch(spark: SparkSession, path: str, key: int) -> DataFrame:
+    """(doc_id, ids) of one document: the folder of its range, there the row group of its shard, there its record."""
 
-    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [np.frombuffer(k, "<i8") for k in b["keys"]]
-            n = [len(x) for x in found]
-            yield pd.DataFrame({
-                "doc_id": np.concatenate(found) if found else np.empty(0, np.int64),
-                "part": np.repeat(b.part.to_numpy(), n), "number": np.repeat(b.number.to_numpy(), n),
-            })
+            rows = [r for blob in b.blob for r in _ids(blob, np.array([key], np.int64))]
+            yield pd.DataFrame(rows, columns=["doc_id", "ids"])
+
+    table = _table(spark, path)
+    parts = [r.part for r in _ranges(table) if r["first"] <= key <= r["last"]]
+    held = table.filter(F.col("part").isin(parts) & (F.col("first_key") <= key) & (F.col("last_key") >= key))
+    return held.select("blob").mapInPandas(found, "doc_id long, ids array<int>")
+
+
+def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """(doc_id, ids) of the documents whose doc_id is in ``keys``: only folders and shards that may hold one are read.
+
+    A key finds its ranges by halving among their first and last keys, and its shards by a join within a range.
+    """
 
     def fetched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for x in b.itertuples(index=False):
-                shard, wanted = Shard(x.blob), np.asarray(x.wanted, np.int64)
-                for key, slot in zip(wanted.tolist(), shard.find(wanted).tolist(), strict=True):
-                    rows += [(key, ids.astype(np.int32)) for _, ids in (shard.records(slot) if slot >= 0 else ())]
+            rows = [r for x in b.itertuples(index=False) for r in _ids(x.blob, np.asarray(x.wanted, np.int64))]
             yield pd.DataFrame(rows, columns=["doc_id", "ids"])
 
-    held = table.select("part", "number", "keys").mapInPandas(listed, "doc_id long, part int, number int")
-    wanted = held.join(keys.select("doc_id").distinct(), "doc_id").groupBy("part", "number")
-    wanted = wanted.agg(F.collect_list("doc_id").alias("wanted"))  # at most the keys of one shard
-    return table.join(wanted, ["part", "number"]).select("blob", "wanted").mapInPandas(fetched, "doc_id long, ids array<int>")
+    table = _table(spark, path)
+    ranges = _ranges(table)
+    at = [F.lit(0), F.lit(-1)]
+    if ranges:
+        at = [range_of(F.col("doc_id") - 1, [r["last"] for r in ranges]), range_of(F.col("doc_id"), [r["first"] for r in ranges]) - 1]
+    asked = keys.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    asked = asked.select("doc_id", at[0].alias("a"), at[1].alias("b")).filter("a <= b")
+    parts = F.array(*[F.lit(r.part) for r in ranges]).cast("array<int>")
+    asked = asked.select("doc_id", F.explode(F.sequence("a", "b")).alias("n")).select("doc_id", F.get(parts, F.col("n")).alias("part"))
+    asked = staged(asked, "token-keys")
+    some = [r.part for r in asked.select("part").distinct().collect()]  # ranges, not keys
+    table = table.filter(F.col("part").isin(some))
+    shards = table.select("part", "number", "first_key", "last_key")
+    held = asked.join(shards, "part").filter("doc_id between first_key and last_key")
+    order = Window.partitionBy("part", "number").orderBy("doc_id")
+    held = held.withColumn("block", F.floor((F.row_number().over(order) - 1) / KEYS_AT_ONCE))
+    wanted = held.groupBy("part", "number", "block").agg(F.collect_list("doc_id").alias("wanted"))
+    found = table.select("part", "number", "blob").join(wanted, ["part", "number"]).select("blob", "wanted")
+    return found.mapInPandas(fetched, "doc_id long, ids array<int>")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
