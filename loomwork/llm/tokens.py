@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm._common import documents, new_folder, staged, text_or_empty, tokenizer_path
@@ -44,6 +44,8 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        if self.library.get_vocab_size() > 1 << 8 * width:
+            raise ValueError(f"ids of {path} do not fit {width} bytes")
         self.kind = f"<u{width}"
         self.width = width
         letter, number, space = _char_classes()
@@ -115,6 +117,23 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()[:32]
 
 
+#: A session's setting: the cache table that the registered query shares with earlier runs.
+CACHE_SETTING = "loomwork.token.cache"
+
+
+def normal_form(text: Column, tokenizer: str) -> Column:
+    """What a text is stored under: equal forms have equal counts.
+
+    The byte-level tokenizer tells all texts apart, since any byte may change its merges: the form is the text itself. The
+    word tokenizer lowers letters and takes runs of white space as one, so ASCII texts get both; with other characters
+    lower case may compose differently, and a text with ``<|`` may hold a special string, so those stay as they are.
+    """
+    if "word_bpe" not in tokenizer:
+        return text
+    plain = text.rlike(r"^[\x00-\x7F]*$") & ~F.contains(text, F.lit("<|"))
+    return F.when(plain, F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))).otherwise(text)
+
+
 CACHE_SCHEMA = "digest string, tokenizer string, n_tokens long"
 
 
@@ -127,15 +146,15 @@ def _cache(spark: SparkSession, cache_path: str) -> DataFrame:
 def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str, limit: int = TOKEN_LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) per row of ``docs``, through the cache table at ``cache_path``.
 
-    The cache maps (content digest, tokenizer digest) to a count. Contents are compared as the tokenizer sees them, as
-    whole UTF-8 texts with null as empty. Only contents without a stored count are encoded, each once, and their counts are
-    appended before documents are joined to the table. Null or empty text has 0 tokens; repeated rows are counted once and
+    The cache maps (content digest, tokenizer digest) to a count. Contents are compared in the form that the tokenizer tells
+    apart (``normal_form``), as whole UTF-8 texts with null as empty. Only contents without a stored count are encoded, each
+    once, and their counts are appended before documents are joined to the table. Null or empty text has 0 tokens; repeated rows are counted once and
     returned each; an empty table gives an empty one; extra columns don't matter, since only doc_id and text are read.
     """
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer)
     keyed = docs.select("doc_id", text_or_empty().alias("text")).select(
-        "doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("digest")
+        "doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(normal_form(F.col("text"), tokenizer), 256).alias("digest")
     )
     rows = staged(keyed.select("doc_id", "n_bytes", "digest"), "token-rows")
     stored = _cache(spark, cache_path).filter(F.col("tokenizer") == version)
@@ -159,6 +178,6 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str, limit: int =
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts over whole texts. Each call starts from a cache of its own, so its time is that of a cold cache."""
-    cache = new_folder(spark, "token-cache")
+    """Counts over whole texts, through the cache table that the session names; without one, through a new one."""
+    cache = spark.conf.get(CACHE_SETTING, None) or new_folder(spark, "token-cache")
     return count_tokens(documents(spark, sf_dir), cache, tokenizer_path(BYTE_BPE))
