@@ -55,3 +55,11 @@ def test_odd_rows(spark, odd_docs, no_docs):
     mixed = mixing.mix_sources(odd_docs)
     assert mixing.repeated(mixed, odd_docs.columns).count() == mixed.agg(F.sum("repeats")).first()[0]
     assert mixing.mix_sources(no_docs).count() == 0
+
+
+def test_helper_names(clashing_docs, unchanged):
+    got = mixing.mix_sources(clashing_docs)
+    assert len(unchanged(got, clashing_docs)) == clashing_docs.count()
+    mixed = mixing.mixed_documents(clashing_docs)
+    assert mixed.columns == clashing_docs.columns
+    assert {r["size"] for r in unchanged(mixed, clashing_docs)} <= {1, None}

@@ -46,3 +46,50 @@ def test_odd_rows(spark, odd_docs, no_docs):
     one = spark.createDataFrame([(3, 1), (4, 1), (6, 1)], "doc_id long, quality int")
     assert all(r.predicted == 1 for r in quality.score_quality(odd_docs, one).collect())
     assert quality.keep_good(odd_docs, none).columns == odd_docs.columns
+
+
+def test_helper_names(spark, clashing_docs, unchanged):
+    labels = spark.createDataFrame([(2, 1), (5, 1), (8, 0), (9, 0)], "doc_id long, quality int")
+    assert len(unchanged(quality.score_quality(clashing_docs, labels), clashing_docs)) == clashing_docs.count()
+    assert quality.keep_good(clashing_docs, labels).columns == clashing_docs.columns
+
+
+def plain_nbsvm(rows, labels, texts):
+    """Dense vectors, log-count ratios, and the dual solved by coordinate descent over the whole Gram matrix."""
+    names = sorted({x for r in rows for x in r})
+    at = {x: i for i, x in enumerate(names)}
+    dense = np.zeros((len(rows), len(names)))
+    for i, r in enumerate(rows):
+        dense[i, [at[x] for x in r]] = 1
+    y = np.where(np.array(labels) == 1, 1.0, -1.0)
+    whole = 1 << quality.BITS
+    p, q = (quality.SMOOTHING + dense[y == s].sum(0) for s in (1, -1))
+    others = quality.SMOOTHING * (whole - len(names))
+    r = np.log((p / (p.sum() + others)) / (q / (q.sum() + others)))
+    scaled = dense * r
+    scaled /= np.linalg.norm(scaled, axis=1, keepdims=True)
+    gram = (scaled @ scaled.T + 1.0) * np.outer(y, y)
+    alpha, order = np.zeros(len(rows)), np.random.default_rng(quality.SEED)
+    for _ in range(quality.EPOCHS):
+        for i in order.permutation(len(rows)):
+            alpha[i] = min(max(alpha[i] - (gram[i] @ alpha - 1.0) / 2.0, 0.0), quality.COST)
+    w, bias = scaled.T @ (alpha * y), float(alpha @ y)
+    w = quality.BLEND * w + (1 - quality.BLEND) * np.abs(w).sum() / whole * np.sign(w)
+    out = []
+    for t in texts:
+        own = [at[x] for x in t if x in at]
+        missing = np.log((quality.SMOOTHING / (p.sum() + others)) / (quality.SMOOTHING / (q.sum() + others)))
+        norm = np.sqrt((r[own] ** 2).sum() + (len(t) - len(own)) * missing**2)
+        margin = 3.0 * (bias + float(r[own] @ w[own]) / max(1e-6, norm))
+        out.append(1 / (1 + np.exp(-np.clip(margin, -60, 60))))
+    return out
+
+
+def test_scores_against_a_dense_model(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "quality")
+    got = {r.doc_id: r.score for r in quality.score_quality(docs, labels).collect()}
+    texts = {r.doc_id: quality.features(r.text).tolist() for r in docs.collect()}
+    known = sorted((r.doc_id, r.quality) for r in labels.collect() if not quality.crc_held_out(r.doc_id))
+    want = plain_nbsvm([texts[i] for i, _ in known], [q for _, q in known], texts.values())
+    assert max(abs(got[i] - w) for i, w in zip(texts, want, strict=True)) < 2e-3

@@ -87,3 +87,9 @@ def test_odd_rows(spark, odd_docs, no_docs):
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(ids)) and 2 in ids and 3 not in ids and 4 not in ids
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.one_of_each_group(no_docs).count() == 0
+
+
+def test_helper_names(clashing_docs, unchanged):
+    kept = simhash.one_of_each_group(clashing_docs)
+    assert kept.columns == clashing_docs.columns
+    unchanged(kept, clashing_docs)

@@ -3,6 +3,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from loomwork.llm import sketches
+from loomwork.llm._common import range_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,7 +56,7 @@ def test_union_and_containment(spark):
 
 def test_range_search(spark):
     cuts = [3, 3, 10, 20, 50]
-    got = spark.range(60).select("id", sketches._range_of(F.col("id"), sorted(set(cuts))).alias("r")).collect()
+    got = spark.range(60).select("id", range_of(F.col("id"), sorted(set(cuts))).alias("r")).collect()
     assert all(r.r == sum(c <= r.id for c in {3, 10, 20, 50}) for r in got)
 
 
@@ -75,3 +76,17 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert sketches.with_next(sketches.with_sketch(no_docs, F.col("text"), "sketch"), ["text", "sketch"]).count() == 0
     one = docs.filter("doc_id = 2").limit(1)
     assert sketches.with_next(one, ["text"]).first().next_text == one.first().text
+
+
+def test_helper_names(clashing_docs, unchanged):
+    docs = clashing_docs.withColumn("text", F.coalesce("text", F.lit("")))
+    got = sketches.with_next(sketches.with_sketch(docs, F.col("text"), "sketch"), ["text", "sketch"])
+    assert len(unchanged(got, clashing_docs)) == docs.count()
+
+
+def test_ranges_follow_bytes(spark):
+    """One very long text among short ones: it shares its range with few others, and pairs stay right."""
+    rows = [(i, "w " * (40_000 if i == 50 else 5)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: len(r.next_text) for r in sketches.with_next(docs, ["text"]).collect()}
+    assert all(got[i] == len(rows[(i - 1) % 400][1]) for i in range(400))

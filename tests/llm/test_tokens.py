@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -48,6 +49,32 @@ def test_counts_and_cache(spark, odd_docs, no_docs):
     assert tokens.count_tokens(no_docs, cache, path).count() == 0
 
 
+def test_a_warm_cache_is_hit(spark):
+    """A second run of the query encodes nothing, and gives the same rows."""
+    cache = new_folder(spark, "cache-test")
+    spark.conf.set(tokens.CACHE_SETTING, cache)
+    try:
+        first = sorted(map(tuple, tokens.op6_token_counts(spark, SF).collect()))
+        stored = spark.read.parquet(cache)
+        n, contents = stored.count(), spark.read.parquet(f"{SF}/documents.parquet").select("text").distinct().count()
+        assert n == contents
+        assert sorted(map(tuple, tokens.op6_token_counts(spark, SF).collect())) == first
+        assert spark.read.parquet(cache).count() == n
+    finally:
+        spark.conf.unset(tokens.CACHE_SETTING)
+
+
+def test_normal_forms_share_a_count(spark):
+    path = tokenizer_path(tokens.WORD_BPE)
+    library = Tokenizer.from_file(path)
+    texts = ["Hello  World", "hello world\n", " hello\tWORLD", "<|ENDOFTEXT|> a", "<|endoftext|> a", "J\u030c x", "j\u030c x", "ÀB", None, " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cache = new_folder(spark, "cache-test")
+    got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(docs, cache, path).collect()}
+    assert got == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert spark.read.parquet(cache).count() == 7  # three ways of one text, and null beside white space
+
+
 def test_token_files(spark, odd_docs, no_docs):
     path = tokenizer_path(tokens.WORD_BPE)
     library = Tokenizer.from_file(path)
@@ -73,11 +100,42 @@ def test_token_files(spark, odd_docs, no_docs):
     found = token_files.lookup(spark, folder, some).collect()
     texts = {r.doc_id: r.text for r in rows}
     assert {r.doc_id: r.ids for r in found} == {i: ids(texts[i]).tolist() for i in (3, 77)}
+    one = token_files.fetch(spark, folder, 77)
+    assert [(r.doc_id, r.ids) for r in one.collect()] == [(77, ids(texts[77]).tolist())]
+    assert token_files.fetch(spark, folder, 10**12).count() == 0
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*part#", plan) and "LessThanOrEqual(first_key,77)" in plan
+    assert "keys" not in plan.split("ReadSchema")[1]
     folder = new_folder(spark, "files-test")
     token_files.write_token_files(no_docs, folder, path)
     assert token_files.read_token_files(spark, folder).count() == 0
 
 
+def test_shards_are_row_groups_and_hot_keys_are_split(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(token_files, "SHARD_DOCS", 16)
+    rows = [(i if i % 3 else 7, f"text number {i} of many") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    folder = new_folder(spark, "files-test")
+    token_files.write_token_files(docs, folder, tokenizer_path(tokens.WORD_BPE))
+    table = spark.read.schema(token_files.SHARDS).parquet(folder)
+    hot = table.filter("first_key <= 7 and last_key >= 7")
+    assert hot.count() > 10 and hot.select("part").distinct().count() > 1
+    files = [f.removeprefix("file:").lstrip("/") for f in table.inputFiles()]
+    assert sum(pq.ParquetFile("/" + f).num_row_groups for f in files) == table.count()
+    # One row group is read for a key that isn't hot, although its range has many.
+    key = next(i for i in range(590, 0, -1) if i % 3)
+    held = table.filter(f"first_key <= {key} and last_key >= {key}").collect()
+    assert len(held) == 1 and token_files.fetch(spark, folder, key).count() == 1
+    assert token_files.fetch(spark, folder, 7).count() == sum(r[0] == 7 for r in rows)
+    asked = spark.createDataFrame([(7,), (key,), (None,), (-5,)], "doc_id long")
+    found = token_files.lookup(spark, folder, asked).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in found} == {7: sum(r[0] == 7 for r in rows), key: 1}
+    got = token_files.read_token_files(spark, folder).collect()
+    assert len(got) == 600 and sorted(r.start for r in got)[0] == 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 1000, 4096])
 def test_index_is_minimal_and_perfect(n):
     keys = np.unique(np.random.default_rng(n).integers(-(1 << 62), 1 << 62, n))
@@ -135,3 +193,51 @@ def test_later_rounds_and_shards(spark, monkeypatch):
     assert sorted(got.uid) == list(range(700))
     for _, g in got.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
         assert (g.length.cumsum() - g.length == g.offset).all() and g.length.sum() <= 2048
+
+
+def brute_fewest(size, capacity):
+    """The least number of bins, by trying every bin for every item."""
+    best = len(size)
+
+    def put(i, left):
+        nonlocal best
+        if len(left) >= best:
+            return
+        if i == len(size):
+            best = len(left)
+            return
+        for b in range(len(left)):
+            if left[b] >= size[i]:
+                left[b] -= size[i]
+                put(i + 1, left)
+                left[b] += size[i]
+        put(i + 1, [*left, capacity - size[i]])
+
+    put(0, [])
+    return best
+
+
+def test_small_shards_reach_the_optimum():
+    rng = np.random.default_rng(11)
+    for seed in range(15):
+        size = rng.integers(20, 70, 9)
+        want = brute_fewest(sorted(size.tolist(), reverse=True), 100)
+        assert packing.fewest(size, 100) <= want
+        assert packing.evolve(size, [], seed, 100).max() + 1 == want
+
+
+def test_evolution_beats_its_own_start():
+    """Where best-fit decreasing leaves slack, the packings that evolve from it need fewer bins."""
+    size = np.random.default_rng(4).integers(300, 1000, 2000)
+    start = packing.best_fit(np.argsort(-size, kind="stable").tolist(), size.tolist(), [], [], 2048)
+    evolved = packing.evolve(size, [], 5)
+    assert len(start.bins) > packing.fewest(size, 2048)
+    assert evolved.max() + 1 <= 0.985 * len(start.bins)
+    again = packing.evolve(size, [evolved, packing.evolve(size, [], 6)], 7)
+    assert again.max() <= evolved.max()
+
+
+def test_sequences_of_the_query_are_near_the_bound(spark):
+    got = packing.op10_best_fit_packing(spark, "/root/testdata/sf0.1").toPandas()
+    assert got.sequence_id.nunique() <= 1.01 * -(-got.length.sum() // 2048)
+    assert got.groupby("sequence_id").length.sum().max() <= 2048
