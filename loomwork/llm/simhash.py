@@ -8,6 +8,12 @@ segment meets exactly once that way, at the home of the one that has the bit. Th
 only those that connect what isn't connected yet: before it, fingerprints that follow each other in a segment's table are
 linked where they are close enough, so that a large group of near copies doesn't emit all of its pairs.
 
+Tables of 21 bits hold few fingerprints a key as long as there are not many more fingerprints than keys. Above
+``THREE_SEGMENTS`` of them the tables are those of the two halves, 32 bits each, of which one differs in two bits at most:
+there a fingerprint's homes are its half and those one bit away, it visits the same keys, and pairs meet half-way. Both
+ways find every link; a key's rows stay few in both. Keys that are dense all the same are split: Spark splits the join's,
+and those with more than ``DENSE`` rows are put in order in parts.
+
 Links become groups by passing smallest labels along links and jumping along pointers, with a table written each round.
 
 Defined results: null or empty text has fingerprint zero and is linked like any other; texts of fewer than four words
@@ -32,6 +38,12 @@ SHINGLE_WORDS = 4
 MAX_BITS = 4
 #: (first bit, bits) of the segments; with three segments and four differing bits one segment differs in one bit at most.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
+#: Halves, of which one differs in two bits at most.
+HALVES = ((0, 32), (32, 32))
+#: Fingerprints up to which three segments are used.
+THREE_SEGMENTS = 1 << 24
+#: Rows of a key that are put in order together.
+DENSE = 4096
 HASH_ROWS = 1 << 16
 
 
@@ -80,13 +92,18 @@ def _homes(nodes: DataFrame) -> DataFrame:
     return nodes.select("fp", "node", F.explode(F.array(*homes)).alias("at")).select("at.*", "fp", "node")
 
 
-def neighbour_links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def neighbour_links(nodes: DataFrame, max_bits: int = MAX_BITS, dense: int = DENSE) -> DataFrame:
     """Some of the links: those between fingerprints that follow each other in a key of a segment's table.
 
-    There are as many at most as rows, and they join most of what a dense group holds.
+    There are as many at most as rows, and they join most of what a dense group holds. A key with more than ``dense`` rows
+    is dealt into parts, each in order by itself.
     """
-    in_order = Window.partitionBy("segment", "key").orderBy("fp")
-    pairs = _homes(nodes).select(
+    homes = _homes(nodes)
+    parts = homes.groupBy("segment", "key").agg(F.ceil(F.count(F.lit(1)) / dense).cast("long").alias("parts"))
+    dealt = homes.join(parts.filter("parts > 1"), ["segment", "key"], "left")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))))
+    in_order = Window.partitionBy("segment", "key", "part").orderBy("fp")
+    pairs = dealt.select(
         F.col("node").alias("a"),
         F.lag("node").over(in_order).alias("b"),
         F.bit_count(F.col("fp").bitwiseXOR(F.lag("fp").over(in_order))).alias("bits"),
@@ -94,24 +111,61 @@ def neighbour_links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return pairs.filter(F.col("bits") <= max_bits).select("a", "b")
 
 
-def near_links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """All links (a, b) between fingerprints ``fp`` in ``nodes`` that differ in at most ``max_bits`` bits and whose
-    ``node`` differs. A link carries the nodes; one may come from more than one segment.
+def _close(max_bits: int) -> Column:
+    return (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= max_bits) & (F.col("a") != F.col("b"))
 
-    Give fingerprints that are known to be connected the same node: then a dense group emits no pairs of its own.
-    """
+
+def _links_by_segments(nodes: DataFrame, max_bits: int) -> DataFrame:
     home = _homes(nodes).select("segment", "key", F.col("fp").alias("fp_b"), F.col("node").alias("b"))
     visits = [_visited(s, _segment(F.col("fp"), start, bits), bits) for s, (start, bits) in enumerate(SEGMENTS)]
     visit = nodes.select(F.col("fp").alias("fp_a"), F.col("node").alias("a"), F.explode(F.concat(*visits)).alias("at"))
     visit = visit.select("fp_a", "a", "at.*")
-    close = (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= max_bits) & (F.col("a") != F.col("b"))
     # Pairs in one key meet twice (each visits its own home); keep one of the two.
     same = F.lit(False)
     for s, (start, bits) in enumerate(SEGMENTS):
         same = same | (
             (F.col("segment") == s) & (_segment(F.col("fp_a"), start, bits) == _segment(F.col("fp_b"), start, bits))
         )
-    return visit.join(home, ["segment", "key"]).filter(close & (~same | (F.col("a") < F.col("b")))).select("a", "b")
+    return visit.join(home, ["segment", "key"]).filter(_close(max_bits) & (~same | (F.col("a") < F.col("b"))))
+
+
+def _links_by_halves(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """Each fingerprint at its halves and at those one bit away; ``flip`` is the bit, -1 for the half itself.
+
+    Equal halves meet where neither is flipped, halves one bit apart at the home of one, and halves two bits apart at the
+    key where the one flips the lower of the two bits and the other the higher one.
+    """
+    def keys_of(segment: int, start: int, bits: int) -> Column:
+        masks = F.array(*[F.lit(m).cast("long") for m in (0, *(1 << j for j in range(bits)))])
+        half = _segment(F.col("fp"), start, bits)
+
+        def key(mask: Column, i: Column) -> Column:
+            return F.struct(F.lit(segment).alias("segment"), half.bitwiseXOR(mask).alias("key"), (i - 1).alias("flip"))
+
+        return F.transform(masks, key)
+
+    keys = [keys_of(s, start, bits) for s, (start, bits) in enumerate(HALVES)]
+    at = nodes.select("fp", "node", F.explode(F.concat(*keys)).alias("at")).select("at.*", "fp", "node")
+    one = at.select("segment", "key", F.col("flip").alias("flip_a"), F.col("fp").alias("fp_a"), F.col("node").alias("a"))
+    other = at.select("segment", "key", F.col("flip").alias("flip_b"), F.col("fp").alias("fp_b"), F.col("node").alias("b"))
+    half = F.when(F.col("segment") == 0, F.lit((1 << 32) - 1)).otherwise(F.lit(-(1 << 32)))
+    apart = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")).bitwiseAND(half))
+    once = (
+        ((apart == 0) & (F.col("flip_a") < 0) & (F.col("flip_b") < 0) & (F.col("a") < F.col("b")))
+        | ((apart == 1) & (F.col("flip_a") >= 0) & (F.col("flip_b") < 0) & (F.col("a") < F.col("b")))
+        | ((apart == 2) & (F.col("flip_a") >= 0) & (F.col("flip_a") < F.col("flip_b")) & (F.col("a") < F.col("b")))
+    )
+    return one.join(other, ["segment", "key"]).filter(_close(max_bits) & once)
+
+
+def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, halves: bool = False) -> DataFrame:
+    """All links (a, b) between fingerprints ``fp`` in ``nodes`` that differ in at most ``max_bits`` bits and whose
+    ``node`` differs. A link carries the nodes; one may come from more than one segment.
+
+    Give fingerprints that are known to be connected the same node: pairs of one node go inside the join.
+    """
+    found = _links_by_halves(nodes, max_bits) if halves else _links_by_segments(nodes, max_bits)
+    return found.select("a", "b")
 
 
 def components(links: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
@@ -152,7 +206,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     first = components(neighbour_links(known, max_bits), "simhash-first")
     joined = nodes.join(first, "node", "left").select("fp", F.coalesce("component", "node").alias("node"))
     joined = staged(joined, "simhash-joined")
-    groups = components(near_links(joined.filter("node is not null"), max_bits), "simhash-groups")
+    known = joined.filter("node is not null")
+    groups = components(near_links(known, max_bits, known.count() > THREE_SEGMENTS), "simhash-groups")
     owner = joined.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marked.join(owner, "fp").select("doc_id", "fp", "text_hash", "component_id")
 
