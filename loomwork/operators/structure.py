@@ -119,7 +119,7 @@ def headings(lines: DataFrame, key: str) -> DataFrame:
 
 def definitions(lines: DataFrame, key: str) -> DataFrame:
     """(key, line_no, term, definition) from the definitions sections: a flag carried from the last line that sets it."""
-    mark = F.when(F.col("line").rlike(P.DEFINITIONS_START), True).when(F.col("line").rlike(P.DEFINITIONS_END), False)
+    mark = F.when(F.col("line").rlike(P.any_of(P.DEFINITIONS_START)), True).when(F.col("line").rlike(P.DEFINITIONS_END), False)
     so_far = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = lines.withColumn("inside", F.last(mark, ignorenulls=True).over(so_far)).filter("inside")
     term = strip(groups_of(F.col("line"), P.DEFINITION_FORMS, 1))
@@ -158,7 +158,7 @@ def confidences(text: Column, filename: Column) -> dict[str, Column]:
     rules = F.regexp_count(part(15000), F.lit(r"(?m)^\s*\|[-:| ]+\|"))
     all_lines = F.size(F.split(part(15000), "\n"))
     slide_bullets = line_count(part(15000), P.SLIDE_BULLET, 100_000) / F.greatest(all_lines, F.lit(1))
-    sections = "|".join(f"(?:{p})" for p in P.MANUAL_SECTIONS.values())
+    sections = "|".join(P.any_of(p) for p in P.MANUAL_SECTIONS.values())
     keywords = reduce(lambda a, b: a + b, [(F.instr(low(text), k) > 0).cast("int") for k in P.RESUME_KEYWORDS])
     resume_parts = reduce(lambda a, b: a + b, [text.rlike("(?m)" + p).cast("int") for p in P.RESUME_SECTIONS.values()])
     scores = {
@@ -407,7 +407,7 @@ def requirements(lines: DataFrame, key: str) -> DataFrame:
 
 def manual_sections(lines: DataFrame, key: str) -> DataFrame:
     """(key, family, line_no, title, offset): a line may open a section of several families."""
-    families = F.array(*[F.when(F.col("line").rlike(p), F.lit(f)) for f, p in P.MANUAL_SECTIONS.items()])
+    families = F.array(*[F.when(F.col("line").rlike(P.any_of(p)), F.lit(f)) for f, p in P.MANUAL_SECTIONS.items()])
     found = lines.withColumn("family", F.explode(F.array_compact(families)))
     return found.select(key, "family", "line_no", F.col("line").alias("title"), "offset")
 

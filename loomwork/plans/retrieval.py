@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwork.functions.analysis import STOP_WORDS, terms, with_embedding
+from loomwork.functions.analysis import DOUBLED, ENDING, STOP_WORDS, terms, with_embedding
 from loomwork.operators import fusion, graph, lexical
 from loomwork.operators.vector import cosine, top_k, top_k_semantic
 from loomwork.session import table
@@ -246,14 +246,17 @@ def answers_with_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
+_STEM = lambda w: f"regexp_replace(regexp_replace({w}, '{ENDING}', '\\1'), '{DOUBLED}', '\\1\\2\\3\\4\\5\\6\\7\\8\\9')"
+_STEMS = lambda l: f"list_transform({l}, lambda w: {_STEM('w')})"
 _TERMS = lambda x: f"list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9]+'), lambda w: length(w) >= 2 AND NOT list_contains({_STOP_SQL}, w))"
 # The order of first occurrences, since list_distinct has none.
 _DISTINCT = lambda x: f"list_filter({x}, lambda w, i: list_position({x}, w) = i)"
 _QT = f"bt AS (SELECT item_id, text AS passage, {_TERMS('text')} AS l FROM benchmark), bq AS (SELECT item_id, passage, {_DISTINCT('l')} AS t FROM bt)"
 _LEX = """
-pt AS (SELECT doc_id, unnest(l) AS term, len(l) AS length FROM dl),
+pt AS (SELECT doc_id, unnest(""" + _STEMS("l") + """) AS term, len(l) AS length FROM dl),
 p AS (SELECT doc_id, term, count(*) AS tf, any_value(length) AS length FROM pt GROUP BY doc_id, term),
-q AS (SELECT query_id, len(qt) AS n_terms, unnest(qt) AS term FROM asked),
+qs AS (SELECT query_id, """ + _STEMS("qt") + """ AS s FROM asked), qd AS (SELECT query_id, list_distinct(s) AS s FROM qs),
+q AS (SELECT query_id, len(s) AS n_terms, unnest(s) AS term FROM qd),
 df AS (SELECT term, count(*) AS df FROM p WHERE term IN (SELECT term FROM q) GROUP BY term),
 lex AS (SELECT query_id, doc_id, round(s / (1 + s), 9) AS score FROM (
     SELECT query_id, doc_id, count(*) AS n, any_value(n_terms) AS n_terms,

@@ -137,7 +137,7 @@ def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = S.explode_lines(_books(spark, sf_dir), "region")
-    counts = lines.groupBy("region").agg(F.count_if(F.col("line").rlike(P.FRONT_MATTER)).alias("front"), F.count_if(F.col("line").rlike(P.BACK_MATTER)).alias("back"))
+    counts = lines.groupBy("region").agg(F.count_if(F.col("line").rlike(P.any_of(P.FRONT_MATTER))).alias("front"), F.count_if(F.col("line").rlike(P.any_of(P.BACK_MATTER))).alias("back"))
     parts = S.numbered_lines(lines, "region", P.BOOK_PARTS).groupBy("region").agg(F.count(F.lit(1)).alias("parts"))
     sections = S.numbered_lines(lines, "region", P.BOOK_SECTIONS).groupBy("region").agg(F.count(F.lit(1)).alias("sections"))
     toc = S.book_contents(lines, "region").groupBy("region").agg(F.count("page").alias("entries"), F.sum("page").alias("pages"))
