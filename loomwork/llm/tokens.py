@@ -21,7 +21,7 @@ from loomwork.llm._common import documents, new_folder, staged, text_or_empty, t
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 #: Pre-tokens a worker remembers before it starts a new generation (the last one is kept too); about 170 bytes each.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 TOKEN_LIMIT = 512
 
 
