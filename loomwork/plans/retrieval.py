@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwork.functions.analysis import DOUBLED, ENDING, STOP_WORDS, terms, with_embedding
-from loomwork.operators import fusion, graph, lexical
+from loomwork.functions.analysis import DIMENSIONS, DOUBLED, ENDING, STOP_WORDS, terms, with_embedding
+from loomwork.operators import fusion, graph, lexical, retrieve, twotier, vocabulary
 from loomwork.operators.vector import cosine, top_k, top_k_semantic
-from loomwork.session import table
+from loomwork.session import staged, table
 
 K = 10
 
@@ -39,10 +39,11 @@ def bulk_semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tenant_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search in one label's vectors: the filter reaches the scan."""
-    vectors = table(spark, sf_dir, "embeddings").filter("label = 3 and embedding is not null")
-    query = table(spark, sf_dir, "embeddings").filter("vec_id = 7").select(F.lit(7).alias("query_id"), F.col("embedding").alias("query_embedding"))
-    return top_k_semantic(vectors, query, "vec_id", K, None).select("vec_id", "rank", F.round("score", 6).alias("score"))
+    """Every vector whose id is divisible by 50 asks within its own label; queries meet only the vectors of their tenant."""
+    vectors = table(spark, sf_dir, "embeddings").filter("embedding is not null")
+    queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("query_embedding"))
+    scored = vectors.join(queries, "label").select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query_embedding")).alias("score"))
+    return top_k(scored, "vec_id", K).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,16 +75,49 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid_hits(spark, sf_dir).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.round("rrf", 9).alias("rrf"), "rank")
 
 
+#: Vectors that make a document, and texts that do.
+VECTORS_A_DOCUMENT, TEXTS_A_DOCUMENT = 4, 4
+
+
 def two_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels by the mean of their vectors first, three times as many as asked for; then vectors of those labels only."""
-    vectors = table(spark, sf_dir, "embeddings")
-    queries = vectors.filter("vec_id in (0, 50, 100, 150)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
-    parts = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    means = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
-    tier1 = top_k_semantic(means, queries, "label", 3, None).select("query_id", "label")
-    scored = vectors.join(queries.join(tier1, "query_id"), "label").select("query_id", "vec_id", "label", cosine(F.col("embedding"), F.col("query_embedding")).alias("score"))
-    best = top_k(scored, "vec_id", K).filter("score >= 0.30")
-    return best.select("query_id", "vec_id", "label", F.round("score", 6).alias("score"))
+    """Every vector whose id is divisible by 50 asks: documents by the mean of their vectors first, 30 for 10 hits."""
+    vectors = table(spark, sf_dir, "embeddings").withColumn("document", F.floor(F.col("vec_id") / VECTORS_A_DOCUMENT)).withColumn("content", F.lit(""))
+    queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    dimensions = vectors.select(F.max(F.size("embedding"))).first()[0] or 0
+    found = twotier.search(twotier.mean_vectors(vectors, "document", dimensions), vectors, queries, K, id_col="vec_id")
+    return found.select("query_id", "document", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+def _text_corpus(spark: SparkSession, sf_dir: str) -> tuple[retrieve.Corpus, DataFrame]:
+    """Texts as chunks, four a document, with hashed embeddings, and the benchmark's items as queries."""
+    docs = _docs(spark, sf_dir)
+    vectors = with_embedding(docs, "doc_id", "text")
+    chunks = docs.join(vectors, "doc_id", "left").select(
+        F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / TEXTS_A_DOCUMENT).alias("document"), (F.col("doc_id") % TEXTS_A_DOCUMENT).cast("int").alias("chunk_index"),
+        F.col("text").alias("content"), "embedding", F.to_json(F.struct(F.col("lang").alias("document_type"))).alias("metadata"),
+    )
+    chunks = staged(chunks, "chunks")
+    documents = twotier.mean_vectors(chunks.filter("embedding is not null"), "document", DIMENSIONS)
+    asked = _query_set(spark, sf_dir)
+    queries = asked.join(with_embedding(asked, "query_id", "passage", "query_embedding"), "query_id")
+    return retrieve.Corpus(chunks, documents), queries
+
+
+def two_tier_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus, queries = _text_corpus(spark, sf_dir)
+    found = [
+        twotier.search(corpus.documents, corpus.chunks, queries, K, mode, digits=9).select(F.lit(mode).alias("mode"), "query_id", "document", "id", "rank", F.round("score", 6).alias("score"))
+        for mode in ("keyword", "hybrid")
+    ]
+    return found[0].unionByName(found[1])
+
+
+def retrieval_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search among the chunks of one type, five hits, with their windows."""
+    corpus, queries = _text_corpus(spark, sf_dir)
+    request = retrieve.Request(mode="hybrid", k=5, document_type="en", expand_context=True, merge_overlapping=False, digits=9)
+    hits, _ = retrieve.retrieve(corpus, queries, request)
+    return hits.select("query_id", "id", "document", "chunk_index", "rank", F.round("score", 6).alias("score"), F.md5("expanded_content").alias("h"), "chunks_merged")
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,35 +169,28 @@ def multi_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 def synonym_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries with up to three words expanded by two synonyms each: words joined to the dictionary, regrouped in order."""
     words = spark.createDataFrame(SYNONYMS, "word string, synonyms array<string>")
-    pick = "element_at(array('search the vector database fast','how to create an api cache','delete index and update query now','llm rag pdf resume'), cast(item_id % 4 + 1 as int))"
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split(F.expr(pick), " ")).alias("at", "word"))
-    joined = asked.join(F.broadcast(words), "word", "left")
-    able = (F.length("word") >= 3) & ~F.col("word").isin(*STOP_WORDS) & F.col("synonyms").isNotNull()
-    so_far = F.sum(F.when(able, 1).otherwise(0)).over(Window.partitionBy("item_id").orderBy("at"))
-    # A set of synonyms without the word, sorted, five at most; two are added.
-    chosen = F.slice(F.slice(F.array_sort(F.array_remove(F.array_distinct("synonyms"), F.col("word"))), 1, 5), 1, 2)
-    more = F.when(able & (so_far <= 3), F.concat_ws(" ", "word", F.array_join(chosen, " "))).otherwise(F.col("word"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"])
-    return joined.withColumn("x", more).groupBy("item_id").agg(F.array_join(listed, " ").alias("expanded"))
-
-
-#: Part of the search vocabulary.
+    pick = "element_at(array('the fast ship to port','how to go late','order price of a fast late ship','nothing known'), cast(item_id % 4 + 1 as int))"
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.expr(pick).alias("query"))
+    return vocabulary.expanded(asked, "item_id", "query", words).withColumnRenamed("query", "expanded")
+
+
+def related_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each conversation turn's role and language-free text start, with all their synonyms, as a set."""
+    words = spark.createDataFrame(SYNONYMS, "word string, synonyms array<string>")
+    asked = table(spark, sf_dir, "part").select("p_partkey", F.expr("array(if(p_size % 2 = 0, 'Ship', 'port'), if(p_size % 3 = 0, 'late', 'Other'))").alias("words"))
+    return vocabulary.related(asked, "p_partkey", "words", words).select("p_partkey", F.array_join("related", ",").alias("related"))
+
+
+#: Words of our own for the query; a job gives its own dictionary table.
 SYNONYMS = [
-    ("rag", ["retrieval augmented generation", "retrieval-augmented-generation"]),
-    ("llm", ["large language model", "language model", "ai model"]),
-    ("vector", ["embedding", "representation", "dense representation"]),
-    ("pdf", ["portable document format", "document"]),
-    ("resume", ["cv", "curriculum vitae"]),
-    ("search", ["find", "lookup", "query", "retrieve"]),
-    ("query", ["search", "question", "request"]),
-    ("api", ["application programming interface", "interface", "endpoint"]),
-    ("database", ["db", "datastore", "data store"]),
-    ("cache", ["memory cache", "temporary storage"]),
-    ("index", ["search index", "inverted index"]),
-    ("create", ["add", "insert", "make", "generate"]),
-    ("update", ["modify", "edit", "change", "patch"]),
-    ("delete", ["remove", "destroy", "erase"]),
-    ("fast", ["quick", "rapid", "speedy", "efficient"]),
+    ("ship", ["vessel", "boat", "freighter"]),
+    ("port", ["harbour", "dock"]),
+    ("fast", ["quick", "speedy", "express"]),
+    ("order", ["purchase"]),
+    ("price", ["cost", "rate", "price"]),
+    ("to", ["towards"]),
+    ("go", ["move", "travel"]),
+    ("late", ["delayed", "overdue", "behind"]),
 ]
 
 
@@ -219,7 +246,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "preset string, style string, citation string",
     )
     pick = F.expr("element_at(array('concise','research','creative','qna','nothing'), cast(item_id % 5 + 1 as int))")
-    asked = table(spark, sf_dir, "benchmark").select("item_id", pick.alias("preset"), F.substring("text", 1, 40).alias("query"))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", pick.alias("preset"), F.col("text").alias("query"))
     joined = asked.join(F.broadcast(presets), "preset", "left")
     style, citation = F.coalesce("style", F.lit("comprehensive")), F.coalesce("citation", F.lit("academic"))
     return joined.select("item_id", F.format_string("style=%s;citations=%s;question=%s", style, citation, F.col("query")).alias("prompt"))
@@ -245,6 +272,7 @@ def answers_with_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("edges", F.lit(0)).alias("edges"))
 
 
+_SYN = ", ".join(f"('{w}', {list(x)})" for w, x in SYNONYMS)
 _STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 _STEM = lambda w: f"regexp_replace(regexp_replace({w}, '{ENDING}', '\\1'), '{DOUBLED}', '\\1\\2\\3\\4\\5\\6\\7\\8\\9')"
 _STEMS = lambda l: f"list_transform({l}, lambda w: {_STEM('w')})"
@@ -304,11 +332,14 @@ QUERIES = {
     "c5_c6_embeddings": embeddings,
     "r3_r4_j3_w1_k3_hybrid": hybrid_search,
     "r5_j2_k4_two_tier": two_tier,
+    "r5_two_tier_modes": two_tier_modes,
+    "r14_k7_f3_retrieve": retrieval_request,
     "r6_j4_w7_windows": windows,
     "r7_j6_overlaps": overlaps,
     "r8_r9_rerank": rerank,
     "r15_u2_multi_step": multi_step,
     "t10_t11_u3_synonyms": synonym_expansion,
+    "u4_related_terms": related_terms,
     "r19_r21_r22_prompt_context": prompt_context,
     "r16_r17_r18_j7_sources": sources,
     "r20_media": media,
@@ -331,9 +362,10 @@ ORACLES = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, vec_id, rank::INT AS rank, round(score, 6) AS score FROM r WHERE rank <= 10 AND score >= 0.2""",
     "f1_f7_tenant_search": """
-        WITH s AS (SELECT e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
-                   FROM embeddings e, embeddings q WHERE q.vec_id = 7 AND e.label = 3)
-        SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id)::INT AS rank, round(score, 6) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 10""",
+        WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
+                   FROM embeddings e JOIN embeddings q ON e.label = q.label AND q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, vec_id, rank::INT AS rank, round(score, 6) AS score FROM r WHERE rank <= 10""",
     "r2_k2_keyword_search": f"WITH {_DL}, {_ASK}, {_LEX} SELECT query_id, doc_id, rank::INT AS rank, round(score, 6) AS score FROM kw WHERE rank <= 10 AND score >= 0.001",
     "c5_c6_embeddings": f"""
         WITH {_DL}, e AS (SELECT doc_id, {_EMB('l')} AS v FROM dl WHERE len(l) > 0)
@@ -347,13 +379,40 @@ ORACLES = {
         o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, ra ASC NULLS LAST, rb ASC NULLS LAST, doc_id) AS rank FROM f)
         SELECT query_id, doc_id, round(score, 6) AS score, round(rrf, 9) AS rrf, rank::INT AS rank FROM o WHERE rank <= 10""",
     "r5_j2_k4_two_tier": """
-        WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
-        y AS (SELECT label, i, avg(x) AS x FROM x GROUP BY ALL), m AS (SELECT label, list(x ORDER BY i) AS v FROM y GROUP BY label),
-        q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (0, 50, 100, 150)),
-        t AS (SELECT query_id, label, q.v, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(m.v, q.v) DESC, label) AS n FROM m, q),
-        s AS (SELECT query_id, vec_id, e.label, list_cosine_similarity(e.embedding::DOUBLE[], t.v) AS score FROM embeddings e JOIN t ON e.label = t.label AND n <= 3),
+        WITH c AS (SELECT *, vec_id // 4 AS document FROM embeddings),
+        x AS (SELECT document, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM c),
+        y AS (SELECT document, i, avg(x) AS x FROM x GROUP BY ALL), m AS (SELECT document, list(x ORDER BY i) AS v FROM y GROUP BY document),
+        q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
+        t AS (SELECT query_id, document, q.v, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(m.v, q.v) DESC, document) AS n FROM m, q),
+        s AS (SELECT query_id, vec_id, c.document, list_cosine_similarity(c.embedding::DOUBLE[], t.v) AS score FROM c JOIN t ON c.document = t.document AND n <= 30),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-        SELECT query_id, vec_id, label, round(score, 6) AS score FROM r WHERE rank <= 10 AND score >= 0.30""",
+        SELECT query_id, document, vec_id, rank::INT AS rank, round(score, 6) AS score FROM r WHERE rank <= 10 AND score >= 0.30""",
+    "r5_two_tier_modes": f"""
+        WITH {_DL}, {_ASK}, {_LEX}, {_SEM},
+        u AS (SELECT doc_id // 4 AS document, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM dv), y AS (SELECT document, i, avg(x) AS x FROM u GROUP BY ALL),
+        m AS (SELECT document, list(x ORDER BY i) AS v FROM y GROUP BY document),
+        t1 AS (SELECT query_id, document, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(m.v, qv.v), 9) DESC, document) AS n FROM m, qv),
+        t AS (SELECT query_id, document FROM t1 WHERE n <= 30),
+        k AS (SELECT lex.query_id, doc_id // 4 AS document, doc_id AS id, score, row_number() OVER (PARTITION BY lex.query_id ORDER BY score DESC, doc_id) AS rank
+              FROM lex JOIN t ON t.query_id = lex.query_id AND t.document = doc_id // 4),
+        s AS (SELECT sem.query_id, doc_id AS id, score, row_number() OVER (PARTITION BY sem.query_id ORDER BY score DESC NULLS LAST, doc_id) AS rank
+              FROM sem JOIN t ON t.query_id = sem.query_id AND t.document = doc_id // 4),
+        a AS (SELECT * FROM s WHERE rank <= 20 AND score >= 0.30), b AS (SELECT * FROM k WHERE rank <= 20 AND score >= 0.01),
+        f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, a.rank AS ra, b.rank AS rb, greatest(a.score, b.score) AS score,
+                     coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) AS rrf FROM a FULL JOIN b ON a.query_id = b.query_id AND a.id = b.id),
+        o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, ra ASC NULLS LAST, rb ASC NULLS LAST, id) AS rank FROM f)
+        SELECT 'keyword' AS mode, query_id, document, id, rank::INT AS rank, round(score, 6) AS score FROM k WHERE rank <= 10 AND score >= 0.01
+        UNION ALL SELECT 'hybrid', query_id, id // 4, id, rank::INT, round(score, 6) FROM o WHERE rank <= 10""",
+    "r14_k7_f3_retrieve": f"""
+        WITH dl AS (SELECT doc_id, {_TERMS('text')} AS l FROM documents WHERE lang = 'en'), {_ASK}, {_LEX}, {_SEM},
+        a AS (SELECT * FROM sr WHERE rank <= 10 AND score >= 0.35), b AS (SELECT * FROM kw WHERE rank <= 10 AND score >= 0.001),
+        f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS id, a.rank AS ra, b.rank AS rb, greatest(a.score, b.score) AS score,
+                     coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) AS rrf FROM a FULL JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id),
+        o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, ra ASC NULLS LAST, rb ASC NULLS LAST, id) AS rank FROM f),
+        w AS (SELECT query_id, id, any_value(rank) AS rank, any_value(score) AS score, count(*) AS chunks_merged,
+                     coalesce(string_agg(trim(text, ' '), chr(10) || chr(10) ORDER BY doc_id) FILTER (trim(text, ' ') <> ''), '') AS x
+              FROM o JOIN documents d ON d.doc_id // 4 = o.id // 4 AND d.doc_id BETWEEN o.id - 1 AND o.id + 2 WHERE o.rank <= 5 GROUP BY query_id, id)
+        SELECT query_id, id, id // 4 AS document, (id % 4)::INT AS chunk_index, rank::INT AS rank, round(score, 6) AS score, md5(x) AS h, chunks_merged FROM w""",
     "r6_j4_w7_windows": _HITS + "SELECT * FROM win",
     "r7_j6_overlaps": _HITS.replace("WITH q AS", "WITH RECURSIVE q AS", 1) + """,
         o AS (SELECT *, row_number() OVER (PARTITION BY query_id, document ORDER BY score DESC, chunk_index) AS n FROM win),
@@ -381,12 +440,19 @@ ORACLES = {
         b AS (SELECT query_id // 4 AS query_id, doc_id, max(score) AS score FROM kw WHERE rank <= 5 AND score >= 0.001 GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b)
         SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 20""",
-    "t10_t11_u3_synonyms": """
-        SELECT item_id, ['search find lookup the vector dense representation embedding database data store datastore fast',
-                         'how to create add generate an api application programming interface endpoint cache memory cache temporary storage',
-                         'delete destroy erase index inverted index search index and update change edit query now',
-                         'llm ai model language model rag retrieval augmented generation retrieval-augmented-generation pdf document portable document format resume'][item_id % 4 + 1] AS expanded
-        FROM benchmark""",
+    "t10_t11_u3_synonyms": f"""
+        WITH w AS (SELECT word, unnest(s) AS s FROM (VALUES {_SYN}) v(word, s)),
+        two AS (SELECT word, list(s ORDER BY s)[1:2] AS s FROM (SELECT DISTINCT word, s FROM w WHERE s <> word) GROUP BY word),
+        a AS (SELECT item_id, ['the fast ship to port', 'how to go late', 'order price of a fast late ship', 'nothing known'][item_id % 4 + 1] AS q FROM benchmark),
+        t AS (SELECT item_id, unnest(string_split(q, ' ')) AS word, generate_subscripts(string_split(q, ' '), 1) AS pos FROM a),
+        j AS (SELECT t.*, two.s, length(t.word) >= 3 AND two.s IS NOT NULL AS able FROM t LEFT JOIN two USING (word)),
+        n AS (SELECT *, sum(able::INT) OVER (PARTITION BY item_id ORDER BY pos) AS so_far FROM j)
+        SELECT item_id, string_agg(CASE WHEN able AND so_far <= 3 THEN word || ' ' || array_to_string(s, ' ') ELSE word END, ' ' ORDER BY pos) AS expanded FROM n GROUP BY item_id""",
+    "u4_related_terms": f"""
+        WITH w AS (SELECT word, unnest(s) AS s FROM (VALUES {_SYN}) v(word, s)),
+        a AS (SELECT p_partkey, unnest([CASE WHEN p_size % 2 = 0 THEN 'ship' ELSE 'port' END, CASE WHEN p_size % 3 = 0 THEN 'late' ELSE 'other' END]) AS word FROM part),
+        r AS (SELECT p_partkey, word FROM a UNION SELECT p_partkey, s FROM a JOIN w USING (word) WHERE s <> word)
+        SELECT p_partkey, string_agg(word, ',' ORDER BY word) AS related FROM r GROUP BY p_partkey""",
     "r19_r21_r22_prompt_context": f"""
         WITH {_DL}, {_ASK}, {_LEX},
         r AS (SELECT query_id, rank, text[1:80] AS snippet, text, lang, source, source || '-' || doc_id AS filename FROM kw JOIN documents USING (doc_id) WHERE rank <= 10 AND score >= 0.001)
@@ -409,7 +475,7 @@ ORACLES = {
         SELECT p_partkey, CASE WHEN length(p) > 200 THEN p[1:200] || '...' ELSE p END AS preview FROM x""",
     "r23_prompts": """
         SELECT item_id, 'style=' || ['brief','academic','exploratory','qna','comprehensive'][item_id % 5 + 1] || ';citations=' ||
-               ['inline','academic_full','narrative','inline','academic'][item_id % 5 + 1] || ';question=' || text[1:40] AS prompt FROM benchmark""",
+               ['inline','academic_full','narrative','inline','academic'][item_id % 5 + 1] || ';question=' || text AS prompt FROM benchmark""",
     "r11_graph_edges": f"WITH {_GRAPH} SELECT * FROM edge",
     "r10_graph_search": f"WITH {_GRAPH}, {_GSEARCH} SELECT * FROM gs WHERE rank <= 5",
     "r13_answers_with_graph": f"""

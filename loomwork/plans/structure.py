@@ -215,7 +215,7 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = {
         "legal": _legal(spark, sf_dir).select("text"), "table": _tables(spark, sf_dir).select("text"), "email": _mails(spark, sf_dir).select("text"),
         "qa": _explicit(spark, sf_dir).select(F.col("body").alias("text")), "book": _books(spark, sf_dir).select("text"), "manual": _manuals(spark, sf_dir).select("text"),
-        "resume": _resumes(spark, sf_dir).select("text"), "general": table(spark, sf_dir, "documents").filter("lang = 'en'").select("text"),
+        "resume": _resumes(spark, sf_dir).select("text"), "general": table(spark, sf_dir, "documents").select("text"),
     }
     all_docs = None
     for kind, docs in kinds.items():

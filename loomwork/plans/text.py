@@ -75,7 +75,7 @@ def type_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).groupBy(X.type_label(raw).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-SECRET_TEXT = "concat(substring(text, 1, 200), ' Bearer abc.DEF-', doc_id, ' sk-', md5(cast(doc_id as string)), ' mn_', md5(source), ' mn_short')"
+SECRET_TEXT = "concat(text, ' Bearer abc.DEF-', doc_id, ' sk-', md5(cast(doc_id as string)), ' mn_', md5(source), ' mn_short')"
 
 
 def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +138,7 @@ def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("how-to-"), F.regexp_replace(F.substring("text", 1, 20), "[^A-Za-z]+", "-"), F.lit("-a1b2-tail"))
+    raw = F.concat(F.lit("how-to-"), F.regexp_replace("text", "[^A-Za-z]+", "-"), F.lit("-a1b2-tail"))
     return table(spark, sf_dir, "benchmark").select("item_id", X.decode_slug(raw).alias("words"))
 
 
@@ -256,7 +256,7 @@ ORACLES = {
         SELECT coalesce({_map_sql(X.TYPE_ALIASES)}[c], c) AS label, count(*) AS n FROM r GROUP BY 1""",
     "t13_redaction": """
         SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(
-                 text[1:200] || ' Bearer abc.DEF-' || doc_id || ' sk-' || md5(doc_id::VARCHAR) || ' mn_' || md5(source) || ' mn_short',
+                 text || ' Bearer abc.DEF-' || doc_id || ' sk-' || md5(doc_id::VARCHAR) || ' mn_' || md5(source) || ' mn_short',
                  'mn_[a-zA-Z0-9_]{32,}', 'mn_***REDACTED***', 'g'), 'sk-[a-zA-Z0-9]{32,}', 'sk-***REDACTED***', 'g'),
                  'Bearer\\s+[a-zA-Z0-9_\\-\\.]+', 'Bearer ***REDACTED***', 'g') AS clean,
                '***REDACTED***' AS cookie, lang AS accept FROM documents""",
@@ -283,7 +283,7 @@ ORACLES = {
         SELECT item_id, 'embedding:' || sha256(text) AS embedding_key,
                'search:' || sha256(text || ':{"collection": "en", "top_k": ' || (item_id % 10) || '}') AS search_key,
                'query_reform:' || sha256('expand:' || text) AS reform_key FROM benchmark""",
-    "t21_slug": "SELECT item_id, replace('how-to-' || regexp_replace(text[1:20], '[^A-Za-z]+', '-', 'g'), '-', ' ') AS words FROM benchmark",
+    "t21_slug": "SELECT item_id, replace('how-to-' || regexp_replace(text, '[^A-Za-z]+', '-', 'g'), '-', ' ') AS words FROM benchmark",
     "t22_follow_ups": """
         WITH q AS (SELECT item_id, item_id % 4 AS w, item_id % 3 AS m, string_split(text, ' ')[2] AS second, string_split(text, ' ')[1] AS first FROM benchmark)
         SELECT item_id, CASE w WHEN 0 THEN 'Can you provide examples related to ' || coalesce(second, first) || '?|How does this work in practice?'

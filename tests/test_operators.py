@@ -79,3 +79,101 @@ def test_status_stream_over_several_batches_equals_the_fold_in_order(spark, tmp_
     stream = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     found = jobs.run(jobs.statuses(stream), "update", key=["user_id"]).collect()
     assert sorted(map(tuple, found)) == [(0, "completed", 6), (1, "completed", 6)]
+
+
+CHUNKS = "id int, document int, chunk_index int, content string, embedding array<double>, metadata string"
+
+
+def small_corpus(spark):
+    from loomwork.operators import graph, retrieve
+
+    words = ["red apples grow on trees", "green apples taste sour", "ships sail the ocean", "an ocean liner ships cargo", "the cargo hold of a ship", "apple growers"]
+    rows = [(i, i // 2, i % 2, w, [float("appl" in w), float("ship" in w), 0.1 * i], '{"document_type": "%s"}' % ("book" if i % 2 else "memo")) for i, w in enumerate(words)]
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    documents = spark.createDataFrame(
+        [(0, [1.0, 0.0, 0.05], '{"domain_processor": "book"}'), (1, [0.0, 1.0, 0.25], '{"domain_processor": "memo"}'), (2, [0.5, 0.5, 0.4], '{"domain_processor": "book"}'), (3, None, None)],
+        "document int, embedding array<double>, processing_info string",
+    )
+    docs = spark.createDataFrame([(1, "c", "locomotive factories"), (2, "c", "locomotive factories")], "id int, source string, text string")
+    entities, edges = graph.build(docs, "id", "source", "text")
+    queries = spark.createDataFrame([(0, "shipping cargo", [0.0, 1.0, 0.0]), (1, "locomotive factories", [1.0, 0.0, 0.0])], "query_id int, query string, query_embedding array<double>")
+    return retrieve.Corpus(chunks, documents, entities, edges), queries
+
+
+def ids_of(hits):
+    out = {}
+    for r in sorted(hits.collect(), key=lambda r: (r.query_id, r["rank"])):
+        out.setdefault(r.query_id, []).append(r.id)
+    return out
+
+
+def test_retrieval_modes(spark):
+    import pytest
+    from loomwork.operators import retrieve
+
+    corpus, queries = small_corpus(spark)
+    hits, refs = retrieve.retrieve(corpus, queries, retrieve.Request(mode="keyword"))
+    assert refs is None and ids_of(hits) == {0: [3, 4]} or ids_of(hits) == {0: [4, 3]}  # ships, shipping and ship meet
+    hits, _ = retrieve.retrieve(corpus, queries, retrieve.Request(mode="semantic", k=2))
+    assert ids_of(hits) == {0: [2, 3], 1: [0, 1]}
+    hits, _ = retrieve.retrieve(corpus, queries, retrieve.Request(mode="hybrid", k=2))
+    assert len(ids_of(hits)[0]) == 2 and ids_of(hits)[0][0] in (3, 4)
+    # The type is a chunk's in the plain modes, and the document's in the two-tier search.
+    hits, _ = retrieve.retrieve(corpus, queries, retrieve.Request(mode="semantic", document_type="book"))
+    assert set(ids_of(hits)[0]) == {3} and set(ids_of(hits)[1]) == {1, 5}
+    hits, _ = retrieve.retrieve(corpus, queries, retrieve.Request(mode="semantic", document_type="book", hierarchical=True))
+    assert set(ids_of(hits)[1]) <= {0, 1, 4, 5} and set(ids_of(hits)[1]) >= {0, 1}
+    hits, refs = retrieve.retrieve(corpus, queries, retrieve.Request(mode="graph"))
+    assert hits.count() == 0 and [(r.query_id, r.a, r.b) for r in refs.collect()] == [(1, "factories", "locomotive")]
+    hits, refs = retrieve.retrieve(corpus, queries, retrieve.Request(mode="semantic", k=2, enable_graph=True))
+    assert ids_of(hits) == {0: [2, 3], 1: [0, 1]} and refs.count() == 1
+    for bad in (retrieve.Request(mode="other"), retrieve.Request(mode="graph")):
+        with pytest.raises(ValueError):
+            retrieve.retrieve(retrieve.Corpus(corpus.chunks), queries, bad)
+
+
+def test_windows_come_before_reranking(spark):
+    from loomwork.operators import retrieve
+
+    corpus, queries = small_corpus(spark)
+    request = retrieve.Request(mode="semantic", k=3, expand_context=True, rerank=retrieve.coverage)
+    hits = {(r.query_id, r.id): r for r in retrieve.retrieve(corpus, queries, request)[0].collect()}
+    # Chunk 2 has no word about cargo; its window has.
+    assert hits[0, 2].rerank_score == 0.5 and "cargo" not in hits[0, 2].content or hits[0, 2].expanded_content
+    assert all(r.rerank_score >= 0.3 for r in hits.values())
+
+
+def test_two_tier_needs_a_text_for_keywords(spark):
+    import pytest
+    from loomwork.operators import twotier
+
+    corpus, queries = small_corpus(spark)
+    for mode in ("keyword", "hybrid"):
+        with pytest.raises(ValueError):
+            twotier.search(corpus.documents, corpus.chunks, queries.drop("query"), 3, mode)
+    with pytest.raises(ValueError):
+        twotier.search(corpus.documents, corpus.chunks, queries, 3, "other")
+    none = corpus.documents.filter("false")
+    assert twotier.search(none, corpus.chunks, queries, 3).count() == 0
+    one = twotier.search(corpus.documents, corpus.chunks, queries, 1, multiplier=1)
+    assert {(r.query_id, r.document) for r in one.collect()} == {(0, 1), (1, 0)}
+
+
+def test_stems_and_counts(spark):
+    from loomwork.functions import analysis
+
+    words = ["running", "runs", "run", "ships", "shipping", "shipped", "nations", "nation", "add", "adding", "été", "2024s"]
+    got = {r.w: r.s for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", analysis.stem(F.col("w")).alias("s")).collect()}
+    assert got["running"] == got["runs"] == got["run"] and got["ships"] == got["shipping"] == got["shipped"]
+    assert got["nations"] == got["nation"] and got["add"] == got["adding"] == "add"
+    assert all(got[w][:3] == w[:3] for w in words)
+    rows = spark.createDataFrame([(["b", "a", "b"],), ([],), (["x"],)], "t array<string>").select(analysis.counted(F.col("t")).alias("c")).collect()
+    assert [[(x.x, x.n) for x in r.c] for r in rows] == [[("a", 1), ("b", 2)], [], [("x", 1)]]
+
+
+def test_nations_without_customers_count_zero(spark, tmp_path):
+    from loomwork.plans import catalog
+
+    spark.createDataFrame([(0, "A"), (1, "B")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(1, 0), (2, 0)], "c_custkey int, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    assert sorted(map(tuple, catalog.counts_per_collection(spark, str(tmp_path)).collect())) == [("A", 2), ("B", 0)]
