@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.operators import geometry as G
-from loomwork.session import table
+from loomwork.session import new_folder, table
 from loomwork.sources import files
-from loomwork.streaming.jobs import work_folder
 
 _BOX = """
     SELECT l_orderkey AS page, l_partkey AS box_id, l_linenumber % 2 AS family, {score} AS score,
@@ -55,7 +54,7 @@ def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written in folders by source and read back; the filter on the folder reads no other one."""
-    path = f"{work_folder(spark)}/chunks"
+    path = f"{new_folder(spark, "chunks")}/chunks"
     files.write_chunks(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), path, "source")
     return spark.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 

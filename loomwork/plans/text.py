@@ -185,7 +185,7 @@ def _strip_sql(x: str) -> str:
     return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 
-def _clean_sql(x: str) -> str:
+def clean_sql(x: str) -> str:
     x = f"regexp_replace({x}, '<!--[^>]*-->', '', 'g')"
     x = f"regexp_replace({x}, '\\|[\\s\\-:]+\\|[\\s\\-:|]*\\n?', chr(10), 'g')"
     cells = f"array_to_string(list_filter(list_transform(string_split(l, '|'), lambda z: {_strip_sql('z')}), lambda z: z <> '' AND NOT regexp_matches(z, '^[\\s\\-:]+$')), ' | ')"
@@ -238,7 +238,7 @@ ORACLES = {
             SELECT '<!-- ad -->' || chr(10) || '|key|qty|note|' || chr(10) || '|---|:-:|---|' || chr(10) || '|' || l_orderkey || '| ' || l_linenumber || ' |• ' || l_returnflag || '|'
                    || repeat(chr(10), 4) || ' ===' || chr(10) || '- ' || chr(10) || '·  ' || l_linestatus || chr(9) || ' x' AS t FROM lineitem
             UNION ALL SELECT text FROM documents)
-        SELECT md5({_clean_sql("t")}) AS h, count(*) AS n FROM raw GROUP BY 1""",
+        SELECT md5({clean_sql("t")}) AS h, count(*) AS n FROM raw GROUP BY 1""",
     "t3_table_sentences": "SELECT p_partkey, 'key: ' || p_partkey || ', qty: ' || p_size || ', flag: ' || p_brand || chr(10) || p_name || ' x' AS said FROM part",
     "t4_html_strip": f"""
         SELECT page_id, md5({_strip_sql("replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&quot;', '\"')")}) AS h FROM pages""",

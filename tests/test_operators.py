@@ -177,3 +177,63 @@ def test_nations_without_customers_count_zero(spark, tmp_path):
     spark.createDataFrame([(0, "A"), (1, "B")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
     spark.createDataFrame([(1, 0), (2, 0)], "c_custkey int, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
     assert sorted(map(tuple, catalog.counts_per_collection(spark, str(tmp_path)).collect())) == [("A", 2), ("B", 0)]
+
+
+EVENTS = "event_id long, user_id long, event_type string, ts string"
+
+
+def streamed(spark, folder, batches):
+    """A stream of files, one a batch, in their order."""
+    import os
+    import time
+
+    for n, rows in enumerate(batches):
+        part = spark.createDataFrame(rows, EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        newest = max((e.path for e in os.scandir(f"{folder}/in") if e.name.endswith(".parquet")), key=os.path.getmtime)
+        os.utime(newest, (time.time() - 1000 + 10 * n,) * 2)
+    return spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def test_late_rows_don_t_reopen_a_window(spark, tmp_path):
+    day = "2024-01-01"
+    batches = [
+        [(1, 1, "view", f"{day} 00:10:00"), (2, 1, "view", f"{day} 00:20:00")],
+        [(3, 1, "view", f"{day} 01:05:00"), (4, 1, "view", f"{day} 00:57:00")],  # late, but before the watermark
+        [(5, 1, "view", f"{day} 05:00:00")],
+        [(8, 1, "view", f"{day} 05:05:00")],  # late rows are told by the watermark of the batch before
+        [(6, 1, "view", f"{day} 00:30:00"), (7, 1, "view", f"{day} 05:10:00")],  # its window is closed: dropped
+    ]
+    found = jobs.run(jobs.rate_windows(streamed(spark, tmp_path, batches)), "update", key=["user_id", "start"]).collect()
+    assert sorted((str(r.start)[11:13], r.calls) for r in found) == [("00", 3), ("01", 1), ("05", 3)]
+
+
+def test_sessions_are_given_when_closed(spark, tmp_path):
+    batches = [
+        [(1, 1, "view", "2024-01-01 00:00:00"), (2, 1, "view", "2024-01-01 05:00:00"), (3, 2, "view", "2024-01-01 02:00:00")],
+        [(4, 1, "view", "2024-01-04 00:00:00")],
+        [(7, 3, "view", "2024-01-04 00:30:00")],
+        [(5, 1, "view", "2024-01-01 06:00:00"), (6, 2, "view", "2024-01-04 01:00:00")],
+    ]
+    found = jobs.run(jobs.sessions(streamed(spark, tmp_path, batches))).collect()
+    assert sorted((r.user_id, str(r.start), r.n) for r in found) == [(1, "2024-01-01 00:00:00", 2), (2, "2024-01-01 02:00:00", 1)]
+
+
+def test_contents_are_known_over_batches(spark, tmp_path):
+    for n in range(3):
+        part = spark.createDataFrame([(n, "same"), (n + 10, f"own {n}")], "doc_id long, text string")
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    assert jobs.run(jobs.first_contents(stream)).count() == 4
+
+
+def test_a_cluster_needs_its_shared_folder():
+    import pytest
+    from types import SimpleNamespace
+
+    from loomwork.session import shared_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {})
+    nothing = SimpleNamespace(sparkContext=context, conf={})
+    with pytest.raises(ValueError):
+        shared_dir(nothing)
