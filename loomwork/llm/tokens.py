@@ -1,7 +1,8 @@
 """Encoding with the public tokenizers, and token counts behind a digest cache.
 
-``Encoder`` splits a text into the tokenizer's own pre-tokens, and lets the library encode each different pre-token once; the ids of a text are the joined ids of its pre-tokens. That is what the library does, without repeating the
-merges for words it has seen. Texts for which the split isn't plain (special strings, characters beyond U+02FF, which may
+``Encoder`` splits a text into the tokenizer's own pre-tokens, and lets the library's model merge each different pre-token
+once, its bytes written as the characters that the vocabulary has for them; the ids of a text are the joined ids of its
+pre-tokens. That is what the library does, without repeating the merges for words it has seen. Texts for which the split isn't plain (special strings, characters beyond U+02FF, which may
 need Unicode normalisation) go to the library whole.
 """
 
@@ -9,9 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,13 @@ def _char_classes() -> tuple[str, str, str]:
     return ranges("L"), ranges("N"), "\\t-\\r \\u0085\\u00a0"
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character that byte-level vocabularies have for each byte: itself where it is printed, else one above U+00FF."""
+    printed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printed]
+    return {b: chr(b) for b in printed} | {b: chr(0x100 + n) for n, b in enumerate(others)}
+
+
 class Encoder:
     """Text to token ids, as little-endian bytes of ``width`` bytes an id."""
 
@@ -46,8 +55,8 @@ class Encoder:
         self.library.no_truncation()
         if self.library.get_vocab_size() > 1 << 8 * width:
             raise ValueError(f"ids of {path} do not fit {width} bytes")
-        self.kind = f"<u{width}"
-        self.width = width
+        self.merge, self.characters = self.library.model.tokenize, _byte_characters()
+        self.kind, self.width = {2: "H", 4: "I"}[width], width
         letter, number, space = _char_classes()
         self.words = "word_bpe" in path
         short = "'s|'t|'re|'ve|'m|'ll|'d|"
@@ -62,10 +71,16 @@ class Encoder:
         specials = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
         # U+0130 becomes two characters in lower case.
         self.odd = re.compile("|".join([*specials, "[İ̀-\U0010ffff]"])).search
-        self.known = Remembered(self.whole)
+        self.known = Remembered(self.piece)
+
+    def pack(self, ids: Iterable[int]) -> bytes:
+        packed = array(self.kind, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
-    def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+    def piece(self, word: str) -> bytes:
+        return self.pack(t.id for t in self.merge(word.encode().decode("latin-1").translate(self.characters)))
 
     def whole(self, text: str) -> bytes:
         return self.pack(self.library.encode(text, add_special_tokens=False).ids)
