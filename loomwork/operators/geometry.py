@@ -6,7 +6,7 @@ greedy by score, so the boxes of one page and class, a bounded handful, are fold
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SIDES = ("x0", "y0", "x1", "y1")
@@ -74,3 +74,45 @@ def without_margins(boxes: DataFrame, height: float, share: float = 0.1) -> Data
     top = (F.col("kind") == "header") & (F.col("y1") < height * share)
     bottom = (F.col("kind") == "footer") & (F.col("y0") > height * (1 - share))
     return boxes.filter(~(top | bottom))
+
+
+def reading_order(boxes: DataFrame, page: str, id_col: str, threshold: float, down: str = "top", across: str = "x0") -> DataFrame:
+    """``boxes`` with row and place: rows of boxes less than ``threshold`` below their first one, each from left to right.
+
+    Boxes are in order of ``down``, so only the row begun last can take the next one: a fold over a page's boxes. With
+    ``down`` and ``across`` exchanged they are columns, from top to bottom.
+    """
+    listed = F.array_sort(F.collect_list(F.struct(F.col(down).cast("double").alias("d"), F.col(id_col).alias("i"), F.struct(*boxes.columns).alias("b"))))
+    pages = boxes.groupBy(page).agg(listed.alias("l"))
+    row = F.struct(F.col("l")[0]["b"].alias("b"), F.lit(0).alias("row"))
+    start = F.struct(F.slice(F.array(row), 1, 0).alias("rows"), F.lit(-1).alias("row"), F.lit(None).cast("double").alias("first"))
+
+    def put(s, x):
+        new = F.coalesce(x["d"] - s["first"] >= threshold, F.lit(True))
+        at = F.when(new, s["row"] + 1).otherwise(s["row"])
+        return F.struct(
+            F.array_append(s["rows"], F.struct(x["b"].alias("b"), at.alias("row"))).alias("rows"), at.alias("row"), F.when(new, x["d"]).otherwise(s["first"]).alias("first")
+        )
+
+    rows = pages.select(F.explode(F.aggregate("l", start, put, lambda s: s["rows"])).alias("r")).select("r.b.*", "r.row")
+    order = Window.partitionBy(page).orderBy("row", across, down, id_col)
+    return rows.withColumn("place", F.row_number().over(order) - 1)
+
+
+def aligned(parts: DataFrame, table: str, kind: str = "kind") -> DataFrame:
+    """Detected rows and columns of tables with their outer edges drawn out to the common ones.
+
+    The common edges of more than four rows are their means, of more than four columns their medians; of fewer, the outermost.
+    """
+    own = Window.partitionBy(table, kind)
+    is_row, many = F.col(kind).contains("row"), F.count(F.lit(1)).over(own) > 4
+
+    def edge(c: str, middle: Column, outer: Column) -> Column:
+        common = F.when(many, middle.over(own)).otherwise(outer.over(own))
+        return F.least(c, common) if c in ("x0", "y0") else F.greatest(c, common)
+
+    x0, x1 = edge("x0", F.avg("x0"), F.min("x0")), edge("x1", F.avg("x1"), F.max("x1"))
+    y0, y1 = edge("y0", F.median("y0"), F.min("y0")), edge("y1", F.median("y1"), F.max("y1"))
+    made = {"x0": F.when(is_row, x0).otherwise(F.col("x0")), "x1": F.when(is_row, x1).otherwise(F.col("x1"))}
+    made |= {"y0": F.when(is_row, F.col("y0")).otherwise(y0), "y1": F.when(is_row, F.col("y1")).otherwise(y1)}
+    return parts.select(*[made[c].alias(c) if c in made else F.col(c) for c in parts.columns])

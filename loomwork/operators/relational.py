@@ -104,3 +104,43 @@ def confidence(scores: Column) -> Column:
     mean = F.aggregate(top, F.lit(0.0), lambda a, s: a + s) / F.size(top)
     clamped = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), mean)), 2)
     return F.when(F.size(scores) == 0, 0.0).when(F.size(top) == 0, 0.5).otherwise(clamped)
+
+
+def grave_issues(issues: Column) -> Column:
+    """Of a judgement's issues (an array of structs with severity), those that call for a correction."""
+    return F.filter(issues, lambda x: F.lower(x["severity"]).isin("high", "medium"))
+
+
+def judged_confidence(facts: Column, confidence: Column, failed: Column) -> Column:
+    """A judgement's confidence: .5 where it failed, .7 where there are no facts to judge by."""
+    return F.when(failed, F.lit(0.5)).when(F.size(facts) <= 0, F.lit(0.7)).otherwise(confidence)
+
+
+def renamed(collections: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(collections after, refused): names (user_id, id, name) taken where no other collection of the user has them.
+
+    Of several that ask for one name the smallest id gets it.
+    """
+    first = Window.partitionBy("user_id", "name").orderBy("id")
+    asked = wanted.withColumn("n", F.row_number().over(first))
+    others = collections.select("user_id", F.col("id").alias("other"), "name")
+    clash = asked.join(others, ["user_id", "name"], "left").groupBy("user_id", "id", "name", "n").agg(F.max(F.col("other") != F.col("id")).alias("taken"))
+    free = (F.col("n") == 1) & ~F.coalesce("taken", F.lit(False))
+    new = clash.filter(free).select("user_id", "id", F.col("name").alias("new_name"))
+    after = collections.join(new, ["user_id", "id"], "left").withColumn("name", F.coalesce("new_name", "name")).drop("new_name")
+    return after, clash.filter(~free).select("user_id", "id", "name")
+
+
+def charged(quotas: DataFrame, uses: DataFrame, now: Column) -> DataFrame:
+    """Quotas (user_id, used, most, resets_at) after their uses (user_id, n): reset where the time is over, refused whole
+    where a use goes beyond the limit; a limit of -1 never ends."""
+    asked = uses.groupBy("user_id").agg(F.sum("n").alias("n"))
+    over = F.col("resets_at") <= now
+    base = F.when(over, 0).otherwise(F.col("used"))
+    more = F.coalesce("n", F.lit(0))
+    allowed = (F.col("most") < 0) | (base + more <= F.col("most"))
+    done = quotas.join(asked, "user_id", "left")
+    return done.select(
+        "user_id", F.when(allowed, base + more).otherwise(base).alias("used"), "most",
+        F.when(over, F.add_months(now, 1).cast("timestamp")).otherwise(F.col("resets_at")).alias("resets_at"), allowed.alias("allowed"),
+    )

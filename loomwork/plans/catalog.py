@@ -214,7 +214,38 @@ def media_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.unionByName(lists).dropDuplicates(["kind", "source", "description"])
 
 
+def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues that call for a correction, and the confidence of each user's judgement."""
+    issue = F.struct(F.col("event_id").alias("id"), F.expr("element_at(array('high', 'Medium', 'low', 'none'), cast(event_id % 4 + 1 as int))").alias("severity"))
+    per = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(issue).alias("issues"), F.collect_list(F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("facts"))
+    failed = F.col("user_id") % 7 == 0
+    return per.select("user_id", F.size(R.grave_issues(F.col("issues"))).alias("grave"), R.judged_confidence(F.col("facts"), F.lit(0.9), failed).alias("confidence"))
+
+
+def renamed_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as collections of their brand's owner; every third asks for the name of the part after the next, or a new one."""
+    have = table(spark, sf_dir, "part").select(F.col("p_brand").alias("user_id"), F.col("p_partkey").alias("id"), F.concat(F.lit("c"), (F.col("p_partkey") % 40).cast("string"), F.lit("-"), "p_partkey").alias("name"))
+    new = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("new"), (F.col("p_size") % 5).cast("string"))).otherwise(F.concat(F.lit("c"), (F.col("p_partkey") % 40).cast("string"), F.lit("-"), "p_partkey"))
+    asked = table(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select(F.col("p_brand").alias("user_id"), F.col("p_partkey").alias("id"), new.alias("name"))
+    after, _ = R.renamed(have, asked)
+    return after.select("user_id", "id", "name")
+
+
+def quota_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    quotas = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 50).alias("used"), F.when(F.col("c_custkey") % 10 == 0, -1).otherwise(60).alias("most"),
+        F.when(F.col("c_custkey") % 4 == 0, F.lit("2024-05-01 00:00:00")).otherwise(F.lit("2024-07-01 00:00:00")).cast("timestamp").alias("resets_at"),
+    )
+    uses = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.lit(3).alias("n"))
+    done = R.charged(quotas, uses, now)
+    return done.select("user_id", "used", "most", F.date_format("resets_at", "yyyy-MM-dd").alias("resets"), "allowed")
+
+
 QUERIES = {
+    "g12_judgements": judgements,
+    "g1_renames": renamed_collections,
+    "g6_charges": quota_charges,
     "a1_counts_per_collection": counts_per_collection,
     "a2_k5_listing": listing,
     "f9_status_listing": status_listing,
@@ -242,6 +273,19 @@ QUERIES = {
     "u5_media_union": media_union,
 }
 ORACLES = {
+    "g12_judgements": """
+        SELECT user_id, (count(*) FILTER (event_id % 4 < 2))::INT AS grave, CASE WHEN user_id % 7 = 0 THEN 0.5 WHEN count(*) FILTER (event_type = 'purchase') = 0 THEN 0.7 ELSE 0.9 END::DOUBLE AS confidence
+        FROM events GROUP BY user_id""",
+    "g1_renames": """
+        WITH a AS (SELECT p_brand, p_partkey, 'new' || (p_size % 5) AS name, row_number() OVER (PARTITION BY p_brand, p_size % 5 ORDER BY p_partkey) AS n FROM part WHERE p_partkey % 6 = 0)
+        SELECT p_brand AS user_id, p_partkey AS id, coalesce(a.name, 'c' || (p_partkey % 40) || '-' || p_partkey) AS name FROM part LEFT JOIN a USING (p_brand, p_partkey)
+        WHERE a.n IS NULL OR a.n = 1
+        UNION ALL SELECT p_brand, p_partkey, 'c' || (p_partkey % 40) || '-' || p_partkey FROM a WHERE n > 1""",
+    "g6_charges": """
+        WITH u AS (SELECT o_custkey, 3 * count(*) AS n FROM orders GROUP BY 1),
+        q AS (SELECT c_custkey AS user_id, CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE c_custkey % 50 END AS base, coalesce(n, 0) AS n, CASE WHEN c_custkey % 10 = 0 THEN -1 ELSE 60 END AS most
+              FROM customer LEFT JOIN u ON o_custkey = c_custkey)
+        SELECT user_id, CASE WHEN most < 0 OR base + n <= most THEN base + n ELSE base END::BIGINT AS used, most, '2024-07-01' AS resets, most < 0 OR base + n <= most AS allowed FROM q""",
     "a1_counts_per_collection": """SELECT n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS documents FROM nation""",
     "a2_k5_listing": """
         WITH d AS (SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en')

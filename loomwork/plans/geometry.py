@@ -66,7 +66,51 @@ def json_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", files.flat_json(F.col("props")).alias("content"), files.json_lines_probe(whole).alias("is_lines"))
 
 
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as boxes: three rows well apart, a few points up and down within a row."""
+    boxes = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_linenumber") % 3 * 50 + F.col("l_partkey") % 7).cast("double").alias("top"), (F.col("l_suppkey") % 90).cast("double").alias("x0")
+    )
+    return G.reading_order(boxes, "l_orderkey", "l_linenumber", 10.0).select("l_orderkey", "l_linenumber", "place")
+
+
+def aligned_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("l_linenumber") % 2 == 0, "table row").otherwise("table column")
+    parts = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") % 500).alias("page"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), kind.alias("kind"),
+        *[(F.col(c) % m).cast("double").alias(x) for x, c, m in (("x0", "l_partkey", 40), ("y0", "l_suppkey", 30), ("x1", "l_orderkey", 97), ("y1", "l_partkey", 83))],
+    )
+    done = G.aligned(parts, "page")
+    return done.select("o", "n", *[F.round(c, 6).alias(c) for c in G.SIDES])
+
+
+def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as the images of their brand's document; small ones have no description."""
+    images = table(spark, sf_dir, "part").select(
+        "p_brand", (F.col("p_size") % 4).alias("page"), F.col("p_partkey").alias("index"),
+        F.expr("cast(repeat('x', cast(p_size as int) * 100) as binary)").alias("image"), F.col("p_name").alias("description"),
+    )
+    return files.figures(images, "p_brand").select("p_brand", F.md5("figures").alias("h"))
+
+
+_BYTES = ("unhex('255044462D312E37')", "unhex('89504E470D0A1A0A00')", "encode('<!DOCTYPE html><p>', 'UTF-8')", "encode('plain', 'UTF-8')", "unhex('1F8B08')", "unhex('')")
+
+
+def file_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type by first bytes, text by encoding, and rate of frames, of contents that depend on the event."""
+    k = F.col("event_id")
+    data = F.element_at(F.expr(f"array({', '.join(_BYTES)})"), (k % len(_BYTES) + 1).cast("int"))
+    text = F.expr("case event_id % 3 when 0 then encode(concat('\ufeff', event_type), 'UTF-8') when 1 then encode(concat('caf\u00e9 ', event_type), 'UTF-8') else concat(unhex('636166E920'), encode(event_type, 'UTF-8')) end")
+    rate = F.expr("case event_id % 4 when 0 then '30000/1001' when 1 then '25/1' when 2 then '0/0' else 'none' end")
+    probed = table(spark, sf_dir, "events").select(files.sniffed_type(data).alias("type"), files.decoded(text).alias("text"), files.frame_rate(rate).alias("fps"))
+    return probed.groupBy("type", "text", "fps").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
+    "k8_reading_order": reading_order,
+    "v7_aligned_tables": aligned_tables,
+    "s13_figures": figures,
+    "s2_s11_t24_file_probes": file_probes,
     "v1_v2_suppressed_boxes": suppressed_boxes,
     "v2_overlaps": overlaps,
     "v5_page_margins": page_margins,
@@ -76,6 +120,21 @@ QUERIES = {
 }
 _SHARED = "greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)"
 ORACLES = {
+    "k8_reading_order": "SELECT l_orderkey, l_linenumber, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber % 3, l_suppkey % 90, l_partkey % 7, l_linenumber) - 1)::INT AS place FROM lineitem",
+    "v7_aligned_tables": """
+        WITH p AS (SELECT l_orderkey % 500 AS page, l_orderkey AS o, l_linenumber AS n, l_linenumber % 2 = 0 AS r, (l_partkey % 40)::DOUBLE AS x0, (l_suppkey % 30)::DOUBLE AS y0,
+                          (l_orderkey % 97)::DOUBLE AS x1, (l_partkey % 83)::DOUBLE AS y1 FROM lineitem),
+        e AS (SELECT page, r, count(*) > 4 AS many, avg(x0) AS ax0, min(x0) AS lx0, avg(x1) AS ax1, max(x1) AS hx1, median(y0) AS my0, min(y0) AS ly0, median(y1) AS my1, max(y1) AS hy1 FROM p GROUP BY ALL)
+        SELECT o, n, round(CASE WHEN p.r THEN least(x0, CASE WHEN many THEN ax0 ELSE lx0 END) ELSE x0 END, 6) AS x0, round(CASE WHEN p.r THEN y0 ELSE least(y0, CASE WHEN many THEN my0 ELSE ly0 END) END, 6) AS y0,
+               round(CASE WHEN p.r THEN greatest(x1, CASE WHEN many THEN ax1 ELSE hx1 END) ELSE x1 END, 6) AS x1, round(CASE WHEN p.r THEN y1 ELSE greatest(y1, CASE WHEN many THEN my1 ELSE hy1 END) END, 6) AS y1
+        FROM p JOIN e ON p.page = e.page AND p.r = e.r""",
+    "s13_figures": """
+        SELECT p_brand, md5(string_agg('### Figure ' || (p_partkey + 1) || CASE WHEN p_size % 4 > 0 THEN ' (Page ' || (p_size % 4) || ')' ELSE '' END || chr(10) || chr(10) || p_name || chr(10), chr(10)
+                                       ORDER BY p_size % 4, p_partkey)) AS h FROM part WHERE p_size >= 10 GROUP BY 1""",
+    "s2_s11_t24_file_probes": """
+        SELECT CASE event_id % 6 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' WHEN 2 THEN 'text/html' WHEN 4 THEN 'application/gzip' END AS type,
+               CASE event_id % 3 WHEN 0 THEN event_type ELSE 'caf' || chr(233) || ' ' || event_type END AS text,
+               CASE event_id % 4 WHEN 0 THEN 29.97 WHEN 1 THEN 25.0 ELSE 0.0 END::DOUBLE AS fps, count(*) AS n FROM events GROUP BY ALL""",
     "v2_overlaps": f"""
         WITH {_UNIQUE}, p AS (
             SELECT a.page, a.box_id AS a, b.box_id AS b, {_SHARED} AS s, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS t

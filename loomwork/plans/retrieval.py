@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.analysis import DIMENSIONS, DOUBLED, ENDING, STOP_WORDS, terms, with_embedding
+from loomwork.functions.text import summary
 from loomwork.operators import fusion, graph, lexical, retrieve, twotier, vocabulary
 from loomwork.operators.vector import cosine, top_k, top_k_semantic
 from loomwork.session import staged, table
@@ -324,7 +325,16 @@ asked AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter({_TERMS('
 seen AS (SELECT query_id, source, a, b, weight FROM asked JOIN edge ON asked.e = edge.a UNION SELECT query_id, source, a, b, weight FROM asked JOIN edge ON asked.e = edge.b),
 gs AS (SELECT query_id, source, a, b, weight, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, source, a, b)::INT AS rank FROM seen)"""
 
+def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's summary text with its embedding: what the first tier of the two-tier search is built from."""
+    docs = _docs(spark, sf_dir).select("doc_id", summary(F.concat(F.lit("T"), F.col("doc_id").cast("string")), F.col("source"), F.col("text")).alias("summary"))
+    vectors = with_embedding(docs, "doc_id", "summary")
+    first = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("long").cast("string"))
+    return docs.join(vectors, "doc_id").select("doc_id", F.md5("summary").alias("h"), F.array_join(first, ",").alias("first"))
+
+
 QUERIES = {
+    "c8_summaries": summaries,
     "r1_semantic_search": semantic_search,
     "r1_j5_k1_bulk_semantic": bulk_semantic_search,
     "f1_f7_tenant_search": tenant_search,
@@ -349,6 +359,10 @@ QUERIES = {
     "r13_answers_with_graph": answers_with_graph,
 }
 ORACLES = {
+    "c8_summaries": f"""
+        WITH s AS (SELECT doc_id, concat_ws(chr(10), 'Title: T' || doc_id, 'File: ' || source, CASE WHEN text <> '' THEN regexp_replace(text[1:2000], '^\\s+|\\s+$', '', 'g') END) AS x FROM documents),
+        l AS (SELECT doc_id, x, {_TERMS('x')} AS l FROM s), e AS (SELECT doc_id, x, {_EMB('l')} AS v FROM l)
+        SELECT doc_id, md5(x) AS h, array_to_string(list_transform(v[1:8], lambda z: z::BIGINT::VARCHAR), ',') AS first FROM e""",
     "r1_semantic_search": """
         SELECT vec_id, round(score, 6) AS score FROM (
             SELECT e.vec_id,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import patterns as P
+from loomwork.operators import questions as Q
 from loomwork.operators import structure as S
 from loomwork.session import table
 
@@ -225,6 +226,33 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("made_as", "document_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text for each part, of one of four kinds: explicit, bulleted, numbered, with question marks alone."""
+    text = F.expr(
+        "case p_partkey % 4 when 0 then concat('Q: What is ', p_name, '?\\nA: Costs ', p_retailprice, '\\nand size ', p_size, '\\nQ: What is  ', upper(p_name), '?\\nA: twice') "
+        "when 1 then concat('Intro words\\n1. Really? The ', p_name, '\\nanswer line\\n\\nmore of it\\n2. Again? Size ', p_size, ' is what? yes\\nend') "
+        "when 2 then concat('1. Is ', p_name, ' good?\\nYes it is ', p_size) "
+        "else concat('How large is ', p_name, '?\\n\\nIt is ', p_size, '\\nat most\\n\\n\\nNoise\\nWhy is it so cheap?\\nshort?\\nNobody knows') end"
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
+
+
+def qa_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.qa_pairs(_questions(spark, sf_dir), "p_partkey").select("p_partkey", "number", "question", "answer", "form")
+
+
+def answer_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.answer_lengths(Q.qa_pairs(_questions(spark, sf_dir), "p_partkey"), "p_partkey")
+
+
+_QA_SQL = """
+q AS (
+    SELECT p_partkey, NULL AS number, 'What is ' || p_name || '?' AS question, 'Costs ' || p_retailprice || chr(10) || 'and size ' || p_size AS answer, 'explicit' AS form FROM part WHERE p_partkey % 4 = 0
+    UNION ALL SELECT p_partkey, '1', 'The ' || p_name, 'answer line more of it', 'bullet' FROM part WHERE p_partkey % 4 = 1
+    UNION ALL SELECT p_partkey, '2', 'Size ' || p_size || ' is what?', 'yes end', 'bullet' FROM part WHERE p_partkey % 4 = 1
+    UNION ALL SELECT p_partkey, '1', 'Is ' || p_name || ' good?', 'Yes it is ' || p_size, 'numbered' FROM part WHERE p_partkey % 4 = 2
+    UNION ALL SELECT p_partkey, NULL, 'How large is ' || p_name || '?', 'It is ' || p_size || ' at most', 'question_mark' FROM part WHERE p_partkey % 4 = 3
+    UNION ALL SELECT p_partkey, NULL, 'Why is it so cheap?', 'short? Nobody knows', 'question_mark' FROM part WHERE p_partkey % 4 = 3)"""
 _REG = "SELECT n_regionkey AS region, n_nationkey, n_name FROM nation"
 _LEGAL_LINES = f"""
 n AS ({_REG}),
@@ -241,6 +269,8 @@ o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY region ORDER B
 _QA = "row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)"
 
 QUERIES = {
+    "d3_cascade": qa_cascade,
+    "d3_a16_answer_lengths": answer_lengths,
     "d1_w3_w4_legal_headings": legal_headings,
     "d1_legal_definitions": legal_definitions,
     "d1_legal_subtype": legal_subtype,
@@ -263,6 +293,8 @@ QUERIES = {
     "d0_classified": classified,
 }
 ORACLES = {
+    "d3_cascade": f"WITH {_QA_SQL} SELECT * FROM q",
+    "d3_a16_answer_lengths": f"WITH {_QA_SQL} SELECT p_partkey, count(*) AS pairs, sum(length(answer))::BIGINT // count(*) AS average_answer_length FROM q GROUP BY 1",
     "d1_w3_w4_legal_headings": f"""
         WITH {_LEGAL_LINES} SELECT region, level, number, title, "offset", lead("offset") OVER (PARTITION BY region ORDER BY a, b, c) AS next_offset FROM o WHERE level IS NOT NULL""",
     "d1_legal_definitions": "SELECT n_regionkey AS region, n_name AS term, 'the nation numbered ' || n_nationkey AS definition FROM nation",

@@ -31,3 +31,42 @@ def flat_json(text: Column) -> Column:
 def write_chunks(chunks: DataFrame, path: str, by: str) -> None:
     """A chunk table in folders by ``by``; rows of one value are spread over tasks, so a hot value is no single file."""
     chunks.write.partitionBy(by).mode("overwrite").parquet(path)
+
+
+def decoded(data: Column) -> Column:
+    """Text of bytes in the first encoding that takes them: UTF-8 without its mark, else Latin-1, which takes any."""
+    mark = F.unhex(F.lit("EFBBBF"))
+    own = F.when(F.startswith(data, mark), F.substring(data, 4, (1 << 31) - 1)).otherwise(data)
+    return F.when(F.is_valid_utf8(own.cast("string")), F.decode(own, "UTF-8")).otherwise(F.decode(data, "ISO-8859-1"))
+
+
+#: How files of known types begin.
+SIGNATURES = (
+    ("25504446", "application/pdf"), ("504B0304", "application/zip"), ("89504E470D0A1A0A", "image/png"), ("FFD8FF", "image/jpeg"),
+    ("47494638", "image/gif"), ("1F8B", "application/gzip"), ("664C6143", "audio/flac"), ("4F676753", "audio/ogg"), ("494433", "audio/mpeg"),
+)
+
+
+def sniffed_type(data: Column) -> Column:
+    """Type of a file by its first bytes; null if they are none of the known ones."""
+    kinds = [F.when(F.startswith(data, F.unhex(F.lit(sign))), F.lit(kind)) for sign, kind in SIGNATURES]
+    page = F.when(F.decode(F.substring(data, 1, 256), "ISO-8859-1").rlike(r"(?i)^\s*<(?:!doctype html|html)"), F.lit("text/html"))
+    return F.coalesce(*kinds, page)
+
+
+def frame_rate(rate: Column) -> Column:
+    """Frames a second of a "num/den" rate, to two places; 0 without a denominator."""
+    num, den = F.split_part(rate, F.lit("/"), F.lit(1)).try_cast("double"), F.split_part(rate, F.lit("/"), F.lit(2)).try_cast("double")
+    return F.coalesce(F.when(den > 0, F.round(num / den, 2)), F.lit(0.0))
+
+
+def figures(images: DataFrame, key: str, least: int = 1000) -> DataFrame:
+    """(key, figures): descriptions of images (page, index, image, description) of ``least`` bytes and more, in order.
+
+    Numbers are those of the images, so gaps stay.
+    """
+    page = F.when(F.col("page") > 0, F.concat(F.lit(" (Page "), F.col("page").cast("string"), F.lit(")"))).otherwise("")
+    said = F.concat(F.lit("### Figure "), (F.col("index") + 1).cast("string"), page, F.lit("\n\n"), "description", F.lit("\n"))
+    kept = images.filter(F.octet_length("image") >= least)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("page", "index", said.alias("s")))), lambda x: x["s"])
+    return kept.groupBy(key).agg(F.array_join(listed, "\n").alias("figures"))
