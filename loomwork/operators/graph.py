@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import time
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.analysis import terms
@@ -19,15 +21,17 @@ def mentions(docs: DataFrame, id_col: str, collection: str, text: str) -> DataFr
 
 
 def build(docs: DataFrame, id_col: str, collection: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(entities, edges). An entity occurs in at least two documents of its collection.
+    """(entities, edges). An entity occurs in at least two documents (rows) of its collection.
 
-    Pairs are made within one line from its own array, so a pair costs nothing but its row, and no row is shuffled before
-    the pairs of a line are counted into edges.
+    A document counts once for an entity inside its own row; mentions of kept entities are put back into their lines, and
+    pairs are made within one line from its own array and summed before the shuffle. A line of m entities has m (m - 1) / 2
+    pairs: what is a line bounds them, so texts without line breaks should be cut into sentences first.
     """
-    found = mentions(docs, id_col, collection, text)
-    per_doc = found.select("collection", "entity", id_col).distinct()
+    names = lambda t: F.array_distinct(F.filter(terms(t), lambda w: F.length(w) >= MIN_LETTERS))
+    per_doc = docs.select(F.col(collection).alias("collection"), F.explode(names(F.col(text))).alias("entity"))
     entities = per_doc.groupBy("collection", "entity").agg(F.count(F.lit(1)).alias("documents"))
     entities = entities.filter(F.col("documents") >= MIN_DOCUMENTS)
+    found = mentions(docs, id_col, collection, text)
     kept = found.join(entities.select("collection", "entity"), ["collection", "entity"])
     listed = kept.groupBy("collection", id_col, "line").agg(F.array_sort(F.collect_list("entity")).alias("e"))
     pairs = listed.filter(F.size("e") > 1).select("collection", F.explode("e").alias("a"), "e")
@@ -36,11 +40,63 @@ def build(docs: DataFrame, id_col: str, collection: str, text: str) -> tuple[Dat
     return entities, edges.withColumnRenamed("collection", collection)
 
 
-def search(entities: DataFrame, edges: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Local mode: the k heaviest edges at the entities that a query names."""
+def _best(found: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    others = [c for c in found.columns if c not in ("weight", "a", "b", "rank", *keys)]
+    order = Window.partitionBy(*keys).orderBy(F.desc("weight"), *others, "a", "b")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _asked(queries: DataFrame) -> DataFrame:
     named = F.array_distinct(F.filter(terms(F.col("query")), lambda w: F.length(w) >= MIN_LETTERS))
-    asked = queries.select("query_id", F.explode(named).alias("entity"))
-    ends = edges.withColumn("entity", F.explode(F.array("a", "b")))
-    seen = asked.join(ends, "entity").drop("entity").distinct()
-    order = Window.partitionBy("query_id").orderBy(F.desc("weight"), *[c for c in edges.columns if c not in ("weight", "a", "b")], "a", "b")
-    return seen.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return queries.select("query_id", F.explode(named).alias("entity"))
+
+
+MODES = ("local", "global", "hybrid", "naive")
+
+
+def search(
+    entities: DataFrame, edges: DataFrame, queries: DataFrame, k: int, mode: str = "local", collection: str = "source", hits: DataFrame | None = None
+) -> DataFrame:
+    """(query_id, edge, rank): references for each query, k at most.
+
+    Local: the heaviest edges at the entities that a query names. Global: the heaviest edges of the collections that know
+    any of them. Hybrid: the best of both. Naive: no graph, the ``hits`` of a search among chunks.
+    """
+    if mode not in MODES:
+        raise ValueError(f"no such mode: {mode}")
+    if mode == "naive":
+        return hits.filter(F.col("rank") <= k)
+    asked = _asked(queries)
+    found = []
+    if mode != "global":
+        ends = edges.withColumn("entity", F.explode(F.array("a", "b")))
+        found.append(asked.join(ends, "entity").drop("entity").distinct())
+    if mode != "local":
+        # The k best of a collection hold whatever a query can get from it, so queries never meet all edges.
+        known = asked.join(entities.select("entity", F.col("collection").alias(collection)), "entity").select("query_id", collection).distinct()
+        found.append(known.join(_best(edges, k, [collection]).drop("rank"), collection))
+    columns = ["query_id", *edges.columns]
+    every = found[0].select(*columns) if len(found) == 1 else found[0].select(*columns).unionByName(found[1].select(*columns)).distinct()
+    return _best(every, k, ["query_id"])
+
+
+def save(edges: DataFrame, path: str) -> None:
+    """Append edges (user_id, collection, a, b, weight) to the graph at ``path``, a folder for each collection."""
+    stamped = edges.withColumn("saved_at", F.lit(time.time_ns()))
+    stamped.write.mode("append").partitionBy("collection").parquet(f"{path}/edges")
+
+
+def drop(spark: SparkSession, path: str, user_id: int, collection: str | None = None) -> None:
+    """Drop a user's collection, or all of them: a mark that everything saved before it is gone; no edge is rewritten."""
+    mark = spark.createDataFrame([(user_id, collection, time.time_ns())], "user_id long, dropped string, at long")
+    mark.write.mode("append").parquet(f"{path}/dropped")
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The edges that no mark after them drops."""
+    edges = spark.read.option("basePath", f"{path}/edges").parquet(f"{path}/edges")
+    marks = spark.createDataFrame([], "user_id long, dropped string, at long")
+    marks.write.mode("append").parquet(f"{path}/dropped")
+    marks = spark.read.schema(marks.schema).parquet(f"{path}/dropped").groupBy(F.col("user_id").alias("of"), "dropped").agg(F.max("at").alias("at"))
+    gone = (F.col("user_id") == F.col("of")) & (F.col("dropped").isNull() | (F.col("dropped") == F.col("collection"))) & (F.col("at") > F.col("saved_at"))
+    return edges.join(marks, gone, "left_anti").drop("saved_at")

@@ -9,7 +9,7 @@ from loomwork.functions.analysis import DIMENSIONS, DOUBLED, ENDING, STOP_WORDS,
 from loomwork.functions.text import summary
 from loomwork.operators import fusion, graph, lexical, retrieve, twotier, vocabulary
 from loomwork.operators.vector import cosine, top_k, top_k_semantic
-from loomwork.session import staged, table
+from loomwork.session import new_folder, staged, table
 
 K = 10
 
@@ -264,6 +264,27 @@ def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.search(entities, edges, asked, k=5)
 
 
+def graph_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities, edges = graph.build(_docs(spark, sf_dir), "doc_id", "source", "text")
+    entities, edges = staged(entities, "entities"), staged(edges, "edges")
+    asked = _query_set(spark, sf_dir).select("query_id", F.col("passage").alias("query"))
+    found = [graph.search(entities, edges, asked, 5, mode).withColumn("mode", F.lit(mode)) for mode in ("global", "hybrid")]
+    return found[0].unionByName(found[1])
+
+
+def graph_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of two users, after one collection of the first and everything of the second is dropped and saved in part again."""
+    _, edges = graph.build(_docs(spark, sf_dir), "doc_id", "source", "text")
+    edges = staged(edges.select((F.length("source") % 2).cast("long").alias("user_id"), F.col("source").alias("collection"), "a", "b", "weight"), "edges")
+    path = new_folder(spark, "graph")
+    graph.save(edges, path)
+    first = edges.filter("user_id = 0").agg(F.min("collection")).first()[0]
+    graph.drop(spark, path, 0, first)
+    graph.drop(spark, path, 1)
+    graph.save(edges.filter("user_id = 1 and weight > 2"), path)
+    return graph.load(spark, path)
+
+
 def answers_with_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits and graph context side by side, not merged: hits per query, and edges found for it."""
     hits = lexical.keyword_search(_docs(spark, sf_dir), _query_set(spark, sf_dir), "doc_id", K, 0.001)
@@ -356,6 +377,8 @@ QUERIES = {
     "r23_prompts": prompts,
     "r11_graph_edges": graph_edges,
     "r10_graph_search": graph_search,
+    "r10_graph_modes": graph_modes,
+    "r12_graph_drop": graph_drop,
     "r13_answers_with_graph": answers_with_graph,
 }
 ORACLES = {
@@ -492,6 +515,16 @@ ORACLES = {
                ['inline','academic_full','narrative','inline','academic'][item_id % 5 + 1] || ';question=' || text AS prompt FROM benchmark""",
     "r11_graph_edges": f"WITH {_GRAPH} SELECT * FROM edge",
     "r10_graph_search": f"WITH {_GRAPH}, {_GSEARCH} SELECT * FROM gs WHERE rank <= 5",
+    "r10_graph_modes": f"""
+        WITH {_GRAPH}, {_GSEARCH},
+        c AS (SELECT DISTINCT query_id, source FROM asked JOIN ent USING (e)),
+        gl AS (SELECT query_id, source, a, b, weight, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, source, a, b)::INT AS rank FROM c JOIN edge USING (source)),
+        u AS (SELECT query_id, source, a, b, weight FROM seen UNION SELECT query_id, source, a, b, weight FROM gl WHERE rank <= 5),
+        h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, source, a, b)::INT AS rank FROM u)
+        SELECT *, 'global' AS mode FROM gl WHERE rank <= 5 UNION ALL SELECT *, 'hybrid' FROM h WHERE rank <= 5""",
+    "r12_graph_drop": f"""
+        WITH {_GRAPH}, u AS (SELECT length(source) % 2 AS user_id, source AS collection, a, b, weight FROM edge)
+        SELECT * FROM u WHERE (user_id = 0 AND collection <> (SELECT min(collection) FROM u WHERE user_id = 0)) OR (user_id = 1 AND weight > 2)""",
     "r13_answers_with_graph": f"""
         WITH {_GRAPH}, {_GSEARCH.replace('asked AS', 'gasked AS').replace('FROM asked JOIN', 'FROM gasked asked JOIN')}, {_DL}, {_ASK}, {_LEX.replace('p AS (SELECT doc_id, term', 'p AS (SELECT doc_id, term')}
         SELECT item_id AS query_id, (SELECT count(*) FROM kw WHERE kw.query_id = item_id AND rank <= 10 AND score >= 0.001) AS hits,
