@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions.analysis import DIMENSIONS, DOUBLED, ENDING, STOP_WORDS, terms, with_embedding
 from loomwork.functions.text import summary
-from loomwork.operators import fusion, graph, lexical, retrieve, twotier, vocabulary
+from loomwork.operators import fusion, graph, ivf, lexical, retrieve, twotier, vocabulary
 from loomwork.operators.vector import cosine, top_k, top_k_semantic
 from loomwork.session import new_folder, staged, table
 
@@ -39,6 +39,15 @@ def bulk_semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bulk search by inverted lists: every vector is indexed; recall is held against the exact search in the tests."""
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    centres = ivf.fit(vectors, "vec_id")
+    index = staged(ivf.build(vectors, "vec_id", centres), "ivf")
+    return ivf.search(index, queries, "vec_id", centres, K).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
 def tenant_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id is divisible by 50 asks within its own label; queries meet only the vectors of their tenant."""
     vectors = table(spark, sf_dir, "embeddings").filter("embedding is not null")
@@ -358,6 +367,7 @@ QUERIES = {
     "c8_summaries": summaries,
     "r1_semantic_search": semantic_search,
     "r1_j5_k1_bulk_semantic": bulk_semantic_search,
+    "r1_indexed_search": indexed_search,
     "f1_f7_tenant_search": tenant_search,
     "r2_k2_keyword_search": keyword_search,
     "c5_c6_embeddings": embeddings,

@@ -237,3 +237,18 @@ def test_a_cluster_needs_its_shared_folder():
     nothing = SimpleNamespace(sparkContext=context, conf={})
     with pytest.raises(ValueError):
         shared_dir(nothing)
+
+
+def test_inverted_lists_reach_their_recall(spark):
+    from loomwork.operators import ivf
+    from loomwork.plans import retrieval
+
+    sf = "/root/testdata/sf0.01"
+    exact = retrieval._chunk_hits(spark, sf).select("query_id", "vec_id")
+    found = retrieval.indexed_search(spark, sf)
+    want, got = ({(r.query_id, r.vec_id) for r in df.select("query_id", "vec_id").collect()} for df in (exact, found))
+    assert len(want & got) / len(want) >= 0.9
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    centres = ivf.fit(vectors, "vec_id")
+    assert ivf.build(vectors, "vec_id", centres).count() == vectors.count()
+    assert ivf.fit(vectors.filter("false"), "vec_id") == []
