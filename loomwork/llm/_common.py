@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.session import new_folder, shared_dir
+from loomwork.session import new_folder, shared_dir, staged
 
 __all__ = ["documents", "free_names", "new_folder", "own_columns", "range_of", "shared_dir", "shuffle_partitions", "staged", "text_or_empty", "tokenizer_path"]
 
@@ -30,13 +30,6 @@ def own_columns(df: DataFrame, *results: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: lineage ends there, and losing an executor loses nothing."""
-    path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def tokenizer_path(name: str) -> str:
     """Where the public vocabulary file of this name is."""
     return str(public_tokenizers.path(name))

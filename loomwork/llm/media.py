@@ -34,6 +34,8 @@ DIGESTS = (
     "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, "
     "tail_crc32 long, feature string, error string"
 )
+#: How PCM blocks are stored: large pages, so that texts share their words, and a harder search for them.
+PCM_FILES = {"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20)}
 #: Rows of an Arrow batch that are encoded and handed on together.
 ROWS = 256
 
@@ -132,4 +134,4 @@ def payload_digests(pcm: DataFrame) -> DataFrame:
 def op2_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams are written, read back into PCM blocks with offsets, and those are written and read back in turn."""
     media = staged(encode_media(documents(spark, sf_dir)), "media")
-    return payload_digests(staged(decode_media(media), "pcm")).drop("error")
+    return payload_digests(staged(decode_media(media), "pcm", **PCM_FILES)).drop("error")
