@@ -54,3 +54,24 @@ def test_run_returns_the_last_stage(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert got.groupBy("sequence_id").sum("length").toPandas()["sum(length)"].max() <= 2048
+
+
+def written(spark, docs, folder):
+    """A folder with ``docs`` and labels for some of them, as the pipeline reads them."""
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels = [(i, 1) for i in range(12)]  # one class: every document is kept
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_run_on_odd_rows(spark, clashing_docs, no_docs, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing names go through every stage with their columns."""
+    sf = written(spark, clashing_docs, tmp_path / "odd")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == clashing_docs.columns, name
+    got = corpus_pipeline.run(spark, sf)
+    assert got.count() > 0 and got.groupBy("sequence_id").sum("length").toPandas()["sum(length)"].max() <= 2048
+    empty = written(spark, no_docs, tmp_path / "empty")
+    assert corpus_pipeline.run(spark, empty).count() == 0

@@ -70,6 +70,10 @@ def test_dense_and_chained_fingerprints(spark):
         if (prints[i] ^ prints[j]).bit_count() <= 4
     }
     assert links == want
+    by_halves = [tuple(sorted(r)) for r in simhash.near_links(nodes, halves=True).collect()]
+    assert set(by_halves) == want and len(by_halves) <= 2 * len(want)  # once in each half that is close
+    parts = {tuple(sorted(r)) for r in simhash.neighbour_links(nodes, dense=8).collect()}
+    assert parts <= want
     some = {tuple(sorted(r)) for r in simhash.neighbour_links(nodes).collect()}
     assert some <= want
     got = {r.node: r.component for r in simhash.components(simhash.near_links(nodes)).collect()}
@@ -93,3 +97,22 @@ def test_helper_names(clashing_docs, unchanged):
     kept = simhash.one_of_each_group(clashing_docs)
     assert kept.columns == clashing_docs.columns
     unchanged(kept, clashing_docs)
+
+
+def test_a_dense_group_is_joined_before_pairs_are_made(spark):
+    """2,000 fingerprints around one centre: the links of neighbours leave few nodes, and few links to emit."""
+    rng = random.Random(9)
+    centre, prints = rng.getrandbits(64), set()
+    while len(prints) < 2000:
+        prints.add(centre ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
+    signed = sorted(int(np.uint64(p).view(np.int64)) for p in prints)
+    nodes = spark.createDataFrame(list(zip(signed, range(len(signed)), strict=True)), "fp long, node long").repartition(4)
+    first = simhash.components(simhash.neighbour_links(nodes), "dense-test")
+    from pyspark.sql import functions as F
+
+    joined = nodes.join(first, "node", "left").select("fp", F.coalesce("component", "node").alias("node"))
+    left = joined.select("node").distinct().count()
+    emitted = simhash.near_links(joined).count()
+    assert left < len(prints) / 10 and emitted < 2000 * 1999 / 2 / 20
+    groups = {r.node: r.component for r in simhash.components(simhash.near_links(joined)).collect()}
+    assert len({groups.get(r.node, r.node) for r in joined.select("node").distinct().collect()}) == 1
