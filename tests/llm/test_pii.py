@@ -130,3 +130,121 @@ def test_clean_documents_stay(spark):
         for found in re.findall(r"[\w.]+@[\w.]+\.com|\+1 \(\d{3}\) \d{3}-\d{4}|(?<![\w.])4\d{15}(?!\w)", r.text):
             if "@" in found or found.startswith("+") or luhn(found):
                 assert found not in r.new
+
+
+def with_luhn(digits):
+    return next(digits + str(c) for c in range(10) if luhn(digits + str(c)))
+
+
+def with_iban_digits(country, body):
+    number = int("".join(str(int(c, 36)) for c in body + country + "00"))
+    return f"{country}{98 - number % 97:02d}{body}"
+
+
+def samples(rng, n):
+    """(kind, value): valid values of every kind."""
+    import datetime
+
+    def digits(k):
+        return "".join(rng.choice("0123456789") for _ in range(k))
+
+    out = []
+    for i in range(n):
+        day = datetime.date(1800, 1, 1) + datetime.timedelta(days=rng.randrange(pii.CYCLE_DAYS))
+        y, m, d = f"{day.year}", day.month, day.day
+        dates = [day.isoformat(), f"{m:02d}/{d:02d}/{y}", f"{d:02d}.{m:02d}.{y}", f"{d}-{m}-{y}", f"{pii.MONTHS[m - 1]} {d}, {y}"]
+        dates.append(f"{max(d, 13)}/{m}/{y}" if d <= 28 else f"{d}/{m}/{y}")
+        code = lambda: rng.choice(["2", "5", "9"]) + rng.choice(["00", "10", "12", "99", digits(2)]).replace("11", "13")
+        out += [
+            ("date", rng.choice(dates)), ("phone", f"+1 ({code()}) {code()}-{digits(4)}"), ("phone", f"{code()}-{code()}-{digits(4)}"),
+            ("ssn", f"{rng.choice(['001', '665', '667', '899', '123'])}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"),
+            ("card", with_luhn(digits(rng.randint(12, 18)))), ("ip", ".".join(str(rng.randrange(256)) for _ in range(4))),
+            ("iban", with_iban_digits(*rng.choice([("DE", digits(18)), ("GB", "NWBK" + digits(14)), ("FR", digits(10) + "A1" + digits(11))]))),
+            ("abroad", "+" + rng.choice(["44", "49", "351", "7", "86"]) + rng.choice("123456789") + digits(8)), ("email", f"u{i}.x{digits(2)}@mail{digits(1)}.example.com"),
+            ("hex", "=" + "".join(rng.choice("0123456789abcdef") for _ in range(32))), ("digits", "=" + digits(16)), ("ipv6", "2001:db8::" + "".join(rng.choice("0123456789abcdef") for _ in range(4))),
+        ]
+    return out
+
+
+def still_valid(kind, old, new):
+    import datetime
+
+    if kind == "date":
+        numbers = list(map(int, re.findall(r"\d+", new)))
+        if re.match("[A-Z]", new):
+            return datetime.date(numbers[1], pii.MONTHS.index(new.split()[0]) + 1, numbers[0]).year < 2200
+        if re.match(r"\d{4}", new):
+            return datetime.date(*numbers).year < 2200
+        a, b, year = numbers
+        first = a <= 12 if "/" in new else b > 12
+        before = list(map(int, re.findall(r"\d+", old)))
+        assert first == (before[0] <= 12 if "/" in old else before[1] > 12)  # read in the same order as before
+        return datetime.date(year, *((a, b) if first else (b, a))).year < 2200
+    if kind == "phone":
+        ten = re.sub(r"\D", "", new)[-10:]
+        return re.fullmatch(r"[2-9](?!11)\d\d[2-9](?!11)\d\d\d{4}", ten) and re.sub(r"\d", "0", old) == re.sub(r"\d", "0", new)
+    if kind == "ssn":
+        return re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", new)
+    if kind == "card":
+        return luhn(new) and len(new) == len(old)
+    if kind == "ip":
+        return all(int(x) < 256 for x in new.split("."))
+    if kind == "iban":
+        return iban_holds(new) and new[:2] == old[:2] and re.sub(r"\d", "0", old) == re.sub(r"\d", "0", re.sub("[A-Z]", lambda m: m[0], new)) or iban_holds(new)
+    if kind == "abroad":
+        return next(new.startswith(c) for c in ("+44", "+49", "+351", "+7", "+86") if old.startswith(c))
+    if kind == "email":
+        return re.fullmatch(r"[a-z]\d*\.[a-z]\d\d@[a-z]{4}\d\.example\.com", new)
+    if kind == "hex":
+        return re.fullmatch("=[0-9a-f]{32}", new)
+    if kind == "digits":
+        return re.fullmatch(r"=\d{16}", new) and luhn(new[1:]) == luhn(old[1:])
+    return re.fullmatch(r"\d{4}:[a-f]{2}\d::[0-9a-f]{4}", new)
+
+
+def test_valid_values_stay_valid_and_come_back(spark):
+    """Of every kind: the pseudonym is valid, another value has another one, and the key gives the value back."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rows = sorted(set(samples(random.Random(5), 60)))
+    df = spark.createDataFrame(rows, "kind string, v string").repartition(4)
+    done = df.withColumn("p", pii.pseudonym(F.col("v"), "k1")).withColumn("back", pii.pseudonym(F.col("p"), "k1", back=True)).collect()
+    for r in done:
+        assert still_valid(r.kind, r.v, r.p), (r.kind, r.v, r.p)
+        # A date comes back with the zeros of its pseudonym.
+        plain = lambda x, kind=r.kind: re.sub(r"\b0(?=\d\b)", "", x) if kind == "date" else x
+        assert plain(r.back) == plain(r.v), (r.kind, r.v, r.p, r.back)
+    for kind in {r.kind for r in done}:
+        own = [r for r in done if r.kind == kind]
+        assert len({r.p for r in own}) == len({r.v for r in own}) and sum(r.p != r.v for r in own) > 0.9 * len(own)
+
+
+def test_codes_outside_the_plan_are_permuted_among_themselves(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(f"+1 ({a}) {b}-1234",) for a in ("000", "068", "199", "911", "212") for b in ("011", "155", "211", "555")]
+    got = spark.createDataFrame(rows, "v string").select("v", pii.pseudonym(F.col("v")).alias("p")).collect()
+
+    def kinds(x):
+        ten = re.sub(r"\D", "", x)[1:]
+        return [("low" if c[0] in "01" else "eleven" if c[1:] == "11" else "plan") for c in (ten[:3], ten[3:6])]
+
+    assert all(kinds(r.v) == kinds(r.p) for r in got) and len({r.p for r in got}) == len(rows)
+
+
+def test_the_key_is_the_session_s(spark):
+    assert pii.key_of(spark) == pii.KEY
+    spark.conf.set(pii.KEY_SETTING, "another")
+    try:
+        assert pii.key_of(spark) == "another"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_helper_names(clashing_docs, unchanged):
+    got = pii.pseudonymise(clashing_docs)
+    assert len(unchanged(got, clashing_docs)) == clashing_docs.count()
+    kept = pii.pseudonymised_documents(clashing_docs)
+    assert kept.columns == clashing_docs.columns and {r.found for r in kept.collect()} == {7, None}
