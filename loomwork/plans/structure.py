@@ -132,7 +132,10 @@ def qa_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
     toc = _joined(_nations(spark, sf_dir), "region", "n_nationkey", F.expr("concat(n_name, ' ..... ', n_nationkey + 1)")).withColumnRenamed("body", "toc")
     body = _joined(_nations(spark, sf_dir), "region", "n_nationkey", F.expr("concat('Chapter ', n_nationkey + 1, ': ', n_name, '\\nSection ', n_nationkey, '.1 More\\ntext')"))
-    text = F.concat(F.lit("A long book title\nTable of Contents\n"), "toc", F.lit("\n\nPreface\nPart I. First\n"), "body", F.lit("\nGlossary\nAppendix A"))
+    # Words in other cases than the known ones are no front or back matter.
+    even = F.col("region") % 2 == 0
+    contents, glossary = F.when(even, "TABLE OF CONTENTS").otherwise("Table of Contents"), F.when(even, "Glossary").otherwise("glossary")
+    text = F.concat(F.lit("A long book title\n"), contents, F.lit("\n"), "toc", F.lit("\n\nPreface\nPart I. First\n"), "body", F.lit("\n"), glossary, F.lit("\nAppendix A"))
     return toc.join(body, "region").select("region", text.alias("text"))
 
 
@@ -330,7 +333,7 @@ ORACLES = {
         SELECT p_brand, md5(string_agg('Q' || p_partkey || ': Is ' || CASE WHEN p_size % 5 = 0 THEN p_name ELSE p_type END || ' good?' || chr(10) || chr(10) || 'A' || p_partkey || ': ' ||
                         CASE WHEN p_size % 5 = 0 THEN 'Yes it is.' ELSE 'No. Or ' || p_size END, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY p_partkey)) AS h, count(*) AS pairs
         FROM f WHERE n = 1 GROUP BY p_brand""",
-    "d5_books": "SELECT n_regionkey AS region, 2 AS front, 2 AS back, 1 AS parts, count(*) AS sections, count(*) AS entries, sum(n_nationkey + 1)::BIGINT AS pages FROM nation GROUP BY 1",
+    "d5_books": "SELECT n_regionkey AS region, CASE WHEN n_regionkey % 2 = 0 THEN 2 ELSE 1 END AS front, CASE WHEN n_regionkey % 2 = 0 THEN 2 ELSE 1 END AS back, 1 AS parts, count(*) AS sections, count(*) AS entries, sum(n_nationkey + 1)::BIGINT AS pages FROM nation GROUP BY 1",
     "d5_chapters": "SELECT n_regionkey AS region, (n_nationkey + 1)::VARCHAR AS number, n_name AS title FROM nation",
     "d7_w8_manuals": """
         SELECT n_regionkey AS region, count(*) AS procedures, 2 * count(*) AS steps, count(*) AS warnings, 1 AS tips, 'one,two' AS needs, 'run --fast,x = 1' AS code, 'installation_guide' AS manual_type
