@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import patterns as P
 from loomwork.operators import questions as Q
 from loomwork.operators import structure as S
+from loomwork.operators.merging import hierarchical_merge
 from loomwork.session import table
 
 
@@ -55,6 +56,13 @@ def bullet_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.bullet_set(lines, "region").join(S.common_level(levels, "region"), "region").join(S.question_set(lines, "region"), "region")
 
 
+def merged_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legal texts and outlines merged under their headings, three levels deep, 100 chunks at most."""
+    both = _legal(spark, sf_dir).withColumn("region", F.col("region") + 100).unionByName(_outline(spark, sf_dir))
+    found = hierarchical_merge(S.heading_levels(S.explode_lines(both, "region"), "region"), "region", depth=3, most=100)
+    return found.select("region", "at", F.array_join("lines", "\n").alias("chunk"))
+
+
 def title_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = S.heading_levels(S.explode_lines(_outline(spark, sf_dir), "region"), "region")
     return S.title_paths(levels, "region").select("region", "path", "body")
@@ -272,6 +280,7 @@ o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY region ORDER B
 _QA = "row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)"
 
 QUERIES = {
+    "h4_d1e_merged_sections": merged_sections,
     "d3_cascade": qa_cascade,
     "d3_a16_answer_lengths": answer_lengths,
     "d1_w3_w4_legal_headings": legal_headings,

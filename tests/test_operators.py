@@ -252,3 +252,45 @@ def test_inverted_lists_reach_their_recall(spark):
     centres = ivf.fit(vectors, "vec_id")
     assert ivf.build(vectors, "vec_id", centres).count() == vectors.count()
     assert ivf.fit(vectors.filter("false"), "vec_id") == []
+
+
+def plain_merge(levels, size, depth):
+    """Line by line: lists of each level's lines from the text upwards, what is held is not begun again."""
+    lists = [[i for i, x in enumerate(levels) if x == n] for n in range(size + 1, -1, -1)]
+    held, out = set(), []
+    for n, own in enumerate(lists[:depth]):
+        for j in own:
+            if j in held:
+                continue
+            chain = [j]
+            if n != size:
+                for higher in lists[n + 1 :]:
+                    earlier = [i for i in higher if i < j]
+                    if earlier:
+                        if earlier[-1] > chain[-1]:
+                            chain.pop()
+                        chain.append(earlier[-1])
+            held.update(chain)
+            out.append(chain[::-1])
+    return out
+
+
+def test_merging_under_headings(spark):
+    import random
+
+    from loomwork.functions import patterns as P
+    from loomwork.operators.merging import hierarchical_merge
+
+    rng, rows, want = random.Random(3), [], {}
+    for key in range(30):
+        bullet_set = key % len(P.BULLET_SETS)
+        size = len(P.BULLET_SETS[bullet_set])
+        levels = [rng.randint(0, size + 1) for _ in range(rng.randint(1, 14))]
+        rows += [(key, i, f"line {i}", bullet_set, x) for i, x in enumerate(levels)]
+        want[key] = [[f"line {i}" for i in c] for c in plain_merge(levels, size, 3)]
+    rows += [(99, 0, "no heading here", -1, 0), (98, 0, "7", 0, 0)]
+    df = spark.createDataFrame(rows, "key int, line_no int, line string, bullet_set int, level int")
+    got = {}
+    for r in sorted(hierarchical_merge(df, "key", 3).collect(), key=lambda r: (r.key, r.at)):
+        got.setdefault(r.key, []).append(r.lines)
+    assert got == {k: v for k, v in want.items() if v}
