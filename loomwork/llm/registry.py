@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwork.llm import html_text, media, mixing, packing, pii, quality, simhash, sketches, token_files, tokens
+from loomwork.llm import html_text, media, mixing, packing, phrases, pii, quality, simhash, sketches, token_files, tokens
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_simhash_groups": simhash.op8_simhash_groups,
         "op9_quality": quality.op9_quality,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
+        "op11_phrases": phrases.op11_phrases,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.OP1_SQL}
+    return {"op1_mix_sources": mixing.OP1_SQL, "op11_phrases": phrases.OP11_SQL}
