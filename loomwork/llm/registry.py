@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwork.llm import html_text, media, mixing, packing, phrases, pii, quality, simhash, sketches, token_files, tokens
+from loomwork.llm import html_text, media, mixing, packing, phrases, pii, prefixes, quality, shards, simhash, sketches, token_files, tokens
 
 
 def queries() -> dict:
@@ -18,8 +18,10 @@ def queries() -> dict:
         "op9_quality": quality.op9_quality,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
         "op11_phrases": phrases.op11_phrases,
+        "op12_prefix_trie": prefixes.op12_prefix_trie,
+        "op13_shards": shards.op13_shards,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.OP1_SQL, "op11_phrases": phrases.OP11_SQL}
+    return {"op1_mix_sources": mixing.OP1_SQL, "op11_phrases": phrases.OP11_SQL, "op12_prefix_trie": prefixes.OP12_SQL, "op13_shards": shards.OP13_SQL}
