@@ -35,6 +35,7 @@ MIN_COUNT = 10
 #: A longer candidate that makes up this share of a shorter one's count, in percent, stands for it.
 COVER_PERCENT = 50
 TOP = 2000
+PARTS = 16
 #: Bytes of pieces whose n-grams a task sums at a time, and bytes of different pieces for each bucket.
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 4 << 20
@@ -212,12 +213,14 @@ def collocations(
     counts = staged(frequent_phrases(pieces, min_count), "phrase-counts")
     kept = scored(counts).join(covers(counts), ["lang", "phrase"], "left")
     kept = kept.filter(F.col("cover").isNull() | (100 * F.col("cover") < cover_percent * F.col("a")))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    # Spark keeps the first rows of each task before it shuffles, so a language is no hot key.
-    ranked = kept.withColumn("rank", F.row_number().over(order))
+    best = [F.desc("score"), F.desc("a"), "phrase"]
+    if top is not None:
+        # The first of each part of a language's phrases, so that a language hands a task PARTS * top rows at most.
+        kept = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+        kept = kept.withColumn("at", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best))).filter(F.col("at") <= top)
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long"))
     if top is not None:
         ranked = ranked.filter(F.col("rank") <= top)
-    ranked = ranked.withColumn("rank", F.col("rank").cast("long"))
     return ranked.join(word_totals(pieces), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
