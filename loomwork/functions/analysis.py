@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.session import spread, staged
+
 #: Words of English grammar that keyword search leaves out: articles, pronouns, prepositions, conjunctions, auxiliaries.
 STOP_WORDS = (
     "a an the i me my mine we us our ours you your yours he him his she her hers it its they them their theirs this that these "
@@ -20,10 +22,7 @@ DIMENSIONS = 64
 
 def terms(text: Column) -> Column:
     """Lower-case runs of letters and digits, two characters and more, without stop words; in order, with repeats."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(
-        F.split(F.lower(text), "[^a-z0-9]+"), lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w)
-    )
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: (F.length(w) >= 2) & ~w.isin(*STOP_WORDS))
 
 
 #: What a stem is: the word without its longest ending of these, three letters at least, and without a doubled consonant.
@@ -68,7 +67,7 @@ def counted(values: Column) -> Column:
 def with_embedding(df: DataFrame, key: str, text: str, name: str = "embedding", dimensions: int = DIMENSIONS) -> DataFrame:
     """(key, embedding): signed feature hashing of a text's terms, not normalised. Texts without terms have no row.
 
-    Terms are counted inside the row; nothing is shuffled.
+    Terms are counted inside the row. The vectors are written once, so that neither the filter nor what reads them twice digests a text again.
     """
     def place(w: Column) -> Column:
         def signed(m: Column) -> Column:
@@ -77,8 +76,9 @@ def with_embedding(df: DataFrame, key: str, text: str, name: str = "embedding",
 
         return F.element_at(F.transform(F.array(F.md5(w)), signed), 1)
 
-    placed = df.select(key, F.transform(terms(F.col(text)), place).alias("places")).filter(F.size("places") > 0)
+    placed = spread(df.select(key, text)).select(key, F.transform(terms(F.col(text)), place).alias("places"))
     mapped = placed.select(key, F.map_from_entries(counted(F.col("places"))).alias("m"))
     of = lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double")
     dense = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: of(i) - of(-1 - i))
-    return mapped.select(key, dense.alias(name))
+    held = staged(mapped.select(key, F.when(F.size("m") > 0, dense).alias(name)), "embeddings")
+    return held.filter(F.col(name).isNotNull())

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.analysis import terms
+from loomwork.session import spread, staged
 
 MIN_LETTERS = 9
 MIN_DOCUMENTS = 2
@@ -15,7 +16,7 @@ MIN_DOCUMENTS = 2
 
 def mentions(docs: DataFrame, id_col: str, collection: str, text: str) -> DataFrame:
     """(collection, id, line, entity): distinct long terms of each line."""
-    lines = docs.select(id_col, F.col(collection).alias("collection"), F.posexplode(F.split(text, "\n")).alias("line", "t"))
+    lines = spread(docs).select(id_col, F.col(collection).alias("collection"), F.posexplode(F.split(text, "\n")).alias("line", "t"))
     found = F.array_distinct(F.filter(terms(F.col("t")), lambda w: F.length(w) >= MIN_LETTERS))
     return lines.select(id_col, "collection", "line", F.explode(found).alias("entity"))
 
@@ -27,11 +28,10 @@ def build(docs: DataFrame, id_col: str, collection: str, text: str) -> tuple[Dat
     pairs are made within one line from its own array and summed before the shuffle. A line of m entities has m (m - 1) / 2
     pairs: what is a line bounds them, so texts without line breaks should be cut into sentences first.
     """
-    names = lambda t: F.array_distinct(F.filter(terms(t), lambda w: F.length(w) >= MIN_LETTERS))
-    per_doc = docs.select(F.col(collection).alias("collection"), F.explode(names(F.col(text))).alias("entity"))
+    found = staged(mentions(docs, id_col, collection, text), "mentions")
+    per_doc = found.select("collection", id_col, "entity").distinct()
     entities = per_doc.groupBy("collection", "entity").agg(F.count(F.lit(1)).alias("documents"))
     entities = entities.filter(F.col("documents") >= MIN_DOCUMENTS)
-    found = mentions(docs, id_col, collection, text)
     kept = found.join(entities.select("collection", "entity"), ["collection", "entity"])
     listed = kept.groupBy("collection", id_col, "line").agg(F.array_sort(F.collect_list("entity")).alias("e"))
     pairs = listed.filter(F.size("e") > 1).select("collection", F.explode("e").alias("a"), "e")

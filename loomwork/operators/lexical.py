@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions.analysis import counted, lexemes, stem, terms
 from loomwork.operators.vector import top_k
-from loomwork.session import staged
+from loomwork.session import spread, staged
 
 K1, B = 1.2, 0.75
 
@@ -28,7 +28,7 @@ def postings(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str = "
     heads = query_terms(queries).select(F.substring("term", 1, 3).alias("head")).distinct()
     # Three letters or digits: at most 48,000 of them, whatever the number of queries.
     wanted = [r["head"] for r in heads.collect()]
-    split = docs.select(id_col, terms(F.col(text_col)).alias("t"))
+    split = spread(docs.select(id_col, text_col)).select(id_col, terms(F.col(text_col)).alias("t"))
     near = F.filter("t", lambda w: F.substring(w, 1, 3).isin(wanted))
     held = split.select(id_col, F.size("t").alias("length"), counted(F.transform(near, stem)).alias("lexemes"))
     return staged(held, "postings")
@@ -72,6 +72,7 @@ def keyword_search(docs: DataFrame, queries: DataFrame, id_col: str, k: int, thr
 
 def term_coverage(hits: DataFrame, docs: DataFrame, queries: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """``hits`` with rerank_score: the share of a query's idf that its document's lexemes cover, 0 to 1."""
+    hits = staged(hits, "hits")  # read twice below
     wanted = query_terms(queries)
     posted = postings(docs, queries, id_col, text_col)
     held = held_terms(posted, wanted, id_col)

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-#: Queries scored in one pass over the vectors; a block of this many is what is broadcast.
+#: Queries scored in one pass over the vectors; a block of this many goes out with the tasks.
 QUERY_BLOCK = 2048
 
 
@@ -27,20 +33,69 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
-def _scored(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, digits: int | None) -> DataFrame:
-    left = vectors.filter(F.col(vector_col).isNotNull()).withColumn("_norm", norm(F.col(vector_col)))
-    right = queries.select("query_id", "query_embedding", norm(F.col("query_embedding")).alias("_query_norm"))
-    score = dot(F.col(vector_col), F.col("query_embedding")) / F.nullif(F.col("_norm") * F.col("_query_norm"), F.lit(0.0))
-    score = score if digits is None else F.round(score, digits)
-    return left.crossJoin(F.broadcast(right)).select("query_id", id_col, score.alias("score"))
-
-
 def top_k(scored: DataFrame, id_col: str, k: int) -> DataFrame:
     """The k best rows of each query with their rank. A partition keeps k rows a query before anything is shuffled."""
     best_first = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), F.asc(id_col))
     return scored.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
 
 
+def _first(scores: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores, ties by ``order``; -inf counts as no score and comes last."""
+    if len(scores) > k:
+        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
+        at = np.flatnonzero(scores >= edge)
+    else:
+        at = np.arange(len(scores))
+    return at[np.lexsort((order[at], -scores[at]))[:k]]
+
+
+def _nearest(asked: list, k: int, digits: int | None, schema: pa.Schema):
+    """Batches of (id, vector, group) to the k rows of a batch that are nearest to each query of the same group."""
+    ids, groups = [q["query_id"] for q in asked], np.array([str(q["group"]) for q in asked])
+    size = max(map(len, (q["query_embedding"] for q in asked)), default=0)
+    whole = np.array([len(q["query_embedding"]) == size and None not in q["query_embedding"] for q in asked])
+    matrix = np.array([q["query_embedding"] if ok else [0.0] * size for q, ok in zip(asked, whole, strict=True)], np.float64).reshape(len(asked), size)
+    norms = np.sqrt((matrix * matrix).sum(axis=1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["vector"]
+            fits = pc.equal(pc.list_value_length(lists), size).to_numpy(zero_copy_only=False)
+            fits = np.flatnonzero(fits.astype(bool) & (np.bincount(pc.list_parent_indices(lists).to_numpy(), pc.is_null(lists.flatten()).to_numpy(zero_copy_only=False), len(lists)) == 0))
+            others = np.flatnonzero(pc.is_valid(lists).to_numpy(zero_copy_only=False))
+            vectors = np.zeros((len(lists), size))
+            vectors[fits] = lists.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(len(fits), size)
+            own_norms = np.sqrt((vectors * vectors).sum(axis=1))
+            order = np.argsort(np.argsort(batch["id"].to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+            group = np.array([str(g) for g in batch["group"].to_pylist()])
+            rows, columns, found = [], [], []
+            for g in np.unique(group):
+                own, asking = others[group[others] == g], np.flatnonzero(groups == g)
+                if not len(own) or not len(asking):
+                    continue
+                product = own_norms[own, None] * norms[None, asking]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    scores = np.where(product > 0, (vectors[own] @ matrix[asking].T) / product, -np.inf)
+                scores = scores if digits is None else np.round(scores, digits)
+                for c, q in enumerate(asking):
+                    best = _first(scores[:, c], order[own], k)
+                    rows.append(own[best])
+                    columns.append(np.full(len(best), q))
+                    found.append(scores[best, c])
+            if rows:
+                score = np.concatenate(found)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([ids[q] for q in np.concatenate(columns)], schema.field(0).type),
+                        batch["id"].take(pa.array(np.concatenate(rows))).cast(schema.field(1).type),
+                        pa.array(score, mask=np.isneginf(score)),
+                    ],
+                    schema=schema,
+                )
+
+    return run
+
+
 def top_k_semantic(
     vectors: DataFrame,
     queries: DataFrame,
@@ -49,21 +104,30 @@ def top_k_semantic(
     threshold: float | None,
     vector_col: str = "embedding",
     digits: int | None = None,
+    within: str | None = None,
 ) -> DataFrame:
     """Rows of ``vectors`` nearest to each query: (query_id, id, score, rank).
 
-    The query set is counted first. A set of at most ``QUERY_BLOCK`` queries is broadcast against one scan; a larger one
-    is dealt into blocks of about that many, each with a scan and a top-k of its own, so what is broadcast never grows with
-    the data. The threshold acts after the limit, so fewer than k rows may come back. Null vectors are skipped.
-    With ``digits``, scores are rounded before they are ranked, so that equal texts tie and the id decides.
+    Vectors stay where they are: a task multiplies each Arrow batch of them with a block of queries, as matrices, and
+    hands on the k best of a batch. The query set is counted first; a set of at most ``QUERY_BLOCK`` queries goes out with
+    the tasks, a larger one is dealt into blocks of about that many, each with a scan and a top-k of its own, so what
+    leaves the driver never grows with the data. With ``within``, a column of both sides, a query only meets vectors
+    with an equal value (its tenant's); a hot value is no hot key, since nothing is joined by it.
+
+    The threshold acts after the limit, so fewer than k rows may come back. Null vectors are skipped; a zero vector, or one of
+    another length, has a null score, which comes last. With ``digits``, scores are rounded before they are ranked, so
+    that equal texts tie and the id decides.
     """
-    blocks = -(-max(1, queries.count()) // QUERY_BLOCK)
-    if blocks == 1:
-        best = top_k(_scored(vectors, queries, id_col, vector_col, digits), id_col, k)
-    else:
-        dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        parts = [
-            top_k(_scored(vectors, dealt.filter(F.col("_block") == b), id_col, vector_col, digits), id_col, k) for b in range(blocks)
-        ]
-        best = reduce(DataFrame.unionByName, parts)
+    own = queries if within is None else queries.filter(F.col(within).isNotNull())
+    group = F.lit("") if within is None else F.col(within).cast("string")
+    asked = own.select("query_id", F.col("query_embedding").cast("array<double>"), group.alias("group")).filter("query_embedding is not null")
+    blocks = -(-max(1, asked.count()) // QUERY_BLOCK)
+    held = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), group.alias("group"))
+    schema = StructType([queries.schema["query_id"], StructField(id_col, vectors.schema[id_col].dataType), StructField("score", DoubleType())])
+    parts = []
+    for b in range(blocks):
+        block = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        nearest = held.mapInArrow(_nearest(block.collect(), k, digits, to_arrow_schema(schema)), schema)
+        parts.append(top_k(nearest, id_col, k))
+    best = reduce(DataFrame.unionByName, parts)
     return best if threshold is None else best.filter(F.col("score") >= threshold)

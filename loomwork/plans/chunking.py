@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import chunking as C
 from loomwork.functions.text import token_estimate
-from loomwork.session import table
+from loomwork.session import spread, table
 
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, chunk_index, content, tokens) without chunks of fewer than ten tokens, numbered anew."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     pieces = docs.select("doc_id", F.posexplode(C.chunks(F.col("text"))).alias("at", "c")).select("doc_id", "at", "c.*")
     kept = pieces.filter("tokens >= 10")
     index = F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1
@@ -27,7 +27,7 @@ def chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All chunks of a document, joined: its text, and none above the size."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", C.chunks(F.col("text")).alias("c"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", C.chunks(F.col("text")).alias("c"))
     joined = F.array_join(F.transform("c", lambda x: x["content"]), "")
     return docs.select("doc_id", F.md5(joined).alias("h"), (F.coalesce(F.array_max(F.transform("c", lambda x: x["tokens"])), F.lit(0)) <= C.SIZE).alias("fits"))
 
@@ -40,7 +40,7 @@ def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("source", token_estimate(F.col("text")).alias("tokens"))
+    docs = spread(table(spark, sf_dir, "documents")).select("source", token_estimate(F.col("text")).alias("tokens"))
     per = docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("total_tokens"))
     return per.withColumn("mean", F.floor(F.col("total_tokens") / F.greatest("documents", F.lit(1))))
 

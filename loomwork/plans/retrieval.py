@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomwork.functions.analysis import DIMENSIONS, DOUBLED, ENDING, STOP_WORDS, terms, with_embedding
 from loomwork.functions.text import summary
 from loomwork.operators import fusion, graph, ivf, lexical, retrieve, twotier, vocabulary
-from loomwork.operators.vector import cosine, top_k, top_k_semantic
+from loomwork.operators.vector import top_k, top_k_semantic
 from loomwork.session import new_folder, staged, table
 
 K = 10
@@ -50,10 +50,10 @@ def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tenant_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id is divisible by 50 asks within its own label; queries meet only the vectors of their tenant."""
-    vectors = table(spark, sf_dir, "embeddings").filter("embedding is not null")
+    vectors = table(spark, sf_dir, "embeddings")
     queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("query_embedding"))
-    scored = vectors.join(queries, "label").select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query_embedding")).alias("score"))
-    return top_k(scored, "vec_id", K).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+    hits = top_k_semantic(vectors, queries, "vec_id", K, None, within="label")
+    return hits.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,3 +65,12 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.options(compression="zstd", **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, where a scan gives fewer (a small file, a single row group).
+
+    For heavy work on each row. A large table has more files or row groups than cores and stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(2 * cores)
