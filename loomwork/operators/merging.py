@@ -1,7 +1,11 @@
-"""Merging lines under their headings: each line of the lowest levels with the headings that stand above it.
+"""Merging lines under their headings, in two ways. Both are windows over a document's lines, partitioned by document.
 
-The headings above a line are the last lines before it of every higher level, which is a window a level. Levels are gone
-through from the text upwards; a heading that a chunk already holds makes none of its own.
+``hierarchical_merge``: each line of the lowest levels with the headings that stand above it, which are the last lines before
+it of every higher level. Levels are gone through from the text upwards; a heading that a chunk already holds makes none
+of its own.
+
+``tree_merge``: headings down to a target level are the nodes of a tree and hold the lines that follow them; each leaf makes
+a chunk of its own lines below those of the nodes above it.
 """
 
 from __future__ import annotations
@@ -12,10 +16,69 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import patterns as P
+from loomwork.functions.text import not_title
+from loomwork.operators.structure import bullet_set, first_of
+from loomwork.session import staged
 
 MOST_LEVELS = max(map(len, P.BULLET_SETS)) + 2
 
 
+def merge_levels(lines: DataFrame, key: str, layout: Column | None = None) -> DataFrame:
+    """(key, line_no, line, bullet_set, size, level) of the lines that merges see: of documents with headings, without empty
+    lines, single characters and lines of digits. A level is the index of the first pattern that matches, then that of
+    titles by ``layout``, then that of text."""
+    text = F.trim(F.substring_index("line", "@", 1))
+    rows = lines.join(bullet_set(lines, key), key).filter((F.col("bullet_set") >= 0) & (F.length(text) > 1) & ~text.rlike("^[0-9]+$"))
+    titled = F.lit(False) if layout is None else layout.rlike("title|head") & ~not_title(F.col("line"))
+    level = F.lit(None).cast("int")
+    for i, s in enumerate(P.BULLET_SETS):
+        own = F.coalesce(first_of(F.col("line"), s), F.when(titled, len(s)), F.lit(len(s) + 1))
+        level = F.when(F.col("bullet_set") == i, own).otherwise(level)
+    size = F.element_at(F.array(*[F.lit(len(s)) for s in P.BULLET_SETS]), F.col("bullet_set") + 1)
+    # Merges read the levels several times.
+    return staged(rows.select(key, "line_no", "line", "bullet_set", size.alias("size"), level.alias("level")), "levels")
+
+
+def tree_merge(levels: DataFrame, key: str, depth: int, most: int | None = None) -> DataFrame:
+    """(key, at, level, node, parent, lines): chunks of ``levels`` (as of ``merge_levels``) in the order of the text, ``most`` at most.
+
+    The target level is the ``depth``-th of those that occur, or the last, but not that of text where there is another. A
+    heading of the target level or above is a node under the last one before it of a higher level. Lines before the first
+    node are a chunk alone (node 0); a node with nodes below it has no chunk but heads theirs.
+    """
+    seen = F.sort_array(F.collect_set("level"))
+    per = levels.groupBy(key).agg(seen.alias("seen"), F.first("size").alias("size"))
+    last = F.element_at("seen", -1)
+    wanted = F.coalesce(F.get("seen", F.lit(depth - 1)), last)
+    target = F.when((wanted == F.col("size") + 1) & (F.size("seen") > 1), F.element_at("seen", -2)).otherwise(wanted)
+    rows = levels.join(per.select(key, target.alias("target")), key).withColumn("heads", F.col("level") <= F.col("target"))
+    so_far = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("node", F.sum(F.col("heads").cast("int")).over(so_far))
+    order = Window.partitionBy(key).orderBy("node")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    nodes = rows.filter("heads").select(key, "node", "level")
+    latest = [F.last(F.when(F.col("level") == n, F.col("node")), ignorenulls=True).over(before) for n in range(MOST_LEVELS)]
+    nodes = nodes.withColumn("latest", F.array(*latest)).withColumn("next_level", F.lead("level").over(order))
+    # The latest node of a higher level heads this one unless a still higher one came after it.
+    above = F.aggregate(
+        F.slice("latest", F.lit(1), F.col("level")),
+        F.array().cast("array<bigint>"),
+        lambda held, x: F.when(x.isNull(), held).when(x > F.coalesce(F.array_max(held), F.lit(0).cast("long")), F.array_append(held, x)).otherwise(held),
+    )
+    nodes = nodes.withColumn("above", above).withColumn("parent", F.coalesce(F.array_max("above"), F.lit(0)))
+    leaves = nodes.filter(F.col("next_level").isNull() | (F.col("next_level") <= F.col("level")))
+    leaves = leaves.select(key, "node", "level", "parent", F.array_append("above", F.col("node")).alias("chain"))
+    none = F.lit(None).cast("int")
+    tops = rows.filter("node = 0").select(key, "node", none.alias("level"), none.alias("parent"), F.array("node").alias("chain")).distinct()
+    chunks = tops.unionByName(leaves).withColumn("at", F.row_number().over(order) - 1)
+    chunks = chunks if most is None else chunks.filter(F.col("at") < most)
+    held = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
+    texts = rows.groupBy(key, "node").agg(held.alias("lines")).withColumnRenamed("node", "of")
+    parts = chunks.select(key, "at", "level", "node", "parent", F.explode("chain").alias("of")).join(texts, [key, "of"])
+    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("of", "lines"))), lambda x: x["lines"]))
+    return parts.groupBy(key, "at", "level", "node", "parent").agg(joined.alias("lines"))
+
+
 def _chain(place: Column, above: Column) -> Column:
     """From a line up: the heading of each higher level, instead of the one below where it stands behind that."""
 
@@ -27,14 +90,8 @@ def _chain(place: Column, above: Column) -> Column:
 
 
 def hierarchical_merge(levels: DataFrame, key: str, depth: int, most: int | None = None) -> DataFrame:
-    """(key, at, lines): chunks of ``levels`` (key, line_no, line, bullet_set, level) in order of level and place, ``most`` at most.
-
-    Lines of one character or of digits alone are left out, documents without headings have no chunk.
-    """
-    text = F.trim(F.substring_index("line", "@", 1))
-    rows = levels.filter((F.col("bullet_set") >= 0) & (F.length(text) > 1) & ~text.rlike("^[0-9]+$"))
-    size = F.element_at(F.array(*[F.lit(len(s)) for s in P.BULLET_SETS]), F.col("bullet_set") + 1)
-    rows = rows.select(key, F.col("line_no").alias("place"), "line", "level", (size + 1 - F.col("level")).alias("from_text"))
+    """(key, at, lines): chunks of ``levels`` (as of ``merge_levels``) in order of level and place, ``most`` at most."""
+    rows = levels.select(key, F.col("line_no").alias("place"), "line", "level", (F.col("size") + 1 - F.col("level")).alias("from_text"))
     before = Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     last = [F.last(F.when(F.col("level") == n, F.col("place")), ignorenulls=True).over(before) for n in range(MOST_LEVELS)]
     above = F.reverse(F.slice(F.array(*last), F.lit(1), F.col("level")))

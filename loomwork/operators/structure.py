@@ -157,14 +157,14 @@ def confidences(text: Column, filename: Column) -> dict[str, Column]:
     rows = F.regexp_count(part(15000), F.lit(r"(?m)^\s*\|.+\|"))
     rules = F.regexp_count(part(15000), F.lit(r"(?m)^\s*\|[-:| ]+\|"))
     all_lines = F.size(F.split(part(15000), "\n"))
-    slide_bullets = line_count(part(15000), P.SLIDE_BULLET, 100_000) / F.greatest(all_lines, F.lit(1))
+    slide_bullets = line_count(part(15000), P.any_of(P.SLIDE_BULLETS), 100_000) / F.greatest(all_lines, F.lit(1))
     sections = "|".join(P.any_of(p) for p in P.MANUAL_SECTIONS.values())
     keywords = reduce(lambda a, b: a + b, [(F.instr(low(text), k) > 0).cast("int") for k in P.RESUME_KEYWORDS])
     resume_parts = reduce(lambda a, b: a + b, [text.rlike("(?m)" + p).cast("int") for p in P.RESUME_SECTIONS.values()])
     scores = {
         "legal": counted(part(8000), P.LEGAL_INDICATORS, 0.08, 0.25) + F.least(bullets * 0.04, F.lit(0.35))
         + bonus("contract|agreement|terms|policy|nda|legal|law|statute|regulation", 0.15),
-        "academic": counted(part(8000), P.ACADEMIC_INDICATORS, 0.05, 0.2) + F.least(line_count(part(15000), P.ACADEMIC_SECTION, 100_000) * 0.1, F.lit(0.4))
+        "academic": counted(part(8000), P.ACADEMIC_INDICATORS, 0.05, 0.2) + F.least(line_count(part(15000), P.any_of(P.flagged("i", P.ACADEMIC_SECTIONS)), 100_000) * 0.1, F.lit(0.4))
         + counted(low(part(8000)), (r"\[\d+\]", r"\(\w+,?\s*\d{4}\)"), 0.02, 0.15) + bonus("paper|article|research|thesis|dissertation|journal|arxiv", 0.15),
         "qa": F.least(F.regexp_count(part(10000), F.lit(r"\?")) * 0.02, F.lit(0.2)) + F.least(F.regexp_count(part(10000), F.lit(P.QA_FORMAT)) * 0.1, F.lit(0.3))
         + F.least(F.regexp_count(part(10000), F.lit(r"(?im)^(?:Q\d*|question)\s*[:.)]|frequently\s+asked")) * 0.08, F.lit(0.3))
@@ -179,7 +179,7 @@ def confidences(text: Column, filename: Column) -> dict[str, Column]:
         + bonus(r"\.(eml|msg)$", 0.3) + bonus("email|mail|message", 0.1),
         "manual": F.least(line_count(part(15000), sections, 400) * 0.1, F.lit(0.3)) + F.least(line_count(part(15000), P.STEP + r"|^[•\-\*]\s+(.+)$|^[a-z]\)\s+(.+)$", 400) * 0.02, F.lit(0.2))
         + F.least(line_count(part(15000), "|".join(P.CALLOUTS), 400) * 0.05, F.lit(0.15)) + bonus("manual|guide|howto|how-to|install|setup|readme|documentation", 0.15),
-        "presentation": F.least(line_count(part(15000), P.SLIDE_BREAK, 100_000) * 0.1, F.lit(0.35))
+        "presentation": F.least(line_count(part(15000), P.any_of(P.flagged("i", P.SLIDE_BREAKS)), 100_000) * 0.1, F.lit(0.35))
         + F.when(slide_bullets > 0.3, 0.2).when(slide_bullets > 0.15, 0.1).otherwise(0.0) + bonus(r"\.pptx?$|presentation|deck|slides|keynote|pitch", 0.25),
         "resume": F.least(F.lit(0.3), keywords * 0.05) + F.least(F.lit(0.3), resume_parts * 0.05) + F.when(text.rlike(P.RESUME_EMAIL), 0.1).otherwise(0.0)
         + F.when(text.rlike(P.RESUME_PHONE), 0.1).otherwise(0.0) + F.when(low(text).rlike("curriculum vitae|resume"), 0.2).otherwise(0.0),
@@ -284,6 +284,10 @@ def mail_fields(docs: DataFrame, text: str) -> DataFrame:
     def header(name: str) -> Column:
         return strip(F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(head, F.lit(rf"(?im)^{name}:\s*(.+)$"), F.lit(1))), -1))
 
+    def attached(pattern: str) -> Column:
+        found = [F.regexp_extract_all(t, F.lit(pattern), F.lit(g)).alias(n) for g, n in ((1, "filename"), (2, "size"))]
+        return F.transform(F.arrays_zip(*found), lambda a: F.struct(strip(a["filename"]).alias("filename"), strip(a["size"]).alias("size")))
+
     body = F.when(F.instr(t, "\n\n") > 0, F.substr(t, F.instr(t, "\n\n") + 2, F.length(t))).otherwise(t)
     name, mail = address(header("From"))
     recipients = F.filter(F.split(F.concat_ws(",", header("To"), F.nullif(header("Cc"), F.lit(""))), r',\s*(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda x: x != "")
@@ -294,9 +298,9 @@ def mail_fields(docs: DataFrame, text: str) -> DataFrame:
     subject = header("Subject")
     quoted = F.regexp_count(t, F.lit(r"(?m)^>+"))
     replies = F.regexp_count(subject, F.lit(r"^(?:Re|RE|re):\s*"))
-    is_reply = (replies > 0) | (header("In-Reply-To") != "") | (header("References") != "") | t.rlike(P.REPLY_MARKS)
+    is_reply = (replies > 0) | (header("In-Reply-To") != "") | (header("References") != "") | t.rlike(P.any_of(P.flagged("im", P.REPLY_MARKS)))
     lines = F.split(body, "\n")
-    marks = F.transform(lines, lambda x: strip(x).rlike(P.SIGNATURE))
+    marks = F.transform(lines, lambda x: strip(x).rlike(P.any_of(P.flagged("i", P.SIGNATURES))))
     at = F.array_position(marks, True).cast("int")
     rest = F.slice(lines, F.greatest(at, F.lit(1)), F.size(lines))
     return docs.select(
@@ -310,7 +314,7 @@ def mail_fields(docs: DataFrame, text: str) -> DataFrame:
         (F.regexp_count(subject, F.lit(r"^(?:Fwd|FWD|Fw|FW):\s*")) > 0).alias("is_forward"),
         F.when(quoted > 5, F.greatest(replies, F.least(F.floor(quoted / 10), F.lit(5)))).otherwise(replies).cast("int").alias("depth"),
         F.when((at > 0) & (F.size(rest) <= 15), F.array_join(rest, "\n")).alias("signature"),
-        F.regexp_extract_all(t, F.lit(P.ATTACHMENT), F.lit(1)).alias("attachments"),
+        F.filter(F.flatten(F.array(*[attached(p) for p in P.flagged("imd", P.ATTACHMENTS)])), lambda a: a["filename"] != "").alias("attachments"),
     )
 
 
@@ -396,9 +400,9 @@ def callouts(lines: DataFrame, key: str) -> DataFrame:
 def requirements(lines: DataFrame, key: str) -> DataFrame:
     """(key, line_no, item) of the first requirements section, 20 at most."""
     line = F.col("line")
-    start = F.min(F.when(line.rlike(P.REQUIREMENTS_START), F.col("line_no"))).over(Window.partitionBy(key))
+    start = F.min(F.when(line.rlike(P.any_of(P.flagged("i", P.REQUIREMENTS_START))), F.col("line_no"))).over(Window.partitionBy(key))
     inside = lines.withColumn("start", start).filter("line_no > start")
-    stop = F.min(F.when(line.rlike(P.REQUIREMENTS_END), F.col("line_no"))).over(Window.partitionBy(key))
+    stop = F.min(F.when(line.rlike(P.any_of(P.flagged("i", P.REQUIREMENTS_END))), F.col("line_no"))).over(Window.partitionBy(key))
     item = r"^(?:[•\-\*]|\d+[.)])\s+(.+)$"
     kept = inside.withColumn("stop", stop).filter((F.col("stop").isNull() | (F.col("line_no") < F.col("stop"))) & line.rlike(item))
     ranked = kept.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("line_no"))).filter("_n <= 20")
@@ -448,18 +452,19 @@ def slides(lines: DataFrame, key: str) -> DataFrame:
     """
     line = F.col("line")
     order = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    named = F.coalesce(*[F.nullif(F.regexp_extract(line, P.SLIDE_BREAK, g), F.lit("")) for g in (1, 2, 3, 4)]).cast("int")
-    marked = lines.withColumn("edge", line.rlike(P.SLIDE_BREAK)).withColumn("named", F.when(F.col("edge"), named))
+    breaks, notes = P.flagged("i", P.SLIDE_BREAKS), P.flagged("i", P.SLIDE_NOTES)
+    numbered = tuple(p for p in breaks if "(\\d+)" in p)
+    named = F.nullif(groups_of(line, numbered, 1).cast("int"), F.lit(0))
+    marked = lines.withColumn("edge", line.rlike(P.any_of(breaks))).withColumn("named", F.when(F.col("edge"), named))
     implicit = F.when((F.col("line_no") == 0) & ~F.col("edge"), 1).otherwise(0)
     marked = marked.withColumn("slide", F.sum(F.when(F.col("edge"), 1).otherwise(implicit)).over(order)).withColumn("base", F.last("named", ignorenulls=True).over(order))
     marked = marked.withColumn("base_slide", F.last(F.when(F.col("named").isNotNull(), F.col("slide")), ignorenulls=True).over(order))
-    pick = lambda pattern, n: F.coalesce(*[F.nullif(F.regexp_extract(line, pattern, g), F.lit("")) for g in range(1, n + 1)])
     body = ~F.col("edge")
     return marked.groupBy(key, "slide").agg(
         F.coalesce(F.first("base") + F.first("slide") - F.first("base_slide"), F.first("slide")).cast("int").alias("number"),
-        F.min_by(strip(pick(P.SLIDE_TITLE, 3)), F.when(body & line.rlike(P.SLIDE_TITLE), F.col("line_no"))).alias("title"),
-        F.count_if(body & line.rlike(P.SLIDE_BULLET)).alias("bullets"),
-        F.count_if(body & line.rlike(P.SLIDE_NOTES)).alias("notes"),
+        F.min_by(strip(groups_of(line, P.SLIDE_TITLES, 1)), F.when(body & line.rlike(P.any_of(P.SLIDE_TITLES)), F.col("line_no"))).alias("title"),
+        F.count_if(body & line.rlike(P.any_of(P.SLIDE_BULLETS))).alias("bullets"),
+        F.count_if(body & line.rlike(P.any_of(notes))).alias("notes"),
     )
 
 
@@ -553,3 +558,26 @@ def title_paths(levels: DataFrame, key: str, depth: int = 3) -> DataFrame:
     text = F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_title") & (F.col("line") != ""), F.struct("line_no", "line")))), lambda x: x["line"])
     per = pathed.groupBy(key, "block").agg(F.max_by("path", "line_no").alias("path"), F.array_join(text, "\n").alias("body"))
     return per.filter("body <> ''").select(key, "block", "path", "body")
+
+
+def sections(lines: DataFrame, key: str) -> DataFrame:
+    """(key, section, number, name, line_no, offset, next_offset, body) of papers.
+
+    A section begins at a line that one of the ordered patterns matches: with a number any of their names, without one only
+    those of the last patterns. It holds the lines up to the next section; lines before the first belong to none.
+    """
+    patterns = P.flagged("i", P.ACADEMIC_SECTIONS)
+    numbered = tuple(p for p in patterns if "(\\d+" in p)
+    plain = tuple(p for p in patterns if p not in numbered)
+    line, order = F.col("line"), Window.partitionBy(key).orderBy("line_no")
+    number = F.coalesce(strip(groups_of(line, numbered, 1)), F.lit(""))
+    name = strip(F.coalesce(groups_of(line, numbered, 2), groups_of(line, plain, 1)))
+    marked = lines.withColumn("name", name).withColumn("number", number)
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = marked.withColumn("section", F.count("name").over(so_far)).filter("section > 0")
+    text = F.array_sort(F.collect_list(F.when(F.col("name").isNull() & (line != ""), F.struct("line_no", "line"))))
+    per = held.groupBy(key, "section").agg(
+        F.min_by("number", "line_no").alias("number"), F.min_by("name", "line_no").alias("name"), F.min("line_no").alias("line_no"),
+        F.min("offset").alias("offset"), F.array_join(F.transform(text, lambda x: x["line"]), "\n").alias("body"),
+    )
+    return per.withColumn("next_offset", F.lead("offset").over(order))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import patterns as P
 from loomwork.operators import questions as Q
 from loomwork.operators import structure as S
-from loomwork.operators.merging import hierarchical_merge
+from loomwork.operators.merging import hierarchical_merge, merge_levels
 from loomwork.session import table
 
 
@@ -59,7 +59,7 @@ def bullet_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merged_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Legal texts and outlines merged under their headings, three levels deep, 100 chunks at most."""
     both = _legal(spark, sf_dir).withColumn("region", F.col("region") + 100).unionByName(_outline(spark, sf_dir))
-    found = hierarchical_merge(S.heading_levels(S.explode_lines(both, "region"), "region"), "region", depth=3, most=100)
+    found = hierarchical_merge(merge_levels(S.explode_lines(both, "region"), "region"), "region", depth=3, most=100)
     return found.select("region", "at", F.array_join("lines", "\n").alias("chunk"))
 
 
@@ -103,7 +103,8 @@ def _mails(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('From: \"', c_name, '\" <c', c_custkey, '@mail.example.com>\\nTo: Shop <shop@example.com>, \"Last, First\" <x@example.com>', "
         "if(o_orderkey % 2 = 0, '\\nCc: boss@example.com', ''), '\\nSubject: ', if(o_orderkey % 3 = 0, 'Re: ', if(o_orderkey % 3 = 1, 'Fwd: ', '')), 'Order ', o_orderkey, "
         "'\\nDate: ', if(o_orderkey % 2 = 0, date_format(o_orderdate, 'EEE, dd MMM yyyy HH:mm:ss'), date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss')), "
-        "'\\n\\nHello,\\nprice ', o_totalprice, if(o_orderkey % 5 = 0, repeat('\\n> quoted', 25), ''), if(o_orderkey % 4 = 0, '\\nAttachment: bill.pdf (12 KB)', ''), '\\nBest regards,\\n', c_name)"
+        "'\\n\\nHello,\\nprice ', o_totalprice, if(o_orderkey % 5 = 0, repeat('\\n> quoted', 25), ''), if(o_orderkey % 4 = 0, '\\nAttachment: bill.pdf (12 KB)', ''), "
+        "if(o_orderkey % 7 = 0, concat('\\n- scan', o_custkey, '.PDF (3 KB) and\\nsee File: notes.txt'), ''), '\\nBest regards,\\n', c_name)"
     )
     return orders.select("o_orderkey", text.alias("text"))
 
@@ -111,7 +112,7 @@ def _mails(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = S.mail_fields(_mails(spark, sf_dir), "text")
     return found.select("o_orderkey", "sender_name", "sender_mail", "recipients", "subject", F.date_format("sent_at", "yyyy-MM-dd HH:mm:ss").alias("sent"),
-                        "is_reply", "is_forward", "depth", "signature", F.array_join("attachments", ",").alias("attachments"))
+                        "is_reply", "is_forward", "depth", "signature", F.array_join(F.transform("attachments", lambda a: F.concat_ws("|", a["filename"], a["size"])), ",").alias("attachments"))
 
 
 def _explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,7 +332,8 @@ ORACLES = {
                ['Re: ', 'Fwd: ', ''][o_orderkey % 3 + 1] || 'Order ' || o_orderkey AS subject, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS sent,
                o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 AS is_reply, o_orderkey % 3 = 1 AS is_forward,
                greatest((o_orderkey % 3 = 0)::INT, CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 0 END)::INT AS depth, 'Best regards,' || chr(10) || c_name AS signature,
-               CASE WHEN o_orderkey % 4 = 0 THEN 'bill.pdf' ELSE '' END AS attachments FROM orders JOIN customer ON o_custkey = c_custkey""",
+               array_to_string([x FOR x IN [CASE WHEN o_orderkey % 4 = 0 THEN 'bill.pdf|12 KB' END, CASE WHEN o_orderkey % 7 = 0 THEN 'notes.txt|' END,
+                   CASE WHEN o_orderkey % 7 = 0 THEN 'scan' || o_custkey || '.PDF|3 KB' END] IF x IS NOT NULL], ',') AS attachments FROM orders JOIN customer ON o_custkey = c_custkey""",
     "d3_qa_explicit": f"SELECT p_brand, ({_QA} - 1)::INT AS at, 'What is ' || p_name || '?' AS question, 'Costs ' || p_retailprice || chr(10) || 'and size ' || p_size AS answer FROM part",
     "d3_qa_numbered": """
         SELECT p_brand, p_partkey::VARCHAR AS number, 'Is ' || CASE WHEN p_size % 5 = 0 THEN p_name ELSE p_type END || ' good?' AS question,

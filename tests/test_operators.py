@@ -286,10 +286,9 @@ def test_merging_under_headings(spark):
         bullet_set = key % len(P.BULLET_SETS)
         size = len(P.BULLET_SETS[bullet_set])
         levels = [rng.randint(0, size + 1) for _ in range(rng.randint(1, 14))]
-        rows += [(key, i, f"line {i}", bullet_set, x) for i, x in enumerate(levels)]
+        rows += [(key, i, f"line {i}", bullet_set, size, x) for i, x in enumerate(levels)]
         want[key] = [[f"line {i}" for i in c] for c in plain_merge(levels, size, 3)]
-    rows += [(99, 0, "no heading here", -1, 0), (98, 0, "7", 0, 0)]
-    df = spark.createDataFrame(rows, "key int, line_no int, line string, bullet_set int, level int")
+    df = spark.createDataFrame(rows, "key int, line_no int, line string, bullet_set int, size int, level int")
     got = {}
     for r in sorted(hierarchical_merge(df, "key", 3).collect(), key=lambda r: (r.key, r.at)):
         got.setdefault(r.key, []).append(r.lines)
