@@ -54,6 +54,39 @@ def test_union_and_containment(spark):
     assert r.c == 1.0 and r.r < 0.2 and r.lost == 0
 
 
+def test_merging_is_the_sketch_of_both(spark):
+    """Two stand-ins of every sign, stand-in and regular, regular and empty; other fractions as well."""
+    low, high, regular = (1 << 62) + 7, (1 << 63) - 9, 5
+    pairs = [([-5], [low]), ([low], [high]), ([-5], [-9]), ([-5], [-5]), ([low], []), ([], [-1]), ([], []), ([regular], [low]), ([-3], [regular]), ([2, 7], [regular])]
+    df = spark.createDataFrame(pairs, "a array<long>, b array<long>")
+    for r in df.select("a", "b", sketches.merged(F.col("a"), F.col("b")).alias("m")).collect():
+        both = {*r.a, *r.b}
+        kept = sorted(h for h in both if 0 <= h < 1 << 62)
+        assert r.m == (kept or sorted(both, key=lambda h: h % (1 << 64))[:1])
+    texts = [(f"word{i} of text", f"another{i}") for i in range(60)] + [(f"w{i} " * 3 + "a b c d e f", "x y z") for i in range(20)]
+    both = spark.createDataFrame(texts, "x string, y string")
+    for bits in (1, 2, 6):
+        df = both
+        for c in ("x", "y"):
+            df = sketches.with_sketch(df, F.col(c), f"s{c}", bits)
+        for r in df.select("x", "y", "sx", "sy", sketches.merged(F.col("sx"), F.col("sy"), bits).alias("m")).collect():
+            union = {*r.sx, *r.sy}
+            kept = sorted(h for h in union if 0 <= h < 1 << (64 - bits))
+            assert r.m == (kept or sorted(union, key=lambda h: h % (1 << 64))[:1])
+
+
+def test_a_hot_id_fills_several_ranges(spark):
+    rows = [(7 if i % 3 else i, f"text number {i} " + "w " * (i % 50)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sketches.with_next(docs, ["text"]).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted(rows)
+    # Every row is the next of one other: the pairs make one round of all rows, in descending order of ids.
+    after = {(r.doc_id, r.text): r.next_text for r in got}
+    assert sorted(after.values()) == sorted(t for _, t in rows)
+    ids = {t: d for d, t in rows}
+    assert sum(ids[r.next_text] > r.doc_id for r in got) == 1
+
+
 def test_range_search(spark):
     cuts = [3, 3, 10, 20, 50]
     got = spark.range(60).select("id", range_of(F.col("id"), sorted(set(cuts))).alias("r")).collect()
@@ -68,11 +101,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
     by = {}
     for r in got:
         assert by.setdefault(r.text, r.sketch) == r.sketch
-    order = sorted(((r.doc_id is not None, r.doc_id or 0, r.text) for r in got), reverse=True)
-    after = {}
-    for a, b in zip(order, order[1:] + order[:1], strict=True):
-        after.setdefault(a, set()).add(b[2])
-    assert all(r.next_text in after[(r.doc_id is not None, r.doc_id or 0, r.text)] for r in got)
+    ids = sorted({(r.doc_id is not None, r.doc_id or 0) for r in got}, reverse=True)
+    texts = {}
+    for r in got:
+        texts.setdefault((r.doc_id is not None, r.doc_id or 0), []).append(r.text)
+    after = {a: {*texts[a], *texts[b]} for a, b in zip(ids, ids[1:] + ids[:1], strict=True)}
+    assert all(r.next_text in after[(r.doc_id is not None, r.doc_id or 0)] for r in got)
+    assert sorted(r.next_text for r in got) == sorted(r.text for r in got)
     assert sketches.with_next(sketches.with_sketch(no_docs, F.col("text"), "sketch"), ["text", "sketch"]).count() == 0
     one = docs.filter("doc_id = 2").limit(1)
     assert sketches.with_next(one, ["text"]).first().next_text == one.first().text
