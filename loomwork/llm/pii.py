@@ -9,7 +9,8 @@ numbers of the North American plan), or check digits are computed anew (cards, a
 is walked until the value reads as it did before. International phone numbers keep their country code and the first digit
 behind it. With the key, ``pseudonym(..., back=True)`` gives the value back. Values that fail validation, and everything
 around the values, stay as they are; phone numbers are known by their shape, and those outside the number plan are
-permuted among themselves. The key is a parameter; the registered query reads it from ``loomwork.pseudonym.key``.
+permuted among themselves. The key is a parameter or the session's ``loomwork.pseudonym.secret``; a plan holds keys that are
+derived from it for each permutation, and Spark is told to leave those out of the plans that it shows.
 
 Kinds, in the order in which they are tried: e-mail addresses, secrets (cloud access keys; hexadecimal values of 16 digits
 or more after any key with = or :, and values with digits and letters of both cases after a key that names a credential),
@@ -27,6 +28,9 @@ whatever they are called.
 
 from __future__ import annotations
 
+import hmac
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,9 +72,11 @@ KINDS = {
 #: Every value of every kind has a part that this finds; texts without it are not searched.
 MAY_HOLD = r"[0-9@]|AKIA|[A-Fa-f]{16}"
 MONTHS = "January February March April May June July August September October November December".split()
-#: For tests and demonstrations; a job sets its own key in ``KEY_SETTING``.
-KEY = "loomwork-demo-key"
-KEY_SETTING = "loomwork.pseudonym.key"
+#: Where a session has its key. Spark hides settings with this word in their names from its pages and logs.
+KEY_SETTING = "loomwork.pseudonym.secret"
+#: What plans hold are keys derived from it; this finds them, so that Spark leaves them out of what it shows of plans.
+ROUND_KEY = r"fpk_[0-9a-f]{64}"
+REDACTION = "spark.sql.redaction.string.regex"
 ROUNDS = 8
 #: Steps of a walk along a cycle; of a permutation's values at least six tenths end it, so a longer walk has a chance of 1e-25.
 WALK = 64
@@ -84,9 +90,18 @@ def _pattern() -> str:
     return "|".join(f"(?:{p})" for p in KINDS.values())
 
 
-def _shift_half(half: Column, other: Column, tweak: str, key: str, hex_only: bool | Column, back: bool) -> Column:
+def round_key(key: str | None, tweak: str) -> str:
+    """The key of one permutation. Without a ``key`` it is the session's; there is none to fall back on."""
+    session = SparkSession.getActiveSession()
+    key = key or (session.conf.get(KEY_SETTING, None) if session else None)
+    if not key:
+        raise ValueError(f"pseudonyms need a key: give one, or set {KEY_SETTING}")
+    return "fpk_" + hmac.new(key.encode(), tweak.encode(), "sha256").hexdigest()
+
+
+def _shift_half(half: Column, other: Column, tweak: str, key: str | None, hex_only: bool | Column, back: bool) -> Column:
     """Each character moved within its own class by a byte of the keyed digest of the other half."""
-    digest = F.sha2(F.concat(F.lit(f"{key}|{tweak}|"), other), 512)
+    digest = F.sha2(F.concat(F.lit(f"{round_key(key, tweak)}|"), other), 512)
     letters = F.when(F.lit(hex_only) if isinstance(hex_only, bool) else hex_only, 6).otherwise(26)
 
     def moved(c: Column, i: Column) -> Column:
@@ -111,7 +126,7 @@ def _rounds(back: bool) -> Column:
 
 
 def permuted_string(
-    value: Column, tweak: str, key: str = KEY, hex_only: bool | Column = False, back: bool = False
+    value: Column, tweak: str, key: str | None = None, hex_only: bool | Column = False, back: bool = False
 ) -> Column:
     """A string of the same shape: digits for digits, letters for letters of the same case, the rest in place."""
     cut = (F.length(value) / 2).cast("int")
@@ -132,14 +147,14 @@ def permuted_string(
 
 
 def permuted_number(
-    value: Column, a: int | Column, b: int | Column, tweak: str, key: str = KEY, back: bool = False
+    value: Column, a: int | Column, b: int | Column, tweak: str, key: str | None = None, back: bool = False
 ) -> Column:
     """A bijection of 0 .. a*b-1, as a Feistel network over the pair (value div b, value mod b)."""
     a, b = (x if isinstance(x, Column) else F.lit(x) for x in (a, b))
     start = F.struct(F.floor(value / b).cast("long").alias("l"), F.pmod(value, b).cast("long").alias("r"))
 
     def drawn(other: Column, n: Column, side: str) -> Column:
-        text = F.concat(F.lit(f"{key}|{tweak}|{side}|"), n.cast("string"), F.lit("|"), other.cast("string"))
+        text = F.concat(F.lit(f"{round_key(key, tweak)}|{side}|"), n.cast("string"), F.lit("|"), other.cast("string"))
         number = F.conv(F.substring(F.sha2(text, 256), 1, 14), 16, 10).cast("long")
         return -number if back else number
 
@@ -420,7 +435,7 @@ def kind_of(value: Column) -> Column:
     )
 
 
-def pseudonym(value: Column, key: str = KEY, back: bool = False) -> Column:
+def pseudonym(value: Column, key: str | None = None, back: bool = False) -> Column:
     """The pseudonym of a found value; with ``back``, the value of a pseudonym."""
     made_by = {"secret": _secret, "date": _date, "ip": _ip, "ipv6": _ipv6, "iban": _iban, "ssn": _ssn, "card": _card}
 
@@ -433,8 +448,11 @@ def pseudonym(value: Column, key: str = KEY, back: bool = False) -> Column:
     return let(kind_of(value), of_kind)
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, text_col: str = "text", key: str | None = None) -> DataFrame:
     """``docs`` with ``text_col`` rewritten, and ``found``: the number of replaced values."""
+    hidden = docs.sparkSession.conf.get(REDACTION, None)
+    if not hidden or ROUND_KEY not in hidden:
+        docs.sparkSession.conf.set(REDACTION, f"{hidden}|{ROUND_KEY}" if hidden else ROUND_KEY)
     text = F.col(text_col)
     values = F.when(text.rlike(MAY_HOLD), F.regexp_extract_all(text, F.lit(_pattern()), F.lit(0)))
     columns = own_columns(docs, "found")
@@ -449,7 +467,7 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Dat
     return made.select(*[rewritten if c == text_col else c for c in columns], found.alias("found"))
 
 
-def pseudonymised_documents(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymised_documents(docs: DataFrame, key: str | None = None) -> DataFrame:
     """``docs`` with rewritten texts under their own columns; n_chars, where there is one, follows the text."""
     (kept,) = free_names(docs, "kept")
     has_found = len(own_columns(docs, "found")) < len(docs.columns)
@@ -461,9 +479,13 @@ def pseudonymised_documents(docs: DataFrame, key: str = KEY) -> DataFrame:
     return done.select(*docs.columns)
 
 
+_OWN_KEY = secrets.token_hex(32)
+
+
 def key_of(spark: SparkSession) -> str:
-    """The key that the session sets; the one for demonstrations where it sets none."""
-    return spark.conf.get(KEY_SETTING, KEY)
+    """The key that the session sets. Where it sets none, one that this process made and nothing keeps: values are linked
+    within the run, and nobody can turn them back."""
+    return spark.conf.get(KEY_SETTING, None) or _OWN_KEY
 
 
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

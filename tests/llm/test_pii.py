@@ -1,13 +1,22 @@
 import hashlib
 import re
 
+import pytest
+
 from loomwork.llm import pii
 
-KEY = pii.KEY
+KEY = "a key for tests"
+
+
+@pytest.fixture(autouse=True)
+def session_key(spark):
+    spark.conf.set(pii.KEY_SETTING, KEY)
+    yield
+    spark.conf.unset(pii.KEY_SETTING)
 
 
 def shift_half(half, other, tweak, hex_only):
-    digest = hashlib.sha512(f"{KEY}|{tweak}|{other}".encode()).hexdigest()
+    digest = hashlib.sha512(f"{pii.round_key(KEY, tweak)}|{other}".encode()).hexdigest()
     out = []
     for i, c in enumerate(half):
         byte = int(digest[(i % 63) * 2 : (i % 63) * 2 + 4], 16)
@@ -234,13 +243,19 @@ def test_codes_outside_the_plan_are_permuted_among_themselves(spark):
     assert all(kinds(r.v) == kinds(r.p) for r in got) and len({r.p for r in got}) == len(rows)
 
 
-def test_the_key_is_the_session_s(spark):
-    assert pii.key_of(spark) == pii.KEY
-    spark.conf.set(pii.KEY_SETTING, "another")
-    try:
-        assert pii.key_of(spark) == "another"
-    finally:
-        spark.conf.unset(pii.KEY_SETTING)
+def test_the_key_is_the_session_s_and_in_no_plan(spark, odd_docs):
+    from pyspark.sql import functions as F
+
+    assert pii.key_of(spark) == KEY
+    plan = pii.pseudonymise(odd_docs)._jdf.queryExecution()
+    text = plan.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("extended"))
+    assert KEY not in text and "redacted" in text and "fpk_" not in text
+    spark.conf.unset(pii.KEY_SETTING)
+    assert len(pii.key_of(spark)) == 64 and pii.key_of(spark) == pii.key_of(spark)
+    with pytest.raises(ValueError, match="need a key"):
+        pii.pseudonym(F.col("v"))
+    with pytest.raises(ValueError, match="need a key"):
+        pii.pseudonymise(odd_docs)
 
 
 def test_helper_names(clashing_docs, unchanged):
