@@ -38,9 +38,15 @@ COST = 1.0
 EPOCHS = 12
 BLEND = 0.75
 PIECE = 1 << 20
+FLAGS = 3
 _STEP = np.uint32(2654435761)
 
 
+def _bucket(key: np.ndarray) -> np.ndarray:
+    """Bucket numbers from FLAGS on; the first ones say that words are repeated."""
+    return np.maximum(key >> np.uint32(32 - BITS), np.uint32(FLAGS))
+
+
 def features(text: str | None) -> np.ndarray:
     """Sorted bucket numbers of the n-grams of the whole text."""
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
@@ -55,9 +61,9 @@ def features(text: str | None) -> np.ndarray:
                 key ^= key >> np.uint32(15)
             seen = np.zeros(1 << BITS, bool) if len(key) > 50_000 else None
             if seen is None:
-                found.append(np.unique(key >> np.uint32(32 - BITS)))
+                found.append(np.unique(_bucket(key)))
             else:
-                seen[key >> np.uint32(32 - BITS)] = True
+                seen[_bucket(key)] = True
                 found.append(np.flatnonzero(seen).astype(np.uint32))
     words = (text or "").split()
     alike = list(map(str.__eq__, words, words[1:]))
