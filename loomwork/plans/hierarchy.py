@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import patterns as P
 from loomwork.operators import structure as S
+from loomwork.operators.json_split import MOST, json_nodes, split_json
 from loomwork.operators.merging import hierarchical_merge, merge_levels, tree_merge
-from loomwork.session import table
+from loomwork.session import staged, table
 
 #: Chunks of a document that the processors keep.
 MOST_CHUNKS = 100
@@ -42,7 +43,7 @@ PAPER = (
     "null), cast(l_suppkey % 5 + 1 as int))"
 )
 BOOK = (
-    "element_at(array('# Part of orders', concat('Chapter ', l_linenumber, ': Trade'), concat('## Section ', l_linenumber), concat('### Detail ', l_suppkey), null), "
+    "element_at(array('# Part of orders', concat('CHAPTER ', l_linenumber, ': Trade'), concat('## Section ', l_linenumber), concat('### Detail ', l_suppkey), null), "
     "cast(l_partkey % 5 + 1 as int))"
 )
 
@@ -84,7 +85,29 @@ def book_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(hierarchical_merge(levels, "l_orderkey", depth=3, most=MOST_CHUNKS))
 
 
+def _event_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, text): a JSON document for each user: days, in each the list of its events with their properties."""
+    event = F.concat(
+        F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(', "type": "'), F.col("event_type"), F.lit('", "props": '), F.col("props"), F.lit("}")
+    )
+    rows = table(spark, sf_dir, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id", event.alias("e"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "e"))), lambda x: x["e"])
+    days = rows.groupBy("user_id", "day").agg(F.concat(F.lit('"'), F.col("day"), F.lit('": ['), F.array_join(listed, ", "), F.lit("]")).alias("d"))
+    whole = F.concat(F.lit('{"user": '), F.col("user_id").cast("string"), F.lit(', "days": {'), F.array_join(F.array_sort(F.collect_list("d")), ", "), F.lit("}}"))
+    return days.groupBy("user_id").agg(whole.alias("text"))
+
+
+def json_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of users' documents, read again: every value with its path in the whole document, and whether its chunk keeps the bound."""
+    chunks = staged(split_json(_event_json(spark, sf_dir), "user_id", "text"), "json-chunks")
+    asked = chunks.withColumn("at", F.struct("user_id", (F.col("n_chars") <= MOST).alias("fits")))
+    leaves = json_nodes(asked, "at", "content").filter("is_leaf")
+    path = F.array_join(F.transform("path", lambda k: F.substr(k, F.lit(2), F.length(k) - 2)), "/")
+    return leaves.select("at.user_id", path.alias("path"), "value", "at.fits")
+
+
 QUERIES = {
+    "s4_json_split": json_split,
     "d1e_legal_tree": legal_tree,
     "d2c_paper_tree": paper_tree,
     "d2b_paper_sections": paper_sections,
@@ -117,7 +140,7 @@ _PAPER_SQL = _rows_sql(
     "5",
 )
 _BOOK_SQL = _rows_sql(
-    "['# Part of orders', 'Chapter ' || l_linenumber || ': Trade', '## Section ' || l_linenumber, '### Detail ' || l_suppkey, NULL][l_partkey % 5 + 1]",
+    "['# Part of orders', 'CHAPTER ' || l_linenumber || ': Trade', '## Section ' || l_linenumber, '### Detail ' || l_suppkey, NULL][l_partkey % 5 + 1]",
     "[0, 6, 1, 2, NULL][l_partkey % 5 + 1]",
     "7",
 )
@@ -170,6 +193,13 @@ _HIERARCHY_SQL = f"""
     SELECT l_orderkey, "at", string_agg(line, chr(10) ORDER BY n DESC) AS chunk FROM links JOIN known USING (l_orderkey, place) GROUP BY l_orderkey, "at" """
 
 ORACLES = {
+    "s4_json_split": """
+    WITH e AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY event_id) - 1 AS i FROM events),
+    p AS (SELECT *, 'days/' || day || '/' || i || '/' AS pre FROM e)
+    SELECT DISTINCT user_id, 'user' AS path, user_id::VARCHAR AS value, true AS fits FROM events
+    UNION ALL SELECT user_id, pre || 'event_id', event_id::VARCHAR, true FROM p
+    UNION ALL SELECT user_id, pre || 'type', '"' || event_type || '"', true FROM p
+    UNION ALL SELECT user_id, pre || 'props/' || k, json_extract(props, '$.' || k)::VARCHAR, true FROM (SELECT *, unnest(json_keys(props)) AS k FROM p)""",
     "d1e_legal_tree": _tree_sql(_LEGAL_SQL, 4, 5, 3),
     "d2c_paper_tree": _tree_sql(_PAPER_SQL, 4, 5, 2),
     "d2b_paper_sections": f"""
