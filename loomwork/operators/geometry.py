@@ -76,19 +76,20 @@ def without_margins(boxes: DataFrame, height: float, share: float = 0.1) -> Data
     return boxes.filter(~(top | bottom))
 
 
-def reading_order(boxes: DataFrame, page: str, id_col: str, threshold: float, down: str = "top", across: str = "x0") -> DataFrame:
+def reading_order(boxes: DataFrame, page: str, id_col: str, threshold: float | Column, down: str = "top", across: str = "x0") -> DataFrame:
     """``boxes`` with row and place: rows of boxes less than ``threshold`` below their first one, each from left to right.
 
-    Boxes are in order of ``down``, so only the row begun last can take the next one: a fold over a page's boxes. With
+    A threshold of each page is an aggregate of its boxes. Boxes are in order of ``down``, so only the row begun last can take the next one: a fold over a page's boxes. With
     ``down`` and ``across`` exchanged they are columns, from top to bottom.
     """
     listed = F.array_sort(F.collect_list(F.struct(F.col(down).cast("double").alias("d"), F.col(id_col).alias("i"), F.struct(*boxes.columns).alias("b"))))
-    pages = boxes.groupBy(page).agg(listed.alias("l"))
+    limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    pages = boxes.groupBy(page).agg(listed.alias("l"), limit.alias("limit"))
     row = F.struct(F.col("l")[0]["b"].alias("b"), F.lit(0).alias("row"))
     start = F.struct(F.slice(F.array(row), 1, 0).alias("rows"), F.lit(-1).alias("row"), F.lit(None).cast("double").alias("first"))
 
     def put(s, x):
-        new = F.coalesce(x["d"] - s["first"] >= threshold, F.lit(True))
+        new = F.coalesce(x["d"] - s["first"] >= F.col("limit"), F.lit(True))
         at = F.when(new, s["row"] + 1).otherwise(s["row"])
         return F.struct(
             F.array_append(s["rows"], F.struct(x["b"].alias("b"), at.alias("row"))).alias("rows"), at.alias("row"), F.when(new, x["d"]).otherwise(s["first"]).alias("first")
@@ -116,3 +117,61 @@ def aligned(parts: DataFrame, table: str, kind: str = "kind") -> DataFrame:
     made = {"x0": F.when(is_row, x0).otherwise(F.col("x0")), "x1": F.when(is_row, x1).otherwise(F.col("x1"))}
     made |= {"y0": F.when(is_row, F.col("y0")).otherwise(y0), "y1": F.when(is_row, F.col("y1")).otherwise(y1)}
     return parts.select(*[made[c].alias(c) if c in made else F.col(c) for c in parts.columns])
+
+
+#: How a caption begins.
+CAPTIONS = (r"^[Tt]able\s*[0-9]+", r"^[Ff]ig(?:ure)?\s*[0-9]+")
+#: A row ends this much above the edge that its cells have on average.
+ROW_SLACK = 3.0
+
+
+def is_caption(text: Column, layout: Column) -> Column:
+    """Whether a box is a table's caption, by its text or by its kind."""
+    named = F.coalesce(F.trim(text).rlike(CAPTIONS[0]) | F.trim(text).rlike(CAPTIONS[1]), F.lit(False))
+    return named | F.coalesce(F.contains(F.lower(layout), F.lit("caption")), F.lit(False))
+
+
+def table_cells(boxes: DataFrame, table: str, id_col: str) -> DataFrame:
+    """(table, row, col, id, text, colspan, rowspan) of the cells of tables, from boxes (x0, y0, x1, y1, text, layout, colspan, rowspan).
+
+    Captions are left out. Cells are read in rows of half the least height; one that begins below the mean lower edge of the
+    open row begins the next row. In a row, cells go from left to right. Missing spans are 1.
+    """
+    spans = [F.coalesce(F.col(c), F.lit(1)).alias(c) for c in ("colspan", "rowspan")]
+    cells = boxes.filter(~is_caption(F.col("text"), F.col("layout"))).select(table, id_col, *SIDES, F.trim(F.coalesce("text", F.lit(""))).alias("text"), *spans)
+    read = reading_order(cells, table, id_col, F.min(F.col("y1") - F.col("y0")) / 2, down="y0", across="x0").drop("row")
+    box = F.struct("place", "x0", F.col("y0").alias("top"), F.col("y1").alias("bottom"), id_col, "text", "colspan", "rowspan")
+    tables = read.groupBy(table).agg(F.array_sort(F.collect_list(box)).alias("l"))
+    start = F.struct(F.lit(None).cast("double").alias("edge"), F.lit(-1).alias("row"), F.array().cast("array<int>").alias("rows"))
+
+    def put(s: Column, x: Column) -> Column:
+        new = F.coalesce(x["top"] >= s["edge"] - ROW_SLACK, F.lit(True))
+        row = F.when(new, s["row"] + 1).otherwise(s["row"])
+        edge = F.when(new, x["bottom"]).otherwise((s["edge"] + x["bottom"]) / 2)
+        return F.struct(edge.cast("double").alias("edge"), row.alias("row"), F.array_append(s["rows"], row).alias("rows"))
+
+    rows = F.aggregate("l", start, put, lambda s: s["rows"])
+    placed = tables.select(table, F.explode(F.arrays_zip("l", rows.alias("row"))).alias("c")).select(table, "c.row", "c.l.*")
+    order = Window.partitionBy(table, "row").orderBy("x0", "place")
+    return placed.withColumn("col", F.row_number().over(order) - 1).select(table, "row", "col", id_col, "text", "colspan", "rowspan")
+
+
+def table_texts(cells: DataFrame, table: str) -> DataFrame:
+    """(table, html, plain): tables as HTML, the first row as headings, and as lines of cells between bars."""
+
+    def span(name: str) -> Column:
+        return F.when(F.col(name) > 1, F.concat(F.lit(f' {name}="'), F.col(name).cast("string"), F.lit('"'))).otherwise("")
+
+    tag = F.when(F.col("row") == 0, "th").otherwise("td")
+    cell = F.concat(F.lit("    <"), tag, span("colspan"), span("rowspan"), F.lit(">"), "text", F.lit("</"), tag, F.lit(">\n"))
+    listed = F.array_sort(F.collect_list(F.struct("col", cell.alias("h"), "text")))
+    rows = cells.groupBy(table, "row").agg(listed.alias("c"))
+    html = F.concat(F.lit("  <tr>\n"), F.array_join(F.transform("c", lambda x: x["h"]), ""), F.lit("  </tr>\n"))
+    rows = rows.select(table, "row", html.alias("h"), F.array_join(F.transform("c", lambda x: x["text"]), " | ").alias("t"))
+    whole = F.array_sort(F.collect_list(F.struct("row", "h", "t")))
+    joined = rows.groupBy(table).agg(whole.alias("r"))
+    return joined.select(
+        table,
+        F.concat(F.lit("<table>\n"), F.array_join(F.transform("r", lambda x: x["h"]), ""), F.lit("</table>")).alias("html"),
+        F.array_join(F.transform("r", lambda x: x["t"]), "\n").alias("plain"),
+    )

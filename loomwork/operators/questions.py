@@ -61,15 +61,30 @@ def question_mark_pairs(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.posexplode(found).alias("at", "p")).select(key, "at", "p.*")
 
 
+#: A question mark further right than this, or on a line less far below the last, is none.
+INDENT, LINE_HEIGHT = 10.0, 20.0
+
+
 def bullet_pairs(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, at, number, question, answer) of bulleted questions, as lines at one left edge and of one height.
+    """(key, at, number, question, answer) of bulleted questions of plain texts: lines at one left edge and of one height."""
+    lines = F.transform(_lines(F.col(text)), lambda x, i: F.struct(x.alias("text"), F.lit(0.0).alias("x0"), (i * LINE_HEIGHT).alias("top"), F.lit("").alias("layout")))
+    return box_pairs(docs.select(key, lines.alias("boxes")), key, "boxes")
+
+
+def box_pairs(docs: DataFrame, key: str, boxes: str) -> DataFrame:
+    """(key, at, number, question, answer) of bulleted questions among a document's boxes (text, x0, top, layout), in order.
 
-    The first question pattern that a line of the document has is the bullet. A line with it counts unless it is the
-    document's first, follows a line that ends in a colon, or its number goes back; going back is allowed to a line that
-    ends in a question mark or begins with a question word. The question is what stands behind the line's first question
-    mark, as known results have it; up to a second one, where there is one.
+    The first question pattern that a box of the document has is the bullet. A box with it counts unless it
+
+    * is further right than the box before it, once a question has begun, or than the bullets so far on average,
+    * or, while none has begun, is the document's first, or on one line with the box before it and not left of it,
+    * follows a box that ends in a colon,
+    * or its number goes back; going back is allowed to a title, to a box that ends in a question mark and to one that begins
+      with a question word.
+
+    The question is what stands behind the box's first question mark, as known results have it; up to a second one, where
+    there is one. It is a fold over the boxes of one document, whose state is the open question and the bullets' left edges.
     """
-    lines = F.filter(_lines(F.col(text)), lambda x: x != "")
 
     def hit(x: Column) -> Column:
         return F.when(~not_bullet(x), F.least(*[F.when(started(x, p), i) for i, p in enumerate(P.QUESTION_PATTERNS)]))
@@ -77,36 +92,42 @@ def bullet_pairs(docs: DataFrame, key: str, text: str) -> DataFrame:
     def by_set(n: Column, of) -> Column:
         return reduce(lambda out, i: out.when(n == i, of(P.QUESTION_PATTERNS[i])), range(1, len(P.QUESTION_PATTERNS)), F.when(n == 0, of(P.QUESTION_PATTERNS[0])))
 
-    rows = docs.select(key, lines.alias("lines")).withColumn("set", F.array_min(F.transform("lines", hit)))
-    rows = rows.filter("set is not null")
+    rows = docs.select(key, F.filter(boxes, lambda x: x["text"] != "").alias("boxes"))
+    rows = rows.withColumn("set", F.array_min(F.transform("boxes", lambda x: hit(x["text"])))).filter("set is not null")
 
-    def seen(x: Column, i: Column) -> Column:
+    def seen(box: Column, i: Column) -> Column:
+        x, before = box["text"], F.get("boxes", i - 1)
         number = by_set(F.col("set"), lambda p: F.regexp_extract(x, f"^(?:{p})", 1))
         prefix = by_set(F.col("set"), lambda p: F.regexp_extract(x, f"^(?:{p})", 0))
         rest = by_set(F.col("set"), lambda p: F.regexp_extract(x, rf"^(?:{p}).*?(?:[?？]+|$)(.*)$", 2))
-        asks = x.rlike("[?？]$") | F.lower(F.ltrim(x, prefix)).rlike(ASKING)
-        marked = by_set(F.col("set"), lambda p: started(x, p)) & ~not_bullet(x) & (i > 0)
-        after_colon = F.coalesce(F.get("lines", i - 1).rlike("[:：]$"), F.lit(False))
+        asks = x.rlike("[?？]$") | (box["layout"] == "title") | F.lower(F.ltrim(x, prefix)).rlike(ASKING)
+        after_colon = F.coalesce(before["text"].rlike("[:：]$"), F.lit(False))
+        right = box["x0"] - F.coalesce(before["x0"], box["x0"])
         return F.struct(
-            x.alias("x"), (marked & ~after_colon).alias("bullet"), number.alias("number"), index_number(number).alias("n"), strip(rest).alias("rest"), asks.alias("asks")
-        )
+            x.alias("x"), (by_set(F.col("set"), lambda p: started(x, p)) & ~after_colon).alias("marked"), not_bullet(x).alias("no_bullet"), number.alias("number"),
+            index_number(number).alias("n"), strip(rest).alias("rest"), asks.alias("asks"), box["x0"].alias("x0"), right.alias("right"),
+            ((right >= 0) & (box["top"] - F.coalesce(before["top"], box["top"]) < LINE_HEIGHT)).alias("beside"),
+        )
 
     def put(s: Column, x: Column) -> Column:
-        counts = x["bullet"] & ((s["last"] == 0) | (x["n"] >= s["last"]) | x["asks"])
+        mean = F.when(s["bullets"] > 0, s["edges"] / s["bullets"]).otherwise(x["x0"])
+        apart = F.when(s["begun"], x["right"] <= INDENT).otherwise(~x["beside"]) & (x["x0"] - mean <= INDENT)
+        counts = x["marked"] & apart & ((s["last"] == 0) | (x["n"] >= s["last"]) | x["asks"])
+        edges = [(s["edges"] + F.when(counts, x["x0"]).otherwise(0.0)).alias("edges"), (s["bullets"] + F.when(counts, 1).otherwise(0)).alias("bullets")]
         cut = F.regexp_extract(x["rest"], "^(.*?[?？])(.*)$", 1)
         tail = strip(F.regexp_extract(x["rest"], "^(.*?[?？])(.*)$", 2))
         number = F.when(x["n"] > 0, x["n"].cast("string")).otherwise(x["number"])
         first = F.when((cut != "") & (tail != ""), F.array(tail)).otherwise(F.array().cast("array<string>"))
         begun = F.struct(
             _paired(s["pairs"], s["number"], s["question"], s["answers"]).alias("pairs"), number.alias("number"), F.when(cut != "", cut).otherwise(x["rest"]).alias("question"),
-            first.alias("answers"), x["n"].alias("last"),
+            first.alias("answers"), x["n"].alias("last"), F.lit(True).alias("begun"), *edges,
         )
         more = F.when(s["question"] != "", F.array_append(s["answers"], x["x"])).otherwise(s["answers"])
-        open_ = F.struct(*_kept(s)[:3], more.alias("answers"), s["last"].alias("last"))
-        return F.when(counts, begun).otherwise(open_)
+        open_ = F.struct(*_kept(s)[:3], more.alias("answers"), s["last"].alias("last"), s["begun"].alias("begun"), *edges)
+        return F.when(counts & ~x["no_bullet"], begun).otherwise(open_)
 
-    start = F.struct(*_start(), F.lit(0).alias("last"))
-    found = F.aggregate(F.transform("lines", seen), start, put, lambda s: _paired(s["pairs"], s["number"], s["question"], s["answers"]))
+    start = F.struct(*_start(), F.lit(0).alias("last"), F.lit(False).alias("begun"), F.lit(0.0).alias("edges"), F.lit(0).alias("bullets"))
+    found = F.aggregate(F.transform("boxes", seen), start, put, lambda s: _paired(s["pairs"], s["number"], s["question"], s["answers"]))
     return rows.select(key, F.posexplode(found).alias("at", "p")).select(key, "at", "p.*")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.operators import geometry as G
+from loomwork.operators import questions as Q
 from loomwork.session import new_folder, table
 from loomwork.sources import files
 
@@ -106,7 +107,51 @@ def file_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probed.groupBy("type", "text", "fps").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _ranked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(order))
+
+
+def built_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each order as boxes of a table, a little askew, with two captions; some cells span two columns."""
+    lines = _ranked_lines(spark, sf_dir)
+    wide = F.col("l_suppkey") % 4 == 0
+    top = (100 + 20 * F.col("n") + F.col("l_partkey") % 3).cast("double")
+    texts = [F.col("l_partkey").cast("string"), F.concat(F.lit(" "), F.col("l_suppkey").cast("string")), F.when(~wide, F.col("l_returnflag"))]
+
+    def box(i: int, x0, y0, text, layout="", span=None):
+        sides = (x0, y0, x0 + 40, y0 + 14)
+        return F.struct(
+            F.lit(i).alias("c"), *[F.lit(v).cast("double").alias(n) if isinstance(v, (int, float)) else v.cast("double").alias(n) for n, v in zip(G.SIDES, sides, strict=True)],
+            text.alias("text"), F.lit(layout).alias("layout"), (F.lit(None) if span is None else span).cast("int").alias("colspan"), F.lit(None).cast("int").alias("rowspan"),
+        )
+
+    cells = [box(c, 10 + 50 * c + F.col("l_suppkey") % 5, top, t, span=F.when(wide, 2) if c == 1 else None) for c, t in enumerate(texts)]
+    rows = lines.select("l_orderkey", "n", F.explode(F.array(*cells)).alias("b")).filter("b.text is not null")
+    heads = [box(c, 10 + 50 * c, 100, F.lit(t)) for c, t in enumerate(("part", "supplier", "flag"))]
+    heads += [box(3, 10, 60, F.concat(F.lit("Table "), F.col("l_orderkey").cast("string"), F.lit(": lines"))), box(4, 10, 900, F.lit("lines of an order"), "table caption")]
+    heads = lines.filter("n = 1").select("l_orderkey", F.lit(0).alias("n"), F.explode(F.array(*heads)).alias("b"))
+    boxes = rows.unionByName(heads).select("l_orderkey", (F.col("n") * 10 + F.col("b.c")).alias("box_id"), "b.*")
+    return G.table_texts(G.table_cells(boxes, "l_orderkey", "box_id"), "l_orderkey")
+
+
+def question_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each order as boxes with numbered questions at changing left edges and heights."""
+    text = F.expr(
+        "element_at(array(concat(n, '. Is it? The part ', l_partkey), concat(l_suppkey % 5 + 1, '. So it? Really ', l_partkey, '? Yes'), "
+        "concat('plain ', l_partkey), concat('colon ', l_partkey, ':')), cast(l_partkey % 4 + 1 as int))"
+    )
+    box = F.struct(
+        "n", text.alias("text"), (F.col("l_suppkey") % 4 * 8).cast("double").alias("x0"), (15 * F.col("n") + F.col("l_partkey") % 3 * 10).cast("double").alias("top"),
+        F.when(F.col("l_partkey") % 7 == 0, "title").otherwise("").alias("layout"),
+    )
+    docs = _ranked_lines(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+    return Q.box_pairs(docs, "l_orderkey", "boxes").select("l_orderkey", F.col("at").cast("long").alias("at"), "number", "question", "answer")
+
+
 QUERIES = {
+    "v8_built_tables": built_tables,
+    "h5_question_boxes": question_boxes,
     "k8_reading_order": reading_order,
     "v7_aligned_tables": aligned_tables,
     "s13_figures": figures,
@@ -119,7 +164,35 @@ QUERIES = {
     "s4_json_sections": json_sections,
 }
 _SHARED = "greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)"
+_RANKED = "li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem)"
 ORACLES = {
+    "v8_built_tables": f"""
+        WITH {_RANKED}
+        SELECT l_orderkey,
+               '<table>' || chr(10) || '  <tr>' || chr(10) || '    <th>part</th>' || chr(10) || '    <th>supplier</th>' || chr(10) || '    <th>flag</th>' || chr(10) || '  </tr>' || chr(10)
+               || string_agg('  <tr>' || chr(10) || '    <td>' || l_partkey || '</td>' || chr(10)
+                   || CASE WHEN l_suppkey % 4 = 0 THEN '    <td colspan="2">' || l_suppkey || '</td>' || chr(10)
+                      ELSE '    <td>' || l_suppkey || '</td>' || chr(10) || '    <td>' || l_returnflag || '</td>' || chr(10) END || '  </tr>' || chr(10), '' ORDER BY n) || '</table>' AS html,
+               'part | supplier | flag' || chr(10) || string_agg(l_partkey || ' | ' || l_suppkey || CASE WHEN l_suppkey % 4 = 0 THEN '' ELSE ' | ' || l_returnflag END, chr(10) ORDER BY n) AS plain
+        FROM li GROUP BY l_orderkey""",
+    "h5_question_boxes": f"""
+        WITH RECURSIVE {_RANKED},
+        b AS (SELECT l_orderkey AS o, n, l_partkey % 4 AS k, l_partkey AS p, CASE l_partkey % 4 WHEN 0 THEN n WHEN 1 THEN l_suppkey % 5 + 1 END AS num, l_suppkey % 4 * 8.0 AS x0,
+                     15 * n + l_partkey % 3 * 10 AS top, l_partkey % 7 = 0 AS title FROM li),
+        m AS (SELECT *, k < 2 AND coalesce(lag(k) OVER w <> 3, true) AS marked, x0 - coalesce(lag(x0) OVER w, x0) AS dx, top - coalesce(lag(top) OVER w, top) AS dy FROM b WINDOW w AS (PARTITION BY o ORDER BY n)),
+        f(o, n, hit, last, begun, edges, cnt) AS (
+            SELECT o, 0::BIGINT, false, 0::BIGINT, false, 0.0::DOUBLE, 0::BIGINT FROM m WHERE n = 1
+            UNION ALL
+            SELECT o, n, hit, CASE WHEN hit THEN num ELSE last END, begun OR hit, edges + CASE WHEN hit THEN x0 ELSE 0 END, cnt + hit::INT FROM (
+                SELECT m.o, m.n, m.num, m.x0, f.last, f.begun, f.edges, f.cnt,
+                       m.marked AND (CASE WHEN f.begun THEN dx <= 10 ELSE NOT (dx >= 0 AND dy < 20) END)
+                       AND m.x0 - (CASE WHEN f.cnt > 0 THEN f.edges / f.cnt ELSE m.x0 END) <= 10 AND (f.last = 0 OR m.num >= f.last OR m.title) AS hit
+                FROM f JOIN m ON m.o = f.o AND m.n = f.n + 1)),
+        q AS (SELECT f.o, f.n, f.hit, b.num, b.k, b.p, sum(f.hit::INT) OVER (PARTITION BY f.o ORDER BY f.n) AS g FROM f JOIN b ON b.o = f.o AND b.n = f.n),
+        t AS (SELECT *, CASE k WHEN 0 THEN n || '. Is it? The part ' || p WHEN 1 THEN num || '. So it? Really ' || p || '? Yes' WHEN 2 THEN 'plain ' || p ELSE 'colon ' || p || ':' END AS line FROM q WHERE g > 0),
+        a AS (SELECT o, g, max(num) FILTER (hit) AS num, max(CASE k WHEN 0 THEN 'The part ' || p ELSE 'Really ' || p || '?' END) FILTER (hit) AS question,
+                     string_agg(CASE WHEN hit THEN CASE WHEN k = 1 THEN 'Yes' END ELSE line END, ' ' ORDER BY n) AS answer FROM t GROUP BY o, g)
+        SELECT o AS l_orderkey, row_number() OVER (PARTITION BY o ORDER BY g) - 1 AS "at", num::VARCHAR AS number, question, answer FROM a WHERE answer IS NOT NULL""",
     "k8_reading_order": "SELECT l_orderkey, l_linenumber, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber % 3, l_suppkey % 90, l_partkey % 7, l_linenumber) - 1)::INT AS place FROM lineitem",
     "v7_aligned_tables": """
         WITH p AS (SELECT l_orderkey % 500 AS page, l_orderkey AS o, l_linenumber AS n, l_linenumber % 2 = 0 AS r, (l_partkey % 40)::DOUBLE AS x0, (l_suppkey % 30)::DOUBLE AS y0,
