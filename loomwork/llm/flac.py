@@ -9,9 +9,7 @@ The encoder tries a plain copy, fixed predictors of order 0 and 1 and a linear p
 codes residuals in four Rice partitions. The decoder reads constant, verbatim, fixed and linear frames of any order with
 any number of Rice partitions; it reports frames it can't read (several channels, wasted bits) instead of guessing.
 
-A sample is a byte less 128, as any reader of 8-bit FLAC has it. Text may be stored in another order of bytes, which keeps
-its samples near zero: such a stream says so in an application block (``TEXT_MARK``), and only streams with that block are
-put back by it.
+A sample is a byte less 128, as any reader of 8-bit FLAC has it.
 """
 
 from __future__ import annotations
@@ -29,25 +27,13 @@ GROUP_FRAMES = 4096
 PRECISION = 8
 SHIFT = 6
 ORDER = 4
-#: Bytes from frequent to rare in running text; a byte's place gives its sample: 0, -1, 1, -2, 2 and so on. Any order is
-#: lossless; this one, fitted to European languages in UTF-8, keeps text near zero, where Rice codes are short. Bytes not
-#: listed follow in their own order.
-FREQUENT = b" etanoirshdluc\xc3mgpbfvw\n.,kyTz\xb6\xa9\xbc\xa4\xb3\xa8\x9f\xb1\xa1\xad\xaajqx|!#*$%&AEIOHSWDRLNB0123456789-@\"'()/:;=_"
-#: The application block of streams in that order: its identifier and the number of the order.
-TEXT_MARK = b"lwor\x00\x00\x00\x01"
 #: Fixed values of the format: predictors of order 0 to 4.
 FIXED = ([], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1])
 BLOCK_CODES = {1: 192, 2: 576, 3: 1152, 4: 2304, 5: 4608} | {c: 256 << (c - 8) for c in range(8, 16)}
 
 
-_PLACES = [*dict.fromkeys([*FREQUENT, *range(256)])]
-_TO_SAMPLE = np.empty(256, np.int32)
-_TO_SAMPLE[_PLACES] = [i // 2 if i % 2 == 0 else -(i + 1) // 2 for i in range(256)]
-_TO_BYTE = np.empty(256, np.uint8)
-_TO_BYTE[_TO_SAMPLE & 0xFF] = np.arange(256)
-#: Bytes as signed samples and back, in text order and as they are.
-_SIGNED = {True: _TO_SAMPLE.astype(np.int8).tobytes(), False: bytes(x ^ 0x80 for x in range(256))}
-_UNSIGNED = {True: _TO_BYTE.tobytes(), False: _SIGNED[False]}
+#: Bytes as signed samples, and back.
+_SIGNED = bytes(x ^ 0x80 for x in range(256))
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -239,8 +225,8 @@ def _encode_frames(blocks: list[tuple[int, bytes]]) -> list[bytes]:
     return [f + int(c).to_bytes(2, "big") for f, c in zip(frames, crc16_of(frames), strict=True)]
 
 
-def encode(payloads: Iterable[bytes], text: bool = True) -> Iterator[bytes]:
-    """A FLAC stream of each payload; payloads are positive multiples of 64 bytes long. ``text``: in the order for text."""
+def encode(payloads: Iterable[bytes]) -> Iterator[bytes]:
+    """A FLAC stream of each payload; payloads are positive multiples of 64 bytes long."""
     waiting: list[tuple[bytes, int]] = []
     blocks: list[tuple[int, bytes]] = []
     done: list[bytes] = []
@@ -249,12 +235,12 @@ def encode(payloads: Iterable[bytes], text: bool = True) -> Iterator[bytes]:
         at = 0
         while waiting and at + waiting[0][1] <= len(done):
             signed, n = waiting.pop(0)
-            yield _stream(signed, done[at : at + n], text)
+            yield _stream(signed, done[at : at + n])
             at += n
         del done[:at]
 
     for payload in payloads:
-        signed = payload.translate(_SIGNED[text])
+        signed = payload.translate(_SIGNED)
         pieces = [signed[i : i + BLOCK] for i in range(0, len(signed), BLOCK)]
         waiting.append((signed, len(pieces)))
         for number, piece in enumerate(pieces):
@@ -267,7 +253,7 @@ def encode(payloads: Iterable[bytes], text: bool = True) -> Iterator[bytes]:
     yield from ready()
 
 
-def _stream(signed: bytes, frames: list[bytes], text: bool) -> bytes:
+def _stream(signed: bytes, frames: list[bytes]) -> bytes:
     sizes = [len(f) for f in frames]
     fields = (RATE << 44) | (0 << 41) | (7 << 36) | len(signed)
     info = struct.pack(">HH", BLOCK, BLOCK) + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big")
@@ -277,7 +263,7 @@ def _stream(signed: bytes, frames: list[bytes], text: bool) -> bytes:
         points.append(struct.pack(">QQH", i * BLOCK, at, min(BLOCK, len(signed) - i * BLOCK)))
         at += len(f)
     table = b"".join(points)
-    blocks = [(0, info)] + ([(2, TEXT_MARK)] if text else []) + ([(3, table)] if len(table) < 1 << 24 else [])
+    blocks = [(0, info)] + ([(3, table)] if len(table) < 1 << 24 else [])
     heads = [bytes([k | (0x80 if i == len(blocks) - 1 else 0)]) + len(x).to_bytes(3, "big") for i, (k, x) in enumerate(blocks)]
     return b"fLaC" + b"".join(h + x for h, (_, x) in zip(heads, blocks, strict=True)) + b"".join(frames)
 
@@ -314,11 +300,11 @@ def _parse_header(data: bytes, at: int) -> tuple[int, int, int]:
     return number, n, end + 1 - at
 
 
-def frames_of(data: bytes) -> tuple[list[tuple[int, int, int, int]], bytes, bool]:
-    """((start, size, header size, samples) of each frame, MD5 of the samples, whether they are in the order for text)."""
+def frames_of(data: bytes) -> tuple[list[tuple[int, int, int, int]], bytes]:
+    """((start, size, header size, samples) of each frame, MD5 of the samples)."""
     if data[:4] != b"fLaC":
         raise Damaged("no FLAC stream")
-    at, last, total, md5, points, text = 4, False, 0, b"", b"", False
+    at, last, total, md5, points = 4, False, 0, b"", b""
     while not last:
         kind, size = data[at] & 0x7F, int.from_bytes(data[at + 1 : at + 4], "big")
         last = bool(data[at] & 0x80)
@@ -328,8 +314,6 @@ def frames_of(data: bytes) -> tuple[list[tuple[int, int, int, int]], bytes, bool
             total, md5 = fields & ((1 << 36) - 1), body[18:34]
         elif kind == 3:
             points = body
-        elif kind == 2:
-            text |= body == TEXT_MARK
         at += 4 + size
     seek = [struct.unpack_from(">QQH", points, i) for i in range(0, len(points), 18)]
     starts = [at + x[1] for x in seek if x[0] != (1 << 64) - 1]
@@ -341,7 +325,7 @@ def frames_of(data: bytes) -> tuple[list[tuple[int, int, int, int]], bytes, bool
         out.append((a, b - a, head, n))
     if sum(x[3] for x in out) != total:
         raise Damaged("samples are missing")
-    return out, md5, text
+    return out, md5
 
 
 def _scan(data: bytes, at: int) -> list[int]:
@@ -513,14 +497,14 @@ def _decode_rice(data: bytes, todo, coefs, shifts, warm, places, out: list[bytes
 
 def decode(streams: Iterable[bytes]) -> Iterator[tuple[list[bytes], list[int], str | None]]:
     """(PCM blocks, sample offset of each, what is wrong) of each stream; a damaged stream has no blocks."""
-    waiting: list[tuple[int, bytes, bool, str | None]] = []
+    waiting: list[tuple[int, bytes, str | None]] = []
     frames: list[tuple[bytes, int, int]] = []
     done: list[bytes] = []
 
     def ready() -> Iterator[tuple[list[bytes], list[int], str | None]]:
         at = 0
         while waiting and at + waiting[0][0] <= len(done):
-            n, md5, text, wrong = waiting.pop(0)
+            n, md5, wrong = waiting.pop(0)
             blocks = done[at : at + n]
             at += n
             if wrong is None and not all(blocks):
@@ -528,16 +512,16 @@ def decode(streams: Iterable[bytes]) -> Iterator[tuple[list[bytes], list[int], s
             if wrong is None and any(md5) and hashlib.md5(b"".join(blocks)).digest() != md5:
                 wrong = "checksum of the samples"
             offsets = np.cumsum([0, *(len(b) for b in blocks)])[:-1].tolist()
-            yield ([], [], wrong) if wrong else ([b.translate(_UNSIGNED[text]) for b in blocks], offsets, None)
+            yield ([], [], wrong) if wrong else ([b.translate(_SIGNED) for b in blocks], offsets, None)
         del done[:at]
 
     for data in streams:
         try:
-            found, md5, text = frames_of(data)
-            waiting.append((len(found), md5, text, None))
+            found, md5 = frames_of(data)
+            waiting.append((len(found), md5, None))
         except (Damaged, IndexError, struct.error) as e:
             found = []
-            waiting.append((0, b"", False, str(e) or "no FLAC stream"))
+            waiting.append((0, b"", str(e) or "no FLAC stream"))
         for start, size, head, n in found:
             frames.append((data[start : start + size], head, n))
             if len(frames) == GROUP_FRAMES:

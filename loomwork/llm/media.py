@@ -132,6 +132,6 @@ def payload_digests(pcm: DataFrame) -> DataFrame:
 
 
 def op2_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streams are written, read back into PCM blocks with offsets, and those are written and read back in turn."""
-    media = staged(encode_media(documents(spark, sf_dir)), "media")
+    """Streams go from the encoder to the decoder in one stage; their PCM blocks with offsets are written and read back."""
+    media = encode_media(documents(spark, sf_dir))
     return payload_digests(staged(decode_media(media), "pcm", **PCM_FILES)).drop("error")
