@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("retrieval", "text", "catalog", "structure", "chunking", "streams", "geometry", "hierarchy")
+MODULES: tuple[str, ...] = ("retrieval", "text", "catalog", "structure", "chunking", "streams", "geometry", "hierarchy", "files")
 
 
 def _modules():
