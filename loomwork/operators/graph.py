@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomwork.functions.analysis import terms
 from loomwork.session import spread, staged
+from loomwork.sources.store import Store
 
 MIN_LETTERS = 9
 MIN_DOCUMENTS = 2
@@ -80,23 +80,23 @@ def search(
     return _best(every, k, ["query_id"])
 
 
+EDGES = StructType().add("user_id", "long").add("a", "string").add("b", "string").add("weight", "long").add("collection", "string")
+
+
+def _store(spark: SparkSession, path: str) -> Store:
+    return Store(spark, path, "collection", EDGES)
+
+
 def save(edges: DataFrame, path: str) -> None:
     """Append edges (user_id, collection, a, b, weight) to the graph at ``path``, a folder for each collection."""
-    stamped = edges.withColumn("saved_at", F.lit(time.time_ns()))
-    stamped.write.mode("append").partitionBy("collection").parquet(f"{path}/edges")
+    _store(edges.sparkSession, path).append(edges)
 
 
 def drop(spark: SparkSession, path: str, user_id: int, collection: str | None = None) -> None:
-    """Drop a user's collection, or all of them: a mark that everything saved before it is gone; no edge is rewritten."""
-    mark = spark.createDataFrame([(user_id, collection, time.time_ns())], "user_id long, dropped string, at long")
-    mark.write.mode("append").parquet(f"{path}/dropped")
+    """Delete a user's collection, or all of them: folders that hold edges of the user are written anew without these."""
+    keys = spark.createDataFrame([(user_id, collection)], "user_id long, collection string")
+    _store(spark, path).delete(keys if collection is not None else keys.drop("collection"))
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """The edges that no mark after them drops."""
-    edges = spark.read.option("basePath", f"{path}/edges").parquet(f"{path}/edges")
-    marks = spark.createDataFrame([], "user_id long, dropped string, at long")
-    marks.write.mode("append").parquet(f"{path}/dropped")
-    marks = spark.read.schema(marks.schema).parquet(f"{path}/dropped").groupBy(F.col("user_id").alias("of"), "dropped").agg(F.max("at").alias("at"))
-    gone = (F.col("user_id") == F.col("of")) & (F.col("dropped").isNull() | (F.col("dropped") == F.col("collection"))) & (F.col("at") > F.col("saved_at"))
-    return edges.join(marks, gone, "left_anti").drop("saved_at")
+    return _store(spark, path).read()

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from loomwork.session import table
+from loomwork.session import new_folder, staged, table
 from loomwork.sources import mail, slides
+from loomwork.sources.store import Store, delete_cascade, updated
 
 
 def mail_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +62,63 @@ def slide_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slides.slide_texts(rows).join(pictures, ["deck", "slide"], "left")
 
 
-QUERIES = {"s5_mail_files": mail_files, "s7_slide_files": slide_files}
+DOCUMENTS = StructType().add("user_id", "long").add("doc_id", "long").add("content", "string").add("content_hash", "string").add("collection", "string")
+CHUNKS = StructType().add("user_id", "long").add("doc_id", "long").add("chunk", "integer").add("collection", "string")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[Store, Store]:
+    """All documents and their lines as chunks, in folders by collection, of three users."""
+    owner = F.length("source") % 3
+    docs = table(spark, sf_dir, "documents").select(
+        owner.cast("long").alias("user_id"), "doc_id", F.concat("text", F.lit("#"), F.col("doc_id").cast("string")).alias("content"), F.col("source").alias("collection")
+    )
+    docs = docs.withColumn("content_hash", F.sha2("content", 256))
+    path = new_folder(spark, "library")
+    documents, chunks = Store(spark, f"{path}/documents", "collection", DOCUMENTS), Store(spark, f"{path}/chunks", "collection", CHUNKS)
+    documents.append(docs)
+    lines = docs.select("user_id", "doc_id", "collection", F.explode(F.sequence(F.lit(1), F.size(F.split("content", "\n")))).alias("chunk"))
+    chunks.append(lines)
+    return documents, chunks
+
+
+def deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's first collection and all documents with ids divisible by 10 are deleted with their chunks; what stays of each collection."""
+    documents, chunks = _stored(spark, sf_dir)
+    rows = documents.read()
+    first = rows.groupBy("user_id").agg(F.min("collection").alias("collection")).filter("user_id = 1")
+    delete_cascade([documents, chunks], staged(first, "keys"))
+    delete_cascade([documents, chunks], staged(documents.read().filter("doc_id % 10 = 0").select("collection", "doc_id"), "keys"))
+    held = documents.read().groupBy("collection").agg(F.count(F.lit(1)).alias("documents"))
+    return held.join(chunks.read().groupBy("collection").agg(F.count(F.lit(1)).alias("chunks")), "collection", "full")
+
+
+def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New contents for all documents: some unknown, some read before a change, some equal to another document's; what each has then."""
+    documents, _ = _stored(spark, sf_dir)
+    rows = documents.read()
+    k = F.col("doc_id")
+    wanted = F.when(k % 5 == 3, F.concat(F.lit("same for "), F.floor(k / 20).cast("string"))).otherwise(F.concat(F.lit("new "), k.cast("string")))
+    asked = rows.select(
+        "user_id", "collection", F.when(k % 5 == 1, -k - 1).otherwise(k).alias("doc_id"), F.when(k % 5 == 2, "another").otherwise(F.col("content_hash")).alias("expected_hash"), wanted.alias("content")
+    )
+    done = updated(documents, staged(asked, "asked"))
+    after = documents.read().select("doc_id", F.sha2("content", 256).alias("h"), "content_hash")
+    return done.join(after, "doc_id", "left").select("doc_id", "status", "h", (F.col("h") == F.col("content_hash")).alias("agrees"))
+
+
+QUERIES = {"g1_r12_deletions": deletions, "g2_updates": updates, "s5_mail_files": mail_files, "s7_slide_files": slide_files}
 ORACLES = {
+    "g1_r12_deletions": """
+        WITH d AS (SELECT *, len(string_split(text, chr(10))) AS n, length(source) % 3 AS u FROM documents),
+        k AS (SELECT * FROM d WHERE doc_id % 10 <> 0 AND source IS DISTINCT FROM (SELECT min(source) FROM d WHERE u = 1))
+        SELECT source AS collection, count(*) AS documents, sum(n)::BIGINT AS chunks FROM k GROUP BY source""",
+    "g2_updates": """
+        WITH d AS (SELECT *, doc_id % 5 AS t, sha256(text || '#' || doc_id) AS old FROM documents),
+        n AS (SELECT *, CASE WHEN t = 3 THEN 'same for ' || doc_id // 20 ELSE 'new ' || doc_id END AS content FROM d),
+        s AS (SELECT *, CASE t WHEN 1 THEN 'missing' WHEN 2 THEN 'stale' WHEN 3 THEN
+                  CASE WHEN row_number() OVER (PARTITION BY source, content ORDER BY doc_id) = 1 THEN 'updated' ELSE 'duplicate' END ELSE 'updated' END AS status FROM n)
+        SELECT CASE WHEN t = 1 THEN -doc_id - 1 ELSE doc_id END AS doc_id, status, CASE status WHEN 'missing' THEN NULL WHEN 'updated' THEN sha256(content) ELSE old END AS h,
+               CASE WHEN status <> 'missing' THEN true END AS agrees FROM s""",
     "s5_mail_files": """
         WITH o AS (SELECT *, 'part,customer' || chr(10) || o_orderkey || ',' || o_custkey AS file, o_orderkey % 3 AS t FROM orders)
         SELECT o_orderkey, t <> 0 AS has_plain_text, true AS has_html, CASE WHEN t = 1 THEN '' ELSE 'o' || o_orderkey || '.csv|text/csv|' || length(file) END AS attachments,
