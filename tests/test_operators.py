@@ -249,9 +249,39 @@ def test_inverted_lists_reach_their_recall(spark):
     want, got = ({(r.query_id, r.vec_id) for r in df.select("query_id", "vec_id").collect()} for df in (exact, found))
     assert len(want & got) / len(want) >= 0.9
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
-    centres = ivf.fit(vectors, "vec_id")
-    assert ivf.build(vectors, "vec_id", centres).count() == vectors.count()
-    assert ivf.fit(vectors.filter("false"), "vec_id") == []
+    model = ivf.fit(vectors, "vec_id")
+    assert ivf.build(vectors, "vec_id", model).count() == vectors.count()
+    assert ivf.fit(vectors.filter("false"), "vec_id").centres == []
+
+
+def test_clustered_vectors_read_few_lists(spark, tmp_path):
+    """Recall and the share of rows that a query reads; a list is a folder, and a hot one several files."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from loomwork.operators import ivf
+    from loomwork.operators.vector import top_k_semantic
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    at = np.r_[np.zeros(1500, int), rng.integers(1, 40, 3000)]  # a third in one cluster
+    points = centres[at] + rng.normal(scale=0.25, size=(len(at), 16))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)] + [(9001, None), (9002, [0.0] * 16)], "id long, embedding array<double>")
+    queries = df.filter("id % 50 = 0 and embedding is not null").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    model = ivf.fit(df, "id")
+    assert len(model.centres) == 67 and model.probes < 20
+    built = ivf.build(df, "id", model)
+    index = ivf.write(built, f"file://{tmp_path}/index")
+    assert index.count() == 4500
+    exact = {(r.query_id, r.id) for r in top_k_semantic(df, queries, "id", 10, None).collect()}
+    got = {(r.query_id, r.id) for r in ivf.search(index, queries, "id", model, 10).collect()}
+    assert len(exact & got) / len(exact) >= 0.9
+    near = F.transform(F.slice(ivf._by_nearness(ivf._unit(F.col("query_embedding")), model.centres), 1, model.probes), lambda s: s["list"])
+    sizes = index.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
+    rows = queries.select("query_id", F.explode(near).alias("list")).join(sizes, "list").agg(F.sum("n")).first()[0]
+    assert rows / queries.count() / 4500 < 0.5
+    one = index.filter("list = 3")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(list" in one
 
 
 def plain_merge(levels, size, depth):
