@@ -28,22 +28,21 @@ def _split(text: Column, levels: tuple[str, ...], size: int) -> Column:
 def chunks(text: Column, size: int = SIZE, levels: tuple[str, ...] = DOCUMENT_LEVELS) -> Column:
     """Array of (content, tokens, start_char, end_char): pieces in order, packed as long as they fit. Joined, they are the text."""
     pieces = F.filter(_split(text, levels, size), lambda p: p != "")
-    empty = F.array().cast("array<struct<content:string,tokens:int>>")
-    start = F.struct(empty.alias("done"), F.lit("").alias("open"), F.lit(0).alias("tokens"))
+    empty = F.array().cast("array<struct<content:string,tokens:int,start_char:int,end_char:int>>")
+    start = F.struct(empty.alias("done"), F.lit("").alias("open"), F.lit(0).alias("tokens"), F.lit(0).alias("at"))
+
+    def closed(state: Column) -> Column:
+        end = state["at"] + F.length(state["open"])
+        return F.array_append(state["done"], F.struct(state["open"].alias("content"), state["tokens"].alias("tokens"), state["at"].alias("start_char"), end.alias("end_char")))
 
     def put(state: Column, piece: Column) -> Column:
         n = token_estimate(piece)
         fits = (state["tokens"] + n <= size) & (F.length(state["open"]) + F.length(piece) <= 8 * size)
-        closed = F.array_append(state["done"], F.struct(state["open"].alias("content"), state["tokens"].alias("tokens")))
         return F.struct(
-            F.when(fits | (state["open"] == ""), state["done"]).otherwise(closed).alias("done"),
+            F.when(fits | (state["open"] == ""), state["done"]).otherwise(closed(state)).alias("done"),
             F.when(fits, F.concat(state["open"], piece)).otherwise(piece).alias("open"),
             F.when(fits, state["tokens"] + n).otherwise(n).alias("tokens"),
+            F.when(fits, state["at"]).otherwise(state["at"] + F.length(state["open"])).alias("at"),
         )
 
-    def last(state: Column) -> Column:
-        return F.when(state["open"] == "", state["done"]).otherwise(
-            F.array_append(state["done"], F.struct(state["open"].alias("content"), state["tokens"].alias("tokens")))
-        )
-
-    return F.aggregate(pieces, start, put, last)
+    return F.aggregate(pieces, start, put, lambda state: F.when(state["open"] == "", state["done"]).otherwise(closed(state)))

@@ -106,14 +106,14 @@ def confidence(scores: Column) -> Column:
     return F.when(F.size(scores) == 0, 0.0).when(F.size(top) == 0, 0.5).otherwise(clamped)
 
 
-def grave_issues(issues: Column) -> Column:
-    """Of a judgement's issues (an array of structs with severity), those that call for a correction."""
-    return F.filter(issues, lambda x: F.lower(x["severity"]).isin("high", "medium"))
+def is_grave(severity: Column) -> Column:
+    """Whether a judgement's issue calls for a correction; counted with ``count_if``, so no list of issues is gathered."""
+    return F.lower(severity).isin("high", "medium")
 
 
 def judged_confidence(facts: Column, confidence: Column, failed: Column) -> Column:
-    """A judgement's confidence: .5 where it failed, .7 where there are no facts to judge by."""
-    return F.when(failed, F.lit(0.5)).when(F.size(facts) <= 0, F.lit(0.7)).otherwise(confidence)
+    """A judgement's confidence: .5 where it failed, .7 where there are no facts (their number is given) to judge by."""
+    return F.when(failed, F.lit(0.5)).when(facts <= 0, F.lit(0.7)).otherwise(confidence)
 
 
 def renamed(collections: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:

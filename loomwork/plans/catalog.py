@@ -216,10 +216,12 @@ def media_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues that call for a correction, and the confidence of each user's judgement."""
-    issue = F.struct(F.col("event_id").alias("id"), F.expr("element_at(array('high', 'Medium', 'low', 'none'), cast(event_id % 4 + 1 as int))").alias("severity"))
-    per = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(issue).alias("issues"), F.collect_list(F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("facts"))
-    failed = F.col("user_id") % 7 == 0
-    return per.select("user_id", F.size(R.grave_issues(F.col("issues"))).alias("grave"), R.judged_confidence(F.col("facts"), F.lit(0.9), failed).alias("confidence"))
+    severity = F.expr("element_at(array('high', 'Medium', 'low', 'none'), cast(event_id % 4 + 1 as int))")
+    per = table(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.count_if(R.is_grave(severity)).cast("int").alias("grave"), F.count_if(F.col("event_type") == "purchase").alias("facts")
+    )
+    confidence = R.judged_confidence(F.col("facts"), F.lit(0.9), F.col("user_id") % 7 == 0)
+    return per.select("user_id", "grave", confidence.alias("confidence"))
 
 
 def renamed_collections(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,12 +11,12 @@ from loomwork.session import spread, table
 
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, chunk_index, content, tokens) without chunks of fewer than ten tokens, numbered anew."""
+    """(doc_id, chunk_index, content, tokens, start_char, end_char) without chunks of fewer than ten tokens, numbered anew."""
     docs = spread(table(spark, sf_dir, "documents"))
     pieces = docs.select("doc_id", F.posexplode(C.chunks(F.col("text"))).alias("at", "c")).select("doc_id", "at", "c.*")
     kept = pieces.filter("tokens >= 10")
     index = F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1
-    return kept.select("doc_id", index.alias("chunk_index"), "content", "tokens")
+    return kept.select("doc_id", index.alias("chunk_index"), "content", "tokens", "start_char", "end_char")
 
 
 def chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +26,11 @@ def chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All chunks of a document, joined: its text, and none above the size."""
-    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", C.chunks(F.col("text")).alias("c"))
+    """All chunks of a document, joined: its text, none above the size, each where its offsets say."""
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text", C.chunks(F.col("text")).alias("c"))
+    found = F.forall("c", lambda x: F.substr("text", x["start_char"] + 1, x["end_char"] - x["start_char"]) == x["content"])
     joined = F.array_join(F.transform("c", lambda x: x["content"]), "")
-    return docs.select("doc_id", F.md5(joined).alias("h"), (F.coalesce(F.array_max(F.transform("c", lambda x: x["tokens"])), F.lit(0)) <= C.SIZE).alias("fits"))
+    return docs.select("doc_id", F.md5(joined).alias("h"), (F.coalesce(F.array_max(F.transform("c", lambda x: x["tokens"])), F.lit(0)) <= C.SIZE).alias("fits"), found.alias("in_place"))
 
 
 def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ QUERIES = {
     "a3_a4_a16_token_sums": token_sums,
 }
 ORACLES = {
-    "c1_lossless": "SELECT doc_id, md5(text) AS h, true AS fits FROM documents",
+    "c1_lossless": "SELECT doc_id, md5(text) AS h, true AS fits, true AS in_place FROM documents",
     "c4_code_chunks": "SELECT p_partkey, true AS whole FROM part",
     "a3_a4_a16_token_sums": """
         WITH t AS (SELECT source, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) * 4 // 3 AS n FROM documents)
