@@ -6,9 +6,13 @@ greedy by score, so the boxes of one page and class, a bounded handful, are fold
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.session import staged
+
 SIDES = ("x0", "y0", "x1", "y1")
 
 
@@ -56,6 +60,61 @@ def suppressed(boxes: DataFrame, keys: list[str], id_col: str, threshold: float
     return listed.select(*keys, F.explode(F.transform(stay, lambda x: x["id"])).alias(id_col))
 
 
+#: The classes of a layout model in order of their numbers, the size of its input, and what counts as found.
+LAYOUTS = ("title", "text", "reference", "figure", "figure_caption", "table", "table_caption", "header", "footer", "equation")
+INPUT_SIZE = (1024, 1024)
+LEAST_SCORE = 0.2
+
+
+def suppressed_by_cells(boxes: DataFrame, keys: list[str], id_col: str, threshold: float = 0.45, cell: float = 100.0) -> DataFrame:
+    """What ``suppressed`` gives, without a fold over a page: for pages with very many boxes.
+
+    Boxes that overlap share a cell of the page, so pairs come from an equi-join of cells. In rounds, a box stays once all
+    better boxes that overlap it are gone, and goes once one of them stays; there are as many rounds as a chain of
+    overlapping boxes, each better than the next, is long.
+    """
+    cells = [F.sequence(F.floor(F.col(a) / cell), F.floor(F.greatest(F.col(a), F.col(b)) / cell)) for a, b in (("x0", "x1"), ("y0", "y1"))]
+    rows = staged(boxes.select(*keys, F.col(id_col).alias("id"), "score", *SIDES), "boxes")
+    dealt = rows.withColumn("across", F.explode(cells[0])).withColumn("down", F.explode(cells[1]))
+    place = [*keys, "across", "down"]
+    side = lambda mark: dealt.select(*place, *[F.col(c).alias(f"{mark}{c}") for c in ("id", "score", *SIDES)])
+    better = (F.col("a_score") > F.col("b_score")) | ((F.col("a_score") == F.col("b_score")) & (F.col("a_id") < F.col("b_id")))
+    pairs = side("a_").join(side("b_"), place).filter(better).filter(iou("a_", "b_") > threshold)
+    open_pairs = staged(pairs.select(*keys, "a_id", "b_id").distinct(), "box-pairs")
+    open_boxes, stay = rows.select(*keys, "id"), []
+    while not open_boxes.isEmpty():
+        doubted = open_pairs.select(*keys, F.col("b_id").alias("id")).distinct()
+        kept = staged(open_boxes.join(doubted, [*keys, "id"], "left_anti"), "boxes-kept")
+        stay.append(kept)
+        gone = open_pairs.join(kept.withColumnRenamed("id", "a_id"), [*keys, "a_id"], "left_semi").select(*keys, F.col("b_id").alias("id")).distinct()
+        open_boxes = staged(open_boxes.join(kept, [*keys, "id"], "left_anti").join(gone, [*keys, "id"], "left_anti"), "boxes-open")
+        left = open_boxes.withColumnRenamed("id", "a_id"), open_boxes.withColumnRenamed("id", "b_id")
+        open_pairs = staged(open_pairs.join(left[0], [*keys, "a_id"], "left_semi").join(left[1], [*keys, "b_id"], "left_semi").select(*keys, "a_id", "b_id"), "box-pairs")
+    every = reduce(DataFrame.unionByName, stay) if stay else rows.select(*keys, "id")
+    return every.withColumnRenamed("id", id_col)
+
+
+def layout_boxes(found: DataFrame, pages: DataFrame, page: str, id_col: str, least: float = LEAST_SCORE, size: tuple[int, int] = INPUT_SIZE) -> DataFrame:
+    """(page, id, kind, score, box) on the pages themselves, from a model's detections (page, id, class, score, box) in its input.
+
+    Pages (page, width, height) were scaled to fit the input and put in its middle; boxes go the way back. Detections below
+    ``least`` and of unknown classes go, and of boxes of a class that cover each other the best stays.
+    """
+    scale = F.least(F.lit(size[0]) / F.col("height"), F.lit(size[1]) / F.col("width"))
+    inner = {"x": F.floor(F.col("width") * scale), "y": F.floor(F.col("height") * scale)}
+    ways = pages.select(
+        page,
+        *[((F.lit(most) - inner[d]) / 2).alias(f"{d}_pad") for d, most in (("x", size[1]), ("y", size[0]))],
+        *[(F.col(whole) / inner[d]).alias(f"{d}_scale") for d, whole in (("x", "width"), ("y", "height"))],
+    )
+    placed = found.filter(F.col("score") >= least).join(ways, page)
+    placed = placed.withColumns({s: (F.col(s) - F.col(f"{s[0]}_pad")) * F.col(f"{s[0]}_scale") for s in SIDES})
+    kind = F.get(F.array(*[F.lit(x) for x in LAYOUTS]), F.col("class"))
+    placed = staged(placed.select(page, id_col, "class", "score", *SIDES, kind.alias("kind")), "layout")
+    stay = suppressed_by_cells(placed, [page, "class"], id_col)
+    return placed.join(stay, [page, "class", id_col], "left_semi").filter("kind is not null").drop("class")
+
+
 def assigned(texts: DataFrame, layouts: DataFrame, page: str, least: float = 0.4) -> DataFrame:
     """``texts`` (page, text_id, box) with the kind of the layout box that covers most of each, null below ``least``.
 

@@ -149,7 +149,23 @@ def question_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.box_pairs(docs, "l_orderkey", "boxes").select("l_orderkey", F.col("at").cast("long").alias("at"), "number", "question", "answer")
 
 
+_FOUND = """
+    SELECT l_orderkey % 40 AS page, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS id, max(l_linenumber % 12) AS class, max(l_extendedprice % 1000 / 1000) AS score,
+           CAST(max(l_partkey * 7 % 900) AS DOUBLE) AS x0, CAST(max(l_suppkey * 13 % 900) AS DOUBLE) AS y0,
+           CAST(max(l_partkey * 7 % 900 + 60 + l_linenumber) AS DOUBLE) AS x1, CAST(max(l_suppkey * 13 % 900 + 80) AS DOUBLE) AS y1
+    FROM lineitem GROUP BY l_orderkey % 40, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber"""
+
+
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as a model's detections on forty pages of several sizes."""
+    found = spark.sql(_FOUND.replace("lineitem", "{lines}"), lines=table(spark, sf_dir, "lineitem"))
+    pages = spark.range(40).select(F.col("id").alias("page"), (800 + F.col("id") * 10).cast("double").alias("width"), (1100 - F.col("id") * 7).cast("double").alias("height"))
+    boxes = G.layout_boxes(found, pages, "page", "id", least=0.3)
+    return boxes.select("page", "id", "kind", *[F.round(s, 4).alias(s) for s in G.SIDES])
+
+
 QUERIES = {
+    "v4_layout_boxes": detections,
     "v8_built_tables": built_tables,
     "h5_question_boxes": question_boxes,
     "k8_reading_order": reading_order,
@@ -166,6 +182,21 @@ QUERIES = {
 _SHARED = "greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)"
 _RANKED = "li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem)"
 ORACLES = {
+    "v4_layout_boxes": f"""
+        WITH RECURSIVE f AS ({_FOUND}),
+        p AS (SELECT id AS page, 800 + id * 10.0::DOUBLE AS w, 1100 - id * 7.0::DOUBLE AS h FROM range(40) AS t(id)),
+        i AS (SELECT *, floor(w * least(1024 / h, 1024 / w)) AS nw, floor(h * least(1024 / h, 1024 / w)) AS nh FROM p),
+        b AS (SELECT f.page, id, class, score, (x0 - (1024 - nw) / 2) * (w / nw) AS x0, (y0 - (1024 - nh) / 2) * (h / nh) AS y0, (x1 - (1024 - nw) / 2) * (w / nw) AS x1, (y1 - (1024 - nh) / 2) * (h / nh) AS y1,
+                     row_number() OVER (PARTITION BY f.page, class ORDER BY score DESC, id) AS r FROM f JOIN i ON i.page = f.page WHERE score >= 0.3),
+        g(page, class, r, kept, id, new) AS (
+            SELECT page, class, 1::BIGINT, [{{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}], id, true FROM b WHERE r = 1
+            UNION ALL
+            SELECT page, class, r, CASE WHEN hit THEN kept ELSE list_append(kept, {{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}) END, id, NOT hit FROM (
+                SELECT b.*, g.kept, len(list_filter(g.kept, lambda k: greatest(least(k.x1, b.x1) - greatest(k.x0, b.x0), 0) * greatest(least(k.y1, b.y1) - greatest(k.y0, b.y0), 0)
+                    > 0.45 * ((k.x1 - k.x0) * (k.y1 - k.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - greatest(least(k.x1, b.x1) - greatest(k.x0, b.x0), 0) * greatest(least(k.y1, b.y1) - greatest(k.y0, b.y0), 0) + 1e-6))) > 0 AS hit
+                FROM g JOIN b ON b.page = g.page AND b.class = g.class AND b.r = g.r + 1))
+        SELECT b.page, b.id, {list(G.LAYOUTS)}[b.class + 1] AS kind, round(x0, 4) AS x0, round(y0, 4) AS y0, round(x1, 4) AS x1, round(y1, 4) AS y1
+        FROM g JOIN b ON b.page = g.page AND b.class = g.class AND b.id = g.id WHERE g.new AND b.class < 10""",
     "v8_built_tables": f"""
         WITH {_RANKED}
         SELECT l_orderkey,
