@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from loomwork.session import new_folder, staged, table
-from loomwork.sources import mail, slides
+from loomwork.sources import files, mail, slides
 from loomwork.sources.store import Store, delete_cascade, updated
 
 
@@ -106,8 +106,27 @@ def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.join(after, "doc_id", "left").select("doc_id", "status", "h", (F.col("h") == F.col("content_hash")).alias("agrees"))
 
 
-QUERIES = {"g1_r12_deletions": deletions, "g2_updates": updates, "s5_mail_files": mail_files, "s7_slide_files": slide_files}
+def owned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of their owner; a file counts where its document still belongs to the user of its folder, which that
+    of every fifth no longer does. Types by name, bytes and client, and texts with their encoding."""
+    k = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select((k % 7).alias("user_id"), F.col("source").alias("collection"), "doc_id", "text")
+    path = f"{new_folder(spark, 'files')}/files"
+    files.write_files(docs, path, "text")
+    now = docs.withColumn("user_id", F.when(k % 5 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")))
+    found = files.owned_files(spark, path, now, user_id=3)
+    told = files.told_text(F.col("content"))
+    name = F.concat(F.lit("file."), F.element_at(F.array(*[F.lit(x) for x in ("md", "bin", "weird")]), (k % 3 + 1).cast("int")))
+    kind = files.detected_type(name, F.when(k % 3 == 1, F.unhex(F.lit("25504446"))), F.when(k % 2 == 0, "text/x-own").otherwise("application/octet-stream"))
+    return found.select("user_id", "collection", "doc_id", F.md5(told["text"]).alias("h"), told["encoding"].alias("encoding"), kind.alias("type"))
+
+
+QUERIES = {"s14_s3_s2_owned_files": owned_files, "g1_r12_deletions": deletions, "g2_updates": updates, "s5_mail_files": mail_files, "s7_slide_files": slide_files}
 ORACLES = {
+    "s14_s3_s2_owned_files": """
+        SELECT 3::BIGINT AS user_id, source AS collection, doc_id, md5(text || chr(10)) AS h, 'utf-8' AS encoding,
+               CASE doc_id % 3 WHEN 0 THEN 'text/markdown' WHEN 1 THEN 'application/pdf' ELSE CASE WHEN doc_id % 2 = 0 THEN 'text/x-own' ELSE 'application/octet-stream' END END AS type
+        FROM documents WHERE doc_id % 7 = 3 AND doc_id % 5 <> 0""",
     "g1_r12_deletions": """
         WITH d AS (SELECT *, len(string_split(text, chr(10))) AS n, length(source) % 3 AS u FROM documents),
         k AS (SELECT * FROM d WHERE doc_id % 10 <> 0 AND source IS DISTINCT FROM (SELECT min(source) FROM d WHERE u = 1))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.functions.text import content_type
+
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, content): one row per text file, whole."""
@@ -40,6 +43,61 @@ def decoded(data: Column) -> Column:
     return F.when(F.is_valid_utf8(own.cast("string")), F.decode(own, "UTF-8")).otherwise(F.decode(data, "ISO-8859-1"))
 
 
+#: Encodings that are tried in turn where bytes are not UTF-8; the last one takes any.
+ENCODINGS = ("gb2312", "gbk", "gb18030", "latin1")
+
+
+def _others(data: pd.Series, charset: pd.Series) -> pd.DataFrame:
+    rows = []
+    for content, named in zip(data, charset, strict=True):
+        found = (None, None)
+        for encoding in (named, *ENCODINGS) if content is not None else ():
+            try:
+                found = (bytes(content).decode(encoding or "utf-8"), encoding or "utf-8")
+                break
+            except (UnicodeDecodeError, LookupError):
+                continue
+        rows.append(found)
+    return pd.DataFrame(rows, columns=["text", "encoding"])
+
+
+def told_text(data: Column, charset: Column | None = None) -> Column:
+    """(text, encoding) of bytes: the charset that a file names, then UTF-8 without its mark, then the other encodings in turn.
+
+    Only bytes that are not UTF-8, or that name another charset, go to the decoders of Python; all others stay in Spark.
+    """
+    named = F.lit(None).cast("string") if charset is None else F.lower(charset)
+    plain = F.coalesce(named.isin("utf-8", "utf8", "us-ascii", "ascii"), F.lit(True)) & F.is_valid_utf8(data.cast("string"))
+    own = F.when(F.startswith(data, F.unhex(F.lit("EFBBBF"))), F.substring(data, 4, (1 << 31) - 1)).otherwise(data)
+    here = F.struct(F.decode(own, "UTF-8").alias("text"), F.lit("utf-8").alias("encoding"))
+    others = F.pandas_udf(_others, "struct<text:string,encoding:string>")
+    return F.when(plain, here).otherwise(others(F.when(~plain, data), named))
+
+
+def detected_type(filename: Column, data: Column, client: Column) -> Column:
+    """Type of a file by its extension, else its first bytes, else what the client says unless that is generic."""
+    generic = F.lit("application/octet-stream")
+    return F.coalesce(F.nullif(content_type(filename, generic), generic), sniffed_type(data), F.nullif(client, generic), generic)
+
+
+#: Files lie in folders of their user, collection and document.
+FOLDERS = ("user_id", "collection", "doc_id")
+BINARY_FILE = "path string not null, modificationTime timestamp not null, length long not null, content binary"
+
+
+def write_files(docs: DataFrame, path: str, text: str) -> None:
+    """A text file for each row of documents (user_id, collection, doc_id), in their folders."""
+    docs.select(*FOLDERS, F.col(text).cast("string").alias("value")).write.mode("append").partitionBy(*FOLDERS).text(path)
+
+
+def owned_files(spark: SparkSession, path: str, documents: DataFrame, user_id: int | None = None) -> DataFrame:
+    """(user_id, collection, doc_id, path, content) of stored files whose document is there and belongs to the user that the
+    folder names. ``documents``: user_id, collection, doc_id. With ``user_id`` only this user's folders are listed and read."""
+    read = spark.read.format("binaryFile").schema(f"{BINARY_FILE}, user_id long, collection string, doc_id long").load(path)
+    read = read if user_id is None else read.filter(F.col("user_id") == user_id)
+    return read.join(documents.select(*FOLDERS), list(FOLDERS), "left_semi").select(*FOLDERS, "path", "content")
+
+
 #: How files of known types begin.
 SIGNATURES = (
     ("25504446", "application/pdf"), ("504B0304", "application/zip"), ("89504E470D0A1A0A", "image/png"), ("FFD8FF", "image/jpeg"),
