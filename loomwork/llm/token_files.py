@@ -30,13 +30,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm._common import documents, new_folder, range_of, shuffle_partitions, staged, text_or_empty, tokenizer_path
+from loomwork.llm._common import bytes_read, documents, new_folder, range_of, shuffle_partitions, staged, text_or_empty, tokenizer_path
 from loomwork.llm.tokens import WORD_BPE, encoder
 
 END_ID = 1
 MAGIC = b"LWIDS001"
 HEAD = struct.Struct("<8s4I")
 SHARD_BYTES = 1 << 19
+RANGE_BYTES = 128 << 20
 SHARD_DOCS = 4096
 KEYS_PER_BUCKET = 4
 NULL_KEY = -(1 << 63)
@@ -169,9 +170,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key")
     ordered = docs.select(key, text_or_empty().alias("text")).withColumn("among", F.xxhash64("text"))
-    # As many ranges as the session sets for its shuffles. Copies of one key are told apart by their text, so that a key
-    # with very many rows may fill several ranges.
-    ordered = ordered.repartitionByRange(shuffle_partitions(docs.sparkSession), "key", "among")
+    # Ranges of about RANGE_BYTES of what is read, and as many as the session sets for its shuffles at least. Copies of one
+    # key are told apart by their text, so that a key with very many rows may fill several ranges.
+    ranges = max(shuffle_partitions(docs.sparkSession), bytes_read(docs) // RANGE_BYTES)
+    ordered = ordered.repartitionByRange(ranges, "key", "among")
     ordered = ordered.sortWithinPartitions("key", "among", "text").select("key", "text")
     # One shard a row group, as it is: readers find it by its first and last key.
     options = {"compression": "uncompressed", "parquet.block.row.count.limit": "1", "parquet.page.size.row.check.min": "1"}

@@ -152,16 +152,19 @@ def normal_form(text: Column, tokenizer: str) -> Column:
 CACHE_SCHEMA = "digest string, tokenizer string, n_tokens long"
 
 
-def _cache(spark: SparkSession, cache_path: str) -> DataFrame:
-    """The cache table; an empty one where nothing has been stored yet."""
-    spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    return spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
+def _stored(spark: SparkSession, cache_path: str, version: str) -> DataFrame:
+    """The cache's folder of one tokenizer; empty where nothing has been stored yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], CACHE_SCHEMA)
+    return spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer") == version)
 
 
 def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str, limit: int = TOKEN_LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) per row of ``docs``, through the cache table at ``cache_path``.
 
-    The cache maps (content digest, tokenizer digest) to a count. Contents are compared in the form that the tokenizer tells
+    The cache maps (content digest, tokenizer digest) to a count, in a folder for each tokenizer; a run reads the folder of its
+    own, and adds no file where nothing is missing. Contents are compared in the form that the tokenizer tells
     apart (``normal_form``), as whole UTF-8 texts with null as empty. Only contents without a stored count are encoded, each
     once, and their counts are appended before documents are joined to the table. Null or empty text has 0 tokens; repeated rows are counted once and
     returned each; an empty table gives an empty one; extra columns don't matter, since only doc_id and text are read.
@@ -172,7 +175,7 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str, limit: int =
         "doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(normal_form(F.col("text"), tokenizer), 256).alias("digest")
     )
     rows = staged(keyed.select("doc_id", "n_bytes", "digest"), "token-rows")
-    stored = _cache(spark, cache_path).filter(F.col("tokenizer") == version)
+    stored = _stored(spark, cache_path, version)
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoder(tokenizer)
@@ -182,8 +185,8 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str, limit: int =
 
     distinct = keyed.select("digest", "text").dropDuplicates(["digest"])
     missing = distinct.join(stored.select("digest"), "digest", "left_anti")
-    missing.mapInPandas(encoded, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer") == version)
+    missing.mapInPandas(encoded, CACHE_SCHEMA).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
+    counts = _stored(spark, cache_path, version)
     # A writer that ran beside this one may have stored the same digest; its count is the same.
     # As a table of its own, so that Spark may split a digest with very many rows when it joins.
     counts = staged(counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")

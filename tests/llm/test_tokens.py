@@ -43,9 +43,14 @@ def test_counts_and_cache(spark, odd_docs, no_docs):
     stored = spark.read.parquet(cache)
     assert stored.count() == len(set(texts))
     # A second call finds every content in the cache, and uses what is stored there.
-    spark.createDataFrame([("x", "y", 1)], tokens.CACHE_SCHEMA).write.mode("append").parquet(cache)
+    spark.createDataFrame([("x", "y", 1)], tokens.CACHE_SCHEMA).write.mode("append").partitionBy("tokenizer").parquet(cache)
+    files = set(spark.read.parquet(cache).inputFiles())
     tokens.count_tokens(odd_docs, cache, path).collect()
     assert spark.read.parquet(cache).count() == len(set(texts)) + 1
+    # Nothing was missing, so no file came; only the folder of the tokenizer is read.
+    assert set(spark.read.parquet(cache).inputFiles()) == files
+    plan = tokens._stored(spark, cache, "y")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(tokenizer" in plan
     assert tokens.count_tokens(no_docs, cache, path).count() == 0
 
 
