@@ -489,7 +489,8 @@ def resume_fields(docs: DataFrame, text: str) -> DataFrame:
     body = {k: section_body(lines, P.RESUME_SECTIONS, k) for k in ("education", "experience", "skills", "languages", "certifications")}
     items = F.transform(F.split(F.array_join(body["skills"], "\n"), r"[,\n|/]|\s{2,}"), lambda x: F.regexp_replace(strip(x), r"^[-*]+|[-*]+$", ""))
     skill = F.array_sort(F.array_distinct(F.filter(items, lambda x: (F.length(x) > 2) & (F.length(x) < 50) & ~x.rlike("(?i)^(beginner|intermediate|advanced|expert|proficient)"))))
-    degrees = F.filter(F.transform(body["education"], lambda x: F.regexp_extract(x, P.RESUME_DEGREE, 0)), lambda x: x != "")
+    degree = lambda x: F.coalesce(*[F.nullif(strip(F.regexp_extract(x, p, 0)), empty) for p in P.RESUME_DEGREES])
+    degrees = F.array_compact(F.transform(body["education"], lambda x: degree(x)))
     found = (name.isNotNull().cast("int") + mail.isNotNull().cast("int") + (F.size(degrees) > 0).cast("int")
              + (F.size(F.filter(body["experience"], lambda x: strip(x) != "")) > 0).cast("int") + (F.size(skill) > 0).cast("int"))
     present = F.array_compact(F.array(*[F.when(t.rlike("(?m)" + p), F.lit(k)) for k, p in P.RESUME_SECTIONS.items()]))

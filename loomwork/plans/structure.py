@@ -9,6 +9,7 @@ from loomwork.functions import patterns as P
 from loomwork.operators import questions as Q
 from loomwork.operators import structure as S
 from loomwork.operators.merging import hierarchical_merge, merge_levels
+from loomwork.operators.resumes import resume_entries as resumes_of
 from loomwork.session import table
 
 
@@ -199,6 +200,18 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join("sections", ",").alias("sections"), "confidence")
 
 
+def resume_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as people with schools, jobs, certificates and languages; some have none of one kind."""
+    text = F.expr(
+        "concat('Anna Smith\nBased in: City ', s_nationkey, '\nEducation\n', if(s_suppkey % 3 = 0, '', concat('Bachelor of Art\nCollege ', s_nationkey, '\n2001 - 2005\nMajor: Field', s_suppkey, ', x\n')), "
+        "'Work history\nSenior Engineer\nAcme ', s_suppkey, '\nMay 2010 - Present\nBuilt it', if(s_suppkey % 2 = 0, concat('\n\nOther Corp ', s_nationkey, '\nworker of things'), ''), "
+        "'\nCertifications\n- Certificate ', s_suppkey, '\n* abc\nLanguages\n- English: fluent\nGerman', if(s_suppkey % 4 = 0, '\nFrench (BASIC)', ''))"
+    )
+    found = resumes_of(table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("text")), "text")
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.to_json(x)), ";")
+    return found.select("s_suppkey", shown("education").alias("education"), shown("experience").alias("experience"), F.array_join("certifications", ";").alias("certifications"), shown("languages").alias("languages"), "location")
+
+
 def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completeness of structured resumes: people 30, career 20, education 25 and experience 25 of a hundred; degrees by rank."""
     c = table(spark, sf_dir, "customer")
@@ -301,6 +314,7 @@ QUERIES = {
     "d7_w8_manuals": manuals,
     "d8_w9_a12_slides": slides,
     "d9_resumes": resumes,
+    "d9_resume_entries": resume_entries,
     "a15_a17_integrity": integrity,
     "d2_papers": papers,
     "d0_classified": classified,
@@ -355,6 +369,14 @@ ORACLES = {
               WINDOW w AS (PARTITION BY region ORDER BY slide ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
         SELECT region, slide, n_name AS title, 2 AS bullets, 1 AS notes, coalesce(base + slide - at_slide, slide)::INT AS number FROM x
         UNION ALL SELECT DISTINCT region, 1, 'Deck', 1, 0, 1 FROM n""",
+    "d9_resume_entries": """
+        SELECT s_suppkey, 'City ' || s_nationkey AS location, ' Certificate ' || s_suppkey AS certifications,
+               CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '{"degree":"Bachelor of","institution":"Bachelor of Art"};{"dates":"2001 - 2005","institution":"College ' || s_nationkey
+                   || '"};{"institution":"Major: Field' || s_suppkey || ', x","major":"Field' || s_suppkey || '"}' END AS education,
+               '{"position":"Senior Engineer","company":"Acme ' || s_suppkey || '","dates":"May 2010 - Present","description":"May 2010 - Present Built it"}'
+                   || CASE WHEN s_suppkey % 2 = 0 THEN ';{"position":"worker of things","company":"Other Corp ' || s_nationkey || '"}' ELSE '' END AS experience,
+               '{"language":"English","level":"Fluent"};{"language":"German","level":"Not specified"}' || CASE WHEN s_suppkey % 4 = 0 THEN ';{"language":"French (","level":"Basic"}' ELSE '' END AS languages
+        FROM supplier""",
     "d9_resumes": """
         SELECT s_suppkey, 'Anna Maria Smith' AS name, 's' || s_suppkey || '@example.com' AS mail, ' expert level,python,spark' || s_nationkey || ',sql' AS skills, 'Bachelor of' AS degrees,
                'education,experience,languages,skills' AS sections, 0.95::DOUBLE AS confidence FROM supplier""",
