@@ -53,7 +53,7 @@ def ingest(documents: DataFrame) -> DataFrame:
     An empty text has one empty chunk, so that no document is lost.
     """
     cut = chunks(rag_clean(F.col("text")))
-    whole = F.array(F.struct(F.lit("").alias("content"), F.lit(0).alias("tokens")))
+    whole = F.array(F.struct(F.lit("").alias("content"), *[F.lit(0).alias(c) for c in ("tokens", "start_char", "end_char")]))
     some = F.when(F.size(cut) > 0, cut).otherwise(whole)
     rows = documents.select("doc_id", "lang", F.sha2("text", 256).alias("content_hash"), F.posexplode(some).alias("chunk_index", "c"))
     return rows.select(
