@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,8 +36,20 @@ DIGESTS = (
 )
 #: How PCM blocks are stored: large pages, so that texts share their words, and a harder search for them.
 PCM_FILES = {"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20)}
-#: Rows of an Arrow batch that are encoded and handed on together.
-ROWS = 256
+#: Bytes of an Arrow batch's rows that are coded and handed on together: frames of many rows in one step, in bounded memory.
+GROUP_BYTES = 4 << 20
+
+
+def _groups(sizes: Iterable[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about GROUP_BYTES."""
+    first, held, n = 0, 0, 0
+    for size in sizes:
+        held, n = held + size, n + 1
+        if held >= GROUP_BYTES:
+            yield first, n
+            first, held = n, 0
+    if n > first:
+        yield first, n
 
 
 def payload_of(text: str) -> bytes:
@@ -50,8 +62,8 @@ def encode_media(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), ROWS):
-                part = b.iloc[at : at + ROWS]
+            for first, end in _groups(b.n_bytes.tolist()):
+                part = b.iloc[first:end]
                 media = list(flac.encode(payload_of(t) for t in part.text))
                 yield pd.DataFrame({"doc_id": part.doc_id, "n_bytes": part.n_bytes, "media": media})
 
@@ -65,8 +77,8 @@ def decode_media(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, len(whole), ROWS):
-                b = whole.slice(at, ROWS)
+            for first, end in _groups(len(x.as_buffer()) for x in whole.column("media")):
+                b = whole.slice(first, end - first)
                 streams = b.column("media").to_pylist()
                 ends, offsets, blocks, wrong = [0], [], [], []
                 for own, places, error in flac.decode(streams):
