@@ -70,7 +70,8 @@ class Encoder:
         self.split = re.compile(split).findall
         specials = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
         # U+0130 becomes two characters in lower case.
-        self.odd = re.compile("|".join([*specials, "[İ̀-\U0010ffff]"])).search
+        self.special = re.compile("|".join(specials) or "(?!)").search
+        self.wide = re.compile("[İ̀-\U0010ffff]").search
         self.known = Remembered(self.piece)
 
     def pack(self, ids: Iterable[int]) -> bytes:
@@ -85,6 +86,10 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return self.pack(self.library.encode(text, add_special_tokens=False).ids)
 
+    def odd(self, text: str) -> bool:
+        """Whether the split isn't plain. ASCII texts, which Python knows as such, need no search for wide characters."""
+        return bool(self.special(text)) or (not text.isascii() and bool(self.wide(text)))
+
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text, in order. Memory follows the largest text, not the number of texts."""
         known = self.known
