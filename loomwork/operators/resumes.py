@@ -18,12 +18,21 @@ def _found(text: Column, pattern: str, group: int = 0) -> Column:
     return F.nullif(strip(F.regexp_extract(text, pattern, group)), F.lit(""))
 
 
+#: A date whose years are numbers of their own, no part of a name or of a longer number.
+DATE = rf"(?<!\w)(?:{P.RESUME_DATE})(?!\d)"
+
+
 def _lines(entry: Column) -> Column:
     return F.transform(F.split(strip(entry), "\n"), lambda x: strip(x))
 
 
 def _dated(line: Column) -> Column:
-    return line.rlike(f"^{P.RESUME_DATE}")
+    return line.rlike(f"^{DATE}")
+
+
+def _dates(entry: Column) -> Column:
+    """The dates of the first line that begins with one, else the first in the entry: a company may have a year in its name."""
+    return _found(F.coalesce(F.get(F.filter(_lines(entry), _dated), 0), entry), DATE)
 
 
 def _bare(line: Column) -> Column:
@@ -34,7 +43,7 @@ def school(entry: Column) -> Column:
     degree = F.coalesce(*[_found(entry, p) for p in P.RESUME_DEGREES])
     named = F.filter(F.slice(_lines(entry), 1, 3), lambda x: (x != "") & ~_dated(x) & F.coalesce(x != degree, F.lit(True)))
     major = _found(entry, r"(?i)(?:major|field|specialization|concentration)[:\s]+([^\n,]+)", 1)
-    return F.struct(degree.alias("degree"), _found(entry, P.RESUME_DATE).alias("dates"), F.substring(F.get(named, 0), 1, 100).alias("institution"), major.alias("major"))
+    return F.struct(degree.alias("degree"), _dates(entry).alias("dates"), F.substring(F.get(named, 0), 1, 100).alias("institution"), major.alias("major"))
 
 
 def job(entry: Column) -> Column:
@@ -45,7 +54,7 @@ def job(entry: Column) -> Column:
     said = F.array_join(F.filter(F.slice(lines, 3, 1 << 20), lambda x: x != ""), " ")
     return F.struct(
         F.coalesce(position, second).alias("position"), F.when(position.isNotNull(), F.coalesce(company, second)).otherwise(company).alias("company"),
-        _found(entry, P.RESUME_DATE).alias("dates"), F.nullif(F.substring(said, 1, 500), F.lit("")).alias("description"),
+        _dates(entry).alias("dates"), F.nullif(F.substring(said, 1, 500), F.lit("")).alias("description"),
     )
 
 

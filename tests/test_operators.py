@@ -323,3 +323,13 @@ def test_merging_under_headings(spark):
     for r in sorted(hierarchical_merge(df, "key", 3).collect(), key=lambda r: (r.key, r.at)):
         got.setdefault(r.key, []).append(r.lines)
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_years_in_names_are_no_dates(spark):
+    from loomwork.operators.resumes import job, school
+
+    one = lambda f, text: spark.range(1).select(f(F.lit(text)).alias("x")).first().x
+    assert one(job, "Senior Engineer\nAcme 1999\nMay 2010 - Present\nBuilt it").dates == "May 2010 - Present"
+    assert one(job, "Senior Engineer\nAcme 12001\nBuilt it").dates is None
+    assert one(job, "Senior Engineer, 2001-2005\nAcme").dates == "2001-2005"
+    assert one(school, "Major: Field1900, x").dates is None
