@@ -275,10 +275,13 @@ def decode_slug(c: Column) -> Column:
     return F.array_join(F.when(stop > 0, F.slice(parts, 1, (stop - 1).cast("int"))).otherwise(parts), " ")
 
 
-def follow_ups(query: Column, mode: Column) -> Column:
-    """Up to three follow-up questions by the query's question word and the search mode."""
+def follow_ups(query: Column, mode: Column, space: str | None = None) -> Column:
+    """Up to three follow-up questions by the query's question word and the search mode.
+
+    The last word is what stands behind the last white space of any kind, or behind the last ``space`` alone.
+    """
     low = F.lower(query)
-    last = F.element_at(F.split(strip(query), r"\s+"), -1)
+    last = F.element_at(F.split(strip(query), r"\s+"), -1) if space is None else F.substring_index(query, space, -1)
     first = (
         F.when(F.instr(low, "what") > 0, F.array(F.concat(F.lit("Can you provide examples related to "), last, F.lit("?")), F.lit("How does this work in practice?")))
         .when(F.instr(low, "how") > 0, F.array(F.lit("What are the key steps involved?"), F.lit("Are there any alternative approaches?")))

@@ -333,3 +333,10 @@ def test_years_in_names_are_no_dates(spark):
     assert one(job, "Senior Engineer\nAcme 12001\nBuilt it").dates is None
     assert one(job, "Senior Engineer, 2001-2005\nAcme").dates == "2001-2005"
     assert one(school, "Major: Field1900, x").dates is None
+
+
+def test_follow_ups_take_the_last_word(spark):
+    from loomwork.functions.text import follow_ups
+
+    row = spark.range(1).select(follow_ups(F.lit("What is one\ntwo "), F.lit("")).alias("a"), follow_ups(F.lit("What is one\ntwo"), F.lit(""), " ").alias("b")).first()
+    assert row.a[0].endswith(" to two?") and row.b[0].endswith(" to one\ntwo?")
