@@ -38,6 +38,8 @@ class Request:
     #: (hits with query_id, id and text; queries) -> hits with rerank_score.
     rerank: Callable[[DataFrame, DataFrame], DataFrame] | None = None
     digits: int | None = None
+    #: What zero vectors score, as in ``top_k_semantic``.
+    nan: bool = False
 
 
 def base_search(corpus: Corpus, queries: DataFrame, request: Request) -> DataFrame:
@@ -48,13 +50,13 @@ def base_search(corpus: Corpus, queries: DataFrame, request: Request) -> DataFra
         documents = corpus.documents
         if request.document_type:
             documents = documents.filter(F.get_json_object("processing_info", "$.domain_processor") == request.document_type)
-        return twotier.search(documents, chunks, queries, k, request.mode, digits=request.digits).drop("document")
+        return twotier.search(documents, chunks, queries, k, request.mode, digits=request.digits, nan=request.nan).drop("document")
     if request.document_type:
         chunks = chunks.filter(F.get_json_object("metadata", "$.document_type") == request.document_type)
     n = 2 * k if request.mode == "hybrid" else k
     lists = []
     if request.mode != "keyword":
-        lists.append(top_k_semantic(chunks, queries, "id", n, SEMANTIC_THRESHOLD, digits=request.digits))
+        lists.append(top_k_semantic(chunks, queries, "id", n, SEMANTIC_THRESHOLD, digits=request.digits, nan=request.nan))
     if request.mode != "semantic":
         lists.append(lexical.keyword_search(chunks, queries, "id", n, KEYWORD_THRESHOLD, "content"))
     found = lists[0] if request.mode != "hybrid" else fusion.reciprocal_rank(*lists, "id", k)

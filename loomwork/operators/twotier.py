@@ -37,22 +37,23 @@ def search(
     id_col: str = "id",
     text_col: str = "content",
     digits: int | None = None,
+    nan: bool = False,
 ) -> DataFrame:
     """(query_id, document, id, score, rank) of chunks in the ``k * multiplier`` documents nearest to each query.
 
     ``documents`` has document and embedding (without one it is never found), ``chunks`` document, the id, embedding and
     text, ``queries`` query_id, query_embedding and, for modes with keywords, query. A query whose first tier is empty has
-    no result.
+    no result. ``nan``: what zero vectors score, as in ``top_k_semantic``.
     """
     check_mode(mode, queries)
-    tier1 = top_k_semantic(documents, queries, "document", k * multiplier, None, digits=digits).select("query_id", "document")
+    tier1 = top_k_semantic(documents, queries, "document", k * multiplier, None, digits=digits, nan=nan).select("query_id", "document")
     n = k if mode != "hybrid" else 2 * k
     lists = []
     if mode != "keyword":
         # A query's chunks are those of its documents: an equi-join, never all chunks.
         held = chunks.filter(F.col("embedding").isNotNull()).join(tier1, "document")
         held = held.join(queries.select("query_id", "query_embedding"), "query_id")
-        score = cosine(F.col("embedding"), F.col("query_embedding"))
+        score = cosine(F.col("embedding"), F.col("query_embedding"), nan)
         scored = held.select("query_id", "document", id_col, (score if digits is None else F.round(score, digits)).alias("score"))
         lists.append(top_k(scored, id_col, n).filter(F.col("score") >= SEMANTIC_THRESHOLD))
     if mode != "semantic":

@@ -325,6 +325,20 @@ def test_merging_under_headings(spark):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_zero_vectors_come_last_or_are_not_a_number(spark):
+    """Two terms of opposite sign in one place cancel: SQL's similarity is then not a number, first and above any threshold."""
+    import math
+
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 1.0]), (4, [1.0, 2.0, 3.0]), (5, None)], "id long, embedding array<double>")
+    queries = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, query_embedding array<double>")
+    shown = lambda **o: [(r.id, "nan" if r.score is not None and math.isnan(r.score) else r.score and round(r.score, 3))
+                         for r in vector.top_k_semantic(df, queries, "id", 9, **o).orderBy("rank").collect()]
+    assert shown(threshold=None) == [(1, 1.0), (3, 0.707), (2, None), (4, None)]
+    assert shown(threshold=0.8) == [(1, 1.0)]
+    assert shown(threshold=0.8, nan=True) == [(2, "nan"), (1, 1.0)]
+    assert shown(threshold=None, digits=2, nan=True) == [(2, "nan"), (1, 1.0), (3, 0.71), (4, None)]
+
+
 def test_years_in_names_are_no_dates(spark):
     from loomwork.operators.resumes import job, school
 
