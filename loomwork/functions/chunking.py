@@ -27,7 +27,13 @@ def _split(text: Column, levels: tuple[str, ...], size: int) -> Column:
 
 def chunks(text: Column, size: int = SIZE, levels: tuple[str, ...] = DOCUMENT_LEVELS) -> Column:
     """Array of (content, tokens, start_char, end_char): pieces in order, packed as long as they fit. Joined, they are the text."""
+    # A lambda over one value computes it once: neither a rendered text nor the tokens of a piece again for each use.
+    return F.element_at(F.transform(F.array(text), lambda t: _packed(t, size, levels)), 1)
+
+
+def _packed(text: Column, size: int, levels: tuple[str, ...]) -> Column:
     pieces = F.filter(_split(text, levels, size), lambda p: p != "")
+    pieces = F.transform(pieces, lambda p: F.struct(p.alias("text"), token_estimate(p).alias("n")))
     empty = F.array().cast("array<struct<content:string,tokens:int,start_char:int,end_char:int>>")
     start = F.struct(empty.alias("done"), F.lit("").alias("open"), F.lit(0).alias("tokens"), F.lit(0).alias("at"))
 
@@ -36,7 +42,7 @@ def chunks(text: Column, size: int = SIZE, levels: tuple[str, ...] = DOCUMENT_LE
         return F.array_append(state["done"], F.struct(state["open"].alias("content"), state["tokens"].alias("tokens"), state["at"].alias("start_char"), end.alias("end_char")))
 
     def put(state: Column, piece: Column) -> Column:
-        n = token_estimate(piece)
+        n, piece = piece["n"], piece["text"]
         fits = (state["tokens"] + n <= size) & (F.length(state["open"]) + F.length(piece) <= 8 * size)
         return F.struct(
             F.when(fits | (state["open"] == ""), state["done"]).otherwise(closed(state)).alias("done"),

@@ -194,8 +194,7 @@ def summary(title: Column, filename: Column, content: Column, chars: int = 2000)
 
 
 def token_estimate(c: Column) -> Column:
-    words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    return F.floor(F.size(words) * 4 / 3).cast("int")
+    return F.floor(F.regexp_count(c, F.lit(r"\S+")) * 4 / 3).cast("int")
 
 
 def excerpt(c: Column, chars: int = 3000) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import chunking as C
@@ -36,8 +36,13 @@ def lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of rendered source code: none is lost, and definitions begin chunks where they don't fit together."""
     code = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.col("p_size") % 7 + 1), lambda i: F.concat(F.lit("\n\ndef f"), i.cast("string"), F.lit("():\n"), F.repeat(F.lit("    x = 1 + 2 + 3\n"), 40))))
-    parts = table(spark, sf_dir, "part").select("p_partkey", C.chunks(code, levels=C.CODE_LEVELS).alias("c"), F.md5(code).alias("h"))
-    return parts.select("p_partkey", (F.md5(F.array_join(F.transform("c", lambda x: x["content"]), "")) == F.col("h")).alias("whole"))
+
+    def whole(text: Column) -> Column:
+        return F.md5(F.array_join(F.transform(C.chunks(text, levels=C.CODE_LEVELS), lambda x: x["content"]), "")) == F.md5(text)
+
+    # The text is made once for both digests.
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"))
+    return parts.select("p_partkey", F.element_at(F.transform(F.array(code), whole), 1).alias("whole"))
 
 
 def token_sums(spark: SparkSession, sf_dir: str) -> DataFrame:

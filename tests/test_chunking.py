@@ -91,3 +91,11 @@ def test_types_of_documents(spark):
 def test_rendered_mails_are_mails(spark):
     found = {(r.made_as, r.document_type) for r in structure.classified(spark, SF).collect()}
     assert {t for m, t in found if m == "email"} == {"email"}
+
+
+def test_rendered_code_is_estimated_once(spark):
+    """The plan of a rendered text holds its expression once; many rows of code take seconds."""
+    from loomwork.plans import chunking as plans
+
+    plan = plans.code_chunks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("def f") == 1
