@@ -94,6 +94,45 @@ def suppressed_by_cells(boxes: DataFrame, keys: list[str], id_col: str, threshol
     return every.withColumnRenamed("id", id_col)
 
 
+def suppressed_in_bands(boxes: DataFrame, keys: list[str], id_col: str, threshold: float = 0.45, cell: float = 100.0, band: int = 500) -> DataFrame:
+    """The rows of ``boxes`` that ``suppressed`` lets stay, for pages with any number of boxes: no pair of boxes becomes a row.
+
+    In rounds, the best ``band`` open boxes of each group are folded, twice as many in each next round. Those that stay go to the
+    other open boxes of their group, as lists by the cells of the page that they touch, and close what they overlap. What
+    stays hardly overlaps, so a group has no more of it than its page has room for, however many boxes there are.
+    """
+
+    def cells() -> Column:
+        across, down = (F.sequence(F.floor(F.col(a) / cell), F.floor(F.greatest(F.col(a), F.col(b)) / cell)) for a, b in (("x0", "x1"), ("y0", "y1")))
+        return F.flatten(F.transform(across, lambda a: F.transform(down, lambda d: F.struct(a.alias("a"), d.alias("d")))))
+
+    def size(x: Column | None) -> Column:
+        return area() if x is None else F.greatest(x["x1"] - x["x0"], F.lit(0.0)) * F.greatest(x["y1"] - x["y0"], F.lit(0.0))
+
+    def covered(y: Column) -> Column:
+        width = F.least(F.col("x1"), y["x1"]) - F.greatest(F.col("x0"), y["x0"])
+        height = F.least(F.col("y1"), y["y1"]) - F.greatest(F.col("y0"), y["y0"])
+        shared = F.greatest(width, F.lit(0.0)) * F.greatest(height, F.lit(0.0))
+        return shared / (size(None) + size(y) - shared + F.lit(1e-6)) > threshold
+
+    place = F.struct((-F.col("score")).alias("s"), F.col(id_col).alias("i"))
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), id_col)
+    open_boxes, stay = boxes, []
+    while True:
+        best = staged(open_boxes.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= band).drop("_n"), "boxes-best")
+        if best.isEmpty():
+            break
+        kept = staged(best.join(suppressed(best, keys, id_col, threshold), [*keys, id_col], "left_semi").select(*boxes.columns), "boxes-kept")
+        stay.append(kept)
+        lists = kept.select(*keys, F.explode(cells()).alias("_c"), F.struct(*SIDES).alias("_b")).groupBy(*keys, "_c").agg(F.collect_list("_b").alias("_l"))
+        held = lists.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_c", "_l"))).alias("_held"))
+        last = best.groupBy(*keys).agg(F.max(place).alias("_last"))
+        rest = open_boxes.join(held.join(last, keys), keys).filter(place > F.col("_last"))
+        hit = F.exists(cells(), lambda c: F.coalesce(F.exists(F.try_element_at("_held", c), covered), F.lit(False)))
+        open_boxes, band = staged(rest.filter(~hit).select(*boxes.columns), "boxes-open"), 2 * band
+    return reduce(DataFrame.unionByName, stay) if stay else boxes
+
+
 def layout_boxes(found: DataFrame, pages: DataFrame, page: str, id_col: str, least: float = LEAST_SCORE, size: tuple[int, int] = INPUT_SIZE) -> DataFrame:
     """(page, id, kind, score, box) on the pages themselves, from a model's detections (page, id, class, score, box) in its input.
 
@@ -111,8 +150,7 @@ def layout_boxes(found: DataFrame, pages: DataFrame, page: str, id_col: str, lea
     placed = placed.withColumns({s: (F.col(s) - F.col(f"{s[0]}_pad")) * F.col(f"{s[0]}_scale") for s in SIDES})
     kind = F.get(F.array(*[F.lit(x) for x in LAYOUTS]), F.col("class"))
     placed = staged(placed.select(page, id_col, "class", "score", *SIDES, kind.alias("kind")), "layout")
-    stay = suppressed_by_cells(placed, [page, "class"], id_col)
-    return placed.join(stay, [page, "class", id_col], "left_semi").filter("kind is not null").drop("class")
+    return suppressed_in_bands(placed, [page, "class"], id_col).filter("kind is not null").drop("class")
 
 
 def assigned(texts: DataFrame, layouts: DataFrame, page: str, least: float = 0.4) -> DataFrame:

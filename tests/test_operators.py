@@ -376,3 +376,18 @@ def test_scores_of_a_block_are_held_in_parts(spark):
     unit = lambda m: m / np.linalg.norm(m, axis=1)[:, None]
     want = np.argsort(-(unit(vectors) @ unit(np.array([q["query_embedding"] for q in asked])).T), axis=0)[:3]
     assert all(set(g["id"]) == set(want[:, q]) for q, g in found.groupby("query_id"))
+
+
+def test_bands_of_boxes_stay_as_a_fold_has_them(spark):
+    """A crowded page, equal scores and boxes that touch the page's cells in every way; no join gives a row for a pair."""
+    import random
+
+    rng, rows = random.Random(5), []
+    for i in range(1500):
+        x, y = rng.randint(-50, 350), rng.randint(-50, 350)
+        rows.append((i % 3 // 2, i, rng.randint(1, 40) / 40, float(x), float(y), float(x + rng.randint(-2, 130)), float(y + rng.randint(30, 130))))
+    boxes = spark.createDataFrame(rows, BOXES)
+    want = {(r.page, r.box_id) for r in geometry.suppressed(boxes, ["page"], "box_id").collect()}
+    found = geometry.suppressed_in_bands(boxes, ["page"], "box_id", band=40)
+    assert [(r.page, r.box_id) for r in found.select("page", "box_id").orderBy("page", "box_id").collect()] == sorted(want)
+    assert geometry.suppressed_in_bands(boxes.limit(0), ["page"], "box_id").count() == 0
