@@ -10,7 +10,7 @@ from loomwork.operators import questions as Q
 from loomwork.operators import structure as S
 from loomwork.operators.merging import hierarchical_merge, merge_levels
 from loomwork.operators.resumes import resume_entries as resumes_of
-from loomwork.session import table
+from loomwork.session import spread, table
 
 
 def _joined(df: DataFrame, key: str, order: str, line: F.Column) -> DataFrame:
@@ -241,7 +241,7 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = {
         "legal": _legal(spark, sf_dir).select("text"), "table": _tables(spark, sf_dir).select("text"), "email": _mails(spark, sf_dir).select("text"),
         "qa": _explicit(spark, sf_dir).select(F.col("body").alias("text")), "book": _books(spark, sf_dir).select("text"), "manual": _manuals(spark, sf_dir).select("text"),
-        "resume": _resumes(spark, sf_dir).select("text"), "general": table(spark, sf_dir, "documents").select("text"),
+        "resume": spread(_resumes(spark, sf_dir).select("text")), "general": spread(table(spark, sf_dir, "documents").select("text")),
     }
     all_docs = None
     for kind, docs in kinds.items():

@@ -99,3 +99,13 @@ def test_rendered_code_is_estimated_once(spark):
 
     plan = plans.code_chunks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("def f") == 1
+
+
+def test_types_cut_lines_once(spark):
+    """The lines of a text come from a generator, a column for all patterns that are counted by line."""
+    from loomwork.operators.structure import classify
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([("a",)], "t string")
+    plan = classify(docs, "t", F.lit("f"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan and "_lines" in plan
