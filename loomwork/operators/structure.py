@@ -248,6 +248,45 @@ def table_values(rows: DataFrame, key: str) -> DataFrame:
     return cells.withColumn("header", header).filter("row_no >= heads").drop("heads")
 
 
+def table_blocks(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, table_no, rows): the tables of ``tables``, each with its rows (cells, is_rule) in one array.
+
+    A text is cut where pipe rows begin and end, inside its own row: nothing is sorted or shuffled.
+    """
+    lines = F.transform(F.split(text, "\n"), lambda raw: F.struct(strip(raw).alias("line"), raw.rlike(r"^\s*\|.+\|").alias("row")))
+    cut = docs.select(key, F.explode(F.array(lines)).alias("l"))
+    edge = lambda at: F.coalesce(F.get("l.row", at), F.lit(False))
+    place = F.transform("l", lambda x, i: F.when(x["row"] & ~edge(i - 1), -1 - i).otherwise(F.when(x["row"] & ~edge(i + 1), i)))
+    # Of a run of three and more the first place is negative, the next one is its end.
+    edges = cut.select(key, "l", F.explode(F.array(F.array_compact(place))).alias("e"))
+    runs = F.transform("e", lambda x, i: F.when((x < 0) & (F.get("e", i + 1) + x >= 1), F.struct((-x).alias("first"), (F.get("e", i + 1) + x + 2).alias("n"))))
+    found = edges.select(key, "l", F.posexplode(F.array_compact(runs)).alias("at", "run"))
+    own = F.transform(F.slice("l", F.col("run.first"), F.col("run.n")), lambda x: F.struct(table_cells(x["line"]).alias("cells"), x["line"].rlike(r"^\s*\|[-:\s|]+\|").alias("is_rule")))
+    return found.select(key, (F.col("at") + 1).alias("table_no"), own.alias("rows"))
+
+
+def block_records(blocks: DataFrame, key: str) -> DataFrame:
+    """(key, table_no, row_no, cells): a row for each data row of ``table_blocks``, its cells (column_no, header, value) as in ``table_values``."""
+    cell = lambda r, c: F.get(r["cells"], c)
+    looks = lambda r: F.size(F.filter(r["cells"], looks_like_header)) >= F.size(F.filter(r["cells"], lambda c: ~looks_like_header(c) & looks_like_data(c)))
+    rule_at = F.array_position(F.col("rows.is_rule"), True)
+    plain_at = F.array_position(F.transform(F.slice("rows", 1, 6), lambda r, i: ~looks(r) | (i >= 5)), True)
+    marked = blocks.withColumn("heads", F.when(rule_at > 0, rule_at - 1).when(plain_at > 0, plain_at - 1).otherwise(0).cast("int"))
+    said = lambda v: (v != "") & ((F.col("heads") == 1) | ~looks_like_data(v))
+    names = lambda c: F.array_distinct(F.filter(F.transform(F.filter(F.slice("rows", F.lit(1), F.col("heads")), lambda r: ~r["is_rule"]), lambda r: cell(r, c)), said))
+    wide = F.array_max(F.transform("rows", lambda r: F.size(r["cells"])))
+    listed = F.transform(F.sequence(F.lit(0), wide - 1), lambda c: F.struct(c.alias("c"), names(c).alias("n")))
+    header = F.transform(listed, lambda x: F.when(F.size(x["n"]) > 0, F.array_join(x["n"], " - ")).otherwise(F.concat(F.lit("Column_"), (x["c"] + 1).cast("string"))))
+    rows = marked.withColumn("names", F.explode(F.array(header))).select(key, "table_no", "heads", "names", F.posexplode("rows").alias("row_no", "r"))
+    cells = F.transform("r.cells", lambda v, i: F.struct(i.alias("column_no"), F.get("names", i).alias("header"), v.alias("value")))
+    return rows.filter("row_no >= heads and not r.is_rule").select(key, "table_no", "row_no", cells.alias("cells"))
+
+
+def block_values(blocks: DataFrame, key: str) -> DataFrame:
+    """(key, table_no, row_no, column_no, header, value): ``table_values`` of ``table_blocks``."""
+    return block_records(blocks, key).select(key, "table_no", "row_no", F.inline("cells"))
+
+
 INTEGER, DECIMAL, BOOLEAN = r"^[+-]?[0-9]+$", r"^[+-]?[0-9.]{0,19}$", r"(?i)^(true|yes|\*|✓|✔|☑|✅|√|false|no|⍻|×)$"
 
 

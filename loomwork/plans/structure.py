@@ -80,21 +80,21 @@ def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = S.table_values(S.tables(S.explode_lines(_tables(spark, sf_dir), "l_orderkey"), "l_orderkey"), "l_orderkey")
+    values = S.block_values(S.table_blocks(_tables(spark, sf_dir), "l_orderkey"), "l_orderkey")
     types = S.column_types(values, ["l_orderkey", "header"])
     return types.groupBy("header", "type").agg(F.count(F.lit(1)).alias("tables"))
 
 
 def table_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = S.table_values(S.tables(S.explode_lines(_tables(spark, sf_dir), "l_orderkey"), "l_orderkey"), "l_orderkey")
+    values = S.block_values(S.table_blocks(_tables(spark, sf_dir), "l_orderkey"), "l_orderkey")
     stats = S.column_statistics(values.filter("header in ('qty', 'price')"), ["l_orderkey", "header"])
     return stats.select("l_orderkey", "header", "least", "most", F.round(F.col("mean") * F.col("n"), 2).alias("total"), "n")
 
 
 def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = S.table_values(S.tables(S.explode_lines(_tables(spark, sf_dir), "l_orderkey"), "l_orderkey"), "l_orderkey")
-    row = F.map_from_entries(F.collect_list(F.struct("header", "value")))
-    rows = values.groupBy("l_orderkey", "table_no", "row_no").agg(row.alias("m"))
+    records = S.block_records(S.table_blocks(_tables(spark, sf_dir), "l_orderkey"), "l_orderkey")
+    row = F.map_from_entries(F.transform("cells", lambda c: F.struct(c["header"], c["value"])))
+    rows = records.select("l_orderkey", row.alias("m"))
     return rows.select("l_orderkey", F.col("m")["part"].cast("long").alias("part"), F.col("m")["price"].alias("price"), F.col("m")["shipped"].alias("shipped"))
 
 

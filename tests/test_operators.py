@@ -413,3 +413,20 @@ def test_indexed_search_in_blocks_is_exact_with_all_lists(spark, tmp_path, monke
     want = {(q, int(i)) for q in range(0, 300, 5) for i in np.lexsort((np.arange(300), -scores[q]))[:4]}
     assert {(r.query_id, r.id) for r in hits} == want
     assert len(ivf._blocks([(0, 40), (1, 10), (2, 6), (3, 1)])) == 5  # three parts of the hot list, then [1, 2] and [3]
+
+
+def test_tables_inside_their_row_are_those_of_lines(spark):
+    """Values of random texts with short rows, several tables, late rules and none; no exchange in the plan."""
+    import random
+
+    from loomwork.operators import structure as S
+
+    rng = random.Random(5)
+    cells = ["a", "12", "name of it", "x (1)", "", "-", "Y", "0x1f", "größe", " | "]
+    line = lambda: rng.choice(["text", "", "| only", "|---|:-:|", "  |--|--|  "] + ["|" + "|".join(rng.choices(cells, k=rng.randint(1, 4))) + rng.choice(["|", "| tail", ""]) for _ in range(9)])
+    docs = spark.createDataFrame([(i, "\n".join(line() for _ in range(rng.randint(0, 25)))) for i in range(400)] + [(900, None), (901, "")], "id long, text string")
+    want = S.table_values(S.tables(S.explode_lines(docs, "id"), "id"), "id")
+    got = S.block_values(S.table_blocks(docs, "id"), "id").select(*want.columns)
+    assert got.count() == want.count() > 500
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert "Exchange" not in S.block_values(S.table_blocks(spark.range(3).selectExpr("id", "'x' text"), "id"), "id")._jdf.queryExecution().executedPlan().toString()
