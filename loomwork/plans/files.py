@@ -38,6 +38,7 @@ def slide_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as decks with a slide a line: a text, and a group of bullets and of another group with a table; a picture."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     lines = table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(order))
+    lines = staged(lines.select("l_orderkey", "n", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"), "lines")  # texts and pictures read them
     p, s = F.col("l_partkey"), F.col("l_suppkey")
     none = F.lit(None)
 

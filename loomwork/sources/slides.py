@@ -52,24 +52,31 @@ def shape_text() -> Column:
 
 
 def in_order(shapes: DataFrame) -> DataFrame:
-    """Shapes of slides and of the groups on them, with ``path``: their places from the slide down."""
-    open_ = staged(shapes.filter("parent_id is null").withColumn("path", F.array(_place())), "shapes")
-    levels = [open_]
-    for _ in range(DEEPEST):
-        groups = open_.filter("kind = 'group'").select("deck", "slide", F.col("shape_id").alias("parent_id"), F.col("path").alias("above"))
-        open_ = shapes.join(groups, ["deck", "slide", "parent_id"]).withColumn("path", F.array_append("above", _place())).select(levels[0].columns)
-        open_ = staged(open_, "shapes")
-        if open_.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
-        levels.append(open_)
-    raise ValueError(f"groups are nested more than {DEEPEST} levels deep")
+    """Shapes of slides and of the groups on them, with ``path``: their places from the slide down.
+
+    Shapes are written once. Level by level only groups are joined, without what they say; then each shape meets its group once.
+    """
+    held = staged(shapes, "shapes")
+    keys = ["deck", "slide", "parent_id"]
+    groups = held.filter("kind = 'group'").select("deck", "slide", "shape_id", "parent_id", _place().alias("place"))
+    named = lambda df, path: staged(df.select("deck", "slide", F.col("shape_id").alias("parent_id"), path.alias("above")), "groups")
+    levels = [named(groups.filter("parent_id is null"), F.array("place"))]
+    while not levels[-1].isEmpty():
+        if len(levels) > DEEPEST:
+            raise ValueError(f"groups are nested more than {DEEPEST} levels deep")
+        levels.append(named(groups.filter("parent_id is not null").join(levels[-1], keys), F.array_append("above", F.col("place"))))
+    inner = held.filter("parent_id is not null").join(reduce(DataFrame.unionByName, levels), keys).withColumn("path", F.array_append("above", _place()))
+    roots = held.filter("parent_id is null").withColumn("path", F.array(_place()))
+    return roots.unionByName(inner.select(roots.columns))
 
 
 def slide_texts(shapes: DataFrame) -> DataFrame:
     """(deck, slide, content) of the slides that have shapes."""
-    texts = in_order(shapes).withColumn("text", shape_text())
-    said = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("path", "text"))))
-    return texts.groupBy("deck", "slide").agg(F.array_join(F.transform(said, lambda x: x["text"]), "\n").alias("content"))
+    said = shapes.select("deck", "slide", "shape_id", "parent_id", "seq", "kind", "top", "left", F.nullif(shape_text(), F.lit("")).alias("text"))
+    # Shapes on slides say which slides there are; inside groups only texts and further groups count.
+    texts = in_order(said.filter("parent_id is null or kind = 'group' or text is not null"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("path", "text"))))
+    return texts.groupBy("deck", "slide").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "\n").alias("content"))
 
 
 def slide_pictures(shapes: DataFrame) -> DataFrame:

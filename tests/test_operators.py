@@ -430,3 +430,34 @@ def test_tables_inside_their_row_are_those_of_lines(spark):
     assert got.count() == want.count() > 500
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
     assert "Exchange" not in S.block_values(S.table_blocks(spark.range(3).selectExpr("id", "'x' text"), "id"), "id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shapes_of_slides_are_made_once(spark):
+    """However many levels of groups there are, what makes the shapes runs once; a group's picture is no text, an orphan is nowhere."""
+    from pyspark.sql import functions as F
+
+    from loomwork.sources import slides
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        made.add(1)
+        return x
+
+    rows = [(1, 1, 1, None, 0, "group"), (1, 1, 2, 1, 1, "group"), (1, 1, 3, 2, 2, "text"), (1, 1, 4, 2, 3, "picture"), (1, 2, 5, None, 0, "picture"), (1, 3, 6, 99, 0, "text"), (1, 1, 7, None, 4, "text")]
+    shapes = spark.createDataFrame(rows, "deck long, slide int, shape_id long, parent_id long, seq int, kind string")
+    para = F.array(F.struct(F.concat(F.lit("t"), F.col("shape_id").cast("string")).alias("text"), F.lit(0).alias("level"), F.lit(False).alias("bullet")))
+    none = F.lit(None)
+    shapes = shapes.withColumn("slide", F.udf(seen, "int")("slide")).select(
+        "*", none.cast("double").alias("top"), none.cast("double").alias("left"), para.alias("paragraphs"), none.cast("array<array<string>>").alias("cells"), none.cast("string").alias("media_type")
+    )
+    assert {(r.slide, r.content) for r in slides.slide_texts(shapes).collect()} == {(1, "t3\nt7"), (2, "")}
+    assert made.value <= len(rows)
+
+
+def test_cell_kinds_look_at_distinct_cells(spark):
+    """Cells are counted before they are looked at: two counts, of which the first is by the cell."""
+    from loomwork.plans import text
+
+    plan = text.cell_kinds(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2 and "Aggregate [cell" in plan
