@@ -6,13 +6,13 @@ the SQL gets levels and names from those rows and finds the headings above a lin
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import patterns as P
 from loomwork.operators import structure as S
 from loomwork.operators.json_split import MOST, json_nodes, split_json
-from loomwork.operators.merging import hierarchical_merge, merge_levels, tree_merge
+from loomwork.operators.merging import hierarchical_merge, text_levels, tree_merge
 from loomwork.session import staged, table
 
 #: Chunks of a document that the processors keep.
@@ -56,19 +56,20 @@ def _shown(chunks: DataFrame, *columns: str) -> DataFrame:
     return chunks.select("l_orderkey", F.col("at").cast("long").alias("at"), *columns, F.array_join("lines", "\n").alias("chunk"))
 
 
-def _titled(patterns: tuple[str, ...]) -> Column:
-    return F.when(F.col("line").rlike(P.any_of(patterns)), "title").otherwise("")
+def _levels(spark: SparkSession, sf_dir: str, heading: str, titles: tuple[str, ...] = ()) -> DataFrame:
+    layout = (lambda line: F.when(line.rlike(P.any_of(titles)), "title").otherwise("")) if titles else None
+    return text_levels(_texts(spark, sf_dir, heading, "l_orderkey % 2 = 0"), "l_orderkey", layout=layout)
 
 
 def legal_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Legal texts as trees of part, chapter, section and article, three levels deep."""
-    levels = merge_levels(_lines(spark, sf_dir, LEGAL), "l_orderkey", _titled(P.LEGAL_TITLES))
+    levels = _levels(spark, sf_dir, LEGAL, P.LEGAL_TITLES)
     return _shown(tree_merge(levels, "l_orderkey", depth=3, most=MOST_CHUNKS))
 
 
 def paper_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Papers as trees of numbered headings, two levels deep."""
-    levels = merge_levels(_lines(spark, sf_dir, PAPER), "l_orderkey")
+    levels = _levels(spark, sf_dir, PAPER)
     return _shown(tree_merge(levels, "l_orderkey", depth=2, most=MOST_CHUNKS))
 
 
@@ -81,7 +82,7 @@ def paper_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def book_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books by the hierarchical merge, three levels from the text up; part and chapter lines are titles."""
     titles = P.flagged("i", P.BOOK_PARTS + P.BOOK_CHAPTERS)
-    levels = merge_levels(_lines(spark, sf_dir, BOOK), "l_orderkey", _titled(titles))
+    levels = _levels(spark, sf_dir, BOOK, titles)
     return _shown(hierarchical_merge(levels, "l_orderkey", depth=3, most=MOST_CHUNKS))
 
 
