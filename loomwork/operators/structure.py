@@ -6,8 +6,11 @@ one document's lines; nothing is grouped over documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -614,24 +617,47 @@ def title_paths(levels: DataFrame, key: str, depth: int = 3) -> DataFrame:
     return per.filter("body <> ''").select(key, "block", "path", "body")
 
 
-def sections(lines: DataFrame, key: str) -> DataFrame:
+def _sums_before() -> Callable:
+    """Of each list the sums before its elements; not marked as deterministic, so that no later step runs it a second time."""
+
+    def run(sizes: pa.Array) -> pa.Array:
+        return pa.array([[*accumulate(x[:-1], initial=0)] if x else [] for x in sizes.to_pylist()], pa.list_(pa.int64()))
+
+    return F.arrow_udf(run, "array<bigint>").asNondeterministic()
+
+
+def sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, section, number, name, line_no, offset, next_offset, body) of papers.
 
     A section begins at a line that one of the ordered patterns matches: with a number any of their names, without one only
-    those of the last patterns. It holds the lines up to the next section; lines before the first belong to none.
+    those of the last patterns. It holds the lines up to the next section; lines before the first belong to none. Texts are cut
+    inside their own row.
     """
     patterns = P.flagged("i", P.ACADEMIC_SECTIONS)
     numbered = tuple(p for p in patterns if "(\\d+" in p)
     plain = tuple(p for p in patterns if p not in numbered)
-    line, order = F.col("line"), Window.partitionBy(key).orderBy("line_no")
-    number = F.coalesce(strip(groups_of(line, numbered, 1)), F.lit(""))
-    name = strip(F.coalesce(groups_of(line, numbered, 2), groups_of(line, plain, 1)))
-    marked = lines.withColumn("name", name).withColumn("number", number)
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = marked.withColumn("section", F.count("name").over(so_far)).filter("section > 0")
-    text = F.array_sort(F.collect_list(F.when(F.col("name").isNull() & (line != ""), F.struct("line_no", "line"))))
-    per = held.groupBy(key, "section").agg(
-        F.min_by("number", "line_no").alias("number"), F.min_by("name", "line_no").alias("name"), F.min("line_no").alias("line_no"),
-        F.min("offset").alias("offset"), F.array_join(F.transform(text, lambda x: x["line"]), "\n").alias("body"),
-    )
-    return per.withColumn("next_offset", F.lead("offset").over(order))
+
+    def looked(x: Column) -> Column:
+        line = x["line"]
+        number = F.coalesce(strip(groups_of(line, numbered, 1)), F.lit(""))
+        name = strip(F.coalesce(groups_of(line, numbered, 2), groups_of(line, plain, 1)))
+        # Most lines match no pattern and are not held against each of them.
+        head = F.when(line.rlike(P.any_of(patterns)), F.struct(number.alias("number"), name.alias("name")))
+        return F.struct(line.alias("line"), x["n"].alias("n"), F.when(head["name"].isNotNull(), head).alias("head"))
+
+    raw = F.transform(F.split(text, "\n"), lambda x: F.struct(strip(x).alias("line"), (F.length(x) + 1).alias("n")))
+    rows = docs.select(key, F.transform(raw, looked).alias("l"))
+    at = F.transform("l", lambda x, i: F.when(x["head"].isNotNull(), i))
+    rows = rows.select(key, "l", F.filter(at, lambda i: i.isNotNull()).alias("at"))
+    # The characters of what lies before the first section, then of each section.
+    ends = F.concat(F.slice("at", 1, F.size("at")), F.array(F.size("l")))
+    rows = rows.select(key, "l", F.arrays_zip(F.concat(F.array(F.lit(0)), "at").alias("first"), ends.alias("end")).alias("s"))
+    rows = rows.select(key, F.transform("s", lambda s: F.struct(s["first"].alias("first"), F.slice("l", s["first"] + 1, s["end"] - s["first"]).alias("l"))).alias("s"))
+    sizes = F.transform("s", lambda s: F.aggregate(s["l"], F.lit(0).cast("long"), lambda a, x: a + x["n"]))
+    rows = rows.select(key, "s", _sums_before()(sizes).alias("begins"))
+    body = lambda l: F.array_join(F.transform(F.filter(l, lambda x: x["head"].isNull() & (x["line"] != "")), lambda x: x["line"]), "\n")
+    shown = F.transform(F.slice("s", 2, F.size("s")), lambda s, i: F.struct(
+        (i + 1).cast("long").alias("section"), s["l"][0]["head"]["number"].alias("number"), s["l"][0]["head"]["name"].alias("name"), s["first"].alias("line_no"),
+        F.get("begins", i + 1).alias("offset"), body(s["l"]).alias("body"), F.get("begins", i + 2).alias("next_offset"),
+    ))
+    return rows.select(key, F.inline(shown))

@@ -48,10 +48,6 @@ BOOK = (
 )
 
 
-def _lines(spark: SparkSession, sf_dir: str, heading: str) -> DataFrame:
-    return S.explode_lines(_texts(spark, sf_dir, heading, "l_orderkey % 2 = 0"), "l_orderkey")
-
-
 def _shown(chunks: DataFrame, *columns: str) -> DataFrame:
     return chunks.select("l_orderkey", F.col("at").cast("long").alias("at"), *columns, F.array_join("lines", "\n").alias("chunk"))
 
@@ -75,7 +71,7 @@ def paper_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paper_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of papers with their number, place and body."""
-    found = S.sections(_lines(spark, sf_dir, PAPER), "l_orderkey")
+    found = S.sections(_texts(spark, sf_dir, PAPER, "l_orderkey % 2 = 0"), "l_orderkey")
     return found.select("l_orderkey", "section", "number", "name", "line_no", "offset", "next_offset", "body")
 
 
