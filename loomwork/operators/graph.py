@@ -94,8 +94,8 @@ def save(edges: DataFrame, path: str) -> None:
 
 def drop(spark: SparkSession, path: str, user_id: int, collection: str | None = None) -> None:
     """Delete a user's collection, or all of them: folders that hold edges of the user are written anew without these."""
-    keys = spark.createDataFrame([(user_id, collection)], "user_id long, collection string")
-    _store(spark, path).delete(keys if collection is not None else keys.drop("collection"))
+    gone = F.col("user_id") == user_id
+    _store(spark, path).delete_where(gone if collection is None else gone & (F.col("collection") == collection))
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

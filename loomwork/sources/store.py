@@ -12,10 +12,11 @@ connector that does).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -68,32 +69,49 @@ class Store:
         """Remove the rows that agree with a row of ``keys`` in all its columns. ``expected``: the version the caller has read."""
         return self._change(keys, None, expected)
 
+    def delete_where(self, gone: Column, expected: int | None = None) -> int:
+        """Remove the rows for which ``gone`` holds: a filter, so that no rows are shuffled to a few keys."""
+        version = self._expected(expected)
+        held, gone = self.read(), F.coalesce(gone, F.lit(False))
+        return self._rewrite(held.filter(gone).select(self.by), lambda inside: held.filter(inside & ~gone), version)
+
     def replace(self, rows: DataFrame, keys: list[str], expected: int | None = None) -> int:
         """Put ``rows`` in the place of those with the same keys; a row may move to another folder."""
         return self._change(rows.select(*keys), rows, expected)
 
-    def _change(self, keys: DataFrame, rows: DataFrame | None, expected: int | None) -> int:
+    def _expected(self, expected: int | None) -> int:
         version = self.version()
         if expected is not None and expected != version:
             raise Conflict(f"{self.path} is at version {version}, not {expected}")
+        return version
+
+    def _change(self, keys: DataFrame, rows: DataFrame | None, expected: int | None) -> int:
+        version = self._expected(expected)
         keys = keys.distinct()
         held = self.read()
         same = [held[c].eqNullSafe(keys[c]) for c in keys.columns]
         folders = held.join(keys, same, "left_semi").select(self.by)
         folders = folders if rows is None else folders.unionByName(rows.select(self.by))
+
+        def stay(inside: Column) -> DataFrame:
+            kept = held.filter(inside).join(keys, same, "left_anti")
+            return kept if rows is None else kept.unionByName(rows.select(*self.schema.names))
+
+        return self._rewrite(folders, stay, version)
+
+    def _rewrite(self, folders: DataFrame, stay: Callable[[Column], DataFrame], version: int) -> int:
+        """Write the ``folders`` anew with the rows that ``stay`` gives of them."""
         touched = [r[0] for r in folders.distinct().collect()]
         if not touched:
             return version
         inside = F.col(self.by).isin([t for t in touched if t is not None])
         inside = inside | F.col(self.by).isNull() if None in touched else inside
-        kept = held.filter(inside).join(keys, same, "left_anti")
-        kept = kept if rows is None else kept.unionByName(rows.select(*self.schema.names))
-        kept = staged(kept, "store")
-        stay = {r[0] for r in kept.select(self.by).distinct().collect()}
+        kept = staged(stay(inside), "store")
+        left = {r[0] for r in kept.select(self.by).distinct().collect()}
         self._take(version + 1)
         kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.by).parquet(f"{self.path}/rows")
         name = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
-        for gone in set(touched) - stay:
+        for gone in set(touched) - left:
             files, folder = self._at("rows", name(self.by, None if gone is None else str(gone)))
             files.delete(folder, True)
         return version + 1
