@@ -54,7 +54,8 @@ def ingest(documents: DataFrame) -> DataFrame:
     """
     cut = chunks(rag_clean(F.col("text")))
     whole = F.array(F.struct(F.lit("").alias("content"), *[F.lit(0).alias(c) for c in ("tokens", "start_char", "end_char")]))
-    some = F.when(F.size(cut) > 0, cut).otherwise(whole)
+    # A lambda over one value cuts a text once, not again for the question whether it has chunks.
+    some = F.element_at(F.transform(F.array(cut), lambda c: F.when(F.size(c) > 0, c).otherwise(whole)), 1)
     rows = documents.select("doc_id", "lang", F.sha2("text", 256).alias("content_hash"), F.posexplode(some).alias("chunk_index", "c"))
     return rows.select(
         "doc_id", "lang", "content_hash", "chunk_index", F.col("c.content").alias("content"), F.col("c.tokens").alias("tokens"),
