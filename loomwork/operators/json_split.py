@@ -1,10 +1,10 @@
 """JSON documents in chunks of bounded size that keep their structure.
 
-``json_nodes`` opens a document level by level: keys in their own order, lists as objects whose keys are the indexes. Sizes of
-items are sums over their nodes. Then each document's nodes, in order, are dealt into chunks by a fold whose state is the open
-chunk: an item that fits goes in whole, one that does not begins a new chunk where the open one is large enough, and is dealt by
-its own items; a value that fits nowhere makes a chunk larger than the bound. Chunks are written from their nodes and
-the keys above them. A document's nodes meet in one task, as its text did; documents are spread over tasks.
+A document is opened, measured and dealt inside its row: keys in their own order, lists as objects whose keys are the indexes.
+Spark says which texts are JSON and writes their values (``to_json`` of the parsed text, whose keys are sorted); a small
+helper walks both forms in Arrow batches. A fold whose state is the open chunk deals the items: one that fits goes in whole,
+one that does not begins a new chunk where the open one is large enough, and is dealt by its own items; a value that fits
+nowhere makes a chunk larger than the bound. Chunks are written from their nodes and the keys above them.
 
 Defined results: null, empty and malformed texts, and objects with a key twice, have no chunk; neither have single values and
 empty containers at the top; an empty container counts as a value; all other values come back in exactly one chunk.
@@ -12,124 +12,173 @@ empty containers at the top; an empty container counts as a value; all other val
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+import json
+import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from json.encoder import encode_basestring
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, IntegerType, StructType
-
-from loomwork.session import staged
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 #: Characters of a chunk in its compact form, and those from which on it may be closed.
 MOST, LEAST = 4000, 1800
 DEEPEST = 100
 
 
-def _items(text: Column) -> Column:
-    """(key, value) of an object or a list: values as JSON text, strings quoted, nested ones as they stand."""
+#: Nodes that a task hands on at once.
+HANDED_ON = 20_000
 
-    def item(key: Column, raw: Column, typed: Column) -> Column:
-        plain = F.coalesce(F.to_json(typed), F.lit("null"))
-        return F.struct(key.alias("key"), F.when(plain.rlike(r"^[\[{]"), raw).otherwise(plain).alias("value"))
+_ESCAPES = re.compile(r"\\(?:u[0-9a-f]{4}|.)")
 
-    raw, typed = (F.map_entries(F.from_json(text, f"map<string,{t}>")) for t in ("string", "variant"))
-    pairs = F.transform(F.arrays_zip(raw.alias("r"), typed.alias("t")), lambda x: item(x["r"]["key"], x["r"]["value"], x["t"]["value"]))
-    raw, typed = (F.from_json(text, f"array<{t}>") for t in ("string", "variant"))
-    listed = F.transform(F.arrays_zip(raw.alias("r"), typed.alias("t")), lambda x, i: item(i.cast("string"), x["r"], x["t"]))
-    return F.when(F.startswith(text, F.lit("{")), pairs).otherwise(listed)
 
+class _Number(str):
+    """A number as Spark writes it."""
 
-def _quoted(key: Column) -> Column:
-    whole = F.to_json(F.struct(key.alias("k")))
-    return F.substr(whole, F.lit(6), F.length(whole) - 6)
 
+_OWN = json.JSONDecoder(parse_int=_Number, parse_float=_Number, strict=False)
+
+
+def _parsed(text: str) -> dict | list:
+    return _OWN.raw_decode(text)[0]
+
+
+def _quoted(text: str) -> str:
+    """``text`` as ``to_json`` writes it."""
+    plain = encode_basestring(text)
+    return _ESCAPES.sub(lambda m: "\\u" + m[0][2:].upper() if len(m[0]) > 2 else m[0], plain) if "\\u" in plain else plain
 
-def json_nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, place, path, widths, value, is_leaf): all nodes of the documents. ``place``: the numbers of a node and of those
-    above it among their siblings, which orders nodes; ``path``: their quoted keys; ``widths``: the keys' characters."""
-    trimmed = F.trim(F.col(text))
-    open_ = docs.filter(F.try_parse_json(F.col(text)).isNotNull()).select(
-        key, F.array().cast("array<int>").alias("place"), F.array().cast("array<string>").alias("path"), trimmed.alias("value")
-    )
-    levels = []
-    for _ in range(DEEPEST):
-        below = open_.filter(F.col("value").rlike(r"^[\[{]")).select(key, "place", "path", F.posexplode(_items(F.col("value"))).alias("n", "item"))
-        below = below.select(
-            key, F.array_append("place", F.col("n")).alias("place"), F.array_append("path", _quoted(F.col("item.key"))).alias("path"), F.col("item.value").alias("value")
-        )
-        open_ = staged(below, "json-level")
-        if open_.isEmpty():
-            break
-        levels.append(open_)
-    else:
-        raise ValueError(f"a document is nested more than {DEEPEST} levels deep")
-    nodes = reduce(DataFrame.unionByName, levels or [open_])
-    empty = F.col("value").rlike(r"^(?:\{\s*\}|\[\s*\])$")
-    value = F.when(empty, "{}").when(~F.col("value").rlike(r"^[\[{]"), F.col("value"))
-    widths = F.transform("path", lambda k: F.length(k) + 2)
-    return nodes.select(key, "place", "path", widths.alias("widths"), value.alias("value"), value.isNotNull().alias("is_leaf"))
 
+def _value(x: object) -> str:
+    return x if type(x) is _Number else _quoted(x) if isinstance(x, str) else "{}" if isinstance(x, (dict, list)) else json.dumps(x)
 
-def _sized(nodes: DataFrame, key: str) -> DataFrame:
-    """``nodes`` with size: characters of {key: value} in compact form."""
-    own = F.element_at("widths", -1) + F.when(F.col("is_leaf"), F.length("value")).otherwise(2)
-    later = F.when(F.element_at("place", -1) > 0, 2).otherwise(0)
-    above = F.explode(F.transform(F.sequence(F.lit(1), F.size("place")), lambda i: F.slice("place", F.lit(1), i))).alias("place")
-    sums = nodes.select(key, above, (own + later).alias("own")).groupBy(key, "place").agg(F.sum("own").alias("all"))
-    return nodes.join(sums, [key, "place"]).withColumn("size", F.col("all") - later + 2)
 
+@lru_cache(4096)
+def _key(key: str) -> tuple[str, str]:
+    """A key as Spark holds it, and quoted."""
+    held = key.encode("utf-8", "replace").decode()
+    return held, _quoted(held)
 
-def _dealt(schema: pa.Schema, most: int, least: int):
-    """Nodes, sorted by document and place, to (document, place, chunk) of all nodes that lie in a chunk with what they hold."""
+
+def _nodes(own: dict | list, typed: dict | list, depth: int = 1) -> list[tuple[str, str | None, list, int]]:
+    """(quoted key, value, items, size) of all items, keys and order from ``own``, values from ``typed``; size: characters of
+    {key: value} in compact form."""
+    if depth > DEEPEST:
+        raise ValueError(f"a document is nested more than {DEEPEST} levels deep")
+    if isinstance(own, dict):
+        found = [(quoted, inner, typed[held]) for (held, quoted), inner in ((_key(k), x) for k, x in own.items())]
+    else:
+        found = [(f'"{n}"', inner, typed[n]) for n, inner in enumerate(own)]
+    out = []
+    for key, inner, value in found:
+        if value and isinstance(value, (dict, list)):
+            items = _nodes(inner, value, depth + 1)
+            out.append((key, None, items, len(key) + 4 + sum([x[3] for x in items])))
+        else:
+            value = _value(value)
+            out.append((key, value, [], len(key) + 4 + len(value)))
+    return out
+
+
+def _flat(nodes: list, place: list[int], path: list[str], out: list) -> list[tuple[list[int], list[str], str | None]]:
+    """``out`` with (place, path, value) of all nodes in order."""
+    for n, (key, value, items, _) in enumerate(nodes):
+        here, keys = [*place, n], [*path, key]
+        out.append((here, keys, value))
+        if items:
+            _flat(items, here, keys, out)
+    return out
+
+
+def _put(node: tuple, depth: int, chunk: list) -> None:
+    chunk.append((node[0], depth, node[1]))
+    for x in node[2]:
+        _put(x, depth + 1, chunk)
+
+
+def _written(chunk: list[tuple[str, int, str | None]]) -> str:
+    """A chunk with two spaces a level."""
+    lines = ["{"]
+    for (key, depth, value), (_, after, _) in zip(chunk, [*chunk[1:], ("", 0, None)], strict=True):
+        lines.append(f"{'  ' * depth}{key}: {'{' if value is None else value}{',' if after == depth else ''}")
+        lines += [f"{'  ' * d}}}{',' if d == after and d else ''}" for d in range(depth - 1, after - 1, -1)]
+    return "\n".join(lines)
+
+
+def _chunks(nodes: list, most: int, least: int) -> list[tuple[str, int, int]]:
+    """(content, n_chars, nodes) of the chunks of a document."""
+    chunks, sizes, last = [[]], [2], []
+
+    def deal(items: list, above: list) -> None:
+        nonlocal last
+        for x in items:
+            fits = x[3] < most - sizes[-1]
+            if not fits and sizes[-1] >= least:
+                chunks.append([])
+                sizes.append(2)
+                last = []
+            if not fits and x[2]:
+                deal(x[2], [*above, x])
+                continue
+            shared = next((i for i, (a, b) in enumerate(zip(above, last, strict=False)) if a is not b), min(len(above), len(last)))
+            sizes[-1] += (2 if chunks[-1] else 0) + sum(len(a[0]) + 4 for a in above[shared:]) + x[3] - 2
+            chunks[-1] += [(a[0], i + 1, None) for i, a in enumerate(above) if i >= shared]
+            _put(x, len(above) + 1, chunks[-1])
+            last = above
+
+    deal(nodes, [])
+    return [(_written(c), n, len(c)) for c, n in zip(chunks, sizes, strict=True) if c]
+
+
+def _by_document(schema: pa.Schema, rows_of: Callable[[list], list[tuple[tuple, int]]]):
+    """Batches of (key, text, typed text) to those of the key with the rows that ``rows_of`` makes of a document's nodes; it says
+    with each row how many nodes are in it."""
+
+    def made(keys: pa.Array, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(zip(*rows, strict=True), list(schema)[1:], strict=True)
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *(pa.array(x, f.type) for x, f in columns)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, chunk, size, last, whole = object(), 0, 2, [], None
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for key, place, widths, leaf, item in zip(*(batch[c].to_pylist() for c in range(5)), strict=True):
-                if key != doc:
-                    doc, chunk, size, last, whole = key, 0, 2, [], None
-                if whole is None or place[: len(whole)] != whole:
-                    fits = item < most - size
-                    if not fits and size >= least:
-                        chunk, size, last = chunk + 1, 2, []
-                    if not fits and not leaf:
-                        continue
-                    shared = next((i for i, (a, b) in enumerate(zip(place, last, strict=False)) if a != b), min(len(place), len(last)))
-                    size += (2 if last else 0) + sum(widths[shared:-1]) + 2 * (len(place) - shared - 1) + item - 2
-                    last = whole = place
-                for held, x in zip(out, (key, place, chunk), strict=True):
-                    held.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+            at, rows, held = [], [], 0
+            for i in range(batch.num_rows):
+                typed = batch[2][i].as_py()
+                for row, n in rows_of(_nodes(_parsed(batch[1][i].as_py()), _parsed(typed))) if typed else ():
+                    at.append(i)
+                    rows.append(row)
+                    held += n
+                    if held >= HANDED_ON:
+                        yield made(batch[0], at, rows)
+                        at, rows, held = [], [], 0
+            if rows:
+                yield made(batch[0], at, rows)
 
     return run
 
 
+def _opened(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text, typed): documents as they stand and as Spark writes them, null where they are no object or list."""
+    trimmed = F.trim(F.col(text))
+    typed = F.when(trimmed.rlike(r"^[\[{]"), F.to_json(F.try_parse_json(F.col(text))))
+    return docs.select(key, trimmed.alias("text"), typed.alias("typed"))
+
+
+def json_nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, place, path, widths, value, is_leaf): all nodes of the documents. ``place``: the numbers of a node and of those
+    above it among their siblings, which orders nodes; ``path``: their quoted keys; ``widths``: the keys' characters."""
+    opened = _opened(docs, key, text)
+    schema = StructType([opened.schema[key]]).add("place", ArrayType(IntegerType())).add("path", ArrayType(StringType())).add("value", "string")
+    run = _by_document(to_arrow_schema(schema), lambda found: [(x, 1) for x in _flat(found, [], [], [])])
+    widths = F.transform("path", lambda k: F.length(k) + 2)
+    return opened.mapInArrow(run, schema).select(key, "place", "path", widths.alias("widths"), "value", F.col("value").isNotNull().alias("is_leaf"))
+
+
 def split_json(docs: DataFrame, key: str, text: str, most: int = MOST, least: int = LEAST) -> DataFrame:
     """(key, chunk, content, n_chars): chunks of each document, written with two spaces a level; n_chars of the compact form."""
-    nodes = staged(_sized(json_nodes(docs, key, text), key), "json-nodes")
-    schema = StructType([nodes.schema[key]]).add("place", ArrayType(IntegerType())).add("chunk", "integer")
-    ordered = nodes.select(key, "place", "widths", "is_leaf", "size").repartition(key).sortWithinPartitions(key, "place")
-    dealt = staged(ordered.mapInArrow(_dealt(to_arrow_schema(schema), most, least), schema), "json-dealt")
-    above = F.explode(F.transform(F.sequence(F.lit(1), F.size("place")), lambda i: F.slice("place", F.lit(1), i))).alias("place")
-    held = dealt.select(key, "chunk", above).distinct().join(nodes.select(key, "place", "path", "value"), [key, "place"])
-    row = F.struct("place", F.element_at("path", -1).alias("key"), F.size("place").alias("depth"), "value")
-    listed = held.groupBy(key, "chunk").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-
-    def line(x: Column, i: Column) -> Column:
-        after = F.coalesce(F.get("rows", i + 1)["depth"], F.lit(0))
-        closed = F.transform(F.sequence(x["depth"] - 1, after, F.lit(-1)), lambda d: F.concat(F.lit("\n"), F.repeat(F.lit("  "), d), F.lit("}")))
-        ends = F.when(after < x["depth"], F.array_join(closed, "")).otherwise("")
-        comma = F.when((after > 0) & (after <= x["depth"]), ",").otherwise("")
-        return F.concat(F.repeat(F.lit("  "), x["depth"]), x["key"], F.lit(": "), F.coalesce(x["value"], F.lit("{")), ends, comma)
-
-    def width(x: Column, i: Column) -> Column:
-        begins = (i == 0) | (F.get("rows", i - 1)["depth"] < x["depth"])
-        return F.length(x["key"]) + 2 + F.coalesce(F.length(x["value"]), F.lit(2)) + F.when(begins, 0).otherwise(2)
-
-    content = F.concat(F.lit("{\n"), F.array_join(F.transform("rows", line), "\n"))
-    chars = F.aggregate(F.transform("rows", width), F.lit(2), lambda a, x: a + x)
-    return listed.select(key, "chunk", content.alias("content"), chars.alias("n_chars"))
+    opened = _opened(docs, key, text)
+    schema = StructType([opened.schema[key]]).add("chunk", "integer").add("content", "string").add("n_chars", "integer")
+    run = _by_document(to_arrow_schema(schema), lambda found: [((i, *c[:2]), c[2]) for i, c in enumerate(_chunks(found, most, least))])
+    return opened.mapInArrow(run, schema)
