@@ -1,15 +1,22 @@
 """Boxes on pages: overlap, suppression of doubles, layout of text boxes, margins.
 
 Boxes have x0, y0, x1, y1. Everything but suppression is column arithmetic after an equi-join on the page; suppression is
-greedy by score, so the boxes of one page and class, a bounded handful, are folded in one group.
+greedy by score, so the boxes of one page and class, a bounded handful, are folded in one group. Tables are built from Arrow
+batches of whole tables.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from loomwork.session import staged
 
@@ -228,47 +235,159 @@ def is_caption(text: Column, layout: Column) -> Column:
     return named | F.coalesce(F.contains(F.lower(layout), F.lit("caption")), F.lit(False))
 
 
+def _sorted(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` of tables k in partitions of whole tables, in ``order``; ``first`` says where a table begins."""
+    place = F.row_number().over(Window.partitionBy("k").orderBy(*order))
+    return rows.withColumn("first", place == 1).sortWithinPartitions("k", *order)
+
+
+def _by_tables(work: Callable[[pa.RecordBatch], pa.RecordBatch]):
+    """``work`` on batches of whole tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            starts = np.flatnonzero(batch["first"].to_numpy(zero_copy_only=False))
+            if len(starts):
+                held.append(batch.slice(0, starts[-1]))
+                if sum(b.num_rows for b in held):
+                    yield work(pa.concat_batches(held))
+                held = []
+            held.append(batch.slice(starts[-1] if len(starts) else 0))
+        if sum(b.num_rows for b in held):
+            yield work(pa.concat_batches(held))
+
+    return run
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values, NaN for null, and where they are null."""
+    return column.to_numpy(zero_copy_only=False).astype(float), column.is_null().to_numpy(zero_copy_only=False)
+
+
+def _folded(starts: np.ndarray, sizes: np.ndarray, begins: Callable[[np.ndarray, int], np.ndarray]) -> np.ndarray:
+    """Row of each box: the fold goes over all tables at once, box by box; ``begins`` gets the places of the n-th boxes of the
+    tables that have so many, largest tables first, and says which begin a row."""
+    by_size = np.argsort(-sizes, kind="stable")
+    counts = np.searchsorted(-sizes[by_size], -np.arange(sizes.max()), side="left")
+    row, out = np.full(len(starts), -1, dtype=np.int32), np.empty(sizes.sum(), dtype=np.int32)
+    for n, k in enumerate(counts):
+        at = starts[by_size[:k]] + n
+        row[:k] += begins(at, k)
+        out[at] = row[:k]
+    return out
+
+
+@np.errstate(invalid="ignore")  # inf - inf
+def _celled(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Boxes of whole tables, in order of y0, as cells in order. Comparisons are Spark's: NaN is above all, null begins a row."""
+    first = batch["first"].to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(first)
+    sizes, table = np.diff([*starts, len(first)]), np.cumsum(first)
+    (x0, no_x0), (y0, no_y0), (y1, no_y1) = (_numbers(batch[c]) for c in ("x0", "y0", "y1"))
+    height = y1 - y0
+    limit = np.fmin.reduceat(height, starts) / 2
+    numbers = np.logical_or.reduceat(~(no_y0 | no_y1), starts)
+    limit = np.repeat(np.where(numbers, limit, -np.inf), sizes)
+    top = np.full(len(starts), np.nan)
+
+    def read(at: np.ndarray, k: int) -> np.ndarray:
+        below = y0[at] - top[:k]
+        new = np.isnan(below) | (below >= limit[at])
+        top[:k] = np.where(new, y0[at], top[:k])
+        return new
+
+    across = (np.nan_to_num(x0, nan=0.0, posinf=np.inf, neginf=-np.inf), np.where(no_x0, 0, np.where(np.isnan(x0), 2, 1)))
+    order = np.lexsort((*across, _folded(starts, sizes, read), table))
+    y0, y1, no_y1 = y0[order], y1[order], no_y1[order]
+    edge, no_edge = np.full(len(starts), np.nan), np.ones(len(starts), dtype=bool)
+
+    def lower(at: np.ndarray, k: int) -> np.ndarray:
+        new = no_edge[:k] | np.isnan(y0[at]) | (y0[at] >= edge[:k] - ROW_SLACK)
+        edge[:k] = np.where(new, y1[at], (edge[:k] + y1[at]) / 2)
+        no_edge[:k] = no_y1[at]
+        return new
+
+    row = _folded(starts, sizes, lower)
+    again = np.lexsort((*(a[order] for a in across), row, table))
+    order, row = order[again], row[again]
+    begins = np.flatnonzero(first | np.r_[True, row[1:] != row[:-1]])
+    col = np.arange(len(row)) - np.repeat(begins, np.diff([*begins, len(row)]))
+    kept = batch.select(["k", "id", "text", "colspan", "rowspan"]).take(pa.array(order))
+    return pa.RecordBatch.from_pydict(
+        {"k": kept["k"], "row": pa.array(row, pa.int32()), "col": pa.array(col, pa.int32()), **{c: kept[c] for c in kept.schema.names[1:]}, "first": batch["first"]}
+    )
+
+
+def _texted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Cells of whole tables, in order, as texts."""
+    first, row, text = batch["first"].to_numpy(zero_copy_only=False), batch["row"].cast(pa.int64()), batch["text"]
+    known = pc.fill_null(row, -(2**63)).to_numpy(zero_copy_only=False)
+    begins = first | np.r_[True, known[1:] != known[:-1]]
+    ends = np.r_[begins[1:], True]
+
+    def chosen(where: np.ndarray | pa.Array, then: str | pa.Array, other: str | pa.Array) -> pa.Array:
+        return pc.if_else(where if isinstance(where, pa.Array) else pa.array(where), then, other)
+
+    def joined(*parts: str | pa.Array) -> pa.Array:
+        return pc.binary_join_element_wise(*parts, "")
+
+    def span(name: str) -> pa.Array:
+        return chosen(pc.fill_null(pc.greater(batch[name], 1), False), pc.fill_null(joined(f' {name}="', batch[name].cast(pa.string()), '"'), ""), "")
+
+    def of_tables(parts: pa.Array) -> pa.Array:
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array([*np.flatnonzero(first), len(first)], pa.int32()), parts), "")
+
+    tag = chosen(pa.array(known == 0), "th", "td")
+    cell = pc.fill_null(joined("    <", tag, span("colspan"), span("rowspan"), ">", text, "</", tag, ">\n"), "")
+    html = of_tables(joined(chosen(begins, "  <tr>\n", ""), cell, chosen(ends, "  </tr>\n", "")))
+    before = chosen(first, "", chosen(begins, "\n", chosen(text.is_valid(), " | ", "")))
+    plain = of_tables(joined(before, pc.fill_null(text, "")))
+    keys = batch["k"].take(pa.array(np.flatnonzero(first)))
+    return pa.RecordBatch.from_pydict({"k": keys, "html": joined("<table>\n", html, "</table>"), "plain": plain})
+
+
+def _as(schema: StructType, *steps: Callable[[pa.RecordBatch], pa.RecordBatch]):
+    arrow = to_arrow_schema(schema)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        done = reduce(lambda b, step: step(b), steps, batch)
+        return pa.RecordBatch.from_arrays([done[f.name].cast(f.type) for f in arrow], schema=arrow)
+
+    return _by_tables(work)
+
+
+def _boxes(boxes: DataFrame, table: str, id_col: str) -> DataFrame:
+    spans = [F.coalesce(F.col(c), F.lit(1)).cast("int").alias(c) for c in ("colspan", "rowspan")]
+    kept = boxes.filter(~is_caption(F.col("text"), F.col("layout")))
+    sides = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "y1")]
+    return _sorted(kept.select(F.col(table).alias("k"), F.col(id_col).alias("id"), *sides, F.trim(F.coalesce("text", F.lit(""))).alias("text"), *spans), "y0", "id")
+
+
 def table_cells(boxes: DataFrame, table: str, id_col: str) -> DataFrame:
     """(table, row, col, id, text, colspan, rowspan) of the cells of tables, from boxes (x0, y0, x1, y1, text, layout, colspan, rowspan).
 
     Captions are left out. Cells are read in rows of half the least height; one that begins below the mean lower edge of the
     open row begins the next row. In a row, cells go from left to right. Missing spans are 1.
     """
-    spans = [F.coalesce(F.col(c), F.lit(1)).alias(c) for c in ("colspan", "rowspan")]
-    cells = boxes.filter(~is_caption(F.col("text"), F.col("layout"))).select(table, id_col, *SIDES, F.trim(F.coalesce("text", F.lit(""))).alias("text"), *spans)
-    read = reading_order(cells, table, id_col, F.min(F.col("y1") - F.col("y0")) / 2, down="y0", across="x0").drop("row")
-    box = F.struct("place", "x0", F.col("y0").alias("top"), F.col("y1").alias("bottom"), id_col, "text", "colspan", "rowspan")
-    tables = read.groupBy(table).agg(F.array_sort(F.collect_list(box)).alias("l"))
-    start = F.struct(F.lit(None).cast("double").alias("edge"), F.lit(-1).alias("row"), F.array().cast("array<int>").alias("rows"))
+    rows = _boxes(boxes, table, id_col)
+    schema = StructType([rows.schema["k"]]).add("row", "integer").add("col", "integer").add(rows.schema["id"])
+    schema = schema.add("text", "string").add("colspan", "integer").add("rowspan", "integer")
+    found = rows.mapInArrow(_as(schema, _celled), schema)
+    return found.select(F.col("k").alias(table), "row", "col", F.col("id").alias(id_col), "text", "colspan", "rowspan")
 
-    def put(s: Column, x: Column) -> Column:
-        new = F.coalesce(x["top"] >= s["edge"] - ROW_SLACK, F.lit(True))
-        row = F.when(new, s["row"] + 1).otherwise(s["row"])
-        edge = F.when(new, x["bottom"]).otherwise((s["edge"] + x["bottom"]) / 2)
-        return F.struct(edge.cast("double").alias("edge"), row.alias("row"), F.array_append(s["rows"], row).alias("rows"))
 
-    rows = F.aggregate("l", start, put, lambda s: s["rows"])
-    placed = tables.select(table, F.explode(F.arrays_zip("l", rows.alias("row"))).alias("c")).select(table, "c.row", "c.l.*")
-    order = Window.partitionBy(table, "row").orderBy("x0", "place")
-    return placed.withColumn("col", F.row_number().over(order) - 1).select(table, "row", "col", id_col, "text", "colspan", "rowspan")
+def _texts(rows: DataFrame, table: str, *steps: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    schema = StructType([rows.schema["k"]]).add("html", "string").add("plain", "string")
+    return rows.mapInArrow(_as(schema, *steps), schema).select(F.col("k").alias(table), "html", "plain")
 
 
 def table_texts(cells: DataFrame, table: str) -> DataFrame:
     """(table, html, plain): tables as HTML, the first row as headings, and as lines of cells between bars."""
+    rows = cells.select(F.col(table).alias("k"), "row", F.isnull("text").alias("none"), "col", "text", "colspan", "rowspan")
+    return _texts(_sorted(rows, "row", "none", "col"), table, _texted)
 
-    def span(name: str) -> Column:
-        return F.when(F.col(name) > 1, F.concat(F.lit(f' {name}="'), F.col(name).cast("string"), F.lit('"'))).otherwise("")
-
-    tag = F.when(F.col("row") == 0, "th").otherwise("td")
-    cell = F.concat(F.lit("    <"), tag, span("colspan"), span("rowspan"), F.lit(">"), "text", F.lit("</"), tag, F.lit(">\n"))
-    listed = F.array_sort(F.collect_list(F.struct("col", cell.alias("h"), "text")))
-    rows = cells.groupBy(table, "row").agg(listed.alias("c"))
-    html = F.concat(F.lit("  <tr>\n"), F.array_join(F.transform("c", lambda x: x["h"]), ""), F.lit("  </tr>\n"))
-    rows = rows.select(table, "row", html.alias("h"), F.array_join(F.transform("c", lambda x: x["text"]), " | ").alias("t"))
-    whole = F.array_sort(F.collect_list(F.struct("row", "h", "t")))
-    joined = rows.groupBy(table).agg(whole.alias("r"))
-    return joined.select(
-        table,
-        F.concat(F.lit("<table>\n"), F.array_join(F.transform("r", lambda x: x["h"]), ""), F.lit("</table>")).alias("html"),
-        F.array_join(F.transform("r", lambda x: x["t"]), "\n").alias("plain"),
-    )
+
+def built_tables(boxes: DataFrame, table: str, id_col: str) -> DataFrame:
+    """``table_texts`` of the ``table_cells`` of boxes, which are shuffled and sorted once for both."""
+    return _texts(_boxes(boxes, table, id_col), table, _celled, _texted)

@@ -119,20 +119,19 @@ def built_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = (100 + 20 * F.col("n") + F.col("l_partkey") % 3).cast("double")
     texts = [F.col("l_partkey").cast("string"), F.concat(F.lit(" "), F.col("l_suppkey").cast("string")), F.when(~wide, F.col("l_returnflag"))]
 
-    def box(i: int, x0, y0, text, layout="", span=None):
+    def box(n, i: int, x0, y0, text, layout="", span=None):
         sides = (x0, y0, x0 + 40, y0 + 14)
         return F.struct(
-            F.lit(i).alias("c"), *[F.lit(v).cast("double").alias(n) if isinstance(v, (int, float)) else v.cast("double").alias(n) for n, v in zip(G.SIDES, sides, strict=True)],
+            (n * 10 + i).alias("box_id"), *[F.lit(v).cast("double").alias(n) if isinstance(v, (int, float)) else v.cast("double").alias(n) for n, v in zip(G.SIDES, sides, strict=True)],
             text.alias("text"), F.lit(layout).alias("layout"), (F.lit(None) if span is None else span).cast("int").alias("colspan"), F.lit(None).cast("int").alias("rowspan"),
         )
 
-    cells = [box(c, 10 + 50 * c + F.col("l_suppkey") % 5, top, t, span=F.when(wide, 2) if c == 1 else None) for c, t in enumerate(texts)]
-    rows = lines.select("l_orderkey", "n", F.explode(F.array(*cells)).alias("b")).filter("b.text is not null")
-    heads = [box(c, 10 + 50 * c, 100, F.lit(t)) for c, t in enumerate(("part", "supplier", "flag"))]
-    heads += [box(3, 10, 60, F.concat(F.lit("Table "), F.col("l_orderkey").cast("string"), F.lit(": lines"))), box(4, 10, 900, F.lit("lines of an order"), "table caption")]
-    heads = lines.filter("n = 1").select("l_orderkey", F.lit(0).alias("n"), F.explode(F.array(*heads)).alias("b"))
-    boxes = rows.unionByName(heads).select("l_orderkey", (F.col("n") * 10 + F.col("b.c")).alias("box_id"), "b.*")
-    return G.table_texts(G.table_cells(boxes, "l_orderkey", "box_id"), "l_orderkey")
+    cells = [box(F.col("n"), c, 10 + 50 * c + F.col("l_suppkey") % 5, top, t, span=F.when(wide, 2) if c == 1 else None) for c, t in enumerate(texts)]
+    heads = [box(F.lit(0), c, 10 + 50 * c, 100, F.lit(t)) for c, t in enumerate(("part", "supplier", "flag"))]
+    heads += [box(F.lit(0), 3, 10, 60, F.concat(F.lit("Table "), F.col("l_orderkey").cast("string"), F.lit(": lines"))), box(F.lit(0), 4, 10, 900, F.lit("lines of an order"), "table caption")]
+    listed = F.when(F.col("n") == 1, F.concat(F.array(*heads), F.array(*cells))).otherwise(F.array(*cells))
+    boxes = lines.select("l_orderkey", F.explode(listed).alias("b")).filter("b.text is not null").select("l_orderkey", "b.*")
+    return G.built_tables(boxes, "l_orderkey", "box_id")
 
 
 def question_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
