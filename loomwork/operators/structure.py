@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import patterns as P
 from loomwork.functions.text import looks_like_data, looks_like_header, not_bullet, not_title, strip
+from loomwork.operators.document_types import classify, confidences  # noqa: F401
 
 
 def explode_lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -140,78 +141,6 @@ def subtype(text: Column, kinds: tuple, other: str) -> Column:
     return F.when(best < 0, other).otherwise(F.element_at(names, best + 1))
 
 
-def counted(sample: Column, patterns: tuple[str, ...], weight: float, cap: float) -> Column:
-    """Sum over patterns of their matches times a weight, each capped."""
-    return reduce(lambda a, b: a + b, [F.least(F.regexp_count(sample, F.lit(p)) * weight, F.lit(cap)) for p in patterns])
-
-
-def stripped_lines(text: Column) -> Column:
-    return F.transform(F.split(text, "\n"), strip)
-
-
-def line_count(lines: Column, pattern: str, most: int) -> Column:
-    return F.size(F.filter(F.slice(lines, 1, most), lambda x: x.rlike(pattern)))
-
-
-#: How many characters of a text the marks of types are counted in, by lines.
-HEADS = (8000, 15000, 20000)
-
-
-def confidences(text: Column, filename: Column, lines: dict[int, Column] | None = None) -> dict[str, Column]:
-    """How well each document type fits, 0 to 1. Weighted counts of its marks in the first characters of a text.
-
-    ``lines``: the stripped lines of the first ``HEADS`` characters, where they are columns already.
-    """
-    lines = lines or {n: stripped_lines(F.substring(text, 1, n)) for n in HEADS}
-    name, low = F.lower(filename), F.lower
-    part = lambda n: F.substring(text, 1, n)
-    bonus = lambda pattern, x: F.when(name.rlike(pattern), x).otherwise(0.0)
-    bullets = F.greatest(*[line_count(lines[8000], "^(?:" + "|".join(s) + ")", 200) for s in P.BULLET_SETS])
-    headed = [part(5000).rlike(P.EMAIL_INDICATORS[i]) for i in (0, 1, 2)]
-    rows = F.regexp_count(part(15000), F.lit(r"(?m)^\s*\|.+\|"))
-    rules = F.regexp_count(part(15000), F.lit(r"(?m)^\s*\|[-:| ]+\|"))
-    all_lines = F.size(F.split(part(15000), "\n"))
-    slide_bullets = line_count(lines[15000], P.any_of(P.SLIDE_BULLETS), 100_000) / F.greatest(all_lines, F.lit(1))
-    sections = "|".join(P.any_of(p) for p in P.MANUAL_SECTIONS.values())
-    keywords = reduce(lambda a, b: a + b, [(F.instr(low(text), k) > 0).cast("int") for k in P.RESUME_KEYWORDS])
-    resume_parts = reduce(lambda a, b: a + b, [text.rlike("(?m)" + p).cast("int") for p in P.RESUME_SECTIONS.values()])
-    scores = {
-        "legal": counted(part(8000), P.LEGAL_INDICATORS, 0.08, 0.25) + F.least(bullets * 0.04, F.lit(0.35))
-        + bonus("contract|agreement|terms|policy|nda|legal|law|statute|regulation", 0.15),
-        "academic": counted(part(8000), P.ACADEMIC_INDICATORS, 0.05, 0.2) + F.least(line_count(lines[15000], P.any_of(P.flagged("i", P.ACADEMIC_SECTIONS)), 100_000) * 0.1, F.lit(0.4))
-        + counted(low(part(8000)), (r"\[\d+\]", r"\(\w+,?\s*\d{4}\)"), 0.02, 0.15) + bonus("paper|article|research|thesis|dissertation|journal|arxiv", 0.15),
-        "qa": F.least(F.regexp_count(part(10000), F.lit(r"\?")) * 0.02, F.lit(0.2)) + F.least(F.regexp_count(part(10000), F.lit(P.QA_FORMAT)) * 0.1, F.lit(0.3))
-        + F.least(F.regexp_count(part(10000), F.lit(r"(?im)^(?:Q\d*|question)\s*[:.)]|frequently\s+asked")) * 0.08, F.lit(0.3))
-        + bonus(r"faq|q\s*[&_]\s*a|questions?|quiz|exam|interview", 0.2),
-        "table": F.when((rows > 2) & (rules > 0), F.least(rows * 0.02, F.lit(0.3)) + 0.2).otherwise(0.0) + F.least(rows * 0.03, F.lit(0.25))
-        + bonus(r"\.xlsx?$|\.csv$|data|report|spreadsheet|table", 0.15),
-        "book": counted(low(part(15000)), P.BOOK_INDICATORS, 0.08, 0.25) + F.least(line_count(lines[20000], "|".join(P.BOOK_CHAPTERS), 500) * 0.12, F.lit(0.35))
-        + F.least(line_count(lines[20000], "|".join(P.BOOK_PARTS), 500) * 0.15, F.lit(0.2)) + F.when(low(part(15000)).rlike(r"table\s+of\s+contents?"), 0.15).otherwise(0.0)
-        + bonus("book|novel|volume|manual|guide|handbook|edition", 0.1),
-        "email": reduce(lambda a, b: a + b, [F.when(part(5000).rlike(p), 0.15).otherwise(0.0) for p in P.EMAIL_INDICATORS])
-        + F.when(headed[0] & (headed[1] | headed[2]), 0.3).otherwise(0.0) + F.least(F.regexp_count(part(5000), F.lit(r"[\w.-]+@[\w.-]+\.\w+")) * 0.05, F.lit(0.2))
-        + bonus(r"\.(eml|msg)$", 0.3) + bonus("email|mail|message", 0.1),
-        "manual": F.least(line_count(lines[15000], sections, 400) * 0.1, F.lit(0.3)) + F.least(line_count(lines[15000], P.STEP + r"|^[•\-\*]\s+(.+)$|^[a-z]\)\s+(.+)$", 400) * 0.02, F.lit(0.2))
-        + F.least(line_count(lines[15000], "|".join(P.CALLOUTS), 400) * 0.05, F.lit(0.15)) + bonus("manual|guide|howto|how-to|install|setup|readme|documentation", 0.15),
-        "presentation": F.least(line_count(lines[15000], P.any_of(P.flagged("i", P.SLIDE_BREAKS)), 100_000) * 0.1, F.lit(0.35))
-        + F.when(slide_bullets > 0.3, 0.2).when(slide_bullets > 0.15, 0.1).otherwise(0.0) + bonus(r"\.pptx?$|presentation|deck|slides|keynote|pitch", 0.25),
-        "resume": F.least(F.lit(0.3), keywords * 0.05) + F.least(F.lit(0.3), resume_parts * 0.05) + F.when(text.rlike(P.RESUME_EMAIL), 0.1).otherwise(0.0)
-        + F.when(text.rlike(P.RESUME_PHONE), 0.1).otherwise(0.0) + F.when(low(text).rlike("curriculum vitae|resume"), 0.2).otherwise(0.0),
-    }
-    return {k: F.least(v.cast("double"), F.lit(1.0)) for k, v in scores.items()}
-
-
-def classify(docs: DataFrame, text: str, filename: Column, least: float = 0.5) -> DataFrame:
-    """``docs`` with document_type: the type that fits best, general below a threshold. Ties go to the first."""
-    # Lines are cut and stripped once for all patterns: what a generator gives is a column that no expression computes again.
-    cut = F.struct(*[stripped_lines(F.substring(text, 1, n)).alias(f"l{n}") for n in HEADS])
-    docs = docs.withColumn("_lines", F.explode(F.array(cut)))
-    scores = confidences(F.col(text), filename, {n: F.col(f"_lines.l{n}") for n in HEADS})
-    listed = F.array(*[F.struct(v.alias("score"), F.lit(-i).alias("i"), F.lit(k).alias("name")) for i, (k, v) in enumerate(scores.items())])
-    best = docs.withColumn("_best", F.array_max(listed))
-    return best.withColumn("document_type", F.when(F.col("_best.score") >= least, F.col("_best.name")).otherwise("general")).drop("_best", "_lines")
-
-
 def table_cells(line: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(line, r"^\||\|$", ""), r"\|"), strip)
 

@@ -99,7 +99,8 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"))
+    orders = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     text = F.expr(
         "concat('From: \"', c_name, '\" <c', c_custkey, '@mail.example.com>\\nTo: Shop <shop@example.com>, \"Last, First\" <x@example.com>', "
         "if(o_orderkey % 2 = 0, '\\nCc: boss@example.com', ''), '\\nSubject: ', if(o_orderkey % 3 = 0, 'Re: ', if(o_orderkey % 3 = 1, 'Fwd: ', '')), 'Order ', o_orderkey, "
