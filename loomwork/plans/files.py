@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomwork.session import new_folder, staged, table
+from loomwork.session import new_folder, spread, staged, table
 from loomwork.sources import files, mail, slides
 from loomwork.sources.store import Store, delete_cascade, updated
 
@@ -28,7 +28,9 @@ def mail_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("?=\nContent-Type: multipart/mixed; boundary=\"out"), k, F.lit("\"\n\nfor old readers"), edge("out"), F.lit("\nContent-Type: multipart/alternative;\n boundary=in"), k, F.lit("\n"),
         F.when(third == 0, "").otherwise(plain), rich, edge("in", "--"), F.lit("\nnothing here"), F.when(third == 1, "").otherwise(added), edge("out", "--"), F.lit("\n"),
     )
-    files = table(spark, sf_dir, "orders").select("o_orderkey", F.encode(text, "UTF-8").alias("raw"))
+    # Keys are spread, not the mails that are made of them.
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+    files = orders.select("o_orderkey", F.encode(text, "UTF-8").alias("raw"))
     found = mail.mail_contents(files, "o_orderkey", "raw")
     names = F.array_join(F.transform("attachments", lambda a: F.concat_ws("|", a["filename"], a["content_type"], a["size"].cast("string"))), ",")
     return found.select("o_orderkey", "content", names.alias("attachments"), "has_html", "has_plain_text")
